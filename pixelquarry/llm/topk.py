@@ -79,12 +79,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], shared, k: int):
                 yield index, ids[some], s, ~own & (s >= kth[:, None])
 
 
-def _histogram(shared, low: np.ndarray, width: np.ndarray, k: int):
+def _histogram(shared, low: np.ndarray, high: np.ndarray, width: np.ndarray, k: int):
+    """Counts of the scores in [low, high) by bins of the query's width."""
+
     def run(batches):
         for index, _, s, wanted in _blocks(batches, shared, k):
-            lo, w = low[index][:, None], width[index][:, None]
+            lo, hi, w = (x[index][:, None] for x in (low, high, width))
             b = (s - lo) // w
-            q, c = np.nonzero(wanted & (b >= 0) & (b < BINS))
+            q, c = np.nonzero(wanted & (s >= lo) & (s < hi))
             keys, n = np.unique(index[q] * BINS + b[q, c], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys // BINS), pa.array(keys % BINS), pa.array(n.astype(np.int64))], ["q", "bin", "n"])
 
@@ -115,29 +117,31 @@ def _slice_topk(candidates: DataFrame, queries: list, k: int, top_norm: float) -
     shared = candidates.sparkSession.sparkContext.broadcast(by_dim)
     norms = np.array([float(np.sqrt(np.dot(r.v, r.v))) for r in queries])
     bound = np.minimum(np.ceil(norms * top_norm) + 1, 2.0**61).astype(np.int64)
-    low, above = -bound, np.zeros(len(q_ids), np.int64)
-    width = -(-(2 * bound + 1) // BINS)
+    low, high, above = -bound, bound + 1, np.zeros(len(q_ids), np.int64)  # above: how many score high or more
+    width = -(-(high - low) // BINS)
     running = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin")))
     while True:
+        before = candidates.sparkSession.createDataFrame([(i, int(a)) for i, a in enumerate(above)], "q long, above long")
         found = (
-            candidates.mapInArrow(_histogram(shared, low, width, k), "q long, bin long, n long")
+            candidates.mapInArrow(_histogram(shared, low, high, width, k), "q long, bin long, n long")
             .groupBy("q", "bin").agg(F.sum("n").alias("n"))
             .withColumn("upto", running)
-            .join(F.broadcast(candidates.sparkSession.createDataFrame([(i, int(a)) for i, a in enumerate(above)], "q long, above long")), "q")
+            .join(F.broadcast(before), "q")  # one row a query of this slice
             .where(F.col("upto") + F.col("above") >= k)
             .groupBy("q").agg(F.max(F.struct("bin", "upto", "n")).alias("at"))
             .collect()  # one row a query of this slice
         )
         open_ = False
-        next_low, next_width = low.copy(), np.ones_like(width)
         for r in found:
-            next_low[r.q] = low[r.q] + r["at"].bin * width[r.q]
-            if width[r.q] > 1 and above[r.q] + r["at"].upto > 4 * k:
-                above[r.q] += r["at"].upto - r["at"].n
-                next_width[r.q] = -(-width[r.q] // BINS)
+            q, at = r.q, r["at"]
+            low[q] += at.bin * width[q]
+            if width[q] > 1 and above[q] + at.upto > 4 * k:
+                above[q] += at.upto - at.n
+                high[q] = low[q] + width[q]
+                width[q] = -(-width[q] // BINS)
                 open_ = True
-        # a query that is done keeps its bound: its next histogram starts at the same low end
-        low, width = next_low, next_width
+            else:
+                high[q] = low[q]  # known closely enough: no further bins
         if not open_:
             return candidates.mapInArrow(_selected(shared, low, q_ids, k), "query_id long, vec_id long, score long")
 
