@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import pfair, quality_llr, topk
+from pixelquarry.llm import chat, pfair, quality_llr, secret_ledger, topk
 from pixelquarry.session import table
 
 
@@ -20,17 +20,84 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_llr(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once."""
+    paths, ledger = secret_ledger.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return secret_ledger.digest(secret_ledger.findings(paths, ledger))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and one that says the template's control strings."""
+    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_conversations(given.unionByName(own)))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best candidates of every vector whose id is divisible by 100."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """DuckDB: the spans of one kind, from the pieces between its matches."""
+    return f"""
+  SELECT blob, {rank} AS rank, '{kind}' AS kind, pos AS start_, pos + length(hit) AS finish FROM (
+    SELECT blob, hit, part, before + list_sum(list_transform(pieces[:i], lambda p: length(p)))::BIGINT AS pos FROM (
+      SELECT blob, i, hits[i] AS hit, parts[i] AS part, pieces,
+             coalesce(list_sum(list_transform(hits[:i-1], lambda h: length(h))), 0)::BIGINT AS before
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT blob, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {group}) AS parts,
+               string_split_regex(text, '{pattern}') AS pieces
+        FROM blobs WHERE regexp_matches(text, '{pattern}'))))
+  ) WHERE length(part) >= {least}"""
+
+
+def _op7_sql() -> str:
+    found = "\n  UNION ALL".join(
+        _spans_sql(r.kind, i, r.pattern.replace("'", "''"), r.group, r.least) for i, r in enumerate(secret_ledger.RULES)
+    )
+    base = "kind IN ('assign', 'access', 'hex')"
+    joined = "string_agg(kind || ':' || start_ || ':' || finish, ',' ORDER BY start_, rank)"
+    return f"""
+WITH docs AS (SELECT doc_id, sha256(coalesce(text, '')) AS blob, coalesce(text, '') AS text FROM documents),
+blobs AS (SELECT blob, any_value(text) AS text FROM docs GROUP BY blob),
+found AS ({found}),
+per_blob AS (
+  SELECT blob, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, {joined} FILTER ({base}) AS base, {joined} AS spans
+  FROM found GROUP BY blob)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per_blob USING (blob)
+"""
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *,
+    length(regexp_replace(regexp_replace(replace(role, '\\', '\\\\'), '<(/?s>)', '__\\1', 'g'), '\\[(/?INST\\])', '__\\1', 'g')) AS role_chars,
+    length(regexp_replace(regexp_replace(replace(text, '\\', '\\\\'), '<(/?s>)', '__\\1', 'g'), '\\[(/?INST\\])', '__\\1', 'g')) AS text_chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(17 + role_chars + text_chars))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), q AS (
   SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id
 ), s AS (
@@ -45,9 +112,13 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 QUERIES = {
     "op2_pfair_mix": op2_pfair_mix,
     "op4_quality_llr": op4_quality_llr,
+    "op7_secret_ledger": op7_secret_ledger,
     "op8_exact_topk": op8_exact_topk,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLES = {
+    "op7_secret_ledger": _op7_sql(),
+    "op9_chat_format": OP9_SQL,
     "op8_exact_topk": OP8_SQL,
 }
