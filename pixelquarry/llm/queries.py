@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, pfair, quality_llr, secret_ledger, topk
+from pixelquarry.llm import chat, pfair, ppm_language, quality_llr, secret_ledger, topk
 from pixelquarry.session import table
 
 
+def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a fifth of the ids teaches nothing."""
+    return ppm_language.language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix, with square-root weights of the sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -110,6 +115,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 QUERIES = {
+    "op1_ppm_language": op1_ppm_language,
     "op2_pfair_mix": op2_pfair_mix,
     "op4_quality_llr": op4_quality_llr,
     "op7_secret_ledger": op7_secret_ledger,
