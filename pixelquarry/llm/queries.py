@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, pfair, ppm_language, quality_llr, secret_ledger, topk
+from pixelquarry.llm import chat, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk
 from pixelquarry.session import table
 
 
@@ -25,6 +26,11 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_llr(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by the compiled transducer."""
+    return token_fst.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, each distinct text scanned once."""
     paths, ledger = secret_ledger.scan(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -118,6 +124,7 @@ QUERIES = {
     "op1_ppm_language": op1_ppm_language,
     "op2_pfair_mix": op2_pfair_mix,
     "op4_quality_llr": op4_quality_llr,
+    "op6_token_counts": op6_token_counts,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
