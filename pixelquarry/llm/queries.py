@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk
+from pixelquarry.llm import chat, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
 from pixelquarry.session import table
 
 
@@ -50,6 +50,11 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the labels of a quarter of the ids teach nothing."""
+    return toxic_crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
     """DuckDB: the spans of one kind, from the pieces between its matches."""
     return f"""
@@ -128,6 +133,7 @@ QUERIES = {
     "op7_secret_ledger": op7_secret_ledger,
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
+    "op10_toxic_crf": op10_toxic_crf,
 }
 
 ORACLES = {
