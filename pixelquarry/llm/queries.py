@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
+from pixelquarry.llm import chat, dart_minhash, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
 from pixelquarry.session import table
 
 
@@ -21,6 +21,11 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix(docs).select("doc_id", "source", "rank", "block", "release", "deadline", "slot", "mix_position")
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, log-likelihood ratio and verdict of every document."""
     return quality_llr.quality_llr(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -128,6 +133,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 QUERIES = {
     "op1_ppm_language": op1_ppm_language,
     "op2_pfair_mix": op2_pfair_mix,
+    "op3_dart_minhash": op3_dart_minhash,
     "op4_quality_llr": op4_quality_llr,
     "op6_token_counts": op6_token_counts,
     "op7_secret_ledger": op7_secret_ledger,
