@@ -34,8 +34,8 @@ from pixelquarry.session import ship
 ORDER = 4
 DOCS_PER_LANG = 1500
 UNDETERMINED = "und"
-#: The pipeline rejects texts that no language codes in fewer bits a byte than this.
-REJECT_BITS = 8.0
+#: Texts of at least so many bytes that no language codes in fewer bits a byte are no language.
+REJECT_BITS, REJECT_BYTES = 8.0, 200
 
 OUT = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
@@ -215,6 +215,29 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
 
 
+def recognised(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows whose text is in some language, in place and with all columns.
+
+    Rejected are texts that are null or without letters, and long texts (``REJECT_BYTES``) that
+    every language codes worse than single bytes (``REJECT_BITS``). Without a model only the former are.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for begin, end, pack in bs.slices(batch.column("text"), gap=ORDER if m is None else len(m.cost) - 1, filler=0):
+                keep = _letters(pack)
+                if m is not None:
+                    size = pack.last - pack.first
+                    keep &= (size < REJECT_BYTES) | (code_lengths(m, pack).min(axis=1) < REJECT_BITS * size)
+                yield batch.slice(begin, end - begin).filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def fold(doc_id: str | Column = "doc_id", parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % parts

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, dart_minhash, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
+from pixelquarry.llm import chat, dart_minhash, merge_dropout, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
 from pixelquarry.session import table
 
 
@@ -31,6 +31,11 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_llr(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again."""
+    return merge_dropout.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the compiled transducer."""
     return token_fst.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -135,6 +140,7 @@ QUERIES = {
     "op2_pfair_mix": op2_pfair_mix,
     "op3_dart_minhash": op3_dart_minhash,
     "op4_quality_llr": op4_quality_llr,
+    "op5_merge_dropout": op5_merge_dropout,
     "op6_token_counts": op6_token_counts,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_exact_topk": op8_exact_topk,
