@@ -22,7 +22,7 @@ largest counts. Whole texts are scored. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +35,7 @@ from pixelquarry.llm import bytescan as bs
 from pixelquarry.llm.ppm_language import fold
 from pixelquarry.session import ship
 
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 FEATURES = 1 << 18
 #: Least weight of evidence of a toxic word's best feature.
 EVIDENCE = 1.5
@@ -44,6 +44,7 @@ CHAIN = 128
 CACHE_WORDS = 400_000
 ALERT = 0.3
 
+SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
 OUT = "doc_id long, score double, n_toxic_words long, spans string"
 
 #: Bytes of words: ASCII letters, digits and apostrophe, and all bytes of other characters.
@@ -108,14 +109,16 @@ class Words:
         return self.low[self.begins[i] : self.ends[i]].tobytes()
 
 
-def marginals(emission: np.ndarray, opens: np.ndarray, transition: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
-    """Marginal of the toxic state of every word, and of each pair of states with its predecessor.
+def marginals(
+    emission: np.ndarray, opens: np.ndarray, transition: np.ndarray, start: float, with_pairs: bool = False
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginal of the toxic state of every word, and the expected number of each pair of states in turn.
 
     ``emission`` is the score of toxic over clean. Chains of equal rank are run in lockstep.
     """
     n = len(emission)
     if not n:
-        return np.zeros(0), np.zeros((0, 2, 2))
+        return np.zeros(0), np.zeros((2, 2))
     first = np.flatnonzero(opens)
     length = np.diff(np.append(first, n))
     order = np.argsort(-length, kind="stable")
@@ -140,9 +143,13 @@ def marginals(emission: np.ndarray, opens: np.ndarray, transition: np.ndarray, s
         bwd[at] = b / b.sum(axis=1, keepdims=True)
     both = fwd * bwd
     toxic = both[:, 1] / both.sum(axis=1)
+    if not with_pairs:
+        return toxic, None
     inner = np.flatnonzero(~opens)
-    pair = fwd[inner - 1][:, :, None] * t[None] * (bwd[inner] * np.stack((np.ones(len(inner)), weight[inner]), axis=1))[:, None, :]
-    return toxic, pair / pair.sum(axis=(1, 2), keepdims=True)
+    left, right = fwd[inner - 1], bwd[inner]
+    right[:, 1] *= weight[inner]
+    total = ((left @ t) * right).sum(axis=1)
+    return toxic, t * (left.T @ (right / total[:, None]))
 
 
 @dataclass
@@ -218,24 +225,26 @@ def train(
     (_, _, pack), = bs.slices(pa.array(texts, pa.large_string()), most=1 << 40)
     words = Words.of(pack)
     kinds, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-    of_kind = [features(words.spelled(int(w))) for w in where]
-    # shares of toxic and clean documents that have each feature
-    seen = np.unique(np.stack((words.docs, inverse)), axis=1)
-    have: list[Counter] = [Counter(), Counter()]
-    for d in np.unique(seen[0]):
-        own = set().union(*(of_kind[k] for k in seen[1, slice(*np.searchsorted(seen[0], [d, d + 1]))]))
-        have[int(y[d])].update(own)
+    # features of all distinct words, end to end
+    of_kind = [np.array(features(words.spelled(int(w))), np.int32) for w in where]
+    owner = np.repeat(np.arange(len(of_kind)), [len(fs) for fs in of_kind])
+    flat = np.concatenate(of_kind) if of_kind else np.zeros(0, np.int32)
+    first = np.searchsorted(owner, np.arange(len(kinds) + 1))
+    del of_kind
+    # how many toxic and clean documents have each feature
+    pairs = np.unique(words.docs * len(kinds) + inverse)
+    doc, kind = pairs // len(kinds), pairs % len(kinds)
+    n = first[kind + 1] - first[kind]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[kind], n)
+    has = np.unique(np.repeat(doc, n) * FEATURES + flat[at])
+    c1, c0 = (np.bincount(has[y[has // FEATURES] == k] % FEATURES, minlength=FEATURES).astype(float) for k in (1, 0))
     n1, n0 = y.sum(), (1 - y).sum()
-    names = np.array(list(have[1]))
-    c1, c0 = np.array([have[1][f] for f in names], float), np.array([have[0][f] for f in names], float)
-    sure = _ratio(c1, n1, c0, n0) >= 2 * np.log(max(2, len(names)))
-    gain = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-    evidence = dict(zip(names[sure].tolist(), gain[sure].tolist(), strict=True))
-    best = np.array([max((evidence.get(f, -9.0) for f in fs), default=-9.0) for fs in of_kind])
+    sure = (_ratio(c1, n1, c0, n0) >= 2 * np.log(max(2, (c1 > 0).sum()))) & (c1 > 0)
+    gain = np.where(sure, np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)), -9.0)
+    best = np.full(len(kinds), -9.0)
+    np.maximum.at(best, owner, gain[flat])
     label = (best[inverse] >= EVIDENCE) & (y[words.docs] == 1)
     # maximum conditional likelihood by gradient ascent with per-weight step sizes
-    flat = np.array([f for fs in of_kind for f in fs])
-    owner = np.repeat(np.arange(len(of_kind)), [len(fs) for fs in of_kind])
     used, flat = np.unique(flat, return_inverse=True)
     w = np.zeros(len(used))
     head = np.array([-3.0, 0.0, 0.0, 0.0, 0.0, 0.0])  # bias, start, transition by row
@@ -244,12 +253,12 @@ def train(
     true_pairs = np.zeros((2, 2))
     np.add.at(true_pairs, (label[inner - 1].astype(int), label[inner].astype(int)), 1)
     for _ in range(rounds):
-        emission = (np.bincount(owner, weights=w[flat], minlength=len(of_kind)) + head[0])[inverse]
-        toxic, pairs = marginals(emission, words.opens, head[2:].reshape(2, 2), head[1])
+        emission = (np.bincount(owner, weights=w[flat], minlength=len(kinds)) + head[0])[inverse]
+        toxic, pairs = marginals(emission, words.opens, head[2:].reshape(2, 2), head[1], with_pairs=True)
         gap = label - toxic
-        by_kind = np.bincount(inverse, weights=gap, minlength=len(of_kind))
+        by_kind = np.bincount(inverse, weights=gap, minlength=len(kinds))
         g = np.bincount(flat, weights=by_kind[owner], minlength=len(used)) - ridge * len(y) * w
-        gh = np.array([gap.sum(), gap[words.opens].sum(), *(true_pairs - pairs.sum(axis=0)).ravel()]) - ridge * len(y) * head
+        gh = np.array([gap.sum(), gap[words.opens].sum(), *(true_pairs - pairs).ravel()]) - ridge * len(y) * head
         grown_w += g * g
         grown_h += gh * gh
         w += rate * g / np.sqrt(grown_w)
@@ -273,10 +282,17 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = {k: int(min(1.0, rows / 2 / n) * (1 << 20)) for k, n in totals.items()}
     chosen = marked.where(pick < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    # about `rows` labelled rows, a fixed bound: they and their texts are all that the driver sees
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").toPandas()
-    sample = sample.sort_values(["doc_id", "text"])
-    return train(sample["text"].tolist(), sample["toxic"].tolist(), totals[1] / (totals[0] + totals[1]))
+    toxic_share = totals[1] / (totals[0] + totals[1])
+    # about `rows` labelled rows, a fixed bound: their ids are broadcast, and one task sees their texts
+    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = pa.Table.from_batches(batches, SAMPLE).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        model = train(seen.column("text").to_pylist(), seen.column("toxic").to_pylist(), toxic_share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    ship(documents.sparkSession)
+    return pickle.loads(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def score(documents: DataFrame, model: Field | None) -> DataFrame:
