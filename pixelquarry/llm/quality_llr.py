@@ -31,7 +31,10 @@ BUCKETS = 1 << 15
 TRUSTED_ROWS = 20_000
 MIN_WORDS = 50
 #: Documents whose mean log ratio (nats an n-gram) is below this are rejected.
-THRESHOLD = -0.06
+THRESHOLD = -0.03
+#: The target is smoothed towards the raw corpus by as many n-grams as it has and so many more, so
+#: that a small trusted sample moves no document far.
+PRIOR = 500_000
 SYMBOLS = b"#*$%&|<>"
 
 OUT = (
@@ -109,7 +112,7 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> np.ndarray:
-    """log(p_target / p_raw) by bucket, with add-one smoothing; the raw counts cover all documents."""
+    """log(p_target / p_raw) by bucket; the raw counts cover all documents."""
     ship(documents.sparkSession)
     # about `rows` ids, a fixed bound whatever the input
     flagged = documents.select("doc_id", "text").join(
@@ -136,9 +139,8 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: i
     )
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
-    if not target.sum():
-        return np.zeros(buckets)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    share, n = (raw + 1) / (raw.sum() + buckets), target.sum()
+    return np.log((target + (n + PRIOR) * share) / (2 * n + PRIOR)) - np.log(share)
 
 
 def judge(documents: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
