@@ -12,8 +12,10 @@ documents agree there with probability equal to their weighted Jaccard similarit
 Documents with equal texts are one node. Nodes that agree on a band of ``ROWS`` coordinates share a
 bucket. First every node of a bucket is compared to the bucket's least node (a star, never all
 pairs); similarities are exact, on the shingles themselves, and pairs of ``SIMILARITY`` or more are
-links. Then every pair of a bucket that still lies in two components is compared, so no link
-between bucket mates is lost. Classes are the connected components of the links.
+links. Where a bucket still holds two components, a second star is drawn around its most typical
+node; then every pair that still lies in two components is compared, so no link
+between bucket mates is lost; left out are only pairs that cannot be links, by a bound from the
+shingles that a node shares with none of the others. Classes are the connected components of the links.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^26 < 4e-5.
 
@@ -236,6 +238,38 @@ def _texts(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     return cut_lineage(found.where(F.xxhash64("text") == F.col("_node")).select(F.col("_node").alias("node"), "text").dropDuplicates(["node"]))
 
 
+def _open_rows(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two components."""
+    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    return cut_lineage(placed.join(cut_lineage(split), "key"))
+
+
+def _own_units(texts: DataFrame, width: int) -> DataFrame:
+    """(node, own): how much of a node's weight no other of these nodes has, as it shares no unit of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, pack in bs.slices(batch.column("text")):
+                docs, hashes, occurrence = shingles(pack, width)
+                units = bs.mix(hashes + bs.mix(occurrence.astype(np.uint64) + np.uint64(1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node")[begin:end].take(pa.array(docs)), pa.array(units)], ["node", "unit"])
+
+    units = texts.select("node", "text").mapInArrow(run, "node long, unit long")
+    alone = units.groupBy("unit").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _reachable(rows: DataFrame, least: float) -> DataFrame:
+    """Without the rows that no node of their bucket can reach.
+
+    A node of weight w, of which ``own`` is nobody else's, shares at most w - own; with a partner of weight
+    m or more its similarity is at most (w - own) / (max(m, w - own) + own).
+    """
+    smallest = cut_lineage(rows.groupBy("key").agg(F.min("weight").alias("m")))
+    shared = F.col("weight") - F.col("own")
+    return cut_lineage(rows.join(smallest, "key").where(shared >= least * (F.greatest("m", shared) + F.col("own"))).drop("m"))
+
+
 def near_duplicates(
     documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE
 ) -> DataFrame:
@@ -260,21 +294,38 @@ def near_duplicates(
     placed = cut_lineage(
         shared.select("key", "node", "weight").join(linked, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
     )
-    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rest = cut_lineage(placed.join(cut_lineage(split), "key"))
+    rest = _open_rows(placed)
+    texts = _texts(documents, nodes, rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    rest = _open_rows(_reachable(rest.join(_own_units(texts, width), "node", "left").fillna(0, ["own"]), least))
+    # a second star around each bucket's most typical node, the one with the least of its own
+    hubs = cut_lineage(rest.groupBy("key").agg(F.min(F.struct("own", "node", "component", "weight")).alias("hub")))
+    common = F.least(F.col("weight") - F.col("own"), F.col("hub.weight") - F.col("hub.own"))
+    typical = (
+        rest.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+        .where(common >= least * (F.col("weight") + F.col("hub.weight") - common))
+        .select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+    )
+    typical = cut_lineage(typical.join(first, ["a", "b"], "left_anti"))
+    if typical.limit(1).count():
+        links = cut_lineage(links.union(_verified(typical, texts, least, width)))
+        linked = components(links)
+        rest = _open_rows(
+            rest.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        )
+    # every pair that is left between two components of a bucket
     groups = cut_lineage(rest.select("key", "component").distinct())
     sides = groups.select("key", F.col("component").alias("ca")).join(groups.select("key", F.col("component").alias("cb")), "key").where("ca < cb")
-    left = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("weight").alias("wa"))
-    right = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("weight").alias("wb"))
+    left = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("own").alias("ua"))
+    right = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("own").alias("ub"))
+    common = F.least(F.col("wa") - F.col("ua"), F.col("wb") - F.col("ub"))
     crossed = (
         sides.join(left, ["key", "ca"]).join(right, ["key", "cb"])
-        # the smaller of two multisets bounds what they share
-        .where(F.least("wa", "wb") >= least * F.greatest("wa", "wb"))
+        .where(common >= least * (F.col("wa") + F.col("wb") - common))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    second = cut_lineage(crossed.join(first, ["a", "b"], "left_anti"))
+    second = cut_lineage(crossed.join(first.union(typical), ["a", "b"], "left_anti"))
     if second.limit(1).count():
-        more = cut_lineage(_verified(second, _texts(documents, nodes, second), least, width))
+        more = cut_lineage(_verified(second, texts, least, width))
         if more.limit(1).count():
             linked = components(links.union(more))
     least_id = (
