@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.asarray(pa.compute.binary_length(batch.column("text_a"))) + np.asarray(pa.compute.binary_length(batch.column("text_b")))
+            size = np.asarray(pc.binary_length(batch.column("text_a"))) + np.asarray(pc.binary_length(batch.column("text_b")))
             begin = 0
             while begin < len(batch):  # bounded slices, by bytes
                 end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:].astype(np.int64)), bs.SLICE_BYTES, side="right")))

@@ -61,25 +61,33 @@ class Table:
 
     keys: np.ndarray
     values: np.ndarray
+    slots: np.ndarray | None = None
 
-    def __post_init__(self) -> None:
-        self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
-        self.slots[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "values": self.values, "slots": None}
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
 
+    def _search(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where absent."""
         if not len(self.keys):
             return np.full(len(keys), -1)
+        if len(keys) < 100_000:  # slots pay only for the bulk of the bytes
+            return self._search(keys)
+        if self.slots is None:
+            self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+            self.slots[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
         row = self.slots[self._slot(keys)]
         other = np.flatnonzero((row < 0) | (self.keys[row] != keys))
         if len(other):
-            at = np.searchsorted(self.keys, keys[other])
-            at[at == len(self.keys)] = 0
-            row[other] = np.where(self.keys[at] == keys[other], at, -1)
+            row[other] = self._search(keys[other])
         return row
 
 
@@ -94,7 +102,7 @@ class Model:
     def bits(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Code length of each string's last byte after its first ``order`` bytes, by language."""
         if order < 0:
-            return np.full((len(keys), len(self.langs)), 8.0)
+            return np.full((len(keys), len(self.langs)), 8.0, np.float32)
         row = self.cost[order].find(keys)
         out = self.cost[order].values[row]
         new = np.flatnonzero(row < 0)
@@ -102,7 +110,7 @@ class Model:
             some = keys[new]
             shorter = self.bits(some & np.uint64((1 << 8 * order) - 1), order - 1)
             context = self.escape[order].find(some >> np.uint64(8))
-            leave = np.where(context[:, None] < 0, 0.0, self.escape[order].values[context]) if len(self.escape[order].keys) else 0.0
+            leave = np.where(context[:, None] < 0, np.float32(0), self.escape[order].values[context]) if len(self.escape[order].keys) else 0.0
             out[new] = shorter + leave
         return out
 
@@ -126,8 +134,8 @@ def build(langs: list[str], keys: list[np.ndarray], counts: list[np.ndarray], or
                 leave[:, j] = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
             cost[:, j] = lower[:, j] + leave[np.searchsorted(contexts, union >> np.uint64(8)), j]
             cost[np.searchsorted(union, own), j] = -np.log2(c / (n + d)[ctx])
-        model.cost.append(Table(union, cost))
-        model.escape.append(Table(contexts, leave))
+        model.cost.append(Table(union, cost.astype(np.float32)))
+        model.escape.append(Table(contexts, leave.astype(np.float32)))
     return model
 
 
@@ -141,25 +149,28 @@ def fit(documents: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(min(1.0, docs_per_lang / n) * (1 << 20)))])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).select("lang", "text")
 
+    langs = sorted(totals)
+    code = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, codes = np.unique(np.asarray(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+            codes = np.asarray(batch.column("code"))
             for begin, end, pack in bs.slices(batch.column("text"), gap=order, filler=0):
                 key, docs = grams(pack, order + 1)
                 of = codes[begin:end][docs]
                 for j in np.unique(of):
                     strings, n = np.unique(key[of == j], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang[j]] * len(strings)), pa.array(strings.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "string", "n"]
+                        [pa.array(np.full(len(strings), j, np.int32)), pa.array(strings.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "string", "n"]
                     )
 
-    counted = sample.mapInArrow(count, "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()  # distinct strings of the bounded sample
-    if not len(found):
+    counted = sample.select(code.alias("code"), "text").mapInArrow(count, "code int, string long, n long").groupBy("code", "string").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # distinct strings of the bounded sample
+    of, strings, n = (found.column(c).to_numpy() for c in ("code", "string", "n"))
+    seen = [j for j in range(len(langs)) if (of == j).any()]
+    if not seen:
         return None
-    langs = sorted(found["lang"].unique())
-    parts = [found[found["lang"] == x] for x in langs]
-    return build(langs, [p["string"].to_numpy().view(np.uint64) for p in parts], [p["n"].to_numpy(float) for p in parts], order)
+    return build([langs[j] for j in seen], [strings[of == j].view(np.uint64) for j in seen], [n[of == j].astype(float) for j in seen], order)
 
 
 def _letters(pack: bs.Pack) -> np.ndarray:
@@ -182,7 +193,7 @@ def code_lengths(model: Model, pack: bs.Pack) -> np.ndarray:
     some = np.flatnonzero(lens)
     out = np.zeros((pack.n, len(model.langs)))
     if len(some):
-        out[some] = np.add.reduceat(bits, (np.cumsum(lens) - lens)[some], axis=0)
+        out[some] = np.add.reduceat(bits, (np.cumsum(lens) - lens)[some], axis=0, dtype=float)
     return out
 
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from pixelquarry.llm import bytescan as bs
@@ -319,10 +320,10 @@ def token_counts(documents: DataFrame, vocabulary: str, limit: int = LIMIT) -> D
         machine = counter(vocabulary)
         for batch in batches:
             column = batch.column("text")
-            size = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
+            size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
             begin = 0
             while begin < len(batch):  # bounded slices, by bytes
-                end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:]), bs.SLICE_BYTES // 2, side="right")))
+                end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:]), bs.SLICE_BYTES, side="right")))
                 n = machine.count([t or "" for t in column[begin:end].to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[begin:end], pa.array(size[begin:end]), pa.array(n), pa.array(n > limit)],

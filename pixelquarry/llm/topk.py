@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def scaled(vectors: DataFrame, scale: int = 1024) -> DataFrame:
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row lengths and the flat components."""
-    return np.asarray(pa.compute.list_value_length(column)), np.asarray(column.flatten())
+    return np.asarray(pc.list_value_length(column)), np.asarray(column.flatten())
 
 
 def _scores(queries: np.ndarray, block: np.ndarray) -> np.ndarray:

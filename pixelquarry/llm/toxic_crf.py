@@ -23,6 +23,7 @@ largest counts. Whole texts are scored. Other columns are ignored.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,7 +42,7 @@ FEATURES = 1 << 18
 EVIDENCE = 1.5
 SPAN_AT = 0.5
 CHAIN = 128
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 ALERT = 0.3
 
 SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
@@ -152,6 +153,9 @@ def marginals(
     return toxic, t * (left.T @ (right / total[:, None]))
 
 
+_remembered: dict[str, dict[int, float]] = {}
+
+
 @dataclass
 class Field:
     """Weights of the field and of the calibration."""
@@ -161,18 +165,20 @@ class Field:
     transition: np.ndarray
     start: float
     calibration: np.ndarray  # intercept, log expected toxic words, best marginal's log odds
-    cache: dict = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def emissions(self, words: Words) -> np.ndarray:
         """Emission of every word; each distinct word is looked at once and remembered."""
         kinds, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        cache = _remembered.get(self.name)
+        if cache is None or len(cache) > CACHE_WORDS:
+            _remembered.clear()  # a worker remembers words for one field at a time
+            cache = _remembered[self.name] = {}
         out = np.empty(len(kinds))
         for i, (h, w) in enumerate(zip(kinds.tolist(), where.tolist(), strict=True)):
-            e = self.cache.get(h)
+            e = cache.get(h)
             if e is None:
-                e = self.cache[h] = float(self.weights[features(words.spelled(w))].sum()) + self.bias
+                e = cache[h] = float(self.weights[features(words.spelled(w))].sum()) + self.bias
             out[i] = e
         return out[inverse]
 
@@ -269,7 +275,7 @@ def train(
     share = y.mean() if toxic_share is None else toxic_share
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     out.calibration = _logistic(_evidence(out.read(words), words.docs, len(y)), y, weight)
-    out.cache = {}
+    _remembered.clear()
     return out
 
 
