@@ -1,4 +1,305 @@
-"""All registered queries and their DuckDB twins, by operator."""
+"""All registered queries and their DuckDB twins, by operator.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A query reads a derived view of the given tables (``fixtures``), applies one operator and returns
+its full result. The SQL twins are written on their own, from the operator's meaning.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelquarry.functions import color as C
+from pixelquarry.operators import animation, catalogue, dither, events, palette, pixels, resample, sequence
+from pixelquarry.plans import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+AT = ["image_id", "y", "x"]
+AT_SQL = "image_id, y, x"
+
+
+def add(name: str, view: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None, needs: str | None = None) -> None:
+    """Register an operator over a view; ``needs`` is the last view that the SQL names, if another."""
+    QUERIES[name] = lambda spark, sf_dir: run(fixtures.view(spark, sf_dir, view))
+    if sql:
+        ORACLES[name] = fixtures.with_views(needs or view, sql)
+
+
+def scalar(name: str, view: str, columns: dict, sql: str) -> None:
+    """Register column functions: one row per pixel."""
+    add(name, view, lambda df: df.select(*AT, *[c.alias(n) for n, c in columns.items()]), f"SELECT {AT_SQL}, {sql} FROM {view}")
+
+
+def pal_sql(name: str = "win256") -> str:
+    return "(VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(palette.PALETTES[name])) + ") AS p(idx, pr, pg, pb)"
+
+
+# column functions
+
+scalar("luma8", "v_pixels", {"v": C.luma8("r", "g", "b")}, "(77 * r + 150 * g + 29 * b) >> 8 AS v")
+scalar("luma16", "v_pixels", {"v": C.luma16(F.col("r") * 257, F.col("g") * 257, F.col("b") * 257)}, "(77 * 257 * r + 150 * 257 * g + 29 * 257 * b) >> 8 AS v")
+scalar("luma_mono", "v_pixels", {"v": C.luma_mono("r", "g", "b")}, "(77 * r + 151 * g + 28 * b) >> 8 AS v")
+scalar(
+    "convert_channels", "v_pixels",
+    {f"c{n}{m}_{k}": c for n, ch in ((1, "r"), (2, "ra"), (3, "rgb"), (4, "rgba")) for m in (1, 2, 3, 4) for k, c in enumerate(C.convert_channels(list(ch), n, m))},
+    ", ".join(
+        f"{v} AS c{n}{m}_{k}"
+        for n in (1, 2, 3, 4) for m in (1, 2, 3, 4)
+        for grey in ["r" if n <= 2 else "(77 * r + 150 * g + 29 * b) >> 8"] for alpha in ["a" if n in (2, 4) else "255"]
+        for k, v in enumerate(([grey, alpha] if m <= 2 else (["r", "r", "r"] if n <= 2 else ["r", "g", "b"]) + [alpha])[:m])
+    ),
+)
+scalar(
+    "convert_channels16", "v_pixels", {f"v{k}": c for k, c in enumerate(C.convert_channels([F.col(c) * 257 for c in "rgb"], 3, 2, 65535))},
+    "(77 * 257 * r + 150 * 257 * g + 29 * 257 * b) >> 8 AS v0, 65535 AS v1",
+)
+scalar("depth_8_16", "v_pixels", {"up": C.to_16bit("r"), "down": C.to_8bit(F.col("g") * 256 + F.col("b"))}, "(r << 8) + r AS up, (g * 256 + b) >> 8 AS down")
+scalar("scale_bits", "v_pixels", {f"d{d}": C.scale_bits(F.col("r") % (1 << d), d) for d in (1, 2, 4, 8)}, "r % 2 * 255 AS d1, r % 4 * 85 AS d2, r % 16 * 17 AS d4, r % 256 AS d8")
+scalar(
+    "expand_bits", "v_pixels", {f"b{n}": C.expand_bits(F.col("r") % (1 << n), n) for n in range(1, 9)},
+    ", ".join(f"((r % {1 << n}) * {m}) >> {s} AS b{n}" for n, m, s in ((1, 255, 0), (2, 85, 0), (3, 73, 1), (4, 17, 0), (5, 33, 2), (6, 65, 4), (7, 129, 6), (8, 1, 0))),
+)
+scalar(
+    "rgb555", "v_pixels", dict(zip(("r5", "g5", "b5"), C.rgb555((F.col("r") % 128) * 256 + F.col("g")), strict=True)),
+    ", ".join(f"((((r % 128) * 256 + g) >> {s}) & 31) * 255 // 31 AS {n}" for n, s in (("r5", 10), ("g5", 5), ("b5", 0))),
+)
+scalar(
+    "mask_extract", "v_pixels", {f"m{m}": C.mask_extract(F.col("r") * 256 + F.col("g"), m) for m in (0x7C00, 0x3E0, 0x1F, 0xF0, 0)},
+    "((((r * 256 + g) & 31744) >> 10) * 33) >> 2 AS m31744, ((((r * 256 + g) & 992) >> 5) * 33) >> 2 AS m992, (((r * 256 + g) & 31) * 33) >> 2 AS m31, ((g & 240) >> 4) * 17 AS m240, 0 AS m0",
+)
+scalar("ldr_to_hdr", "v_plane", {"f": F.round(C.ldr_to_hdr("v"), 6)}, "round(power(v / 255.0::DOUBLE, 2.2::DOUBLE), 6) AS f")
+scalar("hdr_to_ldr", "v_plane", {"v8": C.hdr_to_ldr(F.col("v") / 200.0)}, "least(255, greatest(0, floor(power(v / 200.0::DOUBLE, 1 / 2.2::DOUBLE) * 255 + 0.5)))::INT AS v8")
+scalar("rgbe_to_float", "v_pixels", {"f": F.round(C.rgbe_to_float("r", F.when(F.col("x") == 0, 0).otherwise(F.col("g") % 32 + 120)), 6)}, "round(CASE WHEN x = 0 THEN 0.0 ELSE r * power(2.0::DOUBLE, g % 32 + 120 - 136) END, 6) AS f")
+_K = [int(k * 4096.0 + 0.5) << 8 for k in (1.402, 0.71414, 0.34414, 1.772)]
+scalar(
+    "ycbcr_to_rgb", "v_pixels", dict(zip(("jr", "jg", "jb"), C.ycbcr_to_rgb("r", "g", "b"), strict=True)),
+    f"least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (b - 128)::BIGINT * {_K[0]}) >> 20)) AS jr, least(255, greatest(0, ((r::BIGINT << 20) + 524288 - (b - 128)::BIGINT * {_K[1]} + (((g - 128)::BIGINT * -{_K[2]}) & -65536)) >> 20)) AS jg, least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (g - 128)::BIGINT * {_K[3]}) >> 20)) AS jb",
+)
+scalar(
+    "yuv_to_rgb", "v_pixels", dict(zip(("vr", "vg", "vb"), C.yuv_to_rgb("r", "g", "b"), strict=True)),
+    "least(255, greatest(0, (((r * 19077) >> 8) + ((b * 26149) >> 8) - 14234) >> 6)) AS vr, least(255, greatest(0, (((r * 19077) >> 8) - ((g * 6419) >> 8) - ((b * 13320) >> 8) + 8708) >> 6)) AS vg, least(255, greatest(0, (((r * 19077) >> 8) + ((g * 33050) >> 8) - 17685) >> 6)) AS vb",
+)
+_prod = lambda x, k: f"((({x}) * {k} + 128) + ((({x}) * {k} + 128) >> 8)) >> 8"
+scalar("cmyk_to_rgb", "v_pixels", dict(zip(("cr", "cg", "cb"), C.cmyk_to_rgb("r", "g", "b", "a"), strict=True)), ", ".join(f"{_prod(c, 'a')} AS c{c}" for c in "rgb"))
+scalar("ycck_to_rgb", "v_pixels", {"kr": C.ycck_to_rgb("r", "g", "b", "a")[0]}, _prod(f"255 - least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (b - 128)::BIGINT * {_K[0]}) >> 20))", "a") + " AS kr")
+scalar(
+    "jpeg_color_model", "v_pixels",
+    {"model": C.jpeg_color_model(F.when(F.col("x") == 0, "RGB").otherwise("123"), F.col("y") % 5, F.col("x") % 4 - 1, F.col("x") > 8)},
+    "CASE WHEN y % 5 = 3 AND (x = 0 OR (x % 4 - 1 = 0 AND NOT x > 8)) THEN 'rgb' WHEN y % 5 = 3 THEN 'ycbcr' WHEN y % 5 = 4 AND x % 4 - 1 = 0 THEN 'cmyk' WHEN y % 5 = 4 AND x % 4 - 1 = 2 THEN 'ycck' WHEN y % 5 = 4 THEN 'ycbcr' ELSE 'grey' END AS model",
+)
+scalar("unpremultiply", "v_pixels", {"u": C.unpremultiply("r", "a")}, "CASE WHEN a > 0 THEN ((r * 255 + a // 2) // a) % 256 ELSE r END AS u")
+scalar("remove_white_matte", "v_pixels", {"m": C.remove_white_matte("r", "a")}, "CASE WHEN a <> 0 AND a <> 255 THEN trunc(r / (a / 255.0::DOUBLE) + 255 * (1 - 1 / (a / 255.0::DOUBLE)))::INT ELSE r END AS m")
+scalar("color_key_alpha", "v_smooth", {"k": C.color_key_alpha(["r", "g"], [7, 5])}, "CASE WHEN r = 7 AND g = 5 THEN 0 ELSE 255 END AS k")
+scalar("clamp_byte", "v_pixels", {"c": C.clamp_byte(F.col("r") * 2 - 100)}, "least(255, greatest(0, r * 2 - 100)) AS c")
+scalar("bucket_distance", "v_pixels", {"k": C.bucket5("r"), "d": C.color_distance(["r", "g", "b"], [10, 20, 30])}, "r >> 3 AS k, 2 * (r - 10) * (r - 10) + 4 * (g - 20) * (g - 20) + 3 * (b - 30) * (b - 30) AS d")
+scalar("slot_hash", "v_pixels", {"s": C.slot_hash("r", "g", "b", "a")}, "(3 * r + 5 * g + 7 * b + 11 * a) & 63 AS s")
+scalar("cache_hash", "v_pixels", {"h": C.cache_hash(((F.col("a").cast("long") * 256 + F.col("r")) * 256 + F.col("g")) * 256 + F.col("b"), 8)}, "((506832829::HUGEINT * (((a::BIGINT * 256 + r) * 256 + g) * 256 + b)) % 4294967296)::BIGINT >> 24 AS h")
+scalar("green_decorrelate", "v_pixels", dict(zip(("dr", "dg", "db"), C.green_decorrelate("r", "g", "b"), strict=True)), "(r - g + 256) % 256 AS dr, g AS dg, (b - g + 256) % 256 AS db")
+scalar("paeth", "v_pixels", {"p": C.paeth("r", "g", "b")}, "CASE WHEN abs(g - b) <= abs(r - b) AND abs(g - b) <= abs(r + g - 2 * b) THEN r WHEN abs(r - b) <= abs(r + g - 2 * b) THEN g ELSE b END AS p")
+scalar("default_channel", "v_pixels", {"c": C.default_channel(F.when(F.col("x") > 3, F.col("r")), "color"), "al": C.default_channel(F.when(F.col("x") > 3, F.col("a")), "alpha")}, "CASE WHEN x > 3 THEN r ELSE 0 END AS c, CASE WHEN x > 3 THEN a ELSE 255 END AS al")
+scalar("linear_pixels", "v_plane", {"f": F.round(C.linear_pixels(F.col("v") * 257, 16), 6)}, "round(power(v / 255.0::DOUBLE, 2.2::DOUBLE), 6) AS f")
+scalar("alpha_plane", "v_pixels", {"al": C.alpha_plane(F.when(F.col("x") == 1, F.col("g")), F.when(F.col("x") == 2, F.col("a")))}, "CASE WHEN x = 1 THEN g WHEN x = 2 THEN a ELSE 255 END AS al")
+scalar("clamp_offset", "v_pixels", {"o": pixels.clamp_offset(F.col("r") - 50, F.col("g"), F.lit(100))}, "least(greatest(0, r - 50), greatest(0, g - 100)) AS o")
+scalar("raster_order", "v_pixels", {"pos": C.raster_order("y", "x", F.lit(16))}, "y * 16 + x AS pos")
+scalar("plane_dims", "v_pixels", dict(zip(("pw", "ph"), pixels.plane_dims("r", "g"), strict=True)), "(r + 1) // 2 AS pw, (g + 1) // 2 AS ph")
+
+# palettes
+
+LUT_SQL = f"""lut AS (SELECT kr, kg, kb, arg_min(idx, (2 * (kr * 8 - pr) ** 2 + 4 * (kg * 8 - pg) ** 2 + 3 * (kb * 8 - pb) ** 2) * 1000 + idx) AS idx
+  FROM (SELECT range AS kr FROM range(32)), (SELECT range AS kg FROM range(32)), (SELECT range AS kb FROM range(32)), {pal_sql()}
+  WHERE idx <> 246 GROUP BY ALL)"""
+QUANT_SQL = f""", {LUT_SQL}, quant AS (
+  SELECT v.*, p.idx, pr AS qr, pg AS qg, pb AS qb FROM v_pixels v JOIN lut ON r >> 3 = kr AND g >> 3 = kg AND b >> 3 = kb JOIN {pal_sql()} ON lut.idx = p.idx)"""
+quantized = lambda df: palette.quantize_lut(df, "win256")
+add("quantize_lut", "v_pixels", lambda df: quantized(df).select(*AT, "idx", "qr", "qg", "qb"), QUANT_SQL + f"SELECT {AT_SQL}, idx, qr, qg, qb FROM quant")
+add("palette_usage", "v_pixels", lambda df: palette.palette_usage(quantized(df)), QUANT_SQL + "SELECT image_id, idx, count(*) AS pixels FROM quant GROUP BY ALL")
+add(
+    "quantization_error", "v_pixels", lambda df: palette.quantization_error(quantized(df)).select("image_id", *[f"sum_{c}" for c in "rgb"], F.round("avg_r", 6).alias("avg_r")),
+    QUANT_SQL + "SELECT image_id, sum((r - qr) * 16)::BIGINT AS sum_r, sum((g - qg) * 16)::BIGINT AS sum_g, sum((b - qb) * 16)::BIGINT AS sum_b, round(avg((r - qr) * 16), 6) AS avg_r FROM quant GROUP BY image_id",
+)
+QUERIES["build_color_lut"] = lambda spark, sf_dir: fixtures.view(spark, sf_dir, "v_pixels").select(*[C.bucket5(c).alias(f"k{c}") for c in "rgb"]).distinct().join(F.broadcast(palette.build_color_lut(spark, "win256")), ["kr", "kg", "kb"])
+ORACLES["build_color_lut"] = fixtures.with_views("v_pixels", f", {LUT_SQL} SELECT DISTINCT lut.* FROM lut JOIN v_pixels ON r >> 3 = kr AND g >> 3 = kg AND b >> 3 = kb")
+for _name in ("vga16", "win256"):
+    add(
+        f"nearest_{_name}", "v_pixels", lambda df, n=_name: palette.nearest_palette_color(df.select("r", "g", "b").distinct(), palette.PALETTES[n]),
+        f"SELECT r, g, b, arg_min(idx, (2 * (r - pr) ** 2 + 4 * (g - pg) ** 2 + 3 * (b - pb) ** 2) * 1000 + idx) AS idx FROM (SELECT DISTINCT r, g, b FROM v_pixels), {pal_sql(_name)} WHERE idx <> 246 GROUP BY ALL",
+    )
+for _policy, _zero in (("zero", ("0", "0", "0", "255")), ("transparent", ("0", "0", "0", "0")), ("strict", ("NULL",) * 4)):
+    add(
+        f"palette_lookup_{_policy}", "v_idx", lambda df, p=_policy: palette.palette_lookup(df, palette.palette(df.sparkSession, "win256"), p).select(*AT, "idx", *"rgba"),
+        f"SELECT {AT_SQL}, v.idx, " + ", ".join(f"coalesce({c}, {z}) AS {n}" for n, c, z in zip("rgba", ("pr", "pg", "pb", "CASE WHEN p.idx IS NOT NULL THEN 255 END"), _zero, strict=True)) + f" FROM v_idx v LEFT JOIN {pal_sql()} ON v.idx = p.idx",
+    )
+add("distinct_colors", "v_smooth", palette.distinct_colors, "SELECT *, CASE WHEN colors > 16 THEN 8 WHEN colors > 4 THEN 4 WHEN colors > 2 THEN 2 ELSE 1 END AS bits FROM (SELECT image_id, count(DISTINCT (r, g, b)) AS colors FROM v_smooth GROUP BY 1)")
+add("color_bucket_histogram", "v_pixels", palette.color_bucket_histogram, "SELECT r >> 3 AS kr, g >> 3 AS kg, b >> 3 AS kb, count(*) AS pixels FROM v_pixels GROUP BY ALL")
+_cells = lambda df: df.select(*AT, F.concat_ws("", F.char(65 + F.col("r") % 20), F.char(97 + F.col("g") % 3)).alias("key"))
+_colors = lambda df: df.where("y < 4").select("image_id", F.concat_ws("", F.char(65 + F.col("r") % 20), F.char(97 + F.col("g") % 3)).alias("key"), C.raster_order("y", "x", F.lit(16)).alias("pos"), F.col("b").alias("color"))
+XPM_SQL = ", cells AS (SELECT image_id, y, x, chr(65 + r % 20) || chr(97 + g % 3) AS key FROM v_pixels), colors AS (SELECT image_id, chr(65 + r % 20) || chr(97 + g % 3) AS key, y * 16 + x AS pos, b AS color FROM v_pixels WHERE y < 4)"
+add("xpm_key_join", "v_pixels", lambda df: palette.xpm_key_join(_cells(df), _colors(df)), XPM_SQL + " SELECT c.*, k.color FROM cells c LEFT JOIN (SELECT image_id, key, arg_min(color, pos) AS color FROM colors GROUP BY 1, 2) k USING (image_id, key)")
+add("unmatched_keys", "v_pixels", lambda df: palette.unmatched_keys(_cells(df), _colors(df)), XPM_SQL + " SELECT * FROM cells WHERE (image_id, key) NOT IN (SELECT (image_id, key) FROM colors)")
+scalar("cga_lookup", "v_idx", {"i": palette.cga_index(F.col("idx") % 4, 0x50, 0x60)}, "CASE WHEN idx % 4 = 0 THEN 5 ELSE (idx % 4) * 2 + 1 + 8 END AS i")
+
+# pixels
+
+add("alpha_presence", "v_smooth", lambda df: pixels.alpha_presence(df).select(*AT, "a"), f"SELECT {AT_SQL}, CASE WHEN max(a) OVER (PARTITION BY image_id) = 0 THEN 255 ELSE a END AS a FROM v_smooth")
+add("channel_mask", "v_packets", pixels.channel_mask, "SELECT *, CASE WHEN mask & 16 <> 0 THEN 4 ELSE 3 END AS channels FROM (SELECT image_id, bit_or(channel) AS mask FROM v_packets GROUP BY 1)")
+add(
+    "composite_channels", "v_packets", lambda df: pixels.composite_channels(df).select("image_id", "packet_no", *"rgba"),
+    "SELECT image_id, packet_no, " + ", ".join(f"coalesce(last_value(CASE WHEN channel & {bit} <> 0 THEN value END IGNORE NULLS) OVER w, 255) AS {c}" for c, bit in (("r", 128), ("g", 64), ("b", 32), ("a", 16)))
+    + " FROM v_packets WINDOW w AS (PARTITION BY image_id ORDER BY packet_no ROWS UNBOUNDED PRECEDING)",
+)
+add("assemble_scanlines", "v_pixels", lambda df: pixels.assemble_scanlines(df).select("image_id", "frame", "y", *[F.array_join(c, ",").alias(c) for c in "rgba"]), "SELECT image_id, frame, y, " + ", ".join(f"string_agg({c}, ',' ORDER BY x) AS {c}" for c in "rgba") + " FROM v_pixels GROUP BY 1, 2, 3")
+add("touched_extent", "v_frame_draws", pixels.touched_extent, "SELECT image_id, frame, count(*) AS touched, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v_frame_draws GROUP BY 1, 2")
+add("flip_vertical", "v_pixels", lambda df: pixels.flip_vertical(df, 16).select(*AT, "r"), "SELECT image_id, 15 - y AS y, x, r FROM v_pixels")
+add("crop_viewport", "v_pixels", lambda df: pixels.crop_viewport(df, 3, 5, 8, 40).select(*AT, "r"), "SELECT image_id, y - 5 AS y, x - 3 AS x, r FROM v_pixels WHERE x BETWEEN 3 AND 10 AND y BETWEEN 5 AND 44")
+add("deinterlace_adam7", "v_pass", lambda df: pixels.deinterlace_adam7(df).select("image_id", "pass", "x", "y", "v"), "SELECT image_id, pass, i * CASE WHEN pass < 2 THEN 8 WHEN pass < 4 THEN 4 WHEN pass < 6 THEN 2 ELSE 1 END + CASE pass WHEN 1 THEN 4 WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS x, j * CASE WHEN pass < 3 THEN 8 WHEN pass < 5 THEN 4 ELSE 2 END + CASE pass WHEN 2 THEN 4 WHEN 4 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS y, v FROM v_pass")
+add("deinterlace_gif_rows", "v_pixels", lambda df: pixels.deinterlace_gif_rows(df.withColumnRenamed("y", "seq_row"), 16).select("image_id", "y", "x", "r"), "SELECT image_id, CASE WHEN y < 2 THEN y * 8 WHEN y < 4 THEN (y - 2) * 8 + 4 WHEN y < 8 THEN (y - 4) * 4 + 2 ELSE (y - 8) * 2 + 1 END AS y, x, r FROM v_pixels")
+add("swap_rb", "v_pixels", lambda df: pixels.swap_rb(df).select(*AT, "r", "b"), f"SELECT {AT_SQL}, b AS r, r AS b FROM v_pixels")
+add("tile_pixels", "v_pixels", lambda df: pixels.tile_pixels(df, 2).withColumn("mean", F.round("mean", 6)), "SELECT image_id, x >> 2 AS tx, y >> 2 AS ty, round(avg((77 * r + 150 * g + 29 * b) >> 8), 6) AS mean, min((77 * r + 150 * g + 29 * b) >> 8) AS low, max((77 * r + 150 * g + 29 * b) >> 8) AS high, count(*) AS pixels FROM v_pixels GROUP BY 1, 2, 3")
+add(
+    "tile_join", "v_pixels", lambda df: pixels.tile_join(df, df.where("y < 4 and x < 4").select("image_id", (F.col("y") * 4 + F.col("x")).alias("tile"), F.col("b").alias("attr")), 2, 16).select(*AT, "tile", "attr"),
+    "SELECT v.image_id, v.y, v.x, t.tile, t.attr FROM v_pixels v JOIN (SELECT image_id, y * 4 + x AS tile, b AS attr FROM v_pixels WHERE y < 4 AND x < 4) t ON t.image_id = v.image_id AND t.tile = (v.y >> 2) * 4 + (v.x >> 2)",
+)
+FULL = "(SELECT image_id FROM v_pixels GROUP BY image_id HAVING count(*) = 256)"
+_le = fixtures._le
+add(
+    "pack_bmp", "v_pixels", lambda df: pixels.pack_bmp(df.where("x < 13")).select("image_id", F.hex("bmp").alias("bmp")),
+    ", lines AS (SELECT image_id, y, count(*) AS w, string_agg(lpad(hex(b), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(r), 2, '0'), '' ORDER BY x) AS s FROM v_pixels WHERE x < 13 GROUP BY 1, 2), "
+    "im AS (SELECT image_id, max(w) AS w, count(*) AS h, (max(w) * 24 + 31) // 32 * 4 AS stride FROM lines GROUP BY 1) "
+    f"SELECT image_id, '424D' || {_le('stride * h + 54', 4)} || '000000003600000028000000' || {_le('im.w', 4)} || {_le('h', 4)} || '0100180000000000' || {_le('stride * h', 4)} || repeat('0', 32) || string_agg(rpad(s, (stride * 2)::INT, '0'), '' ORDER BY y DESC) AS bmp "
+    "FROM im JOIN lines USING (image_id) GROUP BY image_id, im.w, h, stride",
+)
+
+
+def _rasters(df: DataFrame) -> DataFrame:
+    whole = df.groupBy("image_id").count().where("count = 256").select("image_id")
+    bmp = pixels.pack_bmp(df.join(whole, "image_id"))
+    return bmp.select(
+        F.col("image_id").alias("file_id"), F.col("bmp").alias("content"), F.lit(16).alias("w"), F.lit(16).alias("h"), F.lit(24).alias("bpp"),
+        F.lit(54).alias("data_off"), F.lit(48).alias("stride"), F.lit(True).alias("bottom_up"),
+    )
+
+
+add("explode_raster", "v_pixels", lambda df: pixels.explode_raster(_rasters(df)), f"SELECT image_id AS file_id, y, x, r, g, b FROM v_pixels WHERE image_id IN {FULL}")
+for _bits in (1, 2, 4, 8):
+    _per = 8 // _bits
+    add(
+        f"explode_packed_{_bits}", "v_pixels",
+        lambda df, n=_bits: pixels.explode_packed_raster(_rasters(df).withColumns({"data_off": F.lit(54), "w": F.lit(16)}), n),
+        f", full_ AS (SELECT * FROM v_pixels WHERE image_id IN {FULL}), cell AS (SELECT f.image_id AS file_id, ry.range::INT AS y, rx.range::INT AS x, 15 - ry.range AS sy, rx.range // {_per} AS byte "
+        f"FROM (SELECT DISTINCT image_id FROM full_) f, range(16) ry, range(16) rx) SELECT file_id, cell.y, cell.x, ((CASE byte % 3 WHEN 0 THEN b WHEN 1 THEN g ELSE r END) >> (8 - {_bits} - (cell.x * {_bits}) % 8)) & {(1 << _bits) - 1} AS idx "
+        "FROM cell JOIN full_ ON full_.image_id = file_id AND full_.y = sy AND full_.x = byte // 3",
+    )
+
+# sequences
+
+RUNS_SQL = "f AS (SELECT *, CASE WHEN lag(r) OVER w IS NOT DISTINCT FROM r AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM v_smooth WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM f)"
+add("rle_runs", "v_smooth", lambda df: sequence.rle_runs(df, ["image_id", "y"], "x", "r"), f", {RUNS_SQL} SELECT image_id, y, min(x) AS start, first(r) AS r, count(*) AS length FROM g GROUP BY image_id, y, run")
+add("rle_runs_capped", "v_smooth", lambda df: sequence.rle_runs(df, ["image_id", "y"], "x", "r", 3), f", {RUNS_SQL}, h AS (SELECT *, (row_number() OVER (PARTITION BY image_id, y, run ORDER BY x) - 1) // 3 AS part FROM g) SELECT image_id, y, min(x) AS start, first(r) AS r, count(*) AS length FROM h GROUP BY image_id, y, run, part")
+add("rle_expand", "v_smooth", lambda df: sequence.rle_expand(sequence.rle_runs(df, ["image_id", "y"], "x", "r"), ["image_id", "y"], "r"), "SELECT image_id, y, x::BIGINT AS pos, r FROM v_smooth")
+add("delta_left", "v_smooth", lambda df: sequence.delta_encode(df, ["image_id", "y"], "x", "g").select(*AT, "delta"), f"SELECT {AT_SQL}, (g - lag(g, 1, 0) OVER (PARTITION BY image_id, y ORDER BY x) + 256) % 256 AS delta FROM v_smooth")
+add("delta_decode", "v_smooth", lambda df: sequence.delta_decode(sequence.delta_encode(df, ["image_id", "y"], "x", "g"), ["image_id", "y"], "x").select(*AT, "value"), f"SELECT {AT_SQL}, g AS value FROM v_smooth")
+add("delta_up", "v_smooth", lambda df: sequence.delta_encode(df, ["image_id", "x"], "y", "g").select(*AT, "delta"), f"SELECT {AT_SQL}, (g - lag(g, 1, 0) OVER (PARTITION BY image_id, x ORDER BY y) + 256) % 256 AS delta FROM v_smooth")
+NEAR_SQL = ", n AS (SELECT v.*, l.g AS l, u.g AS u, d.g AS d, CASE WHEN v.x = 15 THEN t2.g ELSE t.g END AS t FROM {v} v LEFT JOIN {v} l ON l.image_id = v.image_id AND l.y = v.y AND l.x = v.x - 1 LEFT JOIN {v} u ON u.image_id = v.image_id AND u.y = v.y - 1 AND u.x = v.x LEFT JOIN {v} d ON d.image_id = v.image_id AND d.y = v.y - 1 AND d.x = v.x - 1 LEFT JOIN {v} t ON t.image_id = v.image_id AND t.y = v.y - 1 AND t.x = v.x + 1 LEFT JOIN {v} t2 ON t2.image_id = v.image_id AND t2.y = v.y AND t2.x = 0)"
+_paeth = "CASE WHEN abs(zu - zd) <= abs(zl - zd) AND abs(zu - zd) <= abs(zl + zu - 2 * zd) THEN zl WHEN abs(zl - zd) <= abs(zl + zu - 2 * zd) THEN zu ELSE zd END"
+add(
+    "filter_residuals", "v_pixels", lambda df: sequence.filter_residuals(df, "g", 16),
+    NEAR_SQL.format(v="v_pixels") + f", z AS (SELECT *, coalesce(l, 0) AS zl, coalesce(u, 0) AS zu, coalesce(d, 0) AS zd FROM n) SELECT {AT_SQL}, g AS none, (g - zl + 256) % 256 AS sub, (g - zu + 256) % 256 AS up, (g - (zl + zu) // 2 + 256) % 256 AS average, (g - ({_paeth}) + 256) % 256 AS paeth FROM z",
+)
+_avg = lambda a, b: f"(({a} + {b}) // 2)"
+MODES_SQL = {
+    0: "0", 1: "l", 2: "u", 3: "t", 4: "d", 5: _avg(_avg("l", "t"), "u"), 6: _avg("l", "d"), 7: _avg("l", "u"), 8: _avg("d", "u"), 9: _avg("u", "t"),
+    10: _avg(_avg("l", "d"), _avg("u", "t")), 12: "least(255, greatest(0, l + u - d))", 13: f"least(255, greatest(0, {_avg('l', 'u')} + trunc(({_avg('l', 'u')} - d) / 2)))",
+}
+for _mode, _guess in MODES_SQL.items():
+    add(
+        f"predictor_{_mode}", "v_pixels", lambda df, m=_mode: sequence.predictor_residual(df, "g", 16, m),
+        NEAR_SQL.format(v="v_pixels") + f" SELECT {AT_SQL}, ((g - CASE WHEN x = 0 AND y = 0 THEN 0 WHEN y = 0 THEN l WHEN x = 0 THEN u ELSE {_guess} END + 512) % 256)::INT AS residual FROM n",
+    )
+add(
+    "predictor_11", "v_pixels", lambda df: sequence.select_residual(df, 16),
+    ", n AS (SELECT v.*, " + ", ".join(f"lag({c}, {k}) OVER w AS {c}{s}" for c in "rgba" for s, k in (("l", 1), ("u", 16), ("d", 17))) + " FROM v_pixels v WINDOW w AS (PARTITION BY image_id ORDER BY y, x)) "
+    + f"SELECT {AT_SQL}, " + ", ".join(
+        f"({c} - CASE WHEN x = 0 AND y = 0 THEN 0 WHEN y = 0 THEN {c}l WHEN x = 0 THEN {c}u WHEN " + " + ".join(f"abs({k}u - {k}d)" for k in "rgba") + " < " + " + ".join(f"abs({k}l - {k}d)" for k in "rgba") + f" THEN {c}l ELSE {c}u END + 256) % 256 AS {c}" for c in "rgba"
+    ) + " FROM n",
+)
+for _kind, _guess in ((1, "CASE WHEN x > 0 THEN l WHEN y > 0 THEN u ELSE 0 END"), (2, "CASE WHEN y > 0 THEN u WHEN x > 0 THEN l ELSE 0 END"), (3, "CASE WHEN x > 0 AND y > 0 THEN least(255, greatest(0, l + u - d)) WHEN x > 0 THEN l WHEN y > 0 THEN u ELSE 0 END")):
+    add(f"gradient_{_kind}", "v_pixels", lambda df, k=_kind: sequence.gradient_residual(df, "g", 16, k), NEAR_SQL.format(v="v_pixels") + f" SELECT {AT_SQL}, (g - ({_guess}) + 256) % 256 AS residual FROM n")
+SLOT_SQL = ", s AS (SELECT *, y * 16 + x AS pos, (3 * r + 5 * g + 7 * b + 11 * a) & 63 AS slot, ((r::BIGINT * 256 + g) * 256 + b) * 256 + a AS packed FROM v_smooth), q AS (SELECT *, lag(packed, 1, 0) OVER (PARTITION BY image_id, slot ORDER BY pos) AS prev_in_slot FROM s)"
+add("slot_asof", "v_smooth", lambda df: sequence.slot_asof(df, 16).select(*AT, "slot", "prev_in_slot"), SLOT_SQL + f" SELECT {AT_SQL}, slot, prev_in_slot FROM q")
+OPS_SQL = SLOT_SQL + (
+    ", d AS (SELECT *, " + ", ".join(f"lag({c}, 1, {255 if c == 'a' else 0}) OVER w AS p{c}" for c in "rgba") + " FROM q WINDOW w AS (PARTITION BY image_id ORDER BY pos)), "
+    "e AS (SELECT *, " + ", ".join(f"({c} - p{c} + 384) % 256 - 128 AS d{c}" for c in "rgb") + " FROM d), "
+    "o AS (SELECT *, CASE WHEN dr = 0 AND dg = 0 AND db = 0 AND a = pa THEN 'run' WHEN packed = prev_in_slot THEN 'index' WHEN a <> pa THEN 'rgba' WHEN dr BETWEEN -2 AND 1 AND dg BETWEEN -2 AND 1 AND db BETWEEN -2 AND 1 THEN 'diff' "
+    "WHEN dg BETWEEN -32 AND 31 AND dr - dg BETWEEN -8 AND 7 AND db - dg BETWEEN -8 AND 7 THEN 'luma' ELSE 'rgb' END AS op FROM e)"
+)
+add("op_profile", "v_smooth", lambda df: sequence.op_profile(df, 16), OPS_SQL + f" SELECT {AT_SQL}, op FROM o")
+add("op_summary", "v_smooth", lambda df: sequence.op_summary(sequence.op_profile(df, 16)).withColumn("bytes", F.round("bytes", 4)), OPS_SQL + " SELECT op, count(*) AS pixels, round(count(*) * CASE op WHEN 'run' THEN 1 / 62 WHEN 'index' THEN 1.0 WHEN 'diff' THEN 1.0 WHEN 'luma' THEN 2.0 WHEN 'rgb' THEN 4.0 ELSE 5.0 END::DOUBLE, 4) AS bytes FROM o GROUP BY op")
+
+# resampling
+
+G = lambda dy, dx: f"coalesce((SELECT v FROM w{dy}{dx}), v)"
+PLANE_SQL = ", e AS (SELECT *, " + ", ".join(
+    f"coalesce({f}(v) OVER (PARTITION BY image_id, {p} ORDER BY {o}), v) AS {n}, {f}(v) OVER (PARTITION BY image_id, {p} ORDER BY {o}) AS {n}0" for n, f, p, o in (("l", "lag", "y", "x"), ("r", "lead", "y", "x"), ("u", "lag", "x", "y"), ("d", "lead", "x", "y"))
+) + " FROM v_plane)"
+add("upsample_h2", "v_plane", resample.upsample_h2, PLANE_SQL + " SELECT image_id, y, x * 2 AS x, CASE WHEN l0 IS NULL THEN v WHEN r0 IS NULL THEN (3 * l + v + 2) >> 2 ELSE (3 * v + l + 2) >> 2 END AS v FROM e UNION ALL SELECT image_id, y, x * 2 + 1, CASE WHEN r0 IS NULL THEN v ELSE (3 * v + r + 2) >> 2 END FROM e")
+add("upsample_v2", "v_plane", resample.upsample_v2, PLANE_SQL + " SELECT image_id, y * 2 AS y, x, (3 * v + u + 2) >> 2 AS v FROM e UNION ALL SELECT image_id, y * 2 + 1, x, (3 * v + d + 2) >> 2 FROM e")
+add(
+    "upsample_hv2", "v_plane", resample.upsample_hv2,
+    PLANE_SQL + ", t AS (SELECT image_id, y * 2 AS y, x, 3 * v + u AS t FROM e UNION ALL SELECT image_id, y * 2 + 1, x, 3 * v + d FROM e), s AS (SELECT *, lag(t) OVER w AS l, lead(t) OVER w AS r FROM t WINDOW w AS (PARTITION BY image_id, y ORDER BY x)) "
+    "SELECT image_id, y, x * 2 AS x, CASE WHEN l IS NULL THEN (t + 2) >> 2 ELSE (3 * t + l + 8) >> 4 END AS v FROM s UNION ALL SELECT image_id, y, x * 2 + 1, CASE WHEN r IS NULL THEN (t + 2) >> 2 ELSE (3 * t + r + 8) >> 4 END FROM s",
+)
+add("upsample_nearest", "v_plane", lambda df: resample.upsample(df, 3, 2), "SELECT image_id, (y * 2 + j.range)::INT AS y, (x * 3 + i.range)::INT AS x, v FROM v_plane, range(3) i, range(2) j")
+add(
+    "upsample_center", "v_plane", resample.upsample_center,
+    ", a AS (SELECT *, coalesce(lag(v) OVER w, v) AS u, coalesce(lead(v) OVER w, v) AS d FROM v_plane WINDOW w AS (PARTITION BY image_id, x ORDER BY y)), "
+    "b AS (SELECT *, " + ", ".join(f"coalesce({f}({c}) OVER w, {c}) AS {n}{k}" for n, c in (("m", "v"), ("u", "u"), ("d", "d")) for k, f in (("l", "lag"), ("r", "lead"))) + " FROM a WINDOW w AS (PARTITION BY image_id, y ORDER BY x)) "
+    + " UNION ALL ".join(f"SELECT image_id, y * 2 + {j} AS y, x * 2 + {i} AS x, (9 * v + 3 * {s} + 3 * {t} + {g} + 8) // 16 AS v FROM b" for j, i, s, t, g in ((0, 0, "ml", "u", "ul"), (0, 1, "mr", "u", "ur"), (1, 0, "ml", "d", "dl"), (1, 1, "mr", "d", "dr"))),
+)
+
+# animation
+
+add("frame_timeline", "v_frames", lambda df: animation.frame_timeline(df).select("image_id", "frame", "start_ms", "end_ms", "duration_ms"), "SELECT image_id, frame, (sum(delay_ms) OVER w - delay_ms)::BIGINT AS start_ms, (sum(delay_ms) OVER w)::BIGINT AS end_ms, (sum(delay_ms) OVER (PARTITION BY image_id))::BIGINT AS duration_ms FROM v_frames WINDOW w AS (PARTITION BY image_id ORDER BY frame)")
+_bare = lambda df: df.withColumns({c: F.when(F.col("event_id") % 3 != 0, F.col(c)) for c in ("dispose", "delay_ms")})
+add("carry_controls", "v_frames", lambda df: animation.carry_controls(_bare(df)).select("image_id", "frame", "dispose", "delay_ms"), "SELECT image_id, frame, " + ", ".join(f"coalesce(last_value(CASE WHEN event_id % 3 <> 0 THEN {c} END IGNORE NULLS) OVER w, 0) AS {c}" for c in ("dispose", "delay_ms")) + " FROM v_frames WINDOW w AS (PARTITION BY image_id ORDER BY frame ROWS UNBOUNDED PRECEDING)")
+CANVAS_SQL = (
+    ", own AS (SELECT * FROM v_frame_draws WHERE a > 128), grid AS (SELECT p.image_id, f.frame, p.y, p.x, f.dispose, f.bgindex FROM (SELECT DISTINCT image_id, y, x FROM v_frame_draws) p JOIN v_frames f USING (image_id)), "
+    "full_ AS (SELECT g.*, CASE WHEN o.a IS NOT NULL THEN {'r': o.r, 'g': o.g, 'b': o.b, 'a': o.a} END AS v FROM grid g LEFT JOIN own o USING (image_id, frame, y, x)), "
+    "canvas AS (SELECT image_id, frame, y, x, coalesce(v, last_value(CASE WHEN dispose <= 1 THEN v END IGNORE NULLS) OVER (PARTITION BY image_id, y, x ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS v FROM full_)"
+)
+
+
+def _canvas(spark: SparkSession, sf_dir: str, fill: bool) -> DataFrame:
+    draws, frames = fixtures.view(spark, sf_dir, "v_frame_draws"), fixtures.view(spark, sf_dir, "v_frames")
+    canvas = animation.composite_frames(draws, frames)
+    return animation.background_fill(canvas, frames, (9, 8, 7)) if fill else canvas
+
+
+QUERIES["composite_frames"] = lambda spark, sf_dir: _canvas(spark, sf_dir, False)
+ORACLES["composite_frames"] = fixtures.with_views("v_frame_draws", CANVAS_SQL + " SELECT image_id, frame, y, x, v.r AS r, v.g AS g, v.b AS b, v.a AS a FROM canvas")
+QUERIES["background_fill"] = lambda spark, sf_dir: _canvas(spark, sf_dir, True)
+ORACLES["background_fill"] = fixtures.with_views(
+    "v_frame_draws", CANVAS_SQL + ", f AS (SELECT image_id, arg_min(bgindex, frame) > 0 AS fill FROM v_frames GROUP BY 1) SELECT image_id, frame, y, x, "
+    + ", ".join(f"CASE WHEN v IS NULL AND fill THEN {k} ELSE v.{c} END AS {c}" for c, k in zip("rgba", (9, 8, 7, 255), strict=True)) + " FROM canvas JOIN f USING (image_id)"
+)
+
+# dithering: results are checked in the tests against a scalar walk
+
+add("dither_mono", "v_pixels", dither.dither_mono)
+add("dither_vga16", "v_pixels", lambda df: dither.dither_corpus(df, 3))
+add("dither_win256", "v_pixels", lambda df: dither.dither_corpus(df, 4))
+
+# events
+
+add("clamped_fold", "v_view_events", lambda df: events.last_position(df, "session_id", ["seq"], "delta", 0, 100), "SELECT session_id, list_reduce(list_prepend(0::BIGINT, list(delta::BIGINT ORDER BY seq)), lambda p, d: least(100, greatest(0, p + d)))::BIGINT AS pos FROM v_view_events GROUP BY 1")
+add("clamped_path", "v_view_events", lambda df: events.clamped_fold(df, "session_id", ["seq"], "delta", 0, 100))
+add(
+    "drag_segments", "v_view_events", events.drag_segments,
+    ", c AS (SELECT *, count(*) FILTER (kind = 'down') OVER w AS drag, max(CASE WHEN kind = 'down' THEN seq END) OVER w AS last_down, max(CASE WHEN kind = 'up' THEN seq END) OVER w AS last_up FROM v_view_events WINDOW w AS (PARTITION BY session_id ORDER BY seq)), "
+    "d AS (SELECT * FROM c WHERE drag > 0 AND (last_up IS NULL OR last_up < last_down) AND kind IN ('down', 'move')), m AS (SELECT *, lag(px) OVER w - px AS dx, lag(py) OVER w - py AS dy FROM d WINDOW w AS (PARTITION BY session_id, drag ORDER BY seq)) "
+    "SELECT session_id, drag, count(*) AS moves, sum(dx)::BIGINT AS net_x, sum(dy)::BIGINT AS net_y, sum(abs(dx) + abs(dy))::BIGINT AS path FROM m WHERE kind = 'move' GROUP BY 1, 2",
+)
+add("mode_cycle", "v_view_events", events.mode_cycle, "SELECT session_id, seq, ((1 + row_number() OVER (PARTITION BY session_id ORDER BY seq)) % 5)::INT AS mode FROM v_view_events WHERE kind = 'mode'")
