@@ -29,6 +29,7 @@ documents of that id. The class id is the least doc_id of the class. Other colum
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import bytescan as bs
-from pixelquarry.session import cut_lineage, shared_dir, ship
+from pixelquarry.session import shared_dir, ship
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -78,6 +79,14 @@ def shingles(pack: bs.Pack, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     return docs, hashes, occurrence
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: lineage is cut, and their size is known to later joins."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/near-duplicates-{uuid.uuid4()}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def _cells(expected: float) -> int:
     """How many rank cells hold so many expected darts for a unit of weight."""
     least = 2.0**-FINE
@@ -214,14 +223,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels travel over links and then to the label's own label, until none changes.
     """
-    edges = cut_lineage(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    labels = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    edges = _settled(links.union(links.select("b", "a")).toDF("a", "b").distinct())
+    labels = _settled(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("heard"))
         lower = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("component", "heard").alias("next"), F.col("component").alias("old"))
-        lower = cut_lineage(lower)
         jump = lower.select(F.col("node").alias("j_node"), F.col("next").alias("j_next"))
-        nxt = cut_lineage(
+        nxt = _settled(
             lower.join(jump, lower["next"] == jump["j_node"]).select("node", F.least("next", "j_next").alias("component"), "old")
         )
         if nxt.where("component <> old").limit(1).count() == 0:
@@ -232,17 +240,17 @@ def components(links: DataFrame) -> DataFrame:
 def _texts(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text) of the nodes in pairs, each read at its least document."""
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node").where("rep is not null")
-    involved = cut_lineage(involved)
+    involved = _settled(involved)
     small = involved.count() <= BROADCAST_ROWS
     wanted = involved.select(F.col("rep").alias("doc_id"), F.col("node").alias("_node"))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
-    return cut_lineage(found.where(F.xxhash64("text") == F.col("_node")).select(F.col("_node").alias("node"), "text").dropDuplicates(["node"]))
+    return _settled(found.where(F.xxhash64("text") == F.col("_node")).select(F.col("_node").alias("node"), "text").dropDuplicates(["node"]))
 
 
 def _open_rows(placed: DataFrame) -> DataFrame:
     """The rows of buckets that hold two components."""
     split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    return cut_lineage(placed.join(cut_lineage(split), "key"))
+    return _settled(placed.join(split, "key"))
 
 
 def _own_units(texts: DataFrame, width: int) -> DataFrame:
@@ -266,55 +274,52 @@ def _reachable(rows: DataFrame, least: float) -> DataFrame:
     A node of weight w, of which ``own`` is nobody else's, shares at most w - own; with a partner of weight
     m or more its similarity is at most (w - own) / (max(m, w - own) + own).
     """
-    smallest = cut_lineage(rows.groupBy("key").agg(F.min("weight").alias("m")))
+    smallest = rows.groupBy("key").agg(F.min("weight").alias("m"))
     shared = F.col("weight") - F.col("own")
-    return cut_lineage(rows.join(smallest, "key").where(shared >= least * (F.greatest("m", shared) + F.col("own"))).drop("m"))
+    return _settled(rows.join(smallest, "key").where(shared >= least * (F.greatest("m", shared) + F.col("own"))).drop("m"))
 
 
 def near_duplicates(
     documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE
 ) -> DataFrame:
     """(doc_id, node, class_id) of every document row."""
-    spark = documents.sparkSession
-    place = f"{shared_dir(spark)}/sketches-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    sketches(documents, bands, rows, width).write.parquet(place)
-    sketched = spark.read.parquet(place)
+    sketched = _settled(sketches(documents, bands, rows, width))
     # equal texts are one node; its sketch is that of any copy
-    nodes = cut_lineage(
+    nodes = _settled(
         sketched.where("weight > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
     )
     members = nodes.where("rep is not null").select("node", "weight", F.explode("keys").alias("key"))
-    stars = cut_lineage(
+    stars = _settled(
         members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     )
     shared = members.join(stars, "key")
-    first = cut_lineage(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    links = cut_lineage(_verified(first, _texts(documents, nodes, first), least, width))
+    first = _settled(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    links = _settled(_verified(first, _texts(documents, nodes, first), least, width))
     linked = components(links)
     # what still lies in two components of one bucket
-    placed = cut_lineage(
+    placed = _settled(
         shared.select("key", "node", "weight").join(linked, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
     )
     rest = _open_rows(placed)
     texts = _texts(documents, nodes, rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
     rest = _open_rows(_reachable(rest.join(_own_units(texts, width), "node", "left").fillna(0, ["own"]), least))
     # a second star around each bucket's most typical node, the one with the least of its own
-    hubs = cut_lineage(rest.groupBy("key").agg(F.min(F.struct("own", "node", "component", "weight")).alias("hub")))
+    hubs = _settled(rest.groupBy("key").agg(F.min(F.struct("own", "node", "component", "weight")).alias("hub")))
     common = F.least(F.col("weight") - F.col("own"), F.col("hub.weight") - F.col("hub.own"))
     typical = (
         rest.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
         .where(common >= least * (F.col("weight") + F.col("hub.weight") - common))
         .select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
     )
-    typical = cut_lineage(typical.join(first, ["a", "b"], "left_anti"))
+    typical = _settled(typical.join(first, ["a", "b"], "left_anti"))
     if typical.limit(1).count():
-        links = cut_lineage(links.union(_verified(typical, texts, least, width)))
+        links = _settled(links.union(_verified(typical, texts, least, width)))
         linked = components(links)
         rest = _open_rows(
             rest.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         )
     # every pair that is left between two components of a bucket
-    groups = cut_lineage(rest.select("key", "component").distinct())
+    groups = _settled(rest.select("key", "component").distinct())
     sides = groups.select("key", F.col("component").alias("ca")).join(groups.select("key", F.col("component").alias("cb")), "key").where("ca < cb")
     left = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("own").alias("ua"))
     right = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("own").alias("ub"))
@@ -324,16 +329,16 @@ def near_duplicates(
         .where(common >= least * (F.col("wa") + F.col("wb") - common))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    second = cut_lineage(crossed.join(first.union(typical), ["a", "b"], "left_anti"))
+    second = _settled(crossed.join(first.union(typical), ["a", "b"], "left_anti"))
     if second.limit(1).count():
-        more = cut_lineage(_verified(second, texts, least, width))
+        more = _settled(_verified(second, texts, least, width))
         if more.limit(1).count():
             linked = components(links.union(more))
     least_id = (
         nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
         .join(linked, "component").select("node", "class_id")
     )
-    classes = cut_lineage(nodes.select("node", "rep").join(least_id, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id")))
+    classes = _settled(nodes.select("node", "rep").join(least_id, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id")))
     return (
         sketched.select("doc_id", "node", "weight").join(classes, "node", "left")
         .select("doc_id", "node", F.when(F.col("weight") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "weight")
@@ -345,10 +350,10 @@ def survivors(documents: DataFrame, **how) -> DataFrame:
 
     Rows without words are all kept. The columns are those of the input.
     """
-    classed = cut_lineage(near_duplicates(documents, **how))
+    classed = _settled(near_duplicates(documents, **how))
     rows = classed.where("weight > 0").groupBy("class_id", "doc_id", "node").count()
     best = rows.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
-    kept = cut_lineage(
+    kept = _settled(
         rows.join(best.select(F.col("class_id").alias("k_class"), "best"), F.col("class_id").eqNullSafe(F.col("k_class"))).select(
             "doc_id", "node", "count", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))).alias("keep")
         )
