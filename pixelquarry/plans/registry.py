@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pixelquarry.functions import color as C
 from pixelquarry.operators import animation, catalogue, dither, events, palette, pixels, resample, sequence
 from pixelquarry.plans import fixtures
+from pixelquarry.sources import images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -303,3 +304,119 @@ add(
     "SELECT session_id, drag, count(*) AS moves, sum(dx)::BIGINT AS net_x, sum(dy)::BIGINT AS net_y, sum(abs(dx) + abs(dy))::BIGINT AS path FROM m WHERE kind = 'move' GROUP BY 1, 2",
 )
 add("mode_cycle", "v_view_events", events.mode_cycle, "SELECT session_id, seq, ((1 + row_number() OVER (PARTITION BY session_id ORDER BY seq)) % 5)::INT AS mode FROM v_view_events WHERE kind = 'mode'")
+
+# catalogue
+
+
+def _num(at: int, n: int, little: bool) -> str:
+    """DuckDB: an integer of the hex text, null if it is cut short."""
+    piece = f"substr(hx, {2 * at + 1}, {2 * n})"
+    turned = " || ".join(f"substr(hx, {2 * (at + k) + 1}, 2)" for k in (reversed(range(n)) if little else range(n)))
+    return f"(CASE WHEN length({piece}) = {2 * n} THEN ('0x' || {turned})::BIGINT END)"
+
+
+_L = lambda at, n: _num(at, n, True)
+_B = lambda at, n=1: _num(at, n, False)
+_has = lambda h, at=0: f"substr(hx, {2 * at + 1}, {len(h)}) = '{h}'"
+MAGIC_SQL = {
+    "png": _has("89504E470D0A1A0A"), "bmp": f"{_has('424D')} AND {_L(14, 4)} IN (12, 40, 56, 108, 124)", "gif": f"{_has('474946383761')} OR {_has('474946383961')}",
+    "psd": _has("38425053"), "pic": f"{_has('5380F634')} AND {_has('50494354', 88)}", "jpeg": "regexp_matches(substr(hx, 1, 32), '^FF(FF)*D8')", "pnm": f"{_has('5035')} OR {_has('5036')}",
+    "hdr": f"{_has('233F52414449414E43450A')} OR {_has('233F524742450A')}", "webp": f"{_has('52494646')} AND {_has('57454250', 8)}", "qoi": _has("716F6966"),
+    "pcx": f"{_B(0)} = 10 AND {_B(2)} = 1 AND {_B(3)} IN (1, 2, 4, 8)",
+    "tga": f"{_B(1)} <= 1 AND CASE WHEN {_B(1)} = 1 THEN {_B(2)} IN (1, 9) AND {_B(7)} IN (8, 15, 16, 24, 32) AND {_B(16)} IN (8, 16) ELSE {_B(2)} IN (2, 3, 10, 11) AND {_B(16)} IN (8, 15, 16, 24, 32) END AND {_L(12, 2)} >= 1 AND {_L(14, 2)} >= 1",
+}
+
+
+def _sniff_sql(order: list[str]) -> str:
+    names = [*order[:-1], "webp", "qoi", "pcx", "tga"]
+    return "CASE " + " ".join(f"WHEN {MAGIC_SQL[n]} THEN '{n}'" for n in names) + " ELSE 'unknown' END"
+
+
+_digits = lambda rx, k: f"regexp_replace(nullif(regexp_extract(hx, '{rx}', {k}), ''), '3(.)', '\\1', 'g')::BIGINT"
+_PNM, _HDR = "^503[56]0A((3[0-9])+)20((3[0-9])+)0A((3[0-9])+)0A", "0A0A2D5920((3[0-9])+)202B5820((3[0-9])+)0A"
+_ll = _has("5650384C", 12)
+HEAD_SQL = {
+    "png": (_B(16, 4), _B(20, 4), f"CASE {_B(25)} WHEN 3 THEN 3 ELSE CASE WHEN {_B(25)} & 2 <> 0 THEN 3 ELSE 1 END + CASE WHEN {_B(25)} & 4 <> 0 THEN 1 ELSE 0 END END", _B(24)),
+    "bmp": (_L(18, 4), _L(22, 4), f"CASE WHEN {_L(28, 2)} = 32 THEN 4 ELSE 3 END", "8"), "gif": (_L(6, 2), _L(8, 2), "4", "8"),
+    "psd": (_B(18, 4), _B(14, 4), "4", _B(22, 2)), "pic": (_B(92, 2), _B(94, 2), f"CASE WHEN {_B(107)} & 16 <> 0 THEN 4 ELSE 3 END", "8"),
+    "jpeg": (_B(9, 2), _B(7, 2), f"CASE WHEN {_B(11)} >= 3 THEN 3 ELSE 1 END", _B(6)),
+    "pnm": (_digits(_PNM, 1), _digits(_PNM, 3), f"CASE WHEN {_B(1)} = 53 THEN 1 ELSE 3 END", f"CASE WHEN {_digits(_PNM, 5)} > 255 THEN 16 ELSE 8 END"),
+    "hdr": (_digits(_HDR, 3), _digits(_HDR, 1), "3", "32"), "tga": (_L(12, 2), _L(14, 2), f"CASE WHEN {_B(16)} = 8 THEN 1 WHEN {_B(16)} = 16 AND {_B(2)} IN (3, 11) THEN 2 WHEN {_B(16)} IN (15, 16, 24) THEN 3 ELSE 4 END", "8"),
+    "webp": (f"CASE WHEN {_ll} THEN ({_L(21, 4)} & 16383) + 1 ELSE {_L(26, 2)} & 16383 END", f"CASE WHEN {_ll} THEN (({_L(21, 4)} >> 14) & 16383) + 1 ELSE {_L(28, 2)} & 16383 END", "4", "8"),
+    "qoi": (_B(4, 4), _B(8, 4), _B(12), "8"), "pcx": (f"abs({_L(8, 2)} - {_L(4, 2)}) + 1", f"abs({_L(10, 2)} - {_L(6, 2)}) + 1", f"CASE WHEN {_B(3)} = 8 AND {_B(65)} = 4 THEN 4 ELSE 3 END", "8"),
+}
+_field = lambda k: "(CASE format " + " ".join(f"WHEN '{n}' THEN {v[k]}" for n, v in HEAD_SQL.items()) + " END)::BIGINT"
+HEADERS_SQL = (
+    f", sn AS (SELECT *, {_sniff_sql(catalogue.LOAD_ORDER)} AS format FROM v_files), "
+    f"hd AS (SELECT *, {_field(0)} AS width, {_field(1)} AS height, {_field(2)} AS channels, {_field(3)} AS bits FROM sn), "
+    "va AS (SELECT *, CASE WHEN format = 'unknown' THEN 'unknown image type' "
+    f"WHEN format = 'png' AND {_B(8, 4)} <> 13 THEN 'bad IHDR len' WHEN format = 'png' AND {_B(24)} NOT IN (1, 2, 4, 8, 16) THEN '1/2/4/8/16-bit only' "
+    f"WHEN format = 'png' AND ({_B(25)} > 6 OR {_B(25)} IN (1, 5) OR ({_B(25)} = 3 AND {_B(24)} = 16)) THEN 'bad ctype' WHEN format = 'png' AND (width <= 0 OR height <= 0) THEN '0-pixel image' "
+    f"WHEN format = 'bmp' AND {_L(26, 2)} <> 1 THEN 'bad BMP' WHEN format = 'psd' AND {_B(24, 2)} <> 3 THEN 'wrong color format' "
+    "WHEN format = 'jpeg' AND height = 0 THEN 'no header height' WHEN format = 'jpeg' AND width = 0 THEN '0 width' WHEN format = 'pnm' AND width IS NULL THEN 'invalid width' "
+    "WHEN width IS NULL OR height IS NULL THEN 'truncated header' WHEN width <= 0 OR height <= 0 THEN '0-pixel image' END AS reason FROM hd)"
+)
+
+
+def _files(df: DataFrame) -> DataFrame:
+    return df.withColumn("content", F.unhex("hx")).drop("hx")
+
+
+sniffed = lambda df: catalogue.sniff_format(_files(df))
+headers = lambda df: catalogue.probe_header(sniffed(df))
+valid = lambda df: catalogue.validate_header(headers(df))
+_ext = "lower(regexp_extract(path, '\\.([^.]*)$', 1))"
+add("route_by_extension", "v_files", lambda df: catalogue.route_by_extension(_files(df)).select("file_id", "route"), f"SELECT file_id, CASE WHEN {_ext} IN ('webp', 'wbp', 'web') AND {_has('52494646')} THEN 'webp' WHEN {_ext} IN ('pcx', 'qoi', 'xbm', 'xpm') THEN {_ext} ELSE 'sniff' END AS route FROM v_files")
+add("sniff_format", "v_files", lambda df: sniffed(df).select("file_id", "format"), f"SELECT file_id, {_sniff_sql(catalogue.LOAD_ORDER)} AS format FROM v_files")
+add("sniff_format_info", "v_files", lambda df: catalogue.sniff_format(_files(df), "info").select("file_id", "format"), f"SELECT file_id, {_sniff_sql(catalogue.INFO_ORDER)} AS format FROM v_files")
+add("probe_header", "v_files", lambda df: headers(df).select("file_id", "format", "width", "height", "channels", "bits"), HEADERS_SQL + " SELECT file_id, format, width, height, channels, bits FROM hd")
+add("header_flags", "v_files", lambda df: headers(df).select("file_id", catalogue.is_16_bit().alias("deep"), catalogue.is_hdr().alias("hdr"), catalogue.is_lossless_webp().alias("lossless")), HEADERS_SQL + f" SELECT file_id, coalesce(format IN ('png', 'psd', 'pnm') AND bits = 16, false) AS deep, {MAGIC_SQL['hdr']} AS hdr, ({MAGIC_SQL['webp']}) AND {_ll} AS lossless FROM hd")
+_big = lambda df: headers(df).withColumns({"width": F.col("width") * 700, "height": F.col("height") * 500})
+add(
+    "size_guard", "v_files", lambda df: catalogue.size_guard(_big(df)).select("file_id", "size_reason"),
+    HEADERS_SQL + " SELECT file_id, CASE WHEN w > 16777216 OR h > 16777216 OR (format = 'pic' AND w * h > 268435456) OR (format = 'png' AND w * h * channels > 1073741824) OR w * h * channels > 2147483647 THEN 'too large' END AS size_reason FROM (SELECT *, width * 700 AS w, height * 500 AS h FROM hd)",
+)
+add("validate_header", "v_files", lambda df: valid(df).select("file_id", "reason"), HEADERS_SQL + " SELECT file_id, reason FROM va")
+add("quarantine_good", "v_files", lambda df: catalogue.quarantine_split(valid(df))[0].select("file_id", "format"), HEADERS_SQL + " SELECT file_id, format FROM va WHERE reason IS NULL")
+add("quarantine_bad", "v_files", lambda df: catalogue.quarantine_split(valid(df))[1].select("file_id", "reason"), HEADERS_SQL + " SELECT file_id, reason FROM va WHERE reason IS NOT NULL")
+add("failure_report", "v_files", lambda df: catalogue.failure_report(valid(df)).withColumn("share", F.round("share", 6)), HEADERS_SQL + " SELECT format, reason, count(*) AS files, round(count(*) / (SELECT count(*) FROM va), 6) AS share FROM va WHERE reason IS NOT NULL GROUP BY 1, 2")
+add("decoded_size", "v_files", lambda df: catalogue.decoded_size(headers(df)).select("file_id", "decoded_bytes", "bitmap_bytes"), HEADERS_SQL + " SELECT file_id, width * height * channels * bits // 8 AS decoded_bytes, (width * 24 + 31) // 32 * 4 * height AS bitmap_bytes FROM hd")
+add("extension_mismatch", "v_files", lambda df: catalogue.extension_mismatch(sniffed(df)).select("file_id", "named", "format"), HEADERS_SQL + f" SELECT * FROM (SELECT file_id, CASE {_ext} WHEN 'jpg' THEN 'jpeg' WHEN 'wbp' THEN 'webp' WHEN 'web' THEN 'webp' WHEN 'ppm' THEN 'pnm' WHEN 'pgm' THEN 'pnm' ELSE {_ext} END AS named, format FROM sn) WHERE named <> format")
+add("corpus_summary", "v_files", lambda df: catalogue.corpus_summary(valid(df)), HEADERS_SQL + " SELECT format, count(*) AS files, count(*) FILTER (reason IS NULL) AS valid, coalesce(sum(width * height) FILTER (reason IS NULL), 0)::BIGINT AS pixels, max(width * height) FILTER (reason IS NULL) AS largest, min(width * height) FILTER (reason IS NULL) AS smallest, count(*) FILTER (format IN ('png', 'psd', 'pnm') AND bits = 16) AS deep FROM va GROUP BY 1")
+add("byte_integers", "v_files", lambda df: _files(df).select("file_id", C.be_int("content", 4, 2).alias("be16"), C.be_int("content", 8, 4).alias("be32"), C.le_int("content", 4, 2).alias("le16"), C.le_int("content", 5, 3).alias("le24"), C.le_int("content", 8, 4).alias("le32")), f"SELECT file_id, {_B(4, 2)} AS be16, {_B(8, 4)} AS be32, {_L(4, 2)} AS le16, {_L(5, 3)} AS le24, {_L(8, 4)} AS le32 FROM v_files")
+add(
+    "check_chunk_order", "v_chunks", catalogue.check_chunk_order,
+    ", f AS (SELECT image_id, arg_min(type, chunk_no) AS head, count(*) FILTER (type = 'IHDR') AS n_ihdr, count(*) FILTER (type = 'IDAT') AS n_idat, max(length) FILTER (type = 'PLTE') AS plte, min(chunk_no) FILTER (type = 'tRNS') AS trns, min(chunk_no) FILTER (type = 'IDAT') AS idat, min(chunk_no) FILTER (type = 'PLTE') AS plte_at, count(*) FILTER (type = 'QUIX') AS critical FROM v_chunks GROUP BY 1) "
+    "SELECT image_id, CASE WHEN head <> 'IHDR' THEN 'first not IHDR' WHEN n_ihdr > 1 THEN 'multiple IHDR' WHEN plte > 768 OR plte % 3 <> 0 THEN 'invalid PLTE' WHEN trns > idat THEN 'tRNS after IDAT' WHEN trns < plte_at THEN 'tRNS before PLTE' WHEN critical > 0 THEN 'unknown critical chunk' WHEN n_idat = 0 THEN 'no IDAT' END AS reason FROM f",
+)
+add("list_chunks", "v_files", lambda df: images.list_chunks(_files(df)))
+add("probe_jpeg", "v_files", lambda df: catalogue.probe_jpeg(_files(df), images.list_chunks(_files(df))), HEADERS_SQL + " SELECT file_id, width, height, channels, bits FROM hd WHERE format = 'jpeg' AND width IS NOT NULL")
+
+# text rasters
+
+
+def _xbm(df: DataFrame) -> DataFrame:
+    """16 columns by 16 rows of bits of each whole image, as text."""
+    bit = F.when(F.col("r") % 2 == 1, F.shiftleft(F.lit(1), 0)).otherwise(0)
+    whole = df.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", bit.alias("b")))).alias("p")).where("size(p) = 256")
+    octet = lambda k: F.expr(f"aggregate(sequence(0, 7), 0, (s, i) -> s + p[{k} * 8 + i].b * cast(pow(2, i) as int))")
+    return whole.select(
+        F.col("image_id").alias("file_id"),
+        F.encode(F.concat(F.lit("#define i_width 16\n#define i_height 16\nstatic unsigned char i_bits[] = {\n"), F.concat_ws(", ", *[F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(octet(k))), 2, "0")) for k in range(32)]), F.lit("};\n")), "UTF-8").alias("content"),
+    )
+
+
+def _xpm(df: DataFrame) -> DataFrame:
+    """16 by 16 letters of each whole image, with four declared colours of which two share a key."""
+    cell = F.char(97 + F.col("r") % 4)
+    whole = df.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", cell.alias("c")))).alias("p")).where("size(p) = 256")
+    rows = F.expr("array_join(transform(sequence(0, 15), j -> concat('\"', array_join(transform(slice(p, j * 16 + 1, 16), s -> s.c), ''), '\"')), ',\n')")
+    head = '/* XPM */\nstatic char *i[] = {\n"16 16 4 1",\n"a c #010203",\n"b c #0a0b0c",\n"a c #ffffff",\n"c c red",\n'
+    return whole.select(F.col("image_id").alias("file_id"), F.encode(F.concat(F.lit(head), rows, F.lit("};\n")), "UTF-8").alias("content"))
+
+
+add("explode_xbm", "v_pixels", lambda df: images.explode_xbm(_xbm(df)), f"SELECT image_id AS file_id, y, x, CASE WHEN r % 2 = 1 THEN 0 ELSE 255 END AS v FROM v_pixels WHERE image_id IN {FULL}")
+add(
+    "explode_xpm", "v_pixels", lambda df: palette.xpm_key_join(*images.explode_xpm(_xpm(df))),
+    f"SELECT {AT_SQL}, chr(97 + r % 4) AS key, CASE r % 4 WHEN 0 THEN 1 WHEN 1 THEN 10 END AS r, CASE r % 4 WHEN 0 THEN 2 WHEN 1 THEN 11 END AS g, CASE r % 4 WHEN 0 THEN 3 WHEN 1 THEN 12 END AS b FROM v_pixels WHERE image_id IN {FULL}",
+)
