@@ -30,9 +30,9 @@ def add(name: str, view: str, run: Callable[[DataFrame], DataFrame], sql: str |
         ORACLES[name] = fixtures.with_views(needs or view, sql)
 
 
-def scalar(name: str, view: str, columns: dict, sql: str) -> None:
+def scalar(name: str, view: str, columns: Callable[[], dict], sql: str) -> None:
     """Register column functions: one row per pixel."""
-    add(name, view, lambda df: df.select(*AT, *[c.alias(n) for n, c in columns.items()]), f"SELECT {AT_SQL}, {sql} FROM {view}")
+    add(name, view, lambda df: df.select(*AT, *[c.alias(n) for n, c in columns().items()]), f"SELECT {AT_SQL}, {sql} FROM {view}")
 
 
 def pal_sql(name: str = "win256") -> str:
@@ -41,12 +41,12 @@ def pal_sql(name: str = "win256") -> str:
 
 # column functions
 
-scalar("luma8", "v_pixels", {"v": C.luma8("r", "g", "b")}, "(77 * r + 150 * g + 29 * b) >> 8 AS v")
-scalar("luma16", "v_pixels", {"v": C.luma16(F.col("r") * 257, F.col("g") * 257, F.col("b") * 257)}, "(77 * 257 * r + 150 * 257 * g + 29 * 257 * b) >> 8 AS v")
-scalar("luma_mono", "v_pixels", {"v": C.luma_mono("r", "g", "b")}, "(77 * r + 151 * g + 28 * b) >> 8 AS v")
+scalar("luma8", "v_pixels", lambda: {"v": C.luma8("r", "g", "b")}, "(77 * r + 150 * g + 29 * b) >> 8 AS v")
+scalar("luma16", "v_pixels", lambda: {"v": C.luma16(F.col("r") * 257, F.col("g") * 257, F.col("b") * 257)}, "(77 * 257 * r + 150 * 257 * g + 29 * 257 * b) >> 8 AS v")
+scalar("luma_mono", "v_pixels", lambda: {"v": C.luma_mono("r", "g", "b")}, "(77 * r + 151 * g + 28 * b) >> 8 AS v")
 scalar(
     "convert_channels", "v_pixels",
-    {f"c{n}{m}_{k}": c for n, ch in ((1, "r"), (2, "ra"), (3, "rgb"), (4, "rgba")) for m in (1, 2, 3, 4) for k, c in enumerate(C.convert_channels(list(ch), n, m))},
+    lambda: {f"c{n}{m}_{k}": c for n, ch in ((1, "r"), (2, "ra"), (3, "rgb"), (4, "rgba")) for m in (1, 2, 3, 4) for k, c in enumerate(C.convert_channels(list(ch), n, m))},
     ", ".join(
         f"{v} AS c{n}{m}_{k}"
         for n in (1, 2, 3, 4) for m in (1, 2, 3, 4)
@@ -55,58 +55,58 @@ scalar(
     ),
 )
 scalar(
-    "convert_channels16", "v_pixels", {f"v{k}": c for k, c in enumerate(C.convert_channels([F.col(c) * 257 for c in "rgb"], 3, 2, 65535))},
+    "convert_channels16", "v_pixels", lambda: {f"v{k}": c for k, c in enumerate(C.convert_channels([F.col(c) * 257 for c in "rgb"], 3, 2, 65535))},
     "(77 * 257 * r + 150 * 257 * g + 29 * 257 * b) >> 8 AS v0, 65535 AS v1",
 )
-scalar("depth_8_16", "v_pixels", {"up": C.to_16bit("r"), "down": C.to_8bit(F.col("g") * 256 + F.col("b"))}, "(r << 8) + r AS up, (g * 256 + b) >> 8 AS down")
-scalar("scale_bits", "v_pixels", {f"d{d}": C.scale_bits(F.col("r") % (1 << d), d) for d in (1, 2, 4, 8)}, "r % 2 * 255 AS d1, r % 4 * 85 AS d2, r % 16 * 17 AS d4, r % 256 AS d8")
+scalar("depth_8_16", "v_pixels", lambda: {"up": C.to_16bit("r"), "down": C.to_8bit(F.col("g") * 256 + F.col("b"))}, "(r << 8) + r AS up, (g * 256 + b) >> 8 AS down")
+scalar("scale_bits", "v_pixels", lambda: {f"d{d}": C.scale_bits(F.col("r") % (1 << d), d) for d in (1, 2, 4, 8)}, "r % 2 * 255 AS d1, r % 4 * 85 AS d2, r % 16 * 17 AS d4, r % 256 AS d8")
 scalar(
-    "expand_bits", "v_pixels", {f"b{n}": C.expand_bits(F.col("r") % (1 << n), n) for n in range(1, 9)},
+    "expand_bits", "v_pixels", lambda: {f"b{n}": C.expand_bits(F.col("r") % (1 << n), n) for n in range(1, 9)},
     ", ".join(f"((r % {1 << n}) * {m}) >> {s} AS b{n}" for n, m, s in ((1, 255, 0), (2, 85, 0), (3, 73, 1), (4, 17, 0), (5, 33, 2), (6, 65, 4), (7, 129, 6), (8, 1, 0))),
 )
 scalar(
-    "rgb555", "v_pixels", dict(zip(("r5", "g5", "b5"), C.rgb555((F.col("r") % 128) * 256 + F.col("g")), strict=True)),
+    "rgb555", "v_pixels", lambda: dict(zip(("r5", "g5", "b5"), C.rgb555((F.col("r") % 128) * 256 + F.col("g")), strict=True)),
     ", ".join(f"((((r % 128) * 256 + g) >> {s}) & 31) * 255 // 31 AS {n}" for n, s in (("r5", 10), ("g5", 5), ("b5", 0))),
 )
 scalar(
-    "mask_extract", "v_pixels", {f"m{m}": C.mask_extract(F.col("r") * 256 + F.col("g"), m) for m in (0x7C00, 0x3E0, 0x1F, 0xF0, 0)},
+    "mask_extract", "v_pixels", lambda: {f"m{m}": C.mask_extract(F.col("r") * 256 + F.col("g"), m) for m in (0x7C00, 0x3E0, 0x1F, 0xF0, 0)},
     "((((r * 256 + g) & 31744) >> 10) * 33) >> 2 AS m31744, ((((r * 256 + g) & 992) >> 5) * 33) >> 2 AS m992, (((r * 256 + g) & 31) * 33) >> 2 AS m31, ((g & 240) >> 4) * 17 AS m240, 0 AS m0",
 )
-scalar("ldr_to_hdr", "v_plane", {"f": F.round(C.ldr_to_hdr("v"), 6)}, "round(power(v / 255.0::DOUBLE, 2.2::DOUBLE), 6) AS f")
-scalar("hdr_to_ldr", "v_plane", {"v8": C.hdr_to_ldr(F.col("v") / 200.0)}, "least(255, greatest(0, floor(power(v / 200.0::DOUBLE, 1 / 2.2::DOUBLE) * 255 + 0.5)))::INT AS v8")
-scalar("rgbe_to_float", "v_pixels", {"f": F.round(C.rgbe_to_float("r", F.when(F.col("x") == 0, 0).otherwise(F.col("g") % 32 + 120)), 6)}, "round(CASE WHEN x = 0 THEN 0.0 ELSE r * power(2.0::DOUBLE, g % 32 + 120 - 136) END, 6) AS f")
+scalar("ldr_to_hdr", "v_plane", lambda: {"f": F.round(C.ldr_to_hdr("v"), 6)}, "round(power(v / 255.0::DOUBLE, 2.2::DOUBLE), 6) AS f")
+scalar("hdr_to_ldr", "v_plane", lambda: {"v8": C.hdr_to_ldr(F.col("v") / 200.0)}, "least(255, greatest(0, floor(power(v / 200.0::DOUBLE, 1 / 2.2::DOUBLE) * 255 + 0.5)))::INT AS v8")
+scalar("rgbe_to_float", "v_pixels", lambda: {"f": F.round(C.rgbe_to_float("r", F.when(F.col("x") == 0, 0).otherwise(F.col("g") % 32 + 120)), 6)}, "round(CASE WHEN x = 0 THEN 0.0 ELSE r * power(2.0::DOUBLE, g % 32 + 120 - 136) END, 6) AS f")
 _K = [int(k * 4096.0 + 0.5) << 8 for k in (1.402, 0.71414, 0.34414, 1.772)]
 scalar(
-    "ycbcr_to_rgb", "v_pixels", dict(zip(("jr", "jg", "jb"), C.ycbcr_to_rgb("r", "g", "b"), strict=True)),
+    "ycbcr_to_rgb", "v_pixels", lambda: dict(zip(("jr", "jg", "jb"), C.ycbcr_to_rgb("r", "g", "b"), strict=True)),
     f"least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (b - 128)::BIGINT * {_K[0]}) >> 20)) AS jr, least(255, greatest(0, ((r::BIGINT << 20) + 524288 - (b - 128)::BIGINT * {_K[1]} + (((g - 128)::BIGINT * -{_K[2]}) & -65536)) >> 20)) AS jg, least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (g - 128)::BIGINT * {_K[3]}) >> 20)) AS jb",
 )
 scalar(
-    "yuv_to_rgb", "v_pixels", dict(zip(("vr", "vg", "vb"), C.yuv_to_rgb("r", "g", "b"), strict=True)),
+    "yuv_to_rgb", "v_pixels", lambda: dict(zip(("vr", "vg", "vb"), C.yuv_to_rgb("r", "g", "b"), strict=True)),
     "least(255, greatest(0, (((r * 19077) >> 8) + ((b * 26149) >> 8) - 14234) >> 6)) AS vr, least(255, greatest(0, (((r * 19077) >> 8) - ((g * 6419) >> 8) - ((b * 13320) >> 8) + 8708) >> 6)) AS vg, least(255, greatest(0, (((r * 19077) >> 8) + ((g * 33050) >> 8) - 17685) >> 6)) AS vb",
 )
 _prod = lambda x, k: f"((({x}) * {k} + 128) + ((({x}) * {k} + 128) >> 8)) >> 8"
-scalar("cmyk_to_rgb", "v_pixels", dict(zip(("cr", "cg", "cb"), C.cmyk_to_rgb("r", "g", "b", "a"), strict=True)), ", ".join(f"{_prod(c, 'a')} AS c{c}" for c in "rgb"))
-scalar("ycck_to_rgb", "v_pixels", {"kr": C.ycck_to_rgb("r", "g", "b", "a")[0]}, _prod(f"255 - least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (b - 128)::BIGINT * {_K[0]}) >> 20))", "a") + " AS kr")
+scalar("cmyk_to_rgb", "v_pixels", lambda: dict(zip(("cr", "cg", "cb"), C.cmyk_to_rgb("r", "g", "b", "a"), strict=True)), ", ".join(f"{_prod(c, 'a')} AS c{c}" for c in "rgb"))
+scalar("ycck_to_rgb", "v_pixels", lambda: {"kr": C.ycck_to_rgb("r", "g", "b", "a")[0]}, _prod(f"255 - least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (b - 128)::BIGINT * {_K[0]}) >> 20))", "a") + " AS kr")
 scalar(
     "jpeg_color_model", "v_pixels",
-    {"model": C.jpeg_color_model(F.when(F.col("x") == 0, "RGB").otherwise("123"), F.col("y") % 5, F.col("x") % 4 - 1, F.col("x") > 8)},
+    lambda: {"model": C.jpeg_color_model(F.when(F.col("x") == 0, "RGB").otherwise("123"), F.col("y") % 5, F.col("x") % 4 - 1, F.col("x") > 8)},
     "CASE WHEN y % 5 = 3 AND (x = 0 OR (x % 4 - 1 = 0 AND NOT x > 8)) THEN 'rgb' WHEN y % 5 = 3 THEN 'ycbcr' WHEN y % 5 = 4 AND x % 4 - 1 = 0 THEN 'cmyk' WHEN y % 5 = 4 AND x % 4 - 1 = 2 THEN 'ycck' WHEN y % 5 = 4 THEN 'ycbcr' ELSE 'grey' END AS model",
 )
-scalar("unpremultiply", "v_pixels", {"u": C.unpremultiply("r", "a")}, "CASE WHEN a > 0 THEN ((r * 255 + a // 2) // a) % 256 ELSE r END AS u")
-scalar("remove_white_matte", "v_pixels", {"m": C.remove_white_matte("r", "a")}, "CASE WHEN a <> 0 AND a <> 255 THEN trunc(r / (a / 255.0::DOUBLE) + 255 * (1 - 1 / (a / 255.0::DOUBLE)))::INT ELSE r END AS m")
-scalar("color_key_alpha", "v_smooth", {"k": C.color_key_alpha(["r", "g"], [7, 5])}, "CASE WHEN r = 7 AND g = 5 THEN 0 ELSE 255 END AS k")
-scalar("clamp_byte", "v_pixels", {"c": C.clamp_byte(F.col("r") * 2 - 100)}, "least(255, greatest(0, r * 2 - 100)) AS c")
-scalar("bucket_distance", "v_pixels", {"k": C.bucket5("r"), "d": C.color_distance(["r", "g", "b"], [10, 20, 30])}, "r >> 3 AS k, 2 * (r - 10) * (r - 10) + 4 * (g - 20) * (g - 20) + 3 * (b - 30) * (b - 30) AS d")
-scalar("slot_hash", "v_pixels", {"s": C.slot_hash("r", "g", "b", "a")}, "(3 * r + 5 * g + 7 * b + 11 * a) & 63 AS s")
-scalar("cache_hash", "v_pixels", {"h": C.cache_hash(((F.col("a").cast("long") * 256 + F.col("r")) * 256 + F.col("g")) * 256 + F.col("b"), 8)}, "((506832829::HUGEINT * (((a::BIGINT * 256 + r) * 256 + g) * 256 + b)) % 4294967296)::BIGINT >> 24 AS h")
-scalar("green_decorrelate", "v_pixels", dict(zip(("dr", "dg", "db"), C.green_decorrelate("r", "g", "b"), strict=True)), "(r - g + 256) % 256 AS dr, g AS dg, (b - g + 256) % 256 AS db")
-scalar("paeth", "v_pixels", {"p": C.paeth("r", "g", "b")}, "CASE WHEN abs(g - b) <= abs(r - b) AND abs(g - b) <= abs(r + g - 2 * b) THEN r WHEN abs(r - b) <= abs(r + g - 2 * b) THEN g ELSE b END AS p")
-scalar("default_channel", "v_pixels", {"c": C.default_channel(F.when(F.col("x") > 3, F.col("r")), "color"), "al": C.default_channel(F.when(F.col("x") > 3, F.col("a")), "alpha")}, "CASE WHEN x > 3 THEN r ELSE 0 END AS c, CASE WHEN x > 3 THEN a ELSE 255 END AS al")
-scalar("linear_pixels", "v_plane", {"f": F.round(C.linear_pixels(F.col("v") * 257, 16), 6)}, "round(power(v / 255.0::DOUBLE, 2.2::DOUBLE), 6) AS f")
-scalar("alpha_plane", "v_pixels", {"al": C.alpha_plane(F.when(F.col("x") == 1, F.col("g")), F.when(F.col("x") == 2, F.col("a")))}, "CASE WHEN x = 1 THEN g WHEN x = 2 THEN a ELSE 255 END AS al")
-scalar("clamp_offset", "v_pixels", {"o": pixels.clamp_offset(F.col("r") - 50, F.col("g"), F.lit(100))}, "least(greatest(0, r - 50), greatest(0, g - 100)) AS o")
-scalar("raster_order", "v_pixels", {"pos": C.raster_order("y", "x", F.lit(16))}, "y * 16 + x AS pos")
-scalar("plane_dims", "v_pixels", dict(zip(("pw", "ph"), pixels.plane_dims("r", "g"), strict=True)), "(r + 1) // 2 AS pw, (g + 1) // 2 AS ph")
+scalar("unpremultiply", "v_pixels", lambda: {"u": C.unpremultiply("r", "a")}, "CASE WHEN a > 0 THEN ((r * 255 + a // 2) // a) % 256 ELSE r END AS u")
+scalar("remove_white_matte", "v_pixels", lambda: {"m": C.remove_white_matte("r", "a")}, "CASE WHEN a <> 0 AND a <> 255 THEN trunc(r / (a / 255.0::DOUBLE) + 255 * (1 - 1 / (a / 255.0::DOUBLE)))::INT ELSE r END AS m")
+scalar("color_key_alpha", "v_smooth", lambda: {"k": C.color_key_alpha(["r", "g"], [7, 5])}, "CASE WHEN r = 7 AND g = 5 THEN 0 ELSE 255 END AS k")
+scalar("clamp_byte", "v_pixels", lambda: {"c": C.clamp_byte(F.col("r") * 2 - 100)}, "least(255, greatest(0, r * 2 - 100)) AS c")
+scalar("bucket_distance", "v_pixels", lambda: {"k": C.bucket5("r"), "d": C.color_distance(["r", "g", "b"], [10, 20, 30])}, "r >> 3 AS k, 2 * (r - 10) * (r - 10) + 4 * (g - 20) * (g - 20) + 3 * (b - 30) * (b - 30) AS d")
+scalar("slot_hash", "v_pixels", lambda: {"s": C.slot_hash("r", "g", "b", "a")}, "(3 * r + 5 * g + 7 * b + 11 * a) & 63 AS s")
+scalar("cache_hash", "v_pixels", lambda: {"h": C.cache_hash(((F.col("a").cast("long") * 256 + F.col("r")) * 256 + F.col("g")) * 256 + F.col("b"), 8)}, "((506832829::HUGEINT * (((a::BIGINT * 256 + r) * 256 + g) * 256 + b)) % 4294967296)::BIGINT >> 24 AS h")
+scalar("green_decorrelate", "v_pixels", lambda: dict(zip(("dr", "dg", "db"), C.green_decorrelate("r", "g", "b"), strict=True)), "(r - g + 256) % 256 AS dr, g AS dg, (b - g + 256) % 256 AS db")
+scalar("paeth", "v_pixels", lambda: {"p": C.paeth("r", "g", "b")}, "CASE WHEN abs(g - b) <= abs(r - b) AND abs(g - b) <= abs(r + g - 2 * b) THEN r WHEN abs(r - b) <= abs(r + g - 2 * b) THEN g ELSE b END AS p")
+scalar("default_channel", "v_pixels", lambda: {"c": C.default_channel(F.when(F.col("x") > 3, F.col("r")), "color"), "al": C.default_channel(F.when(F.col("x") > 3, F.col("a")), "alpha")}, "CASE WHEN x > 3 THEN r ELSE 0 END AS c, CASE WHEN x > 3 THEN a ELSE 255 END AS al")
+scalar("linear_pixels", "v_plane", lambda: {"f": F.round(C.linear_pixels(F.col("v") * 257, 16), 6)}, "round(power(v / 255.0::DOUBLE, 2.2::DOUBLE), 6) AS f")
+scalar("alpha_plane", "v_pixels", lambda: {"al": C.alpha_plane(F.when(F.col("x") == 1, F.col("g")), F.when(F.col("x") == 2, F.col("a")))}, "CASE WHEN x = 1 THEN g WHEN x = 2 THEN a ELSE 255 END AS al")
+scalar("clamp_offset", "v_pixels", lambda: {"o": pixels.clamp_offset(F.col("r") - 50, F.col("g"), F.lit(100))}, "least(greatest(0, r - 50), greatest(0, g - 100)) AS o")
+scalar("raster_order", "v_pixels", lambda: {"pos": C.raster_order("y", "x", F.lit(16))}, "y * 16 + x AS pos")
+scalar("plane_dims", "v_pixels", lambda: dict(zip(("pw", "ph"), pixels.plane_dims("r", "g"), strict=True)), "(r + 1) // 2 AS pw, (g + 1) // 2 AS ph")
 
 # palettes
 
@@ -141,7 +141,7 @@ _colors = lambda df: df.where("y < 4").select("image_id", F.concat_ws("", F.char
 XPM_SQL = ", cells AS (SELECT image_id, y, x, chr(65 + r % 20) || chr(97 + g % 3) AS key FROM v_pixels), colors AS (SELECT image_id, chr(65 + r % 20) || chr(97 + g % 3) AS key, y * 16 + x AS pos, b AS color FROM v_pixels WHERE y < 4)"
 add("xpm_key_join", "v_pixels", lambda df: palette.xpm_key_join(_cells(df), _colors(df)), XPM_SQL + " SELECT c.*, k.color FROM cells c LEFT JOIN (SELECT image_id, key, arg_min(color, pos) AS color FROM colors GROUP BY 1, 2) k USING (image_id, key)")
 add("unmatched_keys", "v_pixels", lambda df: palette.unmatched_keys(_cells(df), _colors(df)), XPM_SQL + " SELECT * FROM cells WHERE (image_id, key) NOT IN (SELECT (image_id, key) FROM colors)")
-scalar("cga_lookup", "v_idx", {"i": palette.cga_index(F.col("idx") % 4, 0x50, 0x60)}, "CASE WHEN idx % 4 = 0 THEN 5 ELSE (idx % 4) * 2 + 1 + 8 END AS i")
+scalar("cga_lookup", "v_idx", lambda: {"i": palette.cga_index(F.col("idx") % 4, 0x50, 0x60)}, "CASE WHEN idx % 4 = 0 THEN 5 ELSE (idx % 4) * 2 + 1 + 8 END AS i")
 
 # pixels
 

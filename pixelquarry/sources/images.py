@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pixelquarry.session import ship
 
@@ -170,6 +169,3 @@ def map_decoder(files: DataFrame, decode: Callable[[bytes], tuple[int, int, int,
 def as_files(rows: DataFrame) -> DataFrame:
     """A table with hex text ``hx`` as files with ``content``."""
     return rows.withColumn("content", F.unhex("hx")).drop("hx")
-
-
-FILE_TYPE = T.StructType.fromDDL(FILE_SCHEMA)
