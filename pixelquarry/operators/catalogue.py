@@ -68,13 +68,20 @@ def _text_header() -> Column:
     return F.decode(F.col("content").substr(1, 256), "ISO-8859-1")
 
 
+def _pnm_number(content: str, k: int) -> Column:
+    """Width (1), height (2) or highest value (3) of a PNM header; null where the text ends before it."""
+    gap = r"(?:\s|#[^\n\r]*)*+"
+    text = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    return F.regexp_extract(text, rf"^P[56]{gap}(\d++)(?:{gap}(\d++))?(?:{gap}(\d++))?", k).try_cast("long")
+
+
 def probe_header(sniffed: DataFrame) -> DataFrame:
     """width, height, channels and bits by format."""
     be = lambda at, n: be_int("content", at, n)
     le = lambda at, n: le_int("content", at, n)
     b = lambda at: byte_at("content", at)
     text = _text_header()
-    pnm = lambda k: F.regexp_extract(text, r"^P[56](?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)", k).try_cast("long")
+    pnm = lambda k: _pnm_number("content", k)
     hdr = lambda k: F.regexp_extract(text, r"\n\n-Y (\d+) \+X (\d+)\n", k).try_cast("long")
     signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
     lossless = _starts("5650384C", 12)
@@ -159,14 +166,14 @@ def validate_header(headers: DataFrame) -> DataFrame:
         ((f == "jpeg") & (F.col("height") == 0), "no header height"),
         ((f == "jpeg") & (F.col("width") == 0), "0 width"),
         ((f == "jpeg") & ~b(11).isin(1, 3, 4), "bad component count"),
-        ((f == "pnm") & F.col("width").isNull(), "invalid width"),
+        ((f == "pnm") & ((F.coalesce("width", F.lit(0)) == 0) | (F.coalesce("height", F.lit(0)) == 0)), "invalid width"),
+        ((f == "pnm") & (_pnm_number("content", 3) > 65535), "max value > 65535"),
         (F.col("width").isNull() | F.col("height").isNull(), "truncated header"),
         (zero, "0-pixel image"),
     ]
-    reason = F.lit(None).cast("string")
-    for rule, text in reversed(rules):
-        reason = F.when(F.coalesce(rule, F.lit(False)), text).otherwise(reason)
-    return headers.withColumn("reason", reason)
+    # the first of a list, not a CASE: the optimizer would spread a filter on its null-ness over all rules
+    broken = F.array_compact(F.array(*[F.when(rule, text) for rule, text in rules]))
+    return headers.withColumn("reason", F.get(broken, F.lit(0)))
 
 
 def quarantine_split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -333,14 +333,14 @@ def _sniff_sql(order: list[str]) -> str:
 
 
 _digits = lambda rx, k: f"regexp_replace(nullif(regexp_extract(hx, '{rx}', {k}), ''), '3(.)', '\\1', 'g')::BIGINT"
-_PNM, _HDR = "^503[56]0A((3[0-9])+)20((3[0-9])+)0A((3[0-9])+)0A", "0A0A2D5920((3[0-9])+)202B5820((3[0-9])+)0A"
+_PNM, _HDR = "^503[56]0A((3[0-9])+)20((3[0-9])+)(0A((3[0-9])+))?", "0A0A2D5920((3[0-9])+)202B5820((3[0-9])+)0A"
 _ll = _has("5650384C", 12)
 HEAD_SQL = {
     "png": (_B(16, 4), _B(20, 4), f"CASE {_B(25)} WHEN 3 THEN 3 ELSE CASE WHEN {_B(25)} & 2 <> 0 THEN 3 ELSE 1 END + CASE WHEN {_B(25)} & 4 <> 0 THEN 1 ELSE 0 END END", _B(24)),
     "bmp": (_L(18, 4), _L(22, 4), f"CASE WHEN {_L(28, 2)} = 32 THEN 4 ELSE 3 END", "8"), "gif": (_L(6, 2), _L(8, 2), "4", "8"),
     "psd": (_B(18, 4), _B(14, 4), "4", _B(22, 2)), "pic": (_B(92, 2), _B(94, 2), f"CASE WHEN {_B(107)} & 16 <> 0 THEN 4 ELSE 3 END", "8"),
     "jpeg": (_B(9, 2), _B(7, 2), f"CASE WHEN {_B(11)} >= 3 THEN 3 ELSE 1 END", _B(6)),
-    "pnm": (_digits(_PNM, 1), _digits(_PNM, 3), f"CASE WHEN {_B(1)} = 53 THEN 1 ELSE 3 END", f"CASE WHEN {_digits(_PNM, 5)} > 255 THEN 16 ELSE 8 END"),
+    "pnm": (_digits(_PNM, 1), _digits(_PNM, 3), f"CASE WHEN {_B(1)} = 53 THEN 1 ELSE 3 END", f"CASE WHEN {_digits(_PNM, 6)} > 255 THEN 16 ELSE 8 END"),
     "hdr": (_digits(_HDR, 3), _digits(_HDR, 1), "3", "32"), "tga": (_L(12, 2), _L(14, 2), f"CASE WHEN {_B(16)} = 8 THEN 1 WHEN {_B(16)} = 16 AND {_B(2)} IN (3, 11) THEN 2 WHEN {_B(16)} IN (15, 16, 24) THEN 3 ELSE 4 END", "8"),
     "webp": (f"CASE WHEN {_ll} THEN ({_L(21, 4)} & 16383) + 1 ELSE {_L(26, 2)} & 16383 END", f"CASE WHEN {_ll} THEN (({_L(21, 4)} >> 14) & 16383) + 1 ELSE {_L(28, 2)} & 16383 END", "4", "8"),
     "qoi": (_B(4, 4), _B(8, 4), _B(12), "8"), "pcx": (f"abs({_L(8, 2)} - {_L(4, 2)}) + 1", f"abs({_L(10, 2)} - {_L(6, 2)}) + 1", f"CASE WHEN {_B(3)} = 8 AND {_B(65)} = 4 THEN 4 ELSE 3 END", "8"),
@@ -353,7 +353,7 @@ HEADERS_SQL = (
     f"WHEN format = 'png' AND {_B(8, 4)} <> 13 THEN 'bad IHDR len' WHEN format = 'png' AND {_B(24)} NOT IN (1, 2, 4, 8, 16) THEN '1/2/4/8/16-bit only' "
     f"WHEN format = 'png' AND ({_B(25)} > 6 OR {_B(25)} IN (1, 5) OR ({_B(25)} = 3 AND {_B(24)} = 16)) THEN 'bad ctype' WHEN format = 'png' AND (width <= 0 OR height <= 0) THEN '0-pixel image' "
     f"WHEN format = 'bmp' AND {_L(26, 2)} <> 1 THEN 'bad BMP' WHEN format = 'psd' AND {_B(24, 2)} <> 3 THEN 'wrong color format' "
-    "WHEN format = 'jpeg' AND height = 0 THEN 'no header height' WHEN format = 'jpeg' AND width = 0 THEN '0 width' WHEN format = 'pnm' AND width IS NULL THEN 'invalid width' "
+    "WHEN format = 'jpeg' AND height = 0 THEN 'no header height' WHEN format = 'jpeg' AND width = 0 THEN '0 width' WHEN format = 'pnm' AND (coalesce(width, 0) = 0 OR coalesce(height, 0) = 0) THEN 'invalid width' "
     "WHEN width IS NULL OR height IS NULL THEN 'truncated header' WHEN width <= 0 OR height <= 0 THEN '0-pixel image' END AS reason FROM hd)"
 )
 
