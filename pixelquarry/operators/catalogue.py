@@ -171,9 +171,9 @@ def validate_header(headers: DataFrame) -> DataFrame:
         (F.col("width").isNull() | F.col("height").isNull(), "truncated header"),
         (zero, "0-pixel image"),
     ]
-    # the first of a list, not a CASE: the optimizer would spread a filter on its null-ness over all rules
     broken = F.array_compact(F.array(*[F.when(rule, text) for rule, text in rules]))
-    return headers.withColumn("reason", F.get(broken, F.lit(0)))
+    # a one-row explode keeps filters on the reason above it; pushed down they would be expanded into every rule
+    return headers.withColumn("reason", F.explode(F.array(F.get(broken, F.lit(0)))))
 
 
 def quarantine_split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

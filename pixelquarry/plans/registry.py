@@ -347,9 +347,9 @@ HEAD_SQL = {
 }
 _field = lambda k: "(CASE format " + " ".join(f"WHEN '{n}' THEN {v[k]}" for n, v in HEAD_SQL.items()) + " END)::BIGINT"
 HEADERS_SQL = (
-    f", sn AS (SELECT *, {_sniff_sql(catalogue.LOAD_ORDER)} AS format FROM v_files), "
-    f"hd AS (SELECT *, {_field(0)} AS width, {_field(1)} AS height, {_field(2)} AS channels, {_field(3)} AS bits FROM sn), "
-    "va AS (SELECT *, CASE WHEN format = 'unknown' THEN 'unknown image type' "
+    f", sn AS MATERIALIZED (SELECT *, {_sniff_sql(catalogue.LOAD_ORDER)} AS format FROM v_files), "
+    f"hd AS MATERIALIZED (SELECT *, {_field(0)} AS width, {_field(1)} AS height, {_field(2)} AS channels, {_field(3)} AS bits FROM sn), "
+    "va AS MATERIALIZED (SELECT *, CASE WHEN format = 'unknown' THEN 'unknown image type' "
     f"WHEN format = 'png' AND {_B(8, 4)} <> 13 THEN 'bad IHDR len' WHEN format = 'png' AND {_B(24)} NOT IN (1, 2, 4, 8, 16) THEN '1/2/4/8/16-bit only' "
     f"WHEN format = 'png' AND ({_B(25)} > 6 OR {_B(25)} IN (1, 5) OR ({_B(25)} = 3 AND {_B(24)} = 16)) THEN 'bad ctype' WHEN format = 'png' AND (width <= 0 OR height <= 0) THEN '0-pixel image' "
     f"WHEN format = 'bmp' AND {_L(26, 2)} <> 1 THEN 'bad BMP' WHEN format = 'psd' AND {_B(24, 2)} <> 3 THEN 'wrong color format' "
