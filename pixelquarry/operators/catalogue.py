@@ -235,11 +235,14 @@ def check_chunk_order(chunks: DataFrame) -> DataFrame:
 
 
 def probe_jpeg(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Header of JPEG files from their first frame record, wherever it stands: (file_id, width, height, channels, bits)."""
+    """Header of JPEG files from their first frame record, wherever it stands: (file_id, width, height, channels, bits).
+
+    A record that is cut off before its sizes gives no row.
+    """
     frame = chunks.where("container = 'jpeg' and type in ('C0', 'C1', 'C2')").groupBy("file_id").agg(F.min("offset").alias("at"))
     found = files.select("file_id", "content").join(frame, "file_id")
     at = F.col("at")
     return found.select(
         "file_id", be_int("content", at + 7, 2).alias("width"), be_int("content", at + 5, 2).alias("height"),
         F.when(byte_at("content", at + 9) >= 3, 3).otherwise(1).alias("channels"), byte_at("content", at + 4).alias("bits"),
-    )
+    ).where("width is not null")
