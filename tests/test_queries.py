@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pixelquarry.operators import catalogue
@@ -13,7 +14,7 @@ NAMES = ["luma8", "quantize_lut", "palette_usage", "rle_runs", "composite_frames
 
 def _rows(df):
     cols = sorted(df.columns)
-    return sorted(tuple("NULL" if v is None or v != v else str(float(v)) if not isinstance(v, str) else v for v in r) for r in df[cols].itertuples(index=False, name=None))
+    return sorted(tuple("NULL" if pd.isna(v) else str(float(v)) if not isinstance(v, str) else v for v in r) for r in df[cols].itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", NAMES)
