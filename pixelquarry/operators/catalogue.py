@@ -203,7 +203,8 @@ def extension_mismatch(sniffed: DataFrame) -> DataFrame:
     named = ext
     for a, b in same.items():
         named = F.when(ext == a, b).otherwise(named)
-    return sniffed.withColumn("named", named).where(F.col("named") != F.col("format"))
+    # a one-row explode keeps the filter above it, as in validate_header
+    return sniffed.withColumn("named", F.explode(F.array(named))).where(F.col("named") != F.col("format"))
 
 
 def corpus_summary(validated: DataFrame) -> DataFrame:

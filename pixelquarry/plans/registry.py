@@ -399,7 +399,7 @@ def _xbm(df: DataFrame) -> DataFrame:
     """16 columns by 16 rows of bits of each whole image, as text."""
     bit = F.when(F.col("r") % 2 == 1, F.shiftleft(F.lit(1), 0)).otherwise(0)
     whole = df.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", bit.alias("b")))).alias("p")).where("size(p) = 256")
-    octet = lambda k: F.expr(f"aggregate(sequence(0, 7), 0, (s, i) -> s + p[{k} * 8 + i].b * cast(pow(2, i) as int))")
+    octet = lambda k: F.expr(f"aggregate(sequence(0, 7), 0, (s, i) -> s + get(p, {k} * 8 + i).b * cast(pow(2, i) as int))")
     return whole.select(
         F.col("image_id").alias("file_id"),
         F.encode(F.concat(F.lit("#define i_width 16\n#define i_height 16\nstatic unsigned char i_bits[] = {\n"), F.concat_ws(", ", *[F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(octet(k))), 2, "0")) for k in range(32)]), F.lit("};\n")), "UTF-8").alias("content"),
