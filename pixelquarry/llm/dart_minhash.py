@@ -21,9 +21,10 @@ At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^26 < 4e-5
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one shingle; a null text or
 one without words matches nothing. A node is known by a 64-bit hash of its text; of rows with equal
-texts all are in one class. Rows without an id take part through their equal texts only, and have
-the class of those, null if there are none. Rows that share an id but not the text are different
-documents of that id. The class id is the least doc_id of the class. Other columns are ignored.
+texts all are in one class. Rows without an id take part like all others. Rows that share an id
+but not the text are different documents of that id. A class is known by its component, a node;
+its class id is the least doc_id in it, null if all its rows are without ids, so that rows of class
+id null may be of different classes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -238,13 +239,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _texts(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in pairs, each read at its least document."""
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node").where("rep is not null")
+    """(node, text) of the nodes in pairs, each read at its least document; those without ids at any copy."""
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
     involved = _settled(involved)
-    small = involved.count() <= BROADCAST_ROWS
-    wanted = involved.select(F.col("rep").alias("doc_id"), F.col("node").alias("_node"))
+    total, known = involved.agg(F.count("*"), F.count("rep")).first()
+    small = total <= BROADCAST_ROWS
+    wanted = involved.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("node").alias("_node"))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
-    return _settled(found.where(F.xxhash64("text") == F.col("_node")).select(F.col("_node").alias("node"), "text").dropDuplicates(["node"]))
+    found = found.where(F.xxhash64("text") == F.col("_node")).select(F.col("_node").alias("node"), "text")
+    if known < total:
+        bare = documents.where("doc_id is null").select(F.xxhash64("text").alias("node"), "text")
+        others = involved.where("rep is null").select("node")
+        # copies go before a shuffled join, so that no node is many rows of one task
+        found = found.union(bare.join(F.broadcast(others), "node") if small else bare.dropDuplicates(["node"]).join(others, "node"))
+    return _settled(found.dropDuplicates(["node"]))
 
 
 def _open_rows(placed: DataFrame) -> DataFrame:
@@ -282,13 +290,13 @@ def _reachable(rows: DataFrame, least: float) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE
 ) -> DataFrame:
-    """(doc_id, node, class_id) of every document row."""
+    """(doc_id, node, class_id, weight, component) of every document row."""
     sketched = _settled(sketches(documents, bands, rows, width))
     # equal texts are one node; its sketch is that of any copy
     nodes = _settled(
         sketched.where("weight > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
     )
-    members = nodes.where("rep is not null").select("node", "weight", F.explode("keys").alias("key"))
+    members = nodes.select("node", "weight", F.explode("keys").alias("key"))
     stars = _settled(
         members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     )
@@ -336,25 +344,31 @@ def near_duplicates(
             linked = components(links.union(more))
     least_id = (
         nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
-        .join(linked, "component").select("node", "class_id")
+        .join(linked, "component").select("node", "component", "class_id")
+    )
+    classes = _settled(
+        nodes.select("node", "rep").join(least_id, "node", "left")
+        .select("node", F.coalesce("component", "node").alias("component"), F.coalesce("class_id", "rep").alias("class_id"))
     )
-    classes = _settled(nodes.select("node", "rep").join(least_id, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id")))
     return (
         sketched.select("doc_id", "node", "weight").join(classes, "node", "left")
-        .select("doc_id", "node", F.when(F.col("weight") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "weight")
+        .select(
+            "doc_id", "node", F.when(F.col("weight") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "weight",
+            F.coalesce("component", "node").alias("component"),
+        )
     )
 
 
 def survivors(documents: DataFrame, **how) -> DataFrame:
-    """One row of each class: that of the least id, or any row of a class without ids.
+    """One row of each class (component): that of the least id, or any row of a class without ids.
 
     Rows without words are all kept. The columns are those of the input.
     """
     classed = _settled(near_duplicates(documents, **how))
-    rows = classed.where("weight > 0").groupBy("class_id", "doc_id", "node").count()
-    best = rows.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+    rows = classed.where("weight > 0").groupBy("component", "doc_id", "node").count()
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     kept = _settled(
-        rows.join(best.select(F.col("class_id").alias("k_class"), "best"), F.col("class_id").eqNullSafe(F.col("k_class"))).select(
+        rows.join(best, "component").select(
             "doc_id", "node", "count", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))).alias("keep")
         )
     )

@@ -210,6 +210,24 @@ def test_near_duplicates_awkward(spark, awkward, empty):
     assert dart_minhash.near_duplicates(empty).count() == 0 and dart_minhash.survivors(empty).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    near, other = prose(21, 120), prose(22, 120)
+    edited = " ".join(["edit", *near.split()[1:]])
+    rows = [(None, near), (None, edited), (None, other), (None, other)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dart_minhash.near_duplicates(frame).collect()
+    assert len(got) == 4 and {r.class_id for r in got} == {None} and len({r.component for r in got}) == 2
+    kept = texts(dart_minhash.survivors(frame))
+    assert len(kept) == 2 and other in kept and (near in kept or edited in kept)
+    # a near copy with an id gives its id to the class; two texts of one id are two documents
+    more = spark.createDataFrame([*rows, (5, " ".join([*near.split()[:-1], "edit"])), (5, prose(23, 120))], frame.schema)
+    named = [(r.doc_id, r.class_id) for r in dart_minhash.near_duplicates(more).collect()]
+    assert sorted(named, key=str) == sorted([(5, 5), (5, 5), (None, 5), (None, 5), (None, None), (None, None)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in dart_minhash.survivors(more).collect()), key=str) == sorted(
+        [(5, " ".join([*near.split()[:-1], "edit"])), (5, prose(23, 120)), (None, other)], key=str
+    )
+
+
 def test_components_of_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.node: r.component for r in dart_minhash.components(links).collect()}
