@@ -20,7 +20,8 @@ Whole texts are scored. Columns other than doc_id, text and, for the fit, lang a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,8 @@ DOCS_PER_LANG = 1500
 UNDETERMINED = "und"
 #: Texts of at least so many bytes that no language codes in fewer bits a byte are no language.
 REJECT_BITS, REJECT_BYTES = 8.0, 200
+#: Parts of the texts; each is judged by the statistics of the others.
+PARTS = 8
 
 OUT = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
@@ -139,18 +142,16 @@ def build(langs: list[str], keys: list[np.ndarray], counts: list[np.ndarray], or
     return model
 
 
-def fit(documents: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
-    """Frozen statistics of every lang value, or None where there is nothing to learn from."""
+def _counted(documents: DataFrame, order: int, docs_per_lang: int, code: Callable[[list[str]], Column]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The languages, and (code, string, number) of the strings of order + 1 bytes in the fit's documents, by their code."""
     ship(documents.sparkSession)
     known = documents.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
     totals = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not totals:
-        return None
+        return [], np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(min(1.0, docs_per_lang / n) * (1 << 20)))])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).select("lang", "text")
-
     langs = sorted(totals)
-    code = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,15 +165,43 @@ def fit(documents: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_
                         [pa.array(np.full(len(strings), j, np.int32)), pa.array(strings.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "string", "n"]
                     )
 
-    counted = sample.select(code.alias("code"), "text").mapInArrow(count, "code int, string long, n long").groupBy("code", "string").agg(F.sum("n").alias("n"))
+    counted = (
+        sample.select(code(langs).cast("int").alias("code"), "text").mapInArrow(count, "code int, string long, n long")
+        .groupBy("code", "string").agg(F.sum("n").alias("n"))
+    )
     found = counted.toArrow()  # distinct strings of the bounded sample
-    of, strings, n = (found.column(c).to_numpy() for c in ("code", "string", "n"))
+    return langs, *(found.column(c).to_numpy() for c in ("code", "string", "n"))
+
+
+def fit(documents: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
+    """Frozen statistics of every lang value, or None where there is nothing to learn from."""
+    langs, of, strings, n = _counted(
+        documents, order, docs_per_lang, lambda langs: F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
+    )
     seen = [j for j in range(len(langs)) if (of == j).any()]
     if not seen:
         return None
     return build([langs[j] for j in seen], [strings[of == j].view(np.uint64) for j in seen], [n[of == j].astype(float) for j in seen], order)
 
 
+def text_part(parts: int = PARTS) -> Column:
+    """crc32 of the text, modulo ``parts``: copies of a text are in one part; 0 for a null text."""
+    return F.coalesce(F.crc32(F.col("text").cast("binary")) % parts, F.lit(0))
+
+
+def fit_apart(documents: DataFrame, parts: int = PARTS, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG) -> list[Model | None]:
+    """For each part of the texts, statistics of the other parts, over all languages in one.
+
+    One pass counts all parts. What a language lacks in few documents, as capitals or marks, others may have.
+    """
+    _, of, strings, n = _counted(documents, order, docs_per_lang, lambda langs: text_part(parts))
+    models: list[Model | None] = []
+    for k in range(parts):
+        keys, at = np.unique(strings[of != k].view(np.uint64), return_inverse=True)
+        models.append(build(["any"], [keys], [np.bincount(at, weights=n[of != k])], order) if len(keys) else None)
+    return models
+
+
 def _letters(pack: bs.Pack) -> np.ndarray:
     """Whether each document holds a letter."""
     seen = np.concatenate(([0], np.cumsum(_LETTER[pack.buf])))
@@ -249,6 +278,12 @@ def recognised(documents: DataFrame, model: Model | None) -> DataFrame:
     return documents.mapInArrow(run, documents.schema)
 
 
+def recognised_apart(documents: DataFrame, parts: int = PARTS, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
+    """``recognised``, with every text judged by statistics that hold neither it nor a copy of it (``fit_apart``)."""
+    models = fit_apart(documents, parts=parts, docs_per_lang=docs_per_lang)
+    return functools.reduce(DataFrame.union, [recognised(documents.where(text_part(parts) == k), m) for k, m in enumerate(models)])
+
+
 def fold(doc_id: str | Column = "doc_id", parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % parts

@@ -1,9 +1,12 @@
 """The pipeline's stages against brute force, on small tables."""
 
+import base64
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from pixelquarry.llm import secret_ledger
+from pixelquarry.llm import ppm_language, secret_ledger
 from pixelquarry.session import table
 from tests.llm.test_operators import classes, spans
 
@@ -29,3 +32,19 @@ def test_stages(spark, sf_dir):
     assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == sorted(map(tuple, clean.collect()))
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in out.collect()} == stay and out.where("n_pieces <> size(pieces) or n_pieces = 0").count() == 0
+
+
+def test_noise_goes_at_any_table_size(spark):
+    """Noise with letters goes whether or not it is labelled, has an id, or is repeated."""
+    rng = np.random.default_rng(7)
+    noise = [base64.b64encode(rng.bytes(2250)).decode() for _ in range(4)]
+    ids, langs, picks = [-1, -2, None, -3, -4], ["en", None, "en", "de", "de"], [0, 1, 2, 3, 3]
+    for sf in ("sf0.001", "sf0.01"):
+        docs = table(spark, f"/root/testdata/{sf}", "documents")
+        clean = {r.doc_id for r in docs.select("doc_id").collect()}
+        bad = spark.createDataFrame([(i, noise[k], v) for i, v, k in zip(ids, langs, picks, strict=True)], "doc_id long, text string, lang string")
+        given = docs.unionByName(bad, allowMissingColumns=True)
+        kept = corpus_pipeline.identify_language(spark, given, "")
+        assert kept.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else 0 for r in kept.collect()) == sorted(clean)
+    sampled = ppm_language.recognised_apart(given, docs_per_lang=50)
+    assert {r.doc_id for r in sampled.collect()} == clean
