@@ -4,7 +4,8 @@
 2. near-duplicates: one document of each class stays.
 3. secret scans: spans of secrets are replaced by ``[secret]`` (and n_chars follows).
 4. source mixing: rows are laid out in the order of the mix, by part and inside parts.
-5. SentencePiece: the kept documents as pieces, (doc_id, lang, source, n_pieces, pieces).
+5. SentencePiece: the kept documents as pieces, (mix_position, doc_id, lang, source, n_pieces, pieces);
+   mix_position counts the rows of the mix from 0, as the parts of stage 4 hold them.
 
 No stage drops rows for any other reason. PPM, dart sketches and merge-dropout cannot be said in
 SQL, so there is no SQL twin; the tests compare the stages with brute force.
@@ -12,6 +13,7 @@ SQL, so there is no SQL twin; the tests compare the stages with brute force.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import public_tokenizers
@@ -40,10 +42,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.in_order(pfair.mix(rows)).select("_row.*")
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """Adds mix_position, the place of each row in written parts taken in turn; a reader deals parts in any order."""
+    placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = placed.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect()  # one row a part
+    before, starts = 0, []
+    for r in sorted(sizes, key=lambda r: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", r["_file"])]):
+        starts.append((r["_file"], before))
+        before += r["n"]
+    start = docs.sparkSession.createDataFrame(starts, "_file string, _start long")
+    return placed.join(F.broadcast(start), "_file").withColumn("mix_position", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return merge_dropout.with_pieces(docs.select("doc_id", "lang", "source", "text"), model).select(
-        "doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces"
+    return merge_dropout.with_pieces(in_written_order(docs).select("mix_position", "doc_id", "lang", "source", "text"), model).select(
+        "mix_position", "doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces"
     )
 
 

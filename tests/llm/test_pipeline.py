@@ -1,12 +1,15 @@
 """The pipeline's stages against brute force, on small tables."""
 
 import base64
+import collections
+import math
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pixelquarry.llm import ppm_language, secret_ledger
+from pixelquarry.llm import pfair, ppm_language, secret_ledger
 from pixelquarry.session import table
 from tests.llm.test_operators import classes, spans
 
@@ -48,3 +51,29 @@ def test_noise_goes_at_any_table_size(spark):
         assert kept.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else 0 for r in kept.collect()) == sorted(clean)
     sampled = ppm_language.recognised_apart(given, docs_per_lang=50)
     assert {r.doc_id for r in sampled.collect()} == clean
+
+
+def test_mix_order_reaches_the_result(spark, tmp_path):
+    """Any prefix by mix_position is less than a block a source away from the weights, though the last part is read first."""
+    rows = [(i, "w " * (2000 if i % 3 else 1), "en", "abc"[min(i % 7, 2)], 1) for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = pfair.mix(docs.select("doc_id", "source", F.struct("*").alias("_row")))
+    # parts of 300 positions, the last one the largest
+    pfair.in_order(mixed, rows_per_part=300).select("_row.*").withColumn(
+        "text", F.when(F.spark_partition_id() >= 4, F.concat("text", F.sha2("text", 256), F.repeat(F.uuid(), 50))).otherwise(F.col("text"))
+    ).write.parquet(f"{tmp_path}/mix")
+    read = spark.read.parquet(f"{tmp_path}/mix")
+    assert [r.doc_id for r in read.collect()] != [r.doc_id for r in mixed.orderBy("mix_position").collect()]
+    got = corpus_pipeline.encode_pieces(spark, read, "").orderBy("mix_position").select("mix_position", "doc_id", "source").collect()
+    assert [r.mix_position for r in got] == list(range(1400))
+    assert [r.doc_id for r in got] == [r.doc_id for r in mixed.orderBy("mix_position").collect()]
+    counts = collections.Counter(r.source for r in got)
+    weights = pfair.integer_weights(pfair.default_weights(counts), pfair.UNITS)
+    seen = collections.Counter()
+    for n, r in enumerate(got, 1):
+        seen[r.source] += 1
+        if max(seen[k] - counts[k] for k in counts) >= 0:
+            break  # a source ran out: the weights are scaled from here
+        # less than one block from the share at whole slots; the block that runs adds its own share
+        assert all(abs(seen[k] - n * w / pfair.UNITS) < pfair.BLOCK_ROWS for k, w in weights.items()), n
+    assert n > 600 and math.isclose(sum(weights.values()), pfair.UNITS)
