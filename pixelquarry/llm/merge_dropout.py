@@ -3,13 +3,15 @@
 A text is cut into units, each a run of spaces with the characters up to the next space, and these
 where two characters never stand side by side in a piece; no piece of the vocabulary crosses a
 unit, so units are merged on their own. Candidate merges wait in an
-agenda by piece score, then position. When one is taken up, a keyed hash of (seed, variant, unit,
-the two pieces, place) decides whether it is skipped; a skipped merge may come up again only with
-other neighbours. With probability 0 the result is the library's encoding.
+agenda by piece score, then position. Each one that is taken up is a step, and a keyed hash of
+(seed, doc_id, place of the unit in the text, step) decides whether it is skipped; a skipped merge may
+come up again only with other neighbours. With probability 0 the result is the library's encoding.
 
-The variant of a unit is a hash of (seed, doc_id, place of the unit in the text) among ``VARIANTS``, so one
-word is cut differently in different places, yet each (unit, variant) is merged once per worker
-and remembered. The same seed always gives the same pieces.
+Every occurrence has draws of its own, so a word can be cut in all ways that skips allow, however
+often it occurs. The draws are made as distances between skipped steps (geometric numbers), which is
+the same as one draw a step. The pieces follow from the unit and its skipped steps alone, so workers
+remember them by these; what is remembered never decides a draw. The same seed always gives the
+same pieces. With ``variants``, occurrences share the draws of so many keys.
 
 Characters without a piece become byte pieces. The space mark itself (U+2581) is written as byte
 pieces too, so that decoding gives back every text exactly.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -39,11 +42,12 @@ from pixelquarry.session import ship
 
 MARK = "▁"
 DROPOUT = 0.1
-VARIANTS = 2
 SEED = 17
-#: Units that a worker remembers: two generations of so many, over all variants. A full generation
-#: replaces the older one, so units that come up often stay.
-CACHE_UNITS = 900_000
+#: Outcomes that a worker remembers: two generations of so many. A full generation replaces the
+#: older one, so units that come up often stay.
+CACHE_OUTCOMES = 500_000
+#: Units of more characters are not remembered.
+LONG_UNIT = 32
 
 _UNIT = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
@@ -51,11 +55,49 @@ _UNIT = re.compile(" +[^ \n]*|[^ \n]+|\n")
 _NONE = (1 << 62, -1)
 
 
-def skipped(key: int, merged: int, start: int) -> int:
-    """32 hashed bits of a merge: of the key, the piece it makes and the place where that starts."""
-    h = (key ^ (merged << 20 | start)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    h = (h ^ h >> 29) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-    return h >> 32
+#: A step that no merge reaches.
+_NEVER = 1 << 40
+
+
+def first_skips(keys: np.ndarray, dropout: float) -> np.ndarray:
+    """The first skipped step of each key: geometric, as if every step were skipped by a draw of its own."""
+    if dropout <= 0:
+        return np.full(len(keys), _NEVER)
+    if dropout >= 1:
+        return np.zeros(len(keys), np.int64)
+    u = ((bs.mix(keys) >> np.uint64(11)) + 1.0) * 2.0**-53
+    return np.minimum(np.log(u) / math.log1p(-dropout), _NEVER).astype(np.int64)
+
+
+def skips(key: int, dropout: float, first: int | None = None) -> Iterator[int]:
+    """All skipped steps of a key in turn, without end."""
+    step = int(first_skips(np.array([key], np.uint64), dropout)[0]) if first is None else first
+    over = math.log1p(-dropout) if 0 < dropout < 1 else 0.0
+    while step < _NEVER:
+        yield step
+        key = h = key + 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+        step += 1 + (int(math.log(((h ^ h >> 31) >> 11) * 2.0**-53 + 2.0**-53) / over) if over else 0)
+    while True:
+        yield _NEVER
+
+
+class Draws:
+    """Counts the steps of a unit and says which are skipped."""
+
+    __slots__ = ("step", "next", "later")
+
+    def __init__(self, skips: Iterator[int]):
+        self.step, self.later = 0, skips
+        self.next = next(skips)
+
+    def skipped(self) -> bool:
+        self.step += 1
+        if self.step <= self.next:
+            return False
+        self.next = next(self.later)
+        return True
 
 
 class Pieces:
@@ -93,20 +135,24 @@ class Pieces:
         cuts = [k for k, pair in enumerate(map("".join, zip(marked, marked[1:])), 1) if pair not in beside]
         return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])] if cuts else [unit]
 
-    def merge(self, unit: str, dropout: float, key: int) -> list[int]:
-        """Pieces of one unit, spaces written as the mark, with merges skipped by the keyed hash."""
+    def merge(self, unit: str, draws: Draws) -> list[int]:
+        """Pieces of one unit, spaces written as the mark, with merges skipped as drawn."""
         # a mark of the text itself has no piece, so that it is written as bytes
         ids = [-1 if c == MARK else self.id.get(MARK if c == " " else c, -1) for c in unit]
         starts = list(range(len(ids)))
-        (self._merge_long if len(ids) > 100 else self._merge_short)(ids, starts, int(dropout * 2**32), key)
+        (self._merge_long if len(ids) > 100 else self._merge_short)(ids, starts, draws=draws)
         out: list[int] = []
         for i, at in zip(ids, starts, strict=True):
             out += [i] if i >= 0 else [self.byte[b] for b in unit[at].encode()]
         return out
 
-    def _merge_short(self, ids: list[int], starts: list[int], threshold: int, key: int) -> None:
-        """The agenda as a list of ranks beside the pieces: the least rank, leftmost, is next."""
-        get, none = self.pairs.get, _NONE[0]
+    def _merge_short(self, ids: list[int], starts: list[int], threshold: int = 0, key: int = 0, draws: Draws | None = None) -> None:
+        """The agenda as a list of ranks beside the pieces: the least rank, leftmost, is next.
+
+        Draws that are not given are those of the key, a step being skipped with threshold / 2^32.
+        """
+        draws = draws or Draws(skips(key, threshold / 2**32))
+        get, none, step, skip = self.pairs.get, _NONE[0], draws.step, draws.next
         # a piece that is missing (-1) makes a key that no pair has
         found = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
         ranks = [r for r, _ in found]
@@ -116,7 +162,9 @@ class Pieces:
                 break
             i = ranks.index(least)
             merged = found[i][1]
-            if threshold and skipped(key, merged, starts[i]) < threshold:
+            step += 1
+            if step > skip:  # Draws.skipped, inline
+                skip = next(draws.later)
                 ranks[i] = none
                 continue
             ids[i] = merged
@@ -128,9 +176,11 @@ class Pieces:
             if j < len(ids):
                 found[i] = new = get(merged << 20 | ids[j], _NONE)
                 ranks[i] = new[0]
+        draws.step, draws.next = step, skip
 
-    def _merge_long(self, ids: list[int], starts: list[int], threshold: int, key: int) -> None:
+    def _merge_long(self, ids: list[int], starts: list[int], threshold: int = 0, key: int = 0, draws: Draws | None = None) -> None:
         """The same with a heap and linked pieces, in n log n."""
+        draws = draws or Draws(skips(key, threshold / 2**32))
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, int, int]] = []
@@ -147,7 +197,7 @@ class Pieces:
         while agenda:
             _, i, merged, a, b = heapq.heappop(agenda)
             j = after[i]
-            if gone[i] or j >= n or ids[i] != a or ids[j] != b or threshold and skipped(key, merged, i) < threshold:
+            if gone[i] or j >= n or ids[i] != a or ids[j] != b or draws.skipped():
                 continue
             ids[i], gone[j], after[i] = merged, True, after[j]
             if after[i] < n:
@@ -163,52 +213,99 @@ class Pieces:
         return joined.encode("utf-8", "surrogateescape").decode()[1:]
 
 
+class Outcome:
+    """A unit's packed pieces where the merges of some steps are skipped, the number of steps, and outcomes with one later skip more."""
+
+    __slots__ = ("steps", "packed", "later")
+
+    def __init__(self, steps: int, packed: bytes):
+        self.steps, self.packed = steps, packed
+        self.later: dict[int, Outcome] | None = None
+
+    def count(self) -> int:
+        return 1 + sum(x.count() for x in (self.later or {}).values())
+
+
 class Encoder:
-    """Encodes texts unit by unit, remembering units by variant."""
+    """Encodes texts unit by unit, remembering the outcomes of units by their skipped steps."""
 
-    def __init__(self, path: str, dropout: float, variants: int, seed: int):
+    def __init__(self, path: str, dropout: float, variants: int | None, seed: int):
         self.pieces = Pieces(path)
-        self.dropout, self.seed = dropout, seed
-        self.variants = variants if dropout else 1
+        self.dropout, self.seed, self.variants = dropout, seed, variants
         self.code = "H" if len(self.pieces.text) <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def unit(self, unit: str, variant: int) -> bytes:
-        """The packed pieces of a unit."""
-        found = self.known[variant].get(unit)
+        self.known: dict[str, Outcome] = {}
+        self.older: dict[str, Outcome] = {}
+        self.size = 0
+
+    def _run(self, unit: str, skips: Iterator[int]) -> Outcome:
+        draws, ids = Draws(skips), []
+        for part in self.pieces.parts(unit):  # the steps of the parts follow each other
+            ids += self.pieces.merge(part, draws)
+        return Outcome(draws.step, struct.pack(f"<{len(ids)}{self.code}", *ids))
+
+    def _grown(self) -> None:
+        self.size += 1
+        if self.size > CACHE_OUTCOMES:
+            self.older, self.known, self.size = self.known, {}, 0
+
+    def plain(self, unit: str) -> Outcome:
+        """The outcome without skips."""
+        found = self.older.get(unit)
         if found is None:
-            if len(self.known[variant]) >= CACHE_UNITS // self.variants:
-                self.older[variant], self.known[variant] = self.known[variant], {}
-            found = self.older[variant].get(unit)
-            if found is not None:
-                self.known[variant][unit] = found
-                return found
-            parts = self.pieces.parts(unit)
-            if len(parts) > 1:
-                found = b"".join([self.unit(x, variant) for x in parts])
-            else:
-                key = int.from_bytes(hashlib.blake2b(f"{self.seed}:{variant}:{unit}".encode(), digest_size=8).digest(), "little")
-                pieces = self.pieces.merge(unit, self.dropout, key)
-                found = struct.pack(f"<{len(pieces)}{self.code}", *pieces)
-            self.known[variant][unit] = found
+            found = self._run(unit, iter((_NEVER,)))
+            self._grown()
+        else:
+            self.size += found.count()
+        self.known[unit] = found
         return found
 
+    def drawn(self, unit: str, first: int, key: int) -> bytes:
+        """The packed pieces of one occurrence, whose first skip is at step ``first``."""
+        if len(unit) > LONG_UNIT:  # hardly the same twice
+            return self._run(unit, skips(key, self.dropout, first)).packed
+        at = self.known.get(unit) or self.plain(unit)
+        if first >= at.steps:
+            return at.packed
+        done: list[int] = []
+        for step in skips(key, self.dropout, first):
+            if step >= at.steps:
+                break
+            done.append(step)
+            if at.later is None:
+                at.later = {}
+            found = at.later.get(step)
+            if found is None:
+                found = at.later[step] = self._run(unit, iter((*done, _NEVER)))
+                self._grown()
+            at = found
+        return at.packed
+
     def encode(self, text: str, doc_id: int | None = None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
         units = _UNIT.findall(" " + text)  # the model puts a space before every text
-        place = np.arange(len(units), dtype=np.uint64)
         salt = bs.mix(np.array([(doc_id or 0) % 2**64 ^ self.seed << 40], np.uint64))
-        chosen = (bs.mix(place + salt) % np.uint64(self.variants)).tolist()
-        return np.frombuffer(b"".join([self.known[v].get(u) or self.unit(u, v) for u, v in zip(units, chosen, strict=True)]), self.kind)
+        keys = bs.mix(np.arange(len(units), dtype=np.uint64) + salt)
+        if self.variants:
+            keys = bs.mix(keys % np.uint64(self.variants) + np.uint64(self.seed << 40))
+        first = first_skips(keys, self.dropout)
+        out: list[bytes] = []
+        get, drawn = self.known.get, self.drawn
+        for unit, step, key in zip(units, first.tolist(), keys.tolist(), strict=True):
+            found = get(unit)
+            if found is not None and step >= found.steps:
+                out.append(found.packed)
+            else:
+                out.append(drawn(unit, step, key))
+                get = self.known.get  # a full generation is replaced
+        return np.frombuffer(b"".join(out), self.kind)
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> Encoder:
+def encoder(path: str, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED) -> Encoder:
     """One encoder a process and setting."""
     key = (path, dropout, variants, seed)
     if key not in _encoders:
@@ -216,7 +313,7 @@ def encoder(path: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed:
     return _encoders[key]
 
 
-def with_pieces(documents: DataFrame, model: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def with_pieces(documents: DataFrame, model: str, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows with their ``pieces`` in place of ``text``; ``model`` is a path on all executors."""
     ship(documents.sparkSession)
     others = [c for c in documents.columns if c not in ("text", "pieces")]
@@ -261,7 +358,7 @@ def _ranges(column: pa.Array, most: int = bs.SLICE_BYTES) -> Iterator[tuple[int,
         begin = end
 
 
-def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, n_pieces, pieces_sha256, lossless): the encoding of every document, decoded again and compared.
 
     ``pieces_sha256`` is over the piece numbers as 32-bit little-endian integers.

@@ -311,6 +311,42 @@ def test_dropout_is_lossless_varied_and_repeatable(spark, awkward, empty):
     assert merge_dropout.round_trip(empty, path).count() == 0
 
 
+def test_dropout_draws_anew_at_every_occurrence():
+    """The segmentations of a frequent word have the frequencies of one draw a step, by direct simulation."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    enc, n = merge_dropout.encoder(path), 20_000
+    pieces, word = enc.pieces, " together"
+    got = enc.encode(" ".join([word[1:]] * n), 5).tolist()
+    rng, cut, want = np.random.default_rng(3), collections.Counter(), collections.Counter()
+    current = []
+    for i in got:
+        if pieces.text[i].startswith(merge_dropout.MARK) and current:
+            cut[tuple(current)] += 1
+            current = []
+        current.append(i)
+    cut[tuple(current)] += 1
+    assert sum(cut.values()) == n
+    for _ in range(n):
+        ids, dead = [pieces.id[merge_dropout.MARK if c == " " else c] for c in word], set()
+        while True:
+            some = [(pieces.pairs[a << 20 | b], k) for k, (a, b) in enumerate(zip(ids, ids[1:])) if a << 20 | b in pieces.pairs and (k, len(ids), a, b) not in dead]
+            if not some:
+                break
+            (_, merged), k = min(some, key=lambda x: (x[0][0], x[1]))
+            if rng.random() < merge_dropout.DROPOUT:
+                dead.add((k, len(ids), ids[k], ids[k + 1]))
+                continue
+            # a skipped pair stays skipped while it stands, wherever it moves
+            dead = {(j - (j > k), len(ids) - 1, a, b) for j, _, a, b in dead if j not in (k - 1, k + 1)}
+            ids[k : k + 2] = [merged]
+        want[tuple(ids)] += 1
+    assert len(cut) > 10 and all(abs(cut[k] - want[k]) < 6 * math.sqrt(cut[k] + want[k]) for k in cut | want)
+    # what a worker remembers decides nothing
+    fresh = merge_dropout.Encoder(path, merge_dropout.DROPOUT, None, merge_dropout.SEED)
+    text = "a 日本 " + prose(8, 50) + "x" * 150 + " together" * 30
+    assert fresh.encode(text, 9).tolist() == enc.encode(text, 9).tolist() == fresh.encode(text, 9).tolist()
+
+
 def test_short_and_long_agendas_agree():
     pieces = merge_dropout.encoder(public_tokenizers.path("piece_bpe_32k.model")).pieces
     for seed in range(20):
