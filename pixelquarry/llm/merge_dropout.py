@@ -1,33 +1,30 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
-A text is cut into units, each a run of spaces with the characters up to the next space, and these
-where two characters never stand side by side in a piece; no piece of the vocabulary crosses a
-unit, so units are merged on their own. Candidate merges wait in an
-agenda by piece score, then position. Each one that is taken up is a step, and a keyed hash of
-(seed, doc_id, place of the unit in the text, step) decides whether it is skipped; a skipped merge may
-come up again only with other neighbours. With probability 0 the result is the library's encoding.
-
-Every occurrence has draws of its own, so a word can be cut in all ways that skips allow, however
-often it occurs. The draws are made as distances between skipped steps (geometric numbers), which is
-the same as one draw a step. The pieces follow from the unit and its skipped steps alone, so workers
-remember them by these; what is remembered never decides a draw. The same seed always gives the
-same pieces. With ``variants``, occurrences share the draws of so many keys.
+A text is cut into units where two characters never stand side by side in a piece: no merge
+crosses there, so units are merged on their own. Candidate merges of a unit wait in an agenda by
+piece score, then position. Each one that is taken up is a step, and a keyed hash of (seed, doc_id,
+place of the unit in the text, step) decides whether it is skipped; a skipped merge may come up
+again only with other neighbours. With probability 0 the result is the library's encoding.
+
+Every occurrence of a word has draws of its own, so it can be cut in all ways that skips allow,
+however often it occurs; nothing is remembered between texts. The units of a slice of documents go
+through their steps together, one numpy operation for all of them: an agenda is a column of a
+table of ranks, and its least entry is the next merge. Units of over ``LONG_UNIT`` characters have
+a heap of their own instead. The same seed always gives the same pieces, however the rows are dealt.
 
 Characters without a piece become byte pieces. The space mark itself (U+2581) is written as byte
 pieces too, so that decoding gives back every text exactly.
 
 Defined cases: a null or empty text has no pieces; a null doc_id takes the place of 0; lone
 surrogates cannot occur in Spark strings; repeated rows get equal pieces. Very long units are
-merged in n log n. Whole texts are encoded. Other columns are ignored.
+merged in n log n. Whole texts are encoded, long ones in ranges that end between units. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import math
-import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,61 +40,55 @@ from pixelquarry.session import ship
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 17
-#: Outcomes that a worker remembers: two generations of so many. A full generation replaces the
-#: older one, so units that come up often stay.
-CACHE_OUTCOMES = 500_000
-#: Units of more characters are not remembered.
-LONG_UNIT = 32
-
-_UNIT = re.compile(" +[^ \n]*|[^ \n]+|\n")
-
-
-_NONE = (1 << 62, -1)
-
-
-#: A step that no merge reaches.
-_NEVER = 1 << 40
-
-
-def first_skips(keys: np.ndarray, dropout: float) -> np.ndarray:
-    """The first skipped step of each key: geometric, as if every step were skipped by a draw of its own."""
-    if dropout <= 0:
-        return np.full(len(keys), _NEVER)
-    if dropout >= 1:
-        return np.zeros(len(keys), np.int64)
-    u = ((bs.mix(keys) >> np.uint64(11)) + 1.0) * 2.0**-53
-    return np.minimum(np.log(u) / math.log1p(-dropout), _NEVER).astype(np.int64)
-
-
-def skips(key: int, dropout: float, first: int | None = None) -> Iterator[int]:
-    """All skipped steps of a key in turn, without end."""
-    step = int(first_skips(np.array([key], np.uint64), dropout)[0]) if first is None else first
-    over = math.log1p(-dropout) if 0 < dropout < 1 else 0.0
-    while step < _NEVER:
-        yield step
-        key = h = key + 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-        step += 1 + (int(math.log(((h ^ h >> 31) >> 11) * 2.0**-53 + 2.0**-53) / over) if over else 0)
-    while True:
-        yield _NEVER
-
-
-class Draws:
-    """Counts the steps of a unit and says which are skipped."""
-
-    __slots__ = ("step", "next", "later")
-
-    def __init__(self, skips: Iterator[int]):
-        self.step, self.later = 0, skips
-        self.next = next(skips)
-
-    def skipped(self) -> bool:
-        self.step += 1
-        if self.step <= self.next:
-            return False
-        self.next = next(self.later)
-        return True
+#: Units of more characters are merged with a heap; positions of the others take 6 bits.
+LONG_UNIT = 64
+#: Characters that are merged together.
+RANGE_CHARS = 400_000
+
+_NONE = np.int32(2**31 - 1)
+_GONE = np.int32(-2)
+_STEP = 0x9E3779B97F4A7C15
+_ALL = (1 << 64) - 1
+
+
+def unit_keys(doc_ids: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
+    """The key of each unit's draws: by seed, document and the unit's first character in the text."""
+    return bs.mix(places.astype(np.uint64) + bs.mix(doc_ids.astype(np.int64).view(np.uint64) ^ np.uint64(seed << 40 & _ALL)))
+
+
+def skipped(keys: np.ndarray, step: int, dropout: float) -> np.ndarray:
+    """Whether the step is skipped, for each key: one draw a step."""
+    return (bs.mix(keys + np.uint64((step + 1) * _STEP & _ALL)) >> np.uint64(11)) * 2.0**-53 < dropout
+
+
+class Pairs:
+    """The row of each pair of pieces that merge: hashed slots, those that clash in a further table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        rows, bits = np.arange(len(keys), dtype=np.int32), max(4, int(len(keys)).bit_length() + 3)
+        while len(rows):
+            factor = np.uint64(bs.mix(np.array([len(self.tables) + 1], np.uint64))[0] | np.uint64(1))
+            slots, at = np.full(1 << bits, -1, np.int32), (keys[rows] * factor) >> np.uint64(64 - bits)
+            slots[at] = rows
+            self.tables.append((factor, np.uint64(64 - bits), slots))
+            rows = rows[slots[at] != rows]
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Row of each pair, -1 for pairs that do not merge; pieces below 0 merge with none."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        out = np.full(len(keys), -1, np.int32)
+        at = slice(None)
+        for factor, shift, slots in self.tables:
+            some = keys[at]
+            row = slots[(some * factor) >> shift]
+            good = self.keys[row] == some  # an empty slot reads the last key, which has no empty slot itself
+            out[at] = np.where(good, row, -1)
+            clash = np.flatnonzero(~good & (row >= 0))
+            if not len(clash):
+                break
+            at = clash if isinstance(at, slice) else at[clash]
+        return out
 
 
 class Pieces:
@@ -109,256 +100,229 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.vocab_size()
         self.text = [model.id_to_piece(i) for i in range(size)]
-        self.byte = {int(self.text[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        byte_of = {i: b for b, i in self.byte.items()}
-        # what each piece decodes to, byte pieces as Python's escapes of raw bytes
-        self.plain = [
-            bytes([byte_of[i]]).decode("utf-8", "surrogateescape") if i in byte_of else t.replace(MARK, " ") for i, t in enumerate(self.text)
-        ]
+        byte_of = {i: int(self.text[i][3:5], 16) for i in range(size) if model.is_byte(i)}
+        self.byte = np.zeros(256, np.int32)
+        self.byte[list(byte_of.values())] = list(byte_of)
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.id = {self.text[i]: i for i in plain}
-        self.score = {self.text[i]: model.get_score(i) for i in plain}
-
-        self.beside = {t[k : k + 2] for t in self.id for k in range(len(t) - 1)}
-        order = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
-        self.rank = {t: order[x] for t, x in self.score.items()}
-        self.pairs: dict[int, tuple[int, int]] = {}
+        # characters: a number for each that occurs in a piece (0: none), and its own piece
+        chars = sorted(set("".join(self.id)))
+        self.number = np.zeros(0x110000, np.int16 if len(chars) < 1 << 15 else np.int32)
+        self.number[[ord(" " if c == MARK else c) for c in chars]] = np.arange(1, len(chars) + 1)
+        if " " not in chars:
+            self.number[ord(MARK)] = 0  # a mark of the text itself has no piece, so that it is written as bytes
+        self.single = np.array([-1, *(self.id.get(c, -1) for c in chars)], np.int32)
+        place = {c: k for k, c in enumerate(chars, 1)}
+        self.beside = np.zeros((len(chars) + 1,) * 2, bool)
+        for t in self.id:
+            for a, b in zip(t, t[1:]):
+                self.beside[place[a], place[b]] = True
+        # merges: rank (equal scores share one) and resulting piece
+        order = {x: k for k, x in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
+        merges = {}
         for t, i in self.id.items():
             for cut in range(1, len(t)):
                 a, b = self.id.get(t[:cut]), self.id.get(t[cut:])
                 if a is not None and b is not None:
-                    self.pairs[a << 20 | b] = (self.rank[t], i)
-
-    def parts(self, unit: str) -> list[str]:
-        """The unit cut where two characters never stand side by side in a piece: no merge crosses there."""
-        marked, beside = unit.replace(" ", MARK), self.beside
-        cuts = [k for k, pair in enumerate(map("".join, zip(marked, marked[1:])), 1) if pair not in beside]
-        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])] if cuts else [unit]
-
-    def merge(self, unit: str, draws: Draws) -> list[int]:
-        """Pieces of one unit, spaces written as the mark, with merges skipped as drawn."""
-        # a mark of the text itself has no piece, so that it is written as bytes
-        ids = [-1 if c == MARK else self.id.get(MARK if c == " " else c, -1) for c in unit]
-        starts = list(range(len(ids)))
-        (self._merge_long if len(ids) > 100 else self._merge_short)(ids, starts, draws=draws)
-        out: list[int] = []
-        for i, at in zip(ids, starts, strict=True):
-            out += [i] if i >= 0 else [self.byte[b] for b in unit[at].encode()]
-        return out
-
-    def _merge_short(self, ids: list[int], starts: list[int], threshold: int = 0, key: int = 0, draws: Draws | None = None) -> None:
-        """The agenda as a list of ranks beside the pieces: the least rank, leftmost, is next.
-
-        Draws that are not given are those of the key, a step being skipped with threshold / 2^32.
-        """
-        draws = draws or Draws(skips(key, threshold / 2**32))
-        get, none, step, skip = self.pairs.get, _NONE[0], draws.step, draws.next
-        # a piece that is missing (-1) makes a key that no pair has
-        found = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
-        ranks = [r for r, _ in found]
-        while ranks:
-            least = min(ranks)
-            if least == none:
-                break
-            i = ranks.index(least)
-            merged = found[i][1]
+                    merges[a << 32 | b] = (order[model.get_score(i)], i)
+        self.merges = merges
+        self.pairs = Pairs(np.array(list(merges), np.uint64))
+        self.rank = np.array([r for r, _ in merges.values()], np.int32)
+        self.into = np.array([i for _, i in merges.values()], np.int32)
+        # what each piece decodes to
+        raw = [bytes([byte_of[i]]) if i in byte_of else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in raw], np.int64)
+        self.raw_from = np.cumsum(self.raw_size) - self.raw_size
+
+    def merge(self, ids: np.ndarray, begins: np.ndarray, keys: np.ndarray, dropout: float) -> None:
+        """Merge units in place: ``ids`` of characters end to end, units from ``begins``; merged-away places are ``_GONE``."""
+        ends = np.append(begins[1:], len(ids))
+        size = ends - begins
+        for i in np.flatnonzero(size > LONG_UNIT):
+            self._merge_long(ids[begins[i] : ends[i]], keys[i], dropout)
+        found = self.pairs.find(ids[:-1], ids[1:])
+        left, right = np.arange(-1, len(ids) - 1), np.arange(1, len(ids) + 1)
+        shortest = 2
+        for widest in (4, 8, 16, LONG_UNIT):
+            own = np.flatnonzero((size >= shortest) & (size <= widest))
+            own = own[np.argsort(-size[own], kind="stable")]
+            shortest = widest + 1
+            if len(own):
+                self._merge_units(ids, begins[own], ends[own], keys[own], dropout, found, left, right)
+
+    def _merge_units(self, ids, begin, end, key, dropout, found, left, right) -> None:
+        """The agendas of some units, the longest first, side by side: entry (c, u) is the rank of unit u's pair at c, and c."""
+        width = int(end[0] - begin[0])
+        agenda = np.full((width - 1, len(begin)), _NONE, np.int32)
+        for c in range(width - 1):
+            n = int(np.searchsorted(begin - end, -c - 1, side="left"))  # units of more than c + 1 characters
+            row = found[begin[:n] + c]
+            agenda[c, :n] = np.where(row >= 0, self.rank[row] << 6 | c, _NONE)
+        step = 0
+        while len(begin):
+            least = agenda.min(axis=0)
+            live = np.flatnonzero(least != _NONE)
+            if len(live) < 0.75 * len(begin):  # units that are done leave
+                begin, end, key, agenda, least = begin[live], end[live], key[live], agenda[:, live], least[live]
+                live = np.arange(len(live))
+            skip = skipped(key[live], step, dropout) if dropout > 0 else np.zeros(len(live), bool)
             step += 1
-            if step > skip:  # Draws.skipped, inline
-                skip = next(draws.later)
-                ranks[i] = none
-                continue
-            ids[i] = merged
-            j = i + 1
-            del ids[j], starts[j], ranks[i], found[i]
-            if i:
-                found[i - 1] = new = get(ids[i - 1] << 20 | merged, _NONE)
-                ranks[i - 1] = new[0]
-            if j < len(ids):
-                found[i] = new = get(merged << 20 | ids[j], _NONE)
-                ranks[i] = new[0]
-        draws.step, draws.next = step, skip
-
-    def _merge_long(self, ids: list[int], starts: list[int], threshold: int = 0, key: int = 0, draws: Draws | None = None) -> None:
-        """The same with a heap and linked pieces, in n log n."""
-        draws = draws or Draws(skips(key, threshold / 2**32))
-        n = len(ids)
+            c = least[live] & 63
+            agenda[c, live] = _NONE
+            u, c = live[~skip], c[~skip]
+            b = begin[u]
+            p = b + c
+            q = right[p]
+            ids[p], ids[q] = self.into[found[p]], _GONE
+            after = right[q]
+            right[p] = after
+            agenda[np.minimum(q - b, width - 2), u] = _NONE  # the last character has no entry of its own; before it stands p or one that is gone
+            inner, before = np.flatnonzero(after < end[u]), left[p]
+            left[after[inner]] = p[inner]
+            outer = np.flatnonzero(before >= b)
+            at = np.concatenate((p[inner], before[outer]))
+            row = self.pairs.find(ids[at], np.concatenate((ids[after[inner]], ids[p[outer]])))
+            found[at] = row
+            of = np.concatenate((inner, outer))
+            place = (at - b[of]).astype(np.int32)
+            agenda[place, u[of]] = np.where(row >= 0, self.rank[row] << 6 | place, _NONE)
+
+    def _merge_long(self, ids: np.ndarray, key: np.uint64, dropout: float) -> None:
+        """The same for one unit, with a heap and linked places, in n log n."""
+        n, own = len(ids), ids.tolist()
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and ids[i] >= 0 and ids[after[i]] >= 0:
-                rank, merged = self.pairs.get(ids[i] << 20 | ids[after[i]], _NONE)
+            if i >= 0 and after[i] < n and own[i] >= 0 and own[after[i]] >= 0:
+                rank, merged = self.merges.get(own[i] << 32 | own[after[i]], (0, -1))
                 if merged >= 0:
-                    heapq.heappush(agenda, (rank, i, merged, ids[i], ids[after[i]]))
+                    heapq.heappush(agenda, (rank, i, merged, own[i], own[after[i]]))
 
         for i in range(n - 1):
             offer(i)
-        gone = [False] * n
+        step, some, keys = 0, [], np.array([key])
         while agenda:
             _, i, merged, a, b = heapq.heappop(agenda)
             j = after[i]
-            if gone[i] or j >= n or ids[i] != a or ids[j] != b or draws.skipped():
+            if own[i] != a or j >= n or own[j] != b:
                 continue
-            ids[i], gone[j], after[i] = merged, True, after[j]
+            if step >= len(some):  # draws of the next steps
+                some += [bool(skipped(keys, s, dropout)[0]) for s in range(step, step + 64)] if dropout > 0 else [False] * (n + 1)
+            step += 1
+            if some[step - 1]:
+                continue
+            own[i], own[j], after[i] = merged, int(_GONE), after[j]
             if after[i] < n:
                 before[after[i]] = i
             offer(before[i])
             offer(i)
-        left = [i for i in range(n) if not gone[i]]
-        ids[:], starts[:] = [ids[i] for i in left], left
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of pieces: byte pieces are read as UTF-8, marks as spaces; the first mark was added."""
-        joined = "".join(map(self.plain.__getitem__, ids))
-        return joined.encode("utf-8", "surrogateescape").decode()[1:]
-
-
-class Outcome:
-    """A unit's packed pieces where the merges of some steps are skipped, the number of steps, and outcomes with one later skip more."""
-
-    __slots__ = ("steps", "packed", "later")
-
-    def __init__(self, steps: int, packed: bytes):
-        self.steps, self.packed = steps, packed
-        self.later: dict[int, Outcome] | None = None
-
-    def count(self) -> int:
-        return 1 + sum(x.count() for x in (self.later or {}).values())
-
-
-class Encoder:
-    """Encodes texts unit by unit, remembering the outcomes of units by their skipped steps."""
-
-    def __init__(self, path: str, dropout: float, variants: int | None, seed: int):
-        self.pieces = Pieces(path)
-        self.dropout, self.seed, self.variants = dropout, seed, variants
-        self.code = "H" if len(self.pieces.text) <= 1 << 16 else "I"
-        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.known: dict[str, Outcome] = {}
-        self.older: dict[str, Outcome] = {}
-        self.size = 0
-
-    def _run(self, unit: str, skips: Iterator[int]) -> Outcome:
-        draws, ids = Draws(skips), []
-        for part in self.pieces.parts(unit):  # the steps of the parts follow each other
-            ids += self.pieces.merge(part, draws)
-        return Outcome(draws.step, struct.pack(f"<{len(ids)}{self.code}", *ids))
-
-    def _grown(self) -> None:
-        self.size += 1
-        if self.size > CACHE_OUTCOMES:
-            self.older, self.known, self.size = self.known, {}, 0
-
-    def plain(self, unit: str) -> Outcome:
-        """The outcome without skips."""
-        found = self.older.get(unit)
-        if found is None:
-            found = self._run(unit, iter((_NEVER,)))
-            self._grown()
-        else:
-            self.size += found.count()
-        self.known[unit] = found
-        return found
-
-    def drawn(self, unit: str, first: int, key: int) -> bytes:
-        """The packed pieces of one occurrence, whose first skip is at step ``first``."""
-        if len(unit) > LONG_UNIT:  # hardly the same twice
-            return self._run(unit, skips(key, self.dropout, first)).packed
-        at = self.known.get(unit) or self.plain(unit)
-        if first >= at.steps:
-            return at.packed
-        done: list[int] = []
-        for step in skips(key, self.dropout, first):
-            if step >= at.steps:
-                break
-            done.append(step)
-            if at.later is None:
-                at.later = {}
-            found = at.later.get(step)
-            if found is None:
-                found = at.later[step] = self._run(unit, iter((*done, _NEVER)))
-                self._grown()
-            at = found
-        return at.packed
-
-    def encode(self, text: str, doc_id: int | None = None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.kind)
-        units = _UNIT.findall(" " + text)  # the model puts a space before every text
-        salt = bs.mix(np.array([(doc_id or 0) % 2**64 ^ self.seed << 40], np.uint64))
-        keys = bs.mix(np.arange(len(units), dtype=np.uint64) + salt)
-        if self.variants:
-            keys = bs.mix(keys % np.uint64(self.variants) + np.uint64(self.seed << 40))
-        first = first_skips(keys, self.dropout)
-        out: list[bytes] = []
-        get, drawn = self.known.get, self.drawn
-        for unit, step, key in zip(units, first.tolist(), keys.tolist(), strict=True):
-            found = get(unit)
-            if found is not None and step >= found.steps:
-                out.append(found.packed)
-            else:
-                out.append(drawn(unit, step, key))
-                get = self.known.get  # a full generation is replaced
-        return np.frombuffer(b"".join(out), self.kind)
-
-
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED) -> Encoder:
-    """One encoder a process and setting."""
-    key = (path, dropout, variants, seed)
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
-
-
-def with_pieces(documents: DataFrame, model: str, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED) -> DataFrame:
+        ids[:] = own
+
+    def encode(self, codes: np.ndarray, docs: np.ndarray, places: np.ndarray, doc_ids: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, document of each) of code points: ``docs`` and ``places`` say whose they are and where they stand there."""
+        number = self.number[codes]
+        opens = np.ones(len(codes), bool)
+        opens[1:] = ~self.beside[number[:-1], number[1:]] | (docs[1:] != docs[:-1])
+        begins, out, of = np.flatnonzero(opens), [], []
+        first = 0
+        while first < len(begins):
+            last = max(first + 1, int(np.searchsorted(begins, begins[first] + RANGE_CHARS, side="right")) - 1) if begins[-1] > begins[first] + RANGE_CHARS else len(begins)
+            a, b = int(begins[first]), int(begins[last]) if last < len(begins) else len(codes)
+            ids, own = self.single[number[a:b]], begins[first:last]
+            self.merge(ids, own - a, unit_keys(doc_ids[docs[own]], places[own], seed), dropout)
+            left = np.flatnonzero(ids != _GONE)
+            ids, whose, bare = ids[left], docs[a:b][left], np.flatnonzero(ids[left] < 0)
+            if len(bare):  # byte pieces
+                code = codes[a:b][left[bare]]
+                size = np.ones(len(ids), np.int64)
+                size[bare] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+                raw = np.frombuffer(code.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+                missing = np.repeat(ids < 0, size)
+                ids, whose = np.repeat(ids, size), np.repeat(whose, size)
+                ids[missing] = self.byte[raw]
+            out.append(ids)
+            of.append(whose)
+            first = last
+        return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def encode_rows(self, texts: pa.Array, doc_ids: pa.Array, dropout: float, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, pieces, number of pieces of each row) of consecutive row ranges."""
+        for begin, end, pack in bs.slices(texts, filler=0x20):  # the model puts a space before every text
+            codes = np.frombuffer(pack.buf[:-1].tobytes().decode().encode("utf-32-le"), "<u4")
+            point = np.cumsum((pack.buf & 0xC0) != 0x80) - 1  # the character of each byte
+            start = point[pack.first - 1]
+            docs = np.repeat(np.arange(pack.n), np.diff(np.append(start, len(codes))))
+            places = np.arange(len(codes)) - start[docs]
+            full = (pack.last > pack.first)[docs]  # an empty text has no space before it
+            ids = doc_ids[begin:end].cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            pieces, of = self.encode(codes[full], docs[full], places[full], ids, dropout, seed)
+            yield begin, end, pieces, np.bincount(of, minlength=pack.n)
+
+    def decode_rows(self, pieces: np.ndarray, count: np.ndarray) -> pa.Array:
+        """The texts of rows of so many pieces each: byte pieces are read as UTF-8, marks as spaces; the first mark was added."""
+        size = self.raw_size[pieces]
+        at = np.arange(size.sum()) + np.repeat(self.raw_from[pieces] - (np.cumsum(size) - size), size)
+        last = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
+        some = np.flatnonzero(np.diff(last) > 0)
+        buf = np.delete(self.raw[at], last[some])
+        ends = last - np.concatenate(([0], np.cumsum(np.diff(last) > 0)))
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf)])
+        return raw.cast(pa.large_string())
+
+    def encode_text(self, text: str | None, doc_id: int | None = None, dropout: float = DROPOUT, seed: int = SEED) -> np.ndarray:
+        """The pieces of one text."""
+        return next(self.encode_rows(pa.array([text], pa.large_string()), pa.array([doc_id], pa.int64()), dropout, seed))[2]
+
+
+_vocabularies: dict[str, Pieces] = {}
+
+
+def vocabulary(path: str) -> Pieces:
+    """One a process and model."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Pieces(path)
+    return _vocabularies[path]
+
+
+def _lists(pieces: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(pieces.astype(np.int32)))
+
+
+def with_pieces(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """The rows with their ``pieces`` in place of ``text``; ``model`` is a path on all executors."""
     ship(documents.sparkSession)
     others = [c for c in documents.columns if c not in ("text", "pieces")]
     schema = T.StructType([*(documents.schema[c] for c in others), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model, dropout, variants, seed)
+        words = vocabulary(model)
         for batch in batches:
-            for begin, end in _ranges(batch.column("text")):
+            for begin, end, pieces, count in words.encode_rows(batch.column("text"), batch.column("doc_id"), dropout, seed):
                 part = batch.slice(begin, end - begin)
-                rows = [enc.encode(t, i) for t, i in zip(part.column("text").to_pylist(), part.column("doc_id").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*map(part.column, others), _lists(rows)], [*others, "pieces"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, others), _lists(pieces, count)], [*others, "pieces"])
 
     return documents.drop("pieces").mapInArrow(run, schema)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)))
-
-
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of encoded documents; a null piece list decodes to null."""
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoder(model, 0.0, 1, 0).pieces
+        words = vocabulary(model)
         for batch in batches:
-            texts = [None if ids is None else pieces.decode(ids) for ids in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            lists = batch.column("pieces")
+            count = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = words.decode_rows(lists.flatten().to_numpy(zero_copy_only=False), count)
+            texts = pc.if_else(lists.is_null(), pa.scalar(None, pa.large_string()), texts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts.cast(pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "pieces").mapInArrow(run, "doc_id long, text string")
 
 
-def _ranges(column: pa.Array, most: int = bs.SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of bounded bytes."""
-    size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
-    begin = 0
-    while begin < len(column):
-        end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:]), most, side="right")))
-        yield begin, min(end, len(column))
-        begin = end
-
-
-def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED) -> DataFrame:
+def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_pieces, pieces_sha256, lossless): the encoding of every document, decoded again and compared.
 
     ``pieces_sha256`` is over the piece numbers as 32-bit little-endian integers.
@@ -366,17 +330,18 @@ def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, varia
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model, dropout, variants, seed)
+        words = vocabulary(model)
         for batch in batches:
-            for begin, end in _ranges(batch.column("text")):
-                ids = batch.column("doc_id")[begin:end]
-                n, digest, same = [], [], []
-                for text, i in zip(batch.column("text")[begin:end].to_pylist(), ids.to_pylist(), strict=True):
-                    row = enc.encode(text, i)
-                    n.append(len(row))
-                    digest.append(hashlib.sha256(row.astype("<i4")).hexdigest())
-                    same.append(enc.pieces.decode(row.tolist()) == (text or ""))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(same)], ["doc_id", "n_pieces", "pieces_sha256", "lossless"])
+            texts, ids = batch.column("text"), batch.column("doc_id")
+            for begin, end, pieces, count in words.encode_rows(texts, ids, dropout, seed):
+                given = texts[begin:end].cast(pa.large_string()).fill_null("")
+                last = np.cumsum(count)
+                raw = pieces.astype("<i4")
+                digest = [hashlib.sha256(raw[b - n : b]).hexdigest() for b, n in zip(last.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids[begin:end], pa.array(count, pa.int64()), pa.array(digest, pa.string()), pc.equal(words.decode_rows(pieces, count), given)],
+                    ["doc_id", "n_pieces", "pieces_sha256", "lossless"],
+                )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_pieces long, pieces_sha256 string, lossless boolean"
