@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark so that any store works."""
@@ -18,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made and
-    handed to the context, so that ``DataFrame.checkpoint`` works too.
+    Only where the setting is absent in local mode (single-machine tests) a temporary folder is made,
+    handed to the context, so that ``DataFrame.checkpoint`` works too, and removed at exit. A cluster
+    without the setting is an error: executors would not see each other's files.
     """
     sc = spark.sparkContext
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(set_by_cluster)
         return set_by_cluster
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pixelquarry-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="pixelquarry-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -38,9 +49,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: lineage is cut, and their size is known to later joins."""
+    place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4()}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to Python workers once per context, for functions run on executors."""
+    """Send this package to Python workers once per context, for functions run on executors.
+
+    Batches for Python workers are bounded by bytes too, unless the session has a bound of its own:
+    Spark's is 64 MB, held by the JVM and by the worker for each task.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(_BATCH_BYTES, "8m")
     if getattr(sc, "_pixelquarry_shipped", False):
         return
     root = Path(__file__).resolve().parent
