@@ -12,16 +12,20 @@ documents agree there with probability equal to their weighted Jaccard similarit
 Documents with equal texts are one node. Nodes that agree on a band of ``ROWS`` coordinates share a
 bucket. First every node of a bucket is compared to the bucket's least node (a star, never all
 pairs); similarities are exact, on the shingles themselves, and pairs of ``SIMILARITY`` or more are
-links. Where a bucket still holds two components, a second star is drawn around its most typical
-node; then every pair that still lies in two components is compared, so no link
-between bucket mates is lost; left out are only pairs that cannot be links, by a bound from the
-shingles that a node shares with none of the others. Classes are the connected components of the links.
+links. Where a bucket still holds two components, nodes that can reach nobody are left out (a bound
+from the shingles that a node shares with none of the others), and the others are written down as
+their difference from the bucket's most typical node, its hub: the shingles that only one of the two has.
+Nodes linked to the hub are one component, so a link that is still missing has an end that is too far
+from the hub; then the two differences must share a good part of their shingles, and only pairs
+that share one of the rarest of them (a prefix filter) are compared, by their differences. So what many
+nodes have in common is never a join key, and no link between bucket mates is lost.
+Classes are the connected components of the links.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^26 < 4e-5.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one shingle; a null text or
-one without words matches nothing. A node is known by a 64-bit hash of its text; of rows with equal
-texts all are in one class. Rows without an id take part like all others. Rows that share an id
+one without words matches nothing. Texts are the same if half of their SHA-256 is, and then
+in one class. Rows without an id take part like all others. Rows that share an id
 but not the text are different documents of that id. A class is known by its component, a node;
 its class id is the least doc_id in it, null if all its rows are without ids, so that rows of class
 id null may be of different classes. Other columns are ignored.
@@ -30,17 +34,16 @@ id null may be of different classes. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import bytescan as bs
-from pixelquarry.session import shared_dir, ship
+from pixelquarry.session import settled, ship
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -81,11 +84,7 @@ def shingles(pack: bs.Pack, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: lineage is cut, and their size is known to later joins."""
-    spark = df.sparkSession
-    place = f"{shared_dir(spark)}/near-duplicates-{uuid.uuid4()}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return settled(df, "near-duplicates")
 
 
 def _cells(expected: float) -> int:
@@ -165,8 +164,13 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def text_digest(text: str = "text") -> Column:
+    """128 bits of the SHA-256 of a text; null for a null text."""
+    return F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32))
+
+
 def sketches(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, node, weight, keys): text hash, number of shingles and bucket keys of every document."""
+    """(doc_id, digest, weight, keys): text hash, number of shingles and bucket keys of every document."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,47 +180,139 @@ def sketches(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width:
                 keys = band_keys(signatures, bands, rows).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(pack.n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[begin:end], batch.column("node")[begin:end], pa.array(weight.astype(np.int64)), flat],
-                    ["doc_id", "node", "weight", "keys"],
+                    [batch.column("doc_id")[begin:end], batch.column("digest")[begin:end], pa.array(weight.astype(np.int64)), flat],
+                    ["doc_id", "digest", "weight", "keys"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text").mapInArrow(
-        run, "doc_id long, node long, weight long, keys array<long>"
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text").mapInArrow(
+        run, "doc_id long, digest binary, weight long, keys array<long>"
     )
 
 
+def _units(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, unit) of every unit of weight, and the weight of every row."""
+    (_, _, pack), = bs.slices(texts, most=1 << 60)
+    docs, hashes, occurrence = shingles(pack, width)
+    return docs, bs.mix(hashes + bs.mix(occurrence.astype(np.uint64) + np.uint64(1))), np.bincount(docs, minlength=pack.n)
+
+
 def similarity(left: pa.Array, right: pa.Array, width: int = SHINGLE) -> np.ndarray:
     """Weighted Jaccard similarity of the shingle multisets of each row's two texts."""
-    sides = []
-    for column in (left, right):
-        (_, _, pack), = bs.slices(column, most=1 << 60)
-        docs, hashes, occurrence = shingles(pack, width)
-        keys = bs.mix(hashes + bs.mix(occurrence.astype(np.uint64) + np.uint64(1))) ^ bs.mix(docs.astype(np.uint64))
-        sides.append((docs, keys, np.bincount(docs, minlength=pack.n)))
-    (docs, keys, n), (_, other, m) = sides
-    _, at, _ = np.intersect1d(keys, other, assume_unique=True, return_indices=True)
+    (docs, units, n), (others, theirs, m) = _units(left, width), _units(right, width)
+    _, at, _ = np.intersect1d(units ^ bs.mix(docs.astype(np.uint64)), theirs ^ bs.mix(others.astype(np.uint64)), assume_unique=True, return_indices=True)
     both = np.bincount(docs[at], minlength=len(n))
     return both / np.maximum(n + m - both, 1)
 
 
+def differences(left: pa.Array, right: pa.Array, width: int = SHINGLE) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of each row's two texts: the units that only one of them has, as a list, and both weights."""
+    (docs, units, n), (others, theirs, m) = _units(left, width), _units(right, width)
+    rows, keys = np.concatenate((docs, others)), np.concatenate((units, theirs))
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    twice = np.zeros(len(rows), bool)
+    twice[1:] = (rows[1:] == rows[:-1]) & (keys[1:] == keys[:-1])
+    twice[:-1] |= twice[1:].copy()
+    ends = np.concatenate(([0], np.cumsum(np.bincount(rows[~twice], minlength=len(n))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[~twice].view(np.int64))), n, m
+
+
+def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the texts of both."""
+    return pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+    ).select("a", "b", "text_a", "text_b")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of pairs with bounded bytes of text."""
+    for batch in batches:
+        size = np.asarray(pc.binary_length(batch.column("text_a"))) + np.asarray(pc.binary_length(batch.column("text_b")))
+        begin = 0
+        while begin < len(batch):
+            end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:].astype(np.int64)), bs.SLICE_BYTES, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
     """The pairs (a, b) whose texts reach the similarity; the texts are joined to them by node."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.asarray(pc.binary_length(batch.column("text_a"))) + np.asarray(pc.binary_length(batch.column("text_b")))
-            begin = 0
-            while begin < len(batch):  # bounded slices, by bytes
-                end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:].astype(np.int64)), bs.SLICE_BYTES, side="right")))
-                part = batch.slice(begin, end - begin)
-                same = similarity(part.column("text_a"), part.column("text_b"), width) >= least
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(same)), part.column("b").filter(pa.array(same))], ["a", "b"])
-                begin = end
+        for part in _parts(batches):
+            same = pa.array(similarity(part.column("text_a"), part.column("text_b"), width) >= least)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(same), part.column("b").filter(same)], ["a", "b"])
+
+    return _beside(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def _spokes(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, hub, delta, weight, hub_weight) of pairs (a, b) of a node and a hub: delta holds the units of only one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            delta, n, m = differences(part.column("text_a"), part.column("text_b"), width)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("a"), part.column("b"), delta, pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))],
+                ["node", "hub", "delta", "weight", "hub_weight"],
+            )
+
+    return _beside(pairs, texts).mapInArrow(run, "node long, hub long, delta array<long>, weight long, hub_weight long")
+
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def _alike(apart: Column, weights: Column, least: float) -> Column:
+    """Whether two nodes of these weights together, ``apart`` of it in one node only, reach the similarity."""
+    return (weights - apart) / 2 / F.greatest(weights - (weights - apart) / 2, F.lit(1)) >= least
+
+
+def _crossing(spokes: DataFrame, linked: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of one hub that lie in two components.
+
+    With d(x) the size of x's difference from the hub, a link of x and y shares at least
+    (d(x) + d(y) - e (w(x) + w(y))) / 2 of the two differences, e = (1 - least) / (1 + least). A node
+    linked to the hub meets only nodes that are not, of d over e (w + w(hub)); for the others the least
+    demand over all partners is that of a partner as heavy as the hub, or as near to it as a link allows.
+    """
+    e = (1 - least) / (1 + least)
+    size = F.size("delta")
+    partner = F.least(F.greatest(F.col("hub_weight"), F.col("weight") * least), F.col("weight") / least)
+    near = _alike(size, F.col("weight") + F.col("hub_weight"), least)
+    demand = F.when(near, (size + e * (F.col("hub_weight") - F.col("weight"))) / 2).otherwise(
+        (size + F.abs(F.col("hub_weight") - partner) - e * (F.col("weight") + partner)) / 2
+    )
+    prefix = size - F.greatest(F.lit(1), F.ceil(demand - 1e-6)) + 1
+    placed = _settled(
+        spokes.where(size > 0).join(linked, "node", "left")
+        .select("hub", "node", F.coalesce("component", "node").alias("component"), "weight", "delta", size.alias("size"), prefix.alias("prefix"))
+    )
+    units = placed.select("hub", "node", F.explode("delta").alias("unit"))
+    often = units.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # units of one node only come first and meet nobody: they only take places of the prefix
+    shared = units.join(often, ["hub", "unit"])
+    rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "unit"))
+    alone = placed.join(
+        shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("known")), ["hub", "node"]
+    ).select("hub", "node", "component", "weight", "size", "prefix", (F.col("size") - F.col("known")).alias("alone"))
+    entries = _settled(
+        shared.withColumn("rank", rank).join(alone, ["hub", "node"]).withColumn("place", F.col("alone") + F.col("rank") - 1)
+        .where("place < prefix").drop("n", "rank", "alone", "prefix")
+    )
+    left, right = (
+        entries.select("hub", "unit", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "weight", "size", "place")]) for side in "ab"
+    )
+    weights = F.col("weight_a") + F.col("weight_b")
+    needed = (F.col("size_a") + F.col("size_b") - e * weights) / 2 - 1e-6
+    pairs = (
+        left.join(right, ["hub", "unit"])
+        .where("node_a > node_b and component_a <> component_b")
+        .where(F.least("weight_a", "weight_b") >= least * F.greatest("weight_a", "weight_b") - 1e-6)
+        .where(F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= needed)
+        .select("hub", "node_a", "node_b").distinct()
+    )
+    sides = [placed.select("hub", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "weight", "delta")]) for side in "ab"]
+    both = _settled(pairs).join(sides[0], ["hub", "node_a"]).join(sides[1], ["hub", "node_b"])
+    apart = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
+    return both.where(_alike(apart, weights, least)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,20 +334,34 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("node", "component")
 
 
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b); ``placed`` has the components so far, nodes that are not in it are their own.
+
+    Only links between components count, as one edge between two of them.
+    """
+    ends = links.join(placed.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
+        placed.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left"
+    ).select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    merged = components(ends.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct())
+    moved = placed.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    alone = merged.join(placed.select(F.col("component").alias("node")).distinct(), "node", "left_anti")  # components of one node so far
+    return _settled(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(alone.select("node", "component")))
+
+
 def _texts(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text) of the nodes in pairs, each read at its least document; those without ids at any copy."""
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep", "digest"), "node")
     involved = _settled(involved)
     total, known = involved.agg(F.count("*"), F.count("rep")).first()
     small = total <= BROADCAST_ROWS
-    wanted = involved.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("node").alias("_node"))
+    wanted = involved.where("rep is not null").select(F.col("rep").alias("doc_id"), "node", "digest")
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
-    found = found.where(F.xxhash64("text") == F.col("_node")).select(F.col("_node").alias("node"), "text")
+    found = found.where(text_digest() == F.col("digest")).select("node", "text")
     if known < total:
-        bare = documents.where("doc_id is null").select(F.xxhash64("text").alias("node"), "text")
-        others = involved.where("rep is null").select("node")
+        bare = documents.where("doc_id is null").select(text_digest().alias("digest"), "text")
+        others = involved.where("rep is null").select("node", "digest")
         # copies go before a shuffled join, so that no node is many rows of one task
-        found = found.union(bare.join(F.broadcast(others), "node") if small else bare.dropDuplicates(["node"]).join(others, "node"))
+        found = found.union((bare.join(F.broadcast(others), "digest") if small else bare.dropDuplicates(["digest"]).join(others, "digest")).select("node", "text"))
     return _settled(found.dropDuplicates(["node"]))
 
 
@@ -290,12 +400,13 @@ def _reachable(rows: DataFrame, least: float) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE
 ) -> DataFrame:
-    """(doc_id, node, class_id, weight, component) of every document row."""
+    """(doc_id, digest, class_id, weight, component) of every document row."""
     sketched = _settled(sketches(documents, bands, rows, width))
-    # equal texts are one node; its sketch is that of any copy
+    # equal texts are one node; its sketch is that of any copy. The numbers hold, as they are written
     nodes = _settled(
-        sketched.where("weight > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
-    )
+        sketched.where("weight > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
     members = nodes.select("node", "weight", F.explode("keys").alias("key"))
     stars = _settled(
         members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
@@ -311,51 +422,25 @@ def near_duplicates(
     rest = _open_rows(placed)
     texts = _texts(documents, nodes, rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
     rest = _open_rows(_reachable(rest.join(_own_units(texts, width), "node", "left").fillna(0, ["own"]), least))
-    # a second star around each bucket's most typical node, the one with the least of its own
-    hubs = _settled(rest.groupBy("key").agg(F.min(F.struct("own", "node", "component", "weight")).alias("hub")))
-    common = F.least(F.col("weight") - F.col("own"), F.col("hub.weight") - F.col("hub.own"))
-    typical = (
-        rest.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
-        .where(common >= least * (F.col("weight") + F.col("hub.weight") - common))
-        .select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
-    )
-    typical = _settled(typical.join(first, ["a", "b"], "left_anti"))
-    if typical.limit(1).count():
-        links = _settled(links.union(_verified(typical, texts, least, width)))
-        linked = components(links)
-        rest = _open_rows(
-            rest.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        )
-    # every pair that is left between two components of a bucket
-    groups = _settled(rest.select("key", "component").distinct())
-    sides = groups.select("key", F.col("component").alias("ca")).join(groups.select("key", F.col("component").alias("cb")), "key").where("ca < cb")
-    left = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("own").alias("ua"))
-    right = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("own").alias("ub"))
-    common = F.least(F.col("wa") - F.col("ua"), F.col("wb") - F.col("ub"))
-    crossed = (
-        sides.join(left, ["key", "ca"]).join(right, ["key", "cb"])
-        .where(common >= least * (F.col("wa") + F.col("wb") - common))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    second = _settled(crossed.join(first.union(typical), ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = _settled(_verified(second, texts, least, width))
-        if more.limit(1).count():
-            linked = components(links.union(more))
+    # the bucket's most typical node is the one with the least of its own
+    hubs = rest.groupBy("key").agg(F.min(F.struct("own", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    pairs = _settled(rest.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    if pairs.limit(1).count():
+        spokes = _settled(_spokes(pairs, texts, width))
+        near = spokes.where(_alike(F.size("delta"), F.col("weight") + F.col("hub_weight"), least))
+        linked = _joined(linked, near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        linked = _joined(linked, _settled(_crossing(spokes, linked, least)))
     least_id = (
         nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
         .join(linked, "component").select("node", "component", "class_id")
     )
     classes = _settled(
-        nodes.select("node", "rep").join(least_id, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("component"), F.coalesce("class_id", "rep").alias("class_id"))
+        nodes.select("digest", "node", "rep").join(least_id, "node", "left")
+        .select("digest", F.coalesce("component", "node").alias("component"), F.coalesce("class_id", "rep").alias("class_id"))
     )
     return (
-        sketched.select("doc_id", "node", "weight").join(classes, "node", "left")
-        .select(
-            "doc_id", "node", F.when(F.col("weight") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "weight",
-            F.coalesce("component", "node").alias("component"),
-        )
+        sketched.select("doc_id", "digest", "weight").join(classes, "digest", "left")
+        .select("doc_id", "digest", F.when(F.col("weight") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "weight", "component")
     )
 
 
@@ -365,18 +450,14 @@ def survivors(documents: DataFrame, **how) -> DataFrame:
     Rows without words are all kept. The columns are those of the input.
     """
     classed = _settled(near_duplicates(documents, **how))
-    rows = classed.where("weight > 0").groupBy("component", "doc_id", "node").count()
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
-    kept = _settled(
-        rows.join(best, "component").select(
-            "doc_id", "node", "count", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))).alias("keep")
-        )
-    )
-    gone = kept.where("not keep").select(F.col("doc_id").alias("g_id"), F.col("node").alias("g_node"))
-    keyed = documents.withColumn("_node", F.xxhash64("text"))
-    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_node") == F.col("g_node")), "left_anti")
-    if kept.where("keep and count > 1").limit(1).count():  # repeated rows: one of them
-        twice = kept.where("keep and count > 1").select(F.col("doc_id").alias("g_id"), F.col("node").alias("g_node"))
-        on = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_node") == F.col("g_node"))
-        out = out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates(["doc_id", "_node"]))
-    return out.drop("_node")
+    rows = classed.where("weight > 0").groupBy("component", "doc_id", "digest").count()
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    kept = _settled(rows.join(best, "component").select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"), "count", same.alias("keep")))
+    keyed = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_digest().alias("digest"))
+    on = F.col("id").eqNullSafe(F.col("g_id")) & (F.col("digest") == F.col("g_digest"))
+    out = keyed.join(kept.where("not keep"), on, "left_anti")
+    twice = kept.where("keep and count > 1")
+    if twice.limit(1).count():  # repeated rows: one of them
+        out = out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates(["id", "digest"]))
+    return out.select("row.*")
