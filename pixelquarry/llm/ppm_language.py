@@ -20,8 +20,7 @@ Whole texts are scored. Columns other than doc_id, text and, for the fit, lang a
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,15 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import bytescan as bs
-from pixelquarry.session import ship
+from pixelquarry.llm.sampling import id_hash, last_hash
+from pixelquarry.session import settled, ship
 
 ORDER = 4
 DOCS_PER_LANG = 1500
 UNDETERMINED = "und"
-#: Texts of at least so many bytes that no language codes in fewer bits a byte are no language.
-REJECT_BITS, REJECT_BYTES = 8.0, 200
+#: A text whose shortest code takes more than this many bits a byte and so many bits besides is no language.
+#: Prose in capitals that a small sample lacks takes up to 9 bits a byte, letters at random 11 to 20.
+REJECT_RATE, REJECT_BITS = 10.0, 512.0
 #: Parts of the texts; each is judged by the statistics of the others.
-PARTS = 8
+PARTS = 2
+#: All languages in one: what a language lacks in few documents, as capitals or marks, others may have.
+ANY = "any"
 
 OUT = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
@@ -88,7 +91,7 @@ class Table:
             self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
             self.slots[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
         row = self.slots[self._slot(keys)]
-        other = np.flatnonzero((row < 0) | (self.keys[row] != keys))
+        other = np.flatnonzero((row >= 0) & (self.keys[row] != keys))  # no key has an empty slot
         if len(other):
             row[other] = self._search(keys[other])
         return row
@@ -142,16 +145,23 @@ def build(langs: list[str], keys: list[np.ndarray], counts: list[np.ndarray], or
     return model
 
 
-def _counted(documents: DataFrame, order: int, docs_per_lang: int, code: Callable[[list[str]], Column]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The languages, and (code, string, number) of the strings of order + 1 bytes in the fit's documents, by their code."""
-    ship(documents.sparkSession)
+def _sample(documents: DataFrame, docs_per_lang: int) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, text) of the documents to learn from."""
     known = documents.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
     totals = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not totals:
-        return [], np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(min(1.0, docs_per_lang / n) * (1 << 20)))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).select("lang", "text")
-    langs = sorted(totals)
+        return [], known.limit(0).select("lang", "text")
+    last = F.create_map(*[F.lit(x).cast(kind) for k, n in totals.items() for x, kind in ((k, "string"), (last_hash(docs_per_lang, n), "long"))])
+    return sorted(totals), known.where(id_hash() <= F.element_at(last, F.col("lang"))).select("lang", "text")
+
+
+def _lang_code(langs: list[str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
+
+
+def _counted(sample: DataFrame, order: int, code: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, string, number) of the strings of order + 1 bytes in the sample's texts, by their code."""
+    ship(sample.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,18 +176,19 @@ def _counted(documents: DataFrame, order: int, docs_per_lang: int, code: Callabl
                     )
 
     counted = (
-        sample.select(code(langs).cast("int").alias("code"), "text").mapInArrow(count, "code int, string long, n long")
+        sample.select(code.cast("int").alias("code"), "text").mapInArrow(count, "code int, string long, n long")
         .groupBy("code", "string").agg(F.sum("n").alias("n"))
     )
     found = counted.toArrow()  # distinct strings of the bounded sample
-    return langs, *(found.column(c).to_numpy() for c in ("code", "string", "n"))
+    return tuple(found.column(c).to_numpy() for c in ("code", "string", "n"))
 
 
 def fit(documents: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
     """Frozen statistics of every lang value, or None where there is nothing to learn from."""
-    langs, of, strings, n = _counted(
-        documents, order, docs_per_lang, lambda langs: F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
-    )
+    langs, sample = _sample(documents, docs_per_lang)
+    if not langs:
+        return None
+    of, strings, n = _counted(sample, order, _lang_code(langs))
     seen = [j for j in range(len(langs)) if (of == j).any()]
     if not seen:
         return None
@@ -189,17 +200,33 @@ def text_part(parts: int = PARTS) -> Column:
     return F.coalesce(F.crc32(F.col("text").cast("binary")) % parts, F.lit(0))
 
 
+def _built_apart(sample: DataFrame, langs: list[str], parts: int, order: int) -> list[Model | None]:
+    of, strings, n = _counted(sample, order, _lang_code(langs) * parts + text_part(parts))
+    models: list[Model | None] = []
+    for part in range(parts):
+        other = of % parts != part
+        names, keys, counts = [], [], []
+        for name, own in [*((k, other & (of // parts == j)) for j, k in enumerate(langs)), (ANY, other)]:
+            if own.any():
+                found, at = np.unique(strings[own].view(np.uint64), return_inverse=True)
+                names, keys, counts = [*names, name], [*keys, found], [*counts, np.bincount(at, weights=n[own])]
+        models.append(build(names, keys, counts, order) if names else None)
+    return models
+
+
 def fit_apart(documents: DataFrame, parts: int = PARTS, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG) -> list[Model | None]:
-    """For each part of the texts, statistics of the other parts, over all languages in one.
+    """For each part of the texts, statistics of the other parts: of every language, and last of ``ANY``.
 
-    One pass counts all parts. What a language lacks in few documents, as capitals or marks, others may have.
+    Noise among few documents can make noise look familiar: texts that the first statistics code in
+    more than 8 bits a byte take no part in the final ones.
     """
-    _, of, strings, n = _counted(documents, order, docs_per_lang, lambda langs: text_part(parts))
-    models: list[Model | None] = []
-    for k in range(parts):
-        keys, at = np.unique(strings[of != k].view(np.uint64), return_inverse=True)
-        models.append(build(["any"], [keys], [np.bincount(at, weights=n[of != k])], order) if len(keys) else None)
-    return models
+    langs, sample = _sample(documents, docs_per_lang)
+    if not langs:
+        return [None] * parts
+    sample = settled(sample, "language-sample")  # bounded by its definition
+    first = _built_apart(sample, langs, parts, order)
+    plain = sample.withColumn("seen", _judged(sample, first, parts)).where("seen.bits <= 8.0 * seen.bytes").drop("seen")
+    return _built_apart(plain, langs, parts, order)
 
 
 def _letters(pack: bs.Pack) -> np.ndarray:
@@ -255,33 +282,51 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
 
 
-def recognised(documents: DataFrame, model: Model | None) -> DataFrame:
-    """The rows whose text is in some language, in place and with all columns.
-
-    Rejected are texts that are null or without letters, and long texts (``REJECT_BYTES``) that
-    every language codes worse than single bytes (``REJECT_BITS``). Without a model only the former are.
-    """
+def _judged(documents: DataFrame, models: list[Model | None], parts: int) -> Column:
+    """Of each text, under the statistics of the other parts: whether it has letters, its shortest code in bits, its bytes, its language."""
     spark = documents.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for begin, end, pack in bs.slices(batch.column("text"), gap=ORDER if m is None else len(m.cost) - 1, filler=0):
-                keep = _letters(pack)
-                if m is not None:
-                    size = pack.last - pack.first
-                    keep &= (size < REJECT_BYTES) | (code_lengths(m, pack).min(axis=1) < REJECT_BITS * size)
-                yield batch.slice(begin, end - begin).filter(pa.array(keep))
-
-    return documents.mapInArrow(run, documents.schema)
-
-
-def recognised_apart(documents: DataFrame, parts: int = PARTS, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """``recognised``, with every text judged by statistics that hold neither it nor a copy of it (``fit_apart``)."""
+    # bounded by the fit's sample, whatever the input
+    shared = spark.sparkContext.broadcast(models)
+
+    @F.arrow_udf("struct<letters: boolean, bits: double, bytes: long, lang: string>")
+    def judge(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, of in columns:
+            of, n = of.to_numpy(zero_copy_only=False), len(texts)
+            letters, bits, size, lang = np.zeros(n, bool), np.zeros(n), np.zeros(n, np.int64), np.full(n, None, object)
+            for part in np.unique(of):
+                rows = np.flatnonzero(of == part)
+                m = shared.value[part]
+                for begin, end, pack in bs.slices(texts.take(pa.array(rows)), gap=ORDER if m is None else len(m.cost) - 1, filler=0):
+                    at = rows[begin:end]
+                    letters[at], size[at] = _letters(pack), pack.last - pack.first
+                    if m is not None:
+                        every = code_lengths(m, pack)
+                        bits[at] = every.min(axis=1)
+                        if len(m.langs) > 1:
+                            lang[at] = np.array(m.langs[:-1], object)[every[:, :-1].argmin(axis=1)]
+            yield pa.StructArray.from_arrays([pa.array(letters), pa.array(bits), pa.array(size), pa.array(lang, pa.string())], ["letters", "bits", "bytes", "lang"])
+
+    # not to be repeated above and below a filter
+    return judge.asNondeterministic()(F.col("text"), text_part(parts).cast("int"))
+
+
+def recognised(documents: DataFrame, parts: int = PARTS, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
+    """The rows whose text is in some language, in place and with all columns; a null lang becomes the predicted one.
+
+    Every text is judged by statistics that hold neither it nor a copy of it (``fit_apart``).
+    Rejected are texts that are null or without letters, and those that no language, nor all in one,
+    codes in at most ``REJECT_RATE`` bits a byte and ``REJECT_BITS`` bits besides: one rule for all lengths, under
+    which the evidence of a few bytes is never enough. Where nothing could be learned only the former
+    are. Only texts go through Python.
+    """
     models = fit_apart(documents, parts=parts, docs_per_lang=docs_per_lang)
-    return functools.reduce(DataFrame.union, [recognised(documents.where(text_part(parts) == k), m) for k, m in enumerate(models)])
+    seen = documents.select(F.struct("*").alias("row"), _judged(documents, models, parts).alias("seen"))
+    kept = seen.where(f"seen.letters and seen.bits <= {REJECT_RATE} * seen.bytes + {REJECT_BITS}")
+    fields = {c: F.col("row").getField(c).alias(c) for c in documents.columns}
+    if "lang" in fields:
+        fields["lang"] = F.coalesce(F.col("row.lang"), F.col("seen.lang")).alias("lang")
+    return kept.select(*fields.values())
 
 
 def fold(doc_id: str | Column = "doc_id", parts: int = 5) -> Column:

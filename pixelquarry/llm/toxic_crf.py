@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Words of a document form chains, cut at line ends, after ``. ! ?`` and after ``CHAIN`` words.
+Words of a document form chains, one a sentence: they end at line ends and after ``. ! ?``, however long.
 Each word has one of two states, clean or toxic. A word's emission is the sum of the weights of its hashed features (the
 word itself, its beginnings of 3 to 8 bytes, its end), a 2x2 matrix holds the transition scores.
 Forward-backward gives every word's marginal of the toxic state; a document's score is a logistic
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.llm import bytescan as bs
 from pixelquarry.llm.ppm_language import fold
+from pixelquarry.llm.sampling import id_hash, last_hash
 from pixelquarry.session import ship
 
 FIT_ROWS = 2000
@@ -41,7 +42,6 @@ FEATURES = 1 << 18
 #: Least weight of evidence of a toxic word's best feature.
 EVIDENCE = 1.5
 SPAN_AT = 0.5
-CHAIN = 128
 CACHE_WORDS = 300_000
 ALERT = 0.3
 
@@ -100,10 +100,6 @@ class Words:
         stops = np.concatenate(([0], np.cumsum(_BREAK[low])))[begins] if len(begins) else np.zeros(0, np.int64)
         opens = np.ones(len(begins), bool)
         opens[1:] = (docs[1:] != docs[:-1]) | (stops[1:] != stops[:-1])
-        if len(begins):
-            first = np.flatnonzero(opens)
-            place = np.arange(len(begins)) - np.repeat(first, np.diff(np.append(first, len(begins))))
-            opens |= place % CHAIN == 0
         return cls(begins, ends, docs, bs.span_hashes(low, begins, ends), opens, low)
 
     def spelled(self, i: int) -> bytes:
@@ -285,9 +281,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field
     totals = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
     if not totals.get(0) or not totals.get(1):  # labels are 0 or 1
         return None
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    share = {k: int(min(1.0, rows / 2 / n) * (1 << 20)) for k, n in totals.items()}
-    chosen = marked.where(pick < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    chosen = marked.where(id_hash() <= F.when(F.col("toxic") == 1, last_hash(rows // 2, totals[1])).otherwise(last_hash(rows // 2, totals[0])))
     toxic_share = totals[1] / (totals[0] + totals[1])
     # about `rows` labelled rows, a fixed bound: their ids are broadcast, and one task sees their texts
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
