@@ -1,19 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source are put in a hashed order and cut into blocks. Source s has an integer
-weight w_s of ``units`` (their sum); its j-th block is released at slot floor(j * units / w_s)
-and due by slot ceil((j + 1) * units / w_s). One block runs per slot, the released block with the
-earliest deadline first. As the weights fill the processor exactly, every block meets its
-window, so at any slot each source is less than one block away from its share.
-
-The schedule repeats every ``units`` slots, so only one period is laid out, on the driver, whatever
-the number of rows. When a source runs out, the remaining ones go on from the next slot with
-their weights scaled up: a new segment. All rows are kept.
+The rows of a source are put in a hashed order and cut into blocks. With W the sum of the weights,
+the j-th block of a source of weight w is released at slot floor(j W / w) and due by slot
+ceil((j + 1) W / w). One block runs per slot, the released block with the earliest deadline first.
+As the weights fill the processor exactly, every block meets its window, so at any slot each
+source is less than one block away from its share, whatever the weights: they are taken as the
+exact fractions that their numbers are, and all windows are computed in whole numbers.
+
+A block is the same share of the rows at every size: all rows make about ``SLOTS`` blocks (single rows,
+if they are fewer), and that schedule of bounded length is laid out on the driver from the
+row counts of the sources. When a source runs out, the remaining ones go on from the next slot with
+their weights scaled up: a new segment, from whose begin windows and shares count. This takes time
+in proportion to slots, and to sources times segments. All rows are kept.
 
 Defined cases: a null source is a source of its own; null, repeated and tied ids keep all
-their rows; a source absent from the given weights gets one unit; weights of absent sources are
-unused; empty tables give no rows. Columns of the input that clash with the result's are
-replaced in ``mix`` and ignored in ``schedule``.
+their rows; a source absent from the given weights, or of weight 0 or less, gets the least of the
+given weights; weights of absent sources are unused; empty tables give no rows. Columns of the
+input that clash with the result's are replaced in ``mix`` and ignored in ``schedule``.
 """
 
 from __future__ import annotations
@@ -21,68 +24,50 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 16
-UNITS = 1000
-#: Largest schedule that is broadcast, in slots over all segments; a larger one is joined by shuffle.
+SLOTS = 1 << 17
+#: Longest schedule that is broadcast, in slots; a longer one (of small given blocks) is joined by shuffle.
 BROADCAST_SLOTS = 500_000
 
-_SCHEDULE = "_key string, segments array<struct<k_from: long, k_to: long, w: long, units: long, slot_from: long, slots: array<int>>>"
-
-
-def integer_weights(weights: Mapping[str, float], units: int) -> dict[str, int]:
-    """Largest-remainder rounding to whole units, at least one each."""
-    total = math.fsum(weights.values())
-    exact = {k: v / total * units for k, v in weights.items()}
-    out = {k: max(1, math.floor(v)) for k, v in exact.items()}
-    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k)):
-        if sum(out.values()) >= units:
-            break
-        out[k] += 1
-    return out
-
-
-def period(weights: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one period: released blocks by earliest deadline, ties by name."""
-    units = sum(weights.values())
-    waiting = [(0, k, 0) for k in sorted(weights)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {k: [] for k in weights}
-    for slot in range(units):
-        while waiting and waiting[0][0] <= slot:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * units // weights[k]), k, j))
-        _, k, j = heapq.heappop(ready)
-        slots[k].append(slot)
-        if j + 1 < weights[k]:
-            heapq.heappush(waiting, ((j + 1) * units // weights[k], k, j + 1))
-    return slots
-
-
-def segments(blocks: Mapping[str, int], weights: Mapping[str, float], units: int = UNITS) -> dict[str, list[tuple]]:
-    """Segments (k_from, k_to, w, units, slot_from, slots) of each source, until all blocks are placed."""
-    left = {k: n for k, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out: dict[str, list[tuple]] = {k: [] for k in left}
-    slot_from = 0
-    while left:
-        w = integer_weights({k: weights[k] for k in left}, max(units, 4 * len(left)))
-        size, slots = sum(w.values()), period(w)
-        last = {k: (n - 1) // w[k] * size + slots[k][(n - 1) % w[k]] for k, n in left.items()}
-        end = min(last.values())  # the slot of the block that empties a source
-        full, rest = divmod(end + 1, size)
-        for k in list(left):
-            used = full * w[k] + sum(s < rest for s in slots[k])
-            out[k].append((done[k], done[k] + used, w[k], size, slot_from, slots[k]))
-            done[k] += used
-            left[k] -= used
-            if not left[k]:
-                del left[k]
-        slot_from += end + 1
+ADDED = ["rank", "block", "release", "deadline", "slot", "mix_position"]
+
+
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the same proportion."""
+    exact = {k: Fraction(v) for k, v in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
+    return {k: int(x * scale) for k, x in exact.items()}
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, list[tuple[int, int, int]]]:
+    """(slot, release, deadline) of every block of each source: released blocks by earliest deadline, ties by name."""
+    w = whole_weights({k: weights[k] for k, n in blocks.items() if n > 0})
+    out: dict[str, list[tuple[int, int, int]]] = {k: [] for k in w}
+    begin = slot = 0  # the segment's first slot, the next slot
+    while w:
+        total = sum(w.values())
+        first = {k: len(out[k]) for k in w}
+        waiting = [(0, k) for k in w]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, str, int]] = []
+        while True:
+            now = slot - begin
+            while waiting and waiting[0][0] <= now:
+                release, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(len(out[k]) - first[k] + 1) * total // w[k]), k, release))
+            deadline, k, release = heapq.heappop(ready)
+            out[k].append((slot, begin + release, begin + deadline))
+            slot += 1
+            if len(out[k]) == blocks[k]:
+                break
+            heapq.heappush(waiting, ((len(out[k]) - first[k]) * total // w[k], k))
+        del w[k]
+        begin = slot
     return out
 
 
@@ -91,11 +76,13 @@ def _key(source: str = "source"):
 
 
 def _ranked(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """Adds _rank, the place in the source by md5 of the id: counts of hash ranges, then places inside them."""
+    """Adds _rank, the place in the source by md5 of the id: counts of hash ranges, then places inside them.
+
+    Rows without an id are spread by a hash of their columns.
+    """
     digits = max(2, math.ceil(math.log(max(1, sum(counts.values()) / 100_000), 16)))
-    keyed = docs.withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(
-        "_bin", F.substring("_md5", 1, digits)
-    )
+    name = F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).cast("string"))
+    keyed = docs.withColumn("_md5", F.md5(name)).withColumn("_bin", F.substring("_md5", 1, digits))
     before = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("_key", "_bin").count().select("_key", "_bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
     inside = Window.partitionBy("_key", "_bin").orderBy("_md5", "doc_id")
@@ -107,11 +94,10 @@ def default_weights(counts: Mapping[str, int]) -> dict[str, float]:
     return {k: math.sqrt(n) for k, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, units: int = UNITS) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int | None = None) -> DataFrame:
     """The rows with rank, block, release, deadline, slot and mix_position (order by the last one)."""
     spark = docs.sparkSession
-    added = ["rank", "block", "release", "deadline", "slot", "mix_position"]
-    docs = docs.drop(*added).withColumn("_key", _key())
+    docs = docs.drop(*ADDED).withColumn("_key", _key())
     counts = {r["_key"]: r["count"] for r in docs.groupBy("_key").count().collect()}  # one row a source
     if weights is None:
         wanted = default_weights(counts)
@@ -119,24 +105,20 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
         named = {"-" if k is None else "+" + k: float(v) for k, v in weights.items() if v > 0}
         least = min(named.values(), default=1.0)
         wanted = {k: named.get(k, least) for k in counts}
-    plan = segments({k: -(-n // block_rows) for k, n in counts.items()}, wanted, units)
-    table = spark.createDataFrame(list(plan.items()), _SCHEDULE)
-    if sum(len(s[5]) for v in plan.values() for s in v) <= BROADCAST_SLOTS:
-        table = F.broadcast(table)
-    block = F.floor(F.col("_rank") / block_rows)
-    placed = _ranked(docs, counts).join(table, "_key").withColumn("block", block)
-    seg = F.filter("segments", lambda s: (F.col("block") >= s.k_from) & (F.col("block") < s.k_to))[0]
-    j = F.col("block") - F.col("_seg.k_from")
-    w, size = F.col("_seg.w"), F.col("_seg.units")
+    size = block_rows or max(1, -(-sum(counts.values()) // SLOTS))
+    plan = schedule({k: -(-n // size) for k, n in counts.items()}, wanted)
+    rows = [(k, j, *x) for k, own in plan.items() for j, x in enumerate(own)]
+    kinds = [pa.string(), *[pa.int64()] * 4]
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    table = spark.createDataFrame(
+        pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["_key", "block", "slot", "release", "deadline"])
+    )
+    placed = _ranked(docs, counts).withColumn("block", F.expr(f"_rank div {size}"))
     return (
-        placed.withColumn("_seg", seg)
-        .withColumn("_j", j)
+        placed.join(F.broadcast(table) if len(rows) <= BROADCAST_SLOTS else table, ["_key", "block"])
         .withColumn("rank", F.col("_rank"))
-        .withColumn("release", F.col("_seg.slot_from") + F.expr("(_j * _seg.units) div _seg.w"))
-        .withColumn("deadline", F.col("_seg.slot_from") + F.expr("((_j + 1) * _seg.units + _seg.w - 1) div _seg.w"))
-        .withColumn("slot", F.col("_seg.slot_from") + F.expr("(_j div _seg.w) * _seg.units") + F.get("_seg.slots", F.expr("cast(_j % _seg.w as int)")))
-        .withColumn("mix_position", F.col("slot") * block_rows + F.col("rank") % block_rows)
-        .drop("_key", "_rank", "_seg", "_j", "segments")
+        .withColumn("mix_position", F.col("slot") * size + F.col("rank") % size)
+        .select(*[c for c in docs.columns if c != "_key"], *ADDED)
     )
 
 
