@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import chat, dart_minhash, merge_dropout, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
+from pixelquarry.llm.ppm_language import fold
 from pixelquarry.session import table
 
 
@@ -42,8 +43,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, each distinct text scanned once."""
-    paths, ledger = secret_ledger.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    """Secrets of every document, over a history of two scans.
+
+    The first scan sees one half of the documents; the second sees all of them and looks only at blobs
+    that the first has not seen, and the findings of both are joined to all documents.
+    """
+    documents = table(spark, sf_dir, "documents")
+    _, ledger = secret_ledger.scan(documents.where(fold(parts=2) == 0), ["doc_id"])
+    paths, ledger = secret_ledger.scan(documents, ["doc_id"], ledger=ledger)
     return secret_ledger.digest(secret_ledger.findings(paths, ledger))
 
 

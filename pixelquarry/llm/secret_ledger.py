@@ -1,26 +1,31 @@
 """Secret scans with an incremental blob ledger; DataFrame functions only.
 
-Every version of every path is content-addressed: its blob is the SHA-256 of its text. The
-ledger holds one row per blob with the rule versions it has been scanned under and what they
-found. A scan takes only blobs and rule versions that the ledger lacks, each distinct blob once
-however many paths or versions carry it, and findings are joined back to all paths.
+Every version of every path is content-addressed: its blob is the SHA-256 of its text. The ledger
+has rows (blob, scanned, spans): a blob, the rule versions of one scan that it was looked at with, and what
+they found. A scan compares hashes first, moves only the texts of blobs that lack a rule version,
+looks at each distinct blob once however many paths or versions carry it, and adds only rows of its
+own: what earlier scans wrote is never written again, and a blob may have a row for each scan that
+brought new rules. Findings are joined back to all paths, over the blobs that have any.
 
 Spans are code points, end exclusive, leftmost and non-overlapping per kind. The base kinds are
-``assign``, ``access`` and ``hex``; the further kinds ``pem`` and ``jwt`` only add spans.
+``assign``, ``access`` and ``hex``; the further kinds ``pem`` and ``jwt`` only add spans. Offsets are
+running sums over the lengths of matches and of what lies between them, a window over the matches
+of one text.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows and equal texts share
 one blob and each keep their own result row; null ids are kept; an empty table gives no rows
-and an empty ledger. Columns of the input other than the path columns and the text are ignored.
+and adds none to the ledger. Columns of the input other than the path columns and the text are ignored by
+``scan`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquarry.session import shared_dir
+from pixelquarry.session import settled
 
 
 @dataclass(frozen=True)
@@ -55,41 +60,42 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 SPAN = "struct<start: int, rank: int, kind: string, end: int>"
+LEDGER = f"blob string, scanned array<string>, spans array<{SPAN}>"
+#: Blobs to be scanned whose hashes are broadcast (64 bytes each), so that texts of known blobs stay where they are.
+BROADCAST_BLOBS = 500_000
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The spans of one rule: the pieces between matches and the matches give the offsets."""
-    pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(text, pattern, 0)
-    pieces = F.split(text, rule.pattern, -1)
-    groups = F.regexp_extract_all(text, pattern, rule.group) if rule.group else matches
-    parts = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), groups.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(
-            end.alias("at"),
-            F.when(
-                x["match"].isNotNull() & (F.length(x["part"]) >= rule.least), F.array_append(acc["spans"], span)
-            ).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+def _address(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
 
 
-def find_spans(text: Column, rules: tuple[Rule, ...] = RULES, due: Column | None = None) -> Column:
-    """All spans of a text under the rules named in ``due`` (all, if not given), by start, then kind."""
-    nothing = F.array().cast(f"array<{SPAN}>")
-    found = []
-    for rank, rule in enumerate(rules):
-        wanted = text.rlike(rule.pattern)
-        if due is not None:
-            wanted = F.array_contains(due, rule.name) & wanted
-        found.append(F.when(wanted, _spans(text, rule, rank)).otherwise(nothing))
-    return F.array_sort(F.concat(*found))
+def _lengths(text: Column, rule: Rule, rank: int, due: Column) -> Column:
+    """(rank, pairs) of one rule: lengths of each match, of what stands before it, and of the group that decides."""
+    pattern = F.lit(rule.pattern)
+    matches = F.regexp_extract_all(text, pattern, 0)
+    between = F.transform(F.split(text, rule.pattern, -1), F.length)
+    parts = F.transform(F.regexp_extract_all(text, pattern, rule.group), F.length) if rule.group else F.transform(matches, F.length)
+    zipped = F.arrays_zip(
+        F.slice(between, 1, F.size(matches)).alias("before"), F.transform(matches, F.length).alias("size"), parts.alias("part")
+    ).cast("array<struct<before: int, size: int, part: int>>")
+    wanted = F.array_contains(due, rule.name) & text.rlike(rule.pattern)
+    return F.struct(F.lit(rank).alias("rank"), F.when(wanted, zipped).alias("pairs"))
+
+
+def _found(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of the blobs (blob, content, due) that have any."""
+    per_rule = F.array(*[_lengths(F.col("content"), rule, rank, F.col("due")) for rank, rule in enumerate(rules)])
+    matches = (
+        blobs.select("blob", F.explode(per_rule).alias("r")).where("r.pairs is not null")
+        .select("blob", F.col("r.rank").alias("rank"), F.posexplode("r.pairs").alias("at", "m"))
+    )
+    upto = Window.partitionBy("blob", "rank").orderBy("at")
+    end = F.sum(F.col("m.before") + F.col("m.size")).over(upto).cast("int")
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    least = F.array(*[F.lit(r.least) for r in rules])
+    spans = matches.select("blob", "rank", F.col("m.size").alias("size"), F.col("m.part").alias("part"), end.alias("end")).where(F.col("part") >= F.get(least, "rank"))
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "rank", F.get(kinds, "rank").alias("kind"), "end").cast(SPAN)
+    return spans.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan(
@@ -97,41 +103,35 @@ def scan(
 ) -> tuple[DataFrame, DataFrame]:
     """(paths with their blob, the ledger after this scan).
 
-    ``ledger`` is (blob, scanned array<string>, spans); None is an empty one. The new ledger is
-    written to the shared folder, so its scan happens once whatever is joined to it.
+    ``ledger`` is what earlier scans returned; None is an empty one. The rows of this scan are written
+    to the shared folder, so it happens once whatever is joined to it.
     """
     spark = versions.sparkSession
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    addressed = versions.select(*paths, F.sha2(content, 256).alias("_blob"), content.alias("_content"))
-    all_rules = F.array(*[F.lit(r.name) for r in rules])
-    blobs = addressed.groupBy("_blob").agg(F.first("_content").alias("_content"))
+    addressed = versions.select(*paths, _address(text).alias("blob"))
+    texts = versions.select(_address(text).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("content"))
+    names = F.array(*[F.lit(r.name) for r in rules])
     if ledger is None:
-        due = blobs.withColumn("_due", all_rules)
+        blobs = texts.groupBy("blob").agg(F.first("content").alias("content")).withColumn("due", names)
     else:
-        seen = ledger.select(F.col("blob").alias("_blob"), F.col("scanned").alias("_scanned"))
-        due = (
-            blobs.join(seen, "_blob", "left")
-            .withColumn("_due", F.array_except(all_rules, F.coalesce("_scanned", F.array().cast("array<string>"))))
-            .where(F.size("_due") > 0)
-        )
-    new = due.select(
-        F.col("_blob").alias("blob"), F.col("_due").alias("scanned"), find_spans(F.col("_content"), rules, F.col("_due")).alias("spans")
-    )
-    if ledger is not None:
-        new = (
-            ledger.select("blob", "scanned", "spans")
-            .unionByName(new)
-            .groupBy("blob")
-            .agg(F.flatten(F.collect_list("scanned")).alias("scanned"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        known = ledger.select("blob", F.explode("scanned").alias("name")).groupBy("blob").agg(F.collect_set("name").alias("scanned"))
+        lacking = addressed.select("blob").distinct().join(known, "blob", "left").select(
+            "blob", F.array_except(names, F.coalesce("scanned", F.array().cast("array<string>"))).alias("due")
         )
-    place = f"{shared_dir(spark)}/secret-ledger-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    new.write.parquet(place)
-    return addressed.drop("_content").withColumnRenamed("_blob", "blob"), spark.read.parquet(place)
+        lacking = settled(lacking.where(F.size("due") > 0), "secret-blobs")
+        few = lacking.count() <= BROADCAST_BLOBS
+        new = texts.join(F.broadcast(lacking) if few else lacking, "blob")
+        blobs = new.groupBy("blob").agg(F.first("content").alias("content"), F.first("due").alias("due"))
+    # spans of blobs that have any; texts go no further
+    found = _found(blobs, rules)
+    every = addressed.select("blob").distinct().withColumn("scanned", names) if ledger is None else lacking.withColumnRenamed("due", "scanned")
+    rows = every.join(found, "blob", "left").select("blob", "scanned", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    written = settled(spark.createDataFrame([], LEDGER).unionByName(rows), "secret-ledger")
+    return addressed, written if ledger is None else ledger.select("blob", "scanned", "spans").unionByName(written)
 
 
 def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Each path row with the spans of its blob; only blobs with findings take part in the join."""
-    hits = ledger.where(F.size("spans") > 0).select("blob", "spans")
+    """Each path row with the spans of its blob, from all scans; only blobs with findings take part in the join."""
+    hits = ledger.select("blob", F.explode("spans").alias("span")).groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     nothing = F.array().cast(f"array<{SPAN}>")
     return paths.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", nothing))
 
@@ -155,20 +155,21 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
     Spans come from the ledger of this input; rows without findings are left as they are.
     """
-    paths, ledger = scan(docs, [], text, rules=rules)
-    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(hits, "_blob", "left")
+    _, ledger = scan(docs, [], text, rules=rules)
+    rows = docs.select(F.struct("*").alias("row"), _address(text).alias("blob"), F.col(text).alias("content"))
+    found = findings(rows, ledger)
     begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(F.col("content"), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(
             F.when(fresh, F.concat(acc["done"], gap, F.lit("[secret]"))).otherwise(acc["done"]).alias("done"),
             F.greatest(acc["at"], s["end"]).alias("at"),
         )
 
     rest = F.aggregate(
-        "_spans", begin, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
+        "spans", begin, step, lambda acc: F.concat(acc["done"], F.substring(F.col("content"), acc["at"] + 1, F.length("content")))
     )
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(rest)).drop("_blob", "_spans")
+    clean = F.when(F.size("spans") > 0, rest).otherwise(F.col("content"))
+    return found.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
