@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -96,34 +97,50 @@ def test_language_awkward(spark, awkward, empty):
     assert all(0 <= r.score <= 1 for r in out)
     assert ppm_language.language_id(empty).count() == 0
     assert ppm_language.predict(awkward, None).where("lang_pred <> 'und'").count() == 0
-    kept = ppm_language.recognised(awkward, ppm_language.fit(awkward))
+    kept = ppm_language.recognised(awkward)
     assert kept.columns == awkward.columns and kept.count() == 7
 
 
 # source mixing
 
 
-def test_pfair_windows_and_completeness():
+def plain_edf(blocks, weights):
+    """Slot by slot over fractions: of the released next blocks the one with the earliest deadline."""
+    left, out, slot = {k: n for k, n in blocks.items() if n}, [], 0
+    while left:
+        share = {k: Fraction(weights[k]) / sum(Fraction(weights[x]) for x in left) for k in left}
+        done, begin = dict.fromkeys(left, 0), slot
+        while all(left.values()):
+            free = [(math.ceil((done[k] + 1) / w), k, math.floor(done[k] / w)) for k, w in share.items() if math.floor(done[k] / w) <= slot - begin]
+            deadline, k, release = min(free)
+            out.append((slot, k, begin + release, begin + deadline))
+            assert release <= slot - begin < deadline
+            done[k], left[k], slot = done[k] + 1, left[k] - 1, slot + 1
+            assert all(abs(done[x] - w * (slot - begin)) < 1 for x, w in share.items())
+        left = {k: n for k, n in left.items() if n}
+    return out
+
+
+def test_pfair_matches_slot_by_slot_edf():
+    """Irrational, tiny and equal weights; windows hold and every source stays within a block of its exact share."""
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        blocks = {str(i): int(rng.integers(1, 200)) for i in range(rng.integers(1, 8))}
-        plan = pfair.segments(blocks, {k: float(rng.random() + 0.01) for k in blocks}, int(rng.choice([7, 60, 1000])))
-        used = {}
-        for k, parts in plan.items():
-            for begin, end, w, units, start, slots in parts:
-                for j in range(end - begin):
-                    slot = start + j // w * units + slots[j % w]
-                    assert slot not in used and start + j * units // w <= slot < start - (-(j + 1) * units // w)
-                    used[slot] = k
-        assert sorted(used) == list(range(sum(blocks.values())))
-
-
-def test_pfair_deviation_below_one_block():
-    weights = {"a": 500, "b": 300, "c": 199, "d": 1}
-    slots = pfair.period(weights)
-    for k, w in weights.items():
-        done = np.bincount(slots[k], minlength=1000).cumsum()
-        assert np.abs(done - w * np.arange(1, 1001) / 1000).max() < 1
+    cases = [({"a": 900, "b": 700, "c": 800}, {"a": math.sqrt(2), "b": 1.0, "c": math.sqrt(3)}), ({"a": 2000, "b": 3}, {"a": 1.0, "b": 1e-6}), ({"a": 5, "b": 0, "c": 5}, {"a": 1.0, "b": 1.0, "c": 1.0})]
+    cases += [({str(i): int(rng.integers(1, 90)) for i in range(n)}, {str(i): float(rng.random() ** 4 + 1e-9) for i in range(n)}) for n in (1, 2, 5, 9, 17)]
+    for blocks, weights in cases:
+        plan = pfair.schedule(blocks, weights)
+        assert sorted((slot, k, r, d) for k, own in plan.items() for slot, r, d in own) == plain_edf(blocks, weights)
+    assert pfair.whole_weights({"a": 0.75, "b": 1.5}) == {"a": 3, "b": 6}
+
+
+def test_pfair_deviation_over_a_long_schedule():
+    weights = {"a": math.sqrt(2), "b": 1.0, "c": math.sqrt(3), "d": 1e-6}
+    n = 100_000
+    plan, total = pfair.schedule(dict.fromkeys(weights, n), weights), sum(map(Fraction, weights.values()))
+    first = min(own[-1][0] for own in plan.values())
+    for k, own in plan.items():
+        slots = np.array([x[0] for x in own])
+        done = np.searchsorted(slots, np.arange(0, first, 997), side="left")
+        assert all(abs(int(d) - Fraction(weights[k]) / total * t) < 1 for t, d in zip(range(0, first, 997), done))
 
 
 def test_pfair_rows(spark, sf_dir, awkward, empty):
@@ -189,6 +206,22 @@ def test_near_duplicates_match_brute_force(spark, sf_dir):
     assert got == classes(rows)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Copies with edits around the threshold: linked to the hub, to each other only, or to none."""
+    rng, base, rows = np.random.default_rng(5), prose(31, 100).split(), []
+    for k in range(260):
+        words = list(base)
+        for i in rng.choice(100, int(rng.integers(0, 7)), replace=False):
+            words[i] = f"edit{i}{rng.integers(0, 2)}"
+        if k % 5 == 0:  # shorter ones
+            del words[: int(rng.integers(0, 16))]
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(rows)
+    assert 3 < len(set(want.values())) < 150
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(frame).collect()} == want
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     base = prose(3, 300).split()
     for edits in (2, 8, 25):
@@ -288,14 +321,55 @@ def test_quality_keeps_good_and_drops_bad(spark):
 # sentencepiece
 
 
+def naive_pieces(model, text, doc_id, dropout):
+    """Pieces by direct search for the best candidate merge, on strings, one draw a step."""
+    size = model.vocab_size()
+    plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    score = {model.id_to_piece(i): model.get_score(i) for i in plain}
+    beside = {t[k : k + 2] for t in score for k in range(len(t) - 1)}
+    marked = [("\0" if c == "▁" else "▁" if c == " " else c) for c in " " + text] if text else []
+    cuts = [0, *(k for k in range(1, len(marked)) if marked[k - 1] + marked[k] not in beside), len(marked)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        key = merge_dropout.unit_keys(np.array([doc_id or 0]), np.array([a]), merge_dropout.SEED)
+        parts, dead, step = marked[a:b], set(), 0  # dead: the objects side by side of skipped merges
+        parts = [[c] for c in parts]
+        while True:
+            some = [(-score[x[0] + y[0]], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x[0] in score and y[0] in score and x[0] + y[0] in score and (id(x), id(y)) not in dead]
+            if not some:
+                break
+            k = min(some)[1]
+            step += 1
+            if merge_dropout.skipped(key, step - 1, dropout)[0]:
+                dead.add((id(parts[k]), id(parts[k + 1])))
+            else:
+                parts[k : k + 2] = [[parts[k][0] + parts[k + 1][0]]]
+                dead = {d for d in dead if {*d} <= {id(x) for x in parts}}
+        for (p,) in parts:
+            out += [model.piece_to_id(p)] if p in score else [model.piece_to_id(f"<0x{x:02X}>") for x in ("▁" if p == "\0" else p).encode()]
+    return out
+
+
 def test_pieces_without_dropout_are_the_librarys(sf_dir, spark, awkward):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    model, ours = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.encoder(path, 0.0, 1, 0)
-    some = texts(table(spark, sf_dir, "documents"))[:60] + ["", " ", "  a  b\n\nc ", "x" * 300, "a    b é 日本 😀", "\t\x01"]
+    model, ours = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.vocabulary(path)
+    some = texts(table(spark, sf_dir, "documents"))[:60] + ["", " ", "  a  b\n\nc ", "x" * 300, "a    b é 日本 😀", "\t\x01", "y" * 64 + "x" * 65]
     for t in some:
-        assert ours.encode(t).tolist() == model.encode(t)
+        assert ours.encode_text(t, dropout=0.0).tolist() == model.encode(t)
+
+
+def test_dropout_matches_direct_merging(sf_dir, spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, ours = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.vocabulary(path)
+    some = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").where("length(text) between 1 and 4000").orderBy("doc_id").limit(25).collect()]
+    some += [(None, "a 日本 ▁ x▁y \n\n  b"), (7, "x" * 150 + " internationalisation" * 9), (8, prose(8, 40).replace(" ", "") * 2), (9, "")]
+    for dropout in (0.1, 0.6, 1.0):
+        for i, t in some:
+            assert ours.encode_text(t, i, dropout).tolist() == naive_pieces(model, t, i, dropout)
 
 
 def test_dropout_is_lossless_varied_and_repeatable(spark, awkward, empty):
@@ -303,8 +377,8 @@ def test_dropout_is_lossless_varied_and_repeatable(spark, awkward, empty):
     out = merge_dropout.round_trip(awkward, path)
     assert out.where("not lossless").count() == 0 and out.count() == 11
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, merge_dropout.round_trip(awkward.repartition(5), path).collect()), key=str)
-    enc, plain, t = merge_dropout.encoder(path), merge_dropout.encoder(path, 0.0, 1, 0), prose(4, 400)
-    assert enc.encode(t, 1).tolist() != enc.encode(t, 2).tolist() and len(enc.encode(t, 1)) > len(plain.encode(t))
+    words, t = merge_dropout.vocabulary(path), prose(4, 400)
+    assert words.encode_text(t, 1).tolist() != words.encode_text(t, 2).tolist() and len(words.encode_text(t, 1)) > len(words.encode_text(t, dropout=0.0))
     pieces = merge_dropout.with_pieces(awkward, path)
     back = {(r.doc_id, r.text) for r in merge_dropout.decode(pieces, path).collect()}
     assert back == {(r.doc_id, r.text or "") for r in awkward.collect()}
@@ -312,49 +386,14 @@ def test_dropout_is_lossless_varied_and_repeatable(spark, awkward, empty):
 
 
 def test_dropout_draws_anew_at_every_occurrence():
-    """The segmentations of a frequent word have the frequencies of one draw a step, by direct simulation."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    enc, n = merge_dropout.encoder(path), 20_000
-    pieces, word = enc.pieces, " together"
-    got = enc.encode(" ".join([word[1:]] * n), 5).tolist()
-    rng, cut, want = np.random.default_rng(3), collections.Counter(), collections.Counter()
-    current = []
-    for i in got:
-        if pieces.text[i].startswith(merge_dropout.MARK) and current:
-            cut[tuple(current)] += 1
-            current = []
-        current.append(i)
-    cut[tuple(current)] += 1
-    assert sum(cut.values()) == n
-    for _ in range(n):
-        ids, dead = [pieces.id[merge_dropout.MARK if c == " " else c] for c in word], set()
-        while True:
-            some = [(pieces.pairs[a << 20 | b], k) for k, (a, b) in enumerate(zip(ids, ids[1:])) if a << 20 | b in pieces.pairs and (k, len(ids), a, b) not in dead]
-            if not some:
-                break
-            (_, merged), k = min(some, key=lambda x: (x[0][0], x[1]))
-            if rng.random() < merge_dropout.DROPOUT:
-                dead.add((k, len(ids), ids[k], ids[k + 1]))
-                continue
-            # a skipped pair stays skipped while it stands, wherever it moves
-            dead = {(j - (j > k), len(ids) - 1, a, b) for j, _, a, b in dead if j not in (k - 1, k + 1)}
-            ids[k : k + 2] = [merged]
-        want[tuple(ids)] += 1
-    assert len(cut) > 10 and all(abs(cut[k] - want[k]) < 6 * math.sqrt(cut[k] + want[k]) for k in cut | want)
-    # what a worker remembers decides nothing
-    fresh = merge_dropout.Encoder(path, merge_dropout.DROPOUT, None, merge_dropout.SEED)
-    text = "a 日本 " + prose(8, 50) + "x" * 150 + " together" * 30
-    assert fresh.encode(text, 9).tolist() == enc.encode(text, 9).tolist() == fresh.encode(text, 9).tolist()
-
-
-def test_short_and_long_agendas_agree():
-    pieces = merge_dropout.encoder(public_tokenizers.path("piece_bpe_32k.model")).pieces
-    for seed in range(20):
-        ids = [pieces.id.get(c, -1) for c in prose(seed, 15).replace(" ", "▁")][:99]
-        a, b = (ids[:], list(range(len(ids)))), (ids[:], list(range(len(ids))))
-        pieces._merge_short(*a, 1 << 30, seed)
-        pieces._merge_long(*b, 1 << 30, seed)
-        assert a == b
+    """The segmentations of a frequent word have the frequencies of independent draws, also when a text is taken in ranges."""
+    words, n = merge_dropout.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), 60_000
+    got = words.encode_text(" ".join(["together"] * n), 5).tolist()
+    starts = [k for k, i in enumerate(got) if words.text[i].startswith(merge_dropout.MARK)]
+    cut = collections.Counter(tuple(got[a:b]) for a, b in zip(starts, [*starts[1:], len(got)]))
+    assert sum(cut.values()) == n and len(cut) > 10
+    steps = len("▁together") - 1  # the whole word is one piece: no step of its merges is skipped
+    assert abs(max(cut.values()) - n * 0.9**steps) < 6 * math.sqrt(n)
 
 
 # token counts
@@ -425,9 +464,13 @@ def test_ledger_scans_only_what_is_new(spark):
     paths, again = secret_ledger.scan(grown, ["path"], ledger=emptied, rules=rules)
     assert again.count() == 2 and again.where("size(spans) > 0").count() == 0
     paths, more = secret_ledger.scan(grown, ["path"], ledger=again, rules=secret_ledger.RULES)
+    # only new pairs of blob and rule version were added: the other rules, once a blob
+    assert more.count() == 4 and all(len(r.scanned) == len(set(r.scanned)) == 3 for r in more.subtract(again).collect())
+    assert secret_ledger.scan(grown, ["path"], ledger=more)[1].count() == 4
     found = {r.path: [s.kind for s in r.spans] for r in secret_ledger.findings(paths, more).collect()}
     assert found == {"c": [], "d": ["hex"]}
-    assert all(sorted(r.scanned) == sorted(x.name for x in secret_ledger.RULES) for r in more.where("blob = sha2('" + "f" * 40 + "', 256)").collect())
+    seen = [x for r in more.where("blob = sha2('" + "f" * 40 + "', 256)").collect() for x in r.scanned]
+    assert sorted(seen) == sorted(x.name for x in secret_ledger.RULES)
 
 
 # exact top-k
