@@ -1,6 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each a table of documents for the next.
 
-1. language ID: texts that are in no language go, each judged by statistics of other texts only.
+1. language ID: texts that are in no language go, each judged by statistics of other texts only; a
+   null lang becomes the predicted one.
 2. near-duplicates: one document of each class stays.
 3. secret scans: spans of secrets are replaced by ``[secret]`` (and n_chars follows).
 4. source mixing: rows are laid out in the order of the mix, by part and inside parts.
@@ -25,7 +26,7 @@ from pixelquarry.session import shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ppm_language.recognised_apart(docs)
+    return ppm_language.recognised(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
