@@ -1,15 +1,17 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON object in one of several layouts. The set of its nested field paths (array
-steps written ``[]``) is hashed; the hash selects a declarative mapping that says where the turns
-are, and the record becomes a list of canonical (role, text) turns. Records with an unknown
-fingerprint are kept, with null turns and their fingerprint, so that a mapping can be added.
+steps written ``[]``), each with its kinds of values, is hashed; the hash selects a declarative mapping
+that says where the turns are, and the record becomes a list of canonical (role, text) turns. Records
+with an unknown fingerprint are kept, with null turns, their fingerprint and a reason, so that a mapping can be added.
+Kinds are ``object``, ``array`` and ``text`` (any other value, null too: it is read as text).
 
 Template: ``<s>`` then for each turn ``[INST]role[/INST]text</s>``. Control strings inside a role or
 text are escaped reversibly: ``\\`` doubles, and the ``<`` or ``[`` that opens a control string becomes
 ``\\l`` or ``\\b``. Hence no text contains a control string, and the output can be split again.
 
-Defined cases: a null text or role is empty; turns are ordered by turn number (nulls first),
+Defined cases: a record that is null, or no JSON, or no object has null turns and a reason, as has one whose fields hold
+other kinds than its layout, or a pair in a history without exactly two items; a null text or role is empty; turns are ordered by turn number (nulls first),
 then role, then text, and repeated turns are all kept; a null conversation id is one
 conversation; a conversation without turns cannot occur in a turn table, and an empty message
 list formats to ``<s>``; an empty table gives no rows. Other columns are ignored.
@@ -28,34 +30,37 @@ from pyspark.sql import functions as F
 
 from pixelquarry.session import ship
 
-#: Layouts: the fields that must be there, those that may be, and how turns are read.
+#: Layouts: the paths with their kinds that must be there, those that may be, and how turns are read.
 #: ``each``: an array whose items carry a role and a text; ``parts``: fixed fields in turn order;
 #: ``pairs``: an array of [user, assistant] pairs put before the parts. ``roles`` renames roles.
 LAYOUTS = (
-    {"name": "messages", "need": ["messages"], "may": ["messages[].role", "messages[].content"], "each": ("messages", "role", "content")},
-    {"name": "conversations", "need": ["conversations"], "may": ["conversations[].from", "conversations[].value"], "each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant", "bot": "assistant"}},
-    {"name": "prompt", "need": ["prompt"], "may": ["completion"], "parts": [("user", "prompt"), ("assistant", "completion")]},
-    {"name": "question", "need": ["question"], "may": ["answer"], "parts": [("user", "question"), ("assistant", "answer")]},
-    {"name": "system_prompt", "need": ["system", "prompt", "response"], "may": [], "parts": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
-    {"name": "instruction", "need": ["instruction", "output"], "may": ["input"], "parts": [("user", ("instruction", "input")), ("assistant", "output")]},
-    {"name": "history", "need": ["history", "instruction", "output"], "may": ["history[]", "history[][]"], "pairs": "history", "parts": [("user", "instruction"), ("assistant", "output")]},
+    {"name": "messages", "need": ["messages:array"], "may": ["messages[]:object", "messages[].role:text", "messages[].content:text"], "each": ("messages", "role", "content")},
+    {"name": "conversations", "need": ["conversations:array"], "may": ["conversations[]:object", "conversations[].from:text", "conversations[].value:text"], "each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant", "bot": "assistant"}},
+    {"name": "prompt", "need": ["prompt:text"], "may": ["completion:text"], "parts": [("user", "prompt"), ("assistant", "completion")]},
+    {"name": "question", "need": ["question:text"], "may": ["answer:text"], "parts": [("user", "question"), ("assistant", "answer")]},
+    {"name": "system_prompt", "need": ["system:text", "prompt:text", "response:text"], "may": [], "parts": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
+    {"name": "instruction", "need": ["instruction:text", "output:text"], "may": ["input:text"], "parts": [("user", ("instruction", "input")), ("assistant", "output")]},
+    {"name": "history", "need": ["history:array", "instruction:text", "output:text"], "may": ["history[]:array", "history[][]:text"], "pairs": "history", "parts": [("user", "instruction"), ("assistant", "output")]},
 )
 RENAMED = ("human", "gpt", "bot")
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """Paths of all fields under a value; the array step is ``[]``."""
-    if isinstance(value, dict):
-        steps = [(f"{at}.{k}" if at else k, v) for k, v in value.items()]
-        return set().union(*({p} | field_paths(v, p) for p, v in steps)) if steps else set()
-    if isinstance(value, list):
-        inner = set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else set()
-        return inner | ({f"{at}[]"} if any(isinstance(v, (list, str)) for v in value) else set())
-    return set()
+def field_paths(value: object) -> set[str]:
+    """Paths and kinds of all values under an object; the array step is ``[]``."""
+    out, todo = set(), [("", value)]
+    while todo:  # records may be nested deeply
+        at, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [(f"{at}.{k}" if at else k, v) for k, v in x.items()]
+        elif isinstance(x, list):
+            todo += [(f"{at}[]", v) for v in x]
+        if at:
+            out.add(f"{at}:{'object' if isinstance(x, dict) else 'array' if isinstance(x, list) else 'text'}")
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha1("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha1("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def known(layouts=LAYOUTS) -> dict[str, dict]:
@@ -68,6 +73,29 @@ def known(layouts=LAYOUTS) -> dict[str, dict]:
     return out
 
 
+def read_record(raw: str | None, table: dict[str, dict]) -> tuple[str | None, str | None, list[tuple[str, str]] | None, str | None]:
+    """(layout, fingerprint, turns, reason) of one record; turns are null where there is a reason."""
+    try:
+        record = json.loads(raw) if raw is not None else None
+    except (ValueError, RecursionError):
+        return None, None, None, "no JSON"
+    if not isinstance(record, dict):
+        return None, None, None, "no object"
+    mark = fingerprint(field_paths(record))
+    layout = table.get(mark)
+    if layout is None:
+        return None, mark, None, "unknown layout"
+    if any(len(pair) != 2 for pair in record.get(layout.get("pairs", ""), ())):
+        return layout["name"], mark, None, "history of other than pairs"
+    turns = [(_clean(role), _clean(text)) for role, text in canonical(record, layout)]
+    return layout["name"], mark, turns, None
+
+
+def _clean(text: str) -> str:
+    """Lone surrogates, which JSON can escape and a column cannot hold, become U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _text(x: object) -> str:
     return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
@@ -89,27 +117,23 @@ def canonical(record: dict, layout: dict) -> list[tuple[str, str]]:
 
 
 def to_turns(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
-    """(conv_id, record) to (conv_id, layout, fingerprint, turns array<struct<role, text>>)."""
+    """(conv_id, record) to (conv_id, layout, fingerprint, turns array<struct<role, text>>, reason)."""
     ship(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known(layouts)
         kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            names, prints, turns = [], [], []
-            for raw in batch.column("record").to_pylist():
-                record = json.loads(raw) if raw else {}
-                prints.append(fingerprint(field_paths(record)))
-                layout = table.get(prints[-1])
-                names.append(layout and layout["name"])
-                turns.append(layout and [{"role": r, "text": t} for r, t in canonical(record, layout)])
+            read = [read_record(raw, table) for raw in batch.column("record").to_pylist()]
+            turns = [t and [{"role": r, "text": x} for r, x in t] for _, _, t, _ in read]
+            names, prints, _, reasons = zip(*read, strict=True) if read else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), pa.array(names, pa.string()), pa.array(prints, pa.string()), pa.array(turns, kind)],
-                ["conv_id", "layout", "fingerprint", "turns"],
+                [batch.column("conv_id"), pa.array(names, pa.string()), pa.array(prints, pa.string()), pa.array(turns, kind), pa.array(reasons, pa.string())],
+                ["conv_id", "layout", "fingerprint", "turns", "reason"],
             )
 
     return records.select("conv_id", "record").mapInArrow(
-        run, "conv_id long, layout string, fingerprint string, turns array<struct<role: string, text: string>>"
+        run, "conv_id long, layout string, fingerprint string, turns array<struct<role: string, text: string>>, reason string"
     )
 
 

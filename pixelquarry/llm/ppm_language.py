@@ -47,7 +47,7 @@ OUT = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_SLOT_BITS = 20
+_SLOT_BITS = 20  # at most
 
 
 def grams(pack: bs.Pack, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +72,8 @@ class Table:
     def __getstate__(self) -> dict:
         return {"keys": self.keys, "values": self.values, "slots": None}
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.slots).bit_length())
 
     def _search(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
@@ -85,10 +84,10 @@ class Table:
         """Row of each key, -1 where absent."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        if len(keys) < 100_000:  # slots pay only for the bulk of the bytes
+        if len(keys) < 30_000:  # slots pay only for the bulk of the bytes
             return self._search(keys)
         if self.slots is None:
-            self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+            self.slots = np.full(1 << min(_SLOT_BITS, len(self.keys).bit_length() + 2), -1, np.int32)
             self.slots[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
         row = self.slots[self._slot(keys)]
         other = np.flatnonzero((row >= 0) & (self.keys[row] != keys))  # no key has an empty slot

@@ -22,7 +22,9 @@ are counted alike; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,8 +42,6 @@ CHUNK = 256
 MOST_STATES = 200_000
 FINAL = 256
 
-#: White space of the pattern \s.
-SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -55,18 +55,45 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _all_points() -> np.ndarray:
+    """All code points that texts can hold."""
+    return np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+
+
 def char_classes() -> np.ndarray:
-    """Class of every code point: white space, letter, number or other."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    for cp in range(0x110000):
-        kind = kinds.get(unicodedata.category(chr(cp))[0])
-        if kind:
-            out[cp] = kind
-    out[list(SPACES)] = SPACE
+    """Class of every code point: white space, letter, number or other, as the library's patterns have them."""
+    from tokenizers import Regex, pre_tokenizers
+
+    out, points = np.full(0x110000, OTHER, np.uint8), _all_points()
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        for _, (begin, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            out[points[begin:end]] = kind
     return out
 
 
+def lowering() -> tuple[dict[int, str], re.Pattern]:
+    """The library's lower-casing where it changes a code point; the code points on which Python's tables may be of another version."""
+    from tokenizers import normalizers
+
+    points = _all_points()
+    points = points[points != 0x0A]
+    lower = normalizers.Lowercase().normalize_str("\n".join(map(chr, points))).split("\n")
+    table = {int(cp): x for cp, x in zip(points, lower, strict=True) if x != chr(cp)}
+    odd = np.array([cp for cp, x in zip(points.tolist(), lower, strict=True) if x != chr(cp).lower() or unicodedata.category(chr(cp)) == "Cn"])
+    runs = np.split(odd, np.flatnonzero(np.diff(odd) > 1) + 1)
+    return table, re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]")
+
+
+Tables = tuple[np.ndarray, dict[int, str], re.Pattern]
+
+
+@functools.cache
+def unicode_tables() -> Tables:
+    """Classes and lower-casing of the library; some seconds, so that workers get them from the driver."""
+    return char_classes(), *lowering()
+
+
 class Bpe:
     """A merge table over symbols: byte b is symbol b, the last byte of a word FINAL + b."""
 
@@ -247,9 +274,12 @@ class Transducer:
 class Counter:
     """Normalises texts, marks words and counts tokens with a transducer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables: Tables):
+        from tokenizers import normalizers
+
         self.machine = Transducer(path)
-        self.classes = char_classes()
+        self.classes, self.lower, self.odd = tables
+        self.nfc = normalizers.NFC().normalize_str
 
     def normal(self, text: str) -> tuple[str, int]:
         """The text as the tokenizer sees it, and how many added tokens stood in it."""
@@ -259,6 +289,8 @@ class Counter:
                 extra += text.count(s)
                 text = text.replace(s, " ")
         if not text.isascii():
+            if self.odd.search(text):
+                return self.nfc(text).translate(self.lower), extra
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma is lowered without regard to its place
         return text.lower(), extra
 
@@ -305,19 +337,20 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, tables: Tables | None = None) -> Counter:
     """One compiled counter a process and vocabulary."""
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(path, tables or unicode_tables())
     return _counters[path]
 
 
 def token_counts(documents: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document; ``vocabulary`` is a path on all executors."""
     ship(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(unicode_tables())  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = counter(vocabulary)
+        machine = counter(vocabulary, shared.value)
         for batch in batches:
             column = batch.column("text")
             size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
