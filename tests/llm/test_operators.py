@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 from fractions import Fraction
 
 import numpy as np
@@ -414,6 +415,21 @@ def test_token_counts_are_the_librarys(spark, sf_dir, awkward, empty):
     assert token_fst.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_where_unicode_versions_differ():
+    """Code points on which Python's tables are another version's, and some of all others."""
+    from tokenizers import Tokenizer, normalizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), token_fst.counter(path)
+    low = normalizers.Lowercase()
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    some = [c for c in points[:0x30000] if ours.lower.get(c, chr(c)) != chr(c).lower() or (unicodedata.category(chr(c)) == "Cn") != (ours.classes[c] == token_fst.OTHER and unicodedata.category(chr(c))[0] not in "LNZ")]
+    some = [c for c in some if unicodedata.category(chr(c)) != "Cc"][:400] + [0xA7CB, 0xA7DC, 0x13808, 0x1385C, 0x13988, *points[:0x30000:1511]]
+    assert all(ours.lower.get(c, chr(c)) == low.normalize_str(chr(c)) for c in some)
+    texts = [f"a{chr(c)}B {chr(c)}\u0301" for c in some]
+    assert ours.count(texts).tolist() == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_chunk_maps_compose_over_long_words():
     counter = token_fst.counter(public_tokenizers.path("word_bpe_49k.json"))
     from tokenizers import Tokenizer
@@ -505,6 +521,9 @@ def test_layouts_and_unknown_schema(spark):
         (3, '{"prompt": "a", "completion": "b"}'), (4, '{"instruction": "a", "output": "b"}'), (5, '{"instruction": "a", "input": "x", "output": "b"}'),
         (6, '{"history": [["p", "q"]], "instruction": "a", "output": "b"}'), (7, '{"system": "s", "prompt": "a", "response": "b"}'),
         (8, '{"odd": {"field": 1}}'), (9, None), (10, '{"messages": []}'),
+        (11, "{bad"), (12, '{"messages":[1,2]}'), (13, '{"messages":"hi"}'), (14, '{"messages":[{"role":"user","content":"a"},null]}'),
+        (15, '{"history":[["a"]],"instruction":"b","output":"c"}'), (16, "[1]"), (17, ""), (18, "[" * 500 + "]" * 500), (19, '{"prompt": {"x": 1}}'),
+        (20, '{"prompt": null, "completion": "\\ud800"}'), (21, '{"messages":[{"role":["user"],"content":"a"}]}'),
     ]
     got = {r.conv_id: r for r in chat.to_turns(spark.createDataFrame(records, "conv_id long, record string")).collect()}
     turns = {i: None if r.turns is None else [tuple(t) for t in r.turns] for i, r in got.items()}
@@ -512,7 +531,13 @@ def test_layouts_and_unknown_schema(spark):
     assert all(turns[i] == pair for i in (1, 2, 3, 4))
     assert turns[5] == [("user", "a\nx"), ("assistant", "b")]
     assert turns[6] == [("user", "p"), ("assistant", "q"), *pair] and turns[7] == [("system", "s"), *pair]
-    assert turns[8] is None and turns[9] is None and turns[10] == [] and got[8].fingerprint != got[9].fingerprint
+    assert turns[10] == [] and turns[20] == [("user", ""), ("assistant", "\ufffd")]
+    reasons = {i: r.reason for i, r in got.items() if r.turns is None}
+    assert reasons == {
+        **dict.fromkeys((8, 12, 13, 14, 19, 21), "unknown layout"), **dict.fromkeys((9, 16, 18), "no object"), **dict.fromkeys((11, 17), "no JSON"),
+        15: "history of other than pairs",
+    }
+    assert got[12].fingerprint != got[13].fingerprint and all((r.reason is None) == (r.turns is not None) for r in got.values())
 
 
 def test_chat_round_trip(spark):
