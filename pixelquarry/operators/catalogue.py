@@ -1,15 +1,18 @@
 """File catalogue: routes, formats, headers, limits, reasons, quarantine and summaries.
 
-All rules are column expressions on ``content``; nothing is decoded. Offsets and magics are the
+All rules are column expressions on ``content``, but for a walk over the records of JPEG, PNG, WebP and
+PIC files; nothing is decoded. Offsets and magics are the
 public file formats'. A truncated field is null, and a null size is a failure with a reason.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.functions.color import be_int, byte_at, le_int
+from pixelquarry.session import ship
 
 # Extensions by route.
 ROUTES = {"webp": ["webp", "wbp", "web"], "pcx": ["pcx"], "qoi": ["qoi"], "xbm": ["xbm"], "xpm": ["xpm"]}
@@ -65,47 +68,116 @@ def sniff_format(files: DataFrame, order: str = "load") -> DataFrame:
 
 
 def _text_header() -> Column:
-    return F.decode(F.col("content").substr(1, 256), "ISO-8859-1")
+    """The content of HDR files as text."""
+    return F.decode(F.when(F.col("format") == "hdr", F.col("content")), "ISO-8859-1")
 
 
 def _pnm_number(content: str, k: int) -> Column:
     """Width (1), height (2) or highest value (3) of a PNM header; null where the text ends before it."""
     gap = r"(?:\s|#[^\n\r]*)*+"
-    text = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    text = F.decode(F.when(F.col("format") == "pnm", F.col(content)), "ISO-8859-1")
     return F.regexp_extract(text, rf"^P[56]{gap}(\d++)(?:{gap}(\d++))?(?:{gap}(\d++))?", k).try_cast("long")
 
 
+def _jpeg_records(content: bytes) -> dict:
+    """Bits, height, width and components of the first frame record, as far as the file goes."""
+    at = 0
+    while at + 1 < len(content):
+        kind = content[at + 1]
+        if content[at] != 0xFF or kind == 0xFF:  # between records, or fill
+            at += 1
+        elif kind in (0xD8, 0x01, 0x00) or 0xD0 <= kind <= 0xD7:
+            at += 2
+        elif kind in (0xC0, 0xC1, 0xC2):
+            part = content[at + 4 : at + 10]
+            fields = (("bits", 0, 1), ("height", 1, 3), ("width", 3, 5), ("components", 5, 6))
+            return {name: int.from_bytes(part[i:j], "big") for name, i, j in fields if len(part) >= j}
+        elif kind in (0xD9, 0xDA) or at + 4 > len(content):
+            break
+        else:
+            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return {}
+
+
+def _png_records(content: bytes) -> dict:
+    """Whether a tRNS record stands before the first IDAT."""
+    at = 8
+    while at + 8 <= len(content) and content[at + 4 : at + 8] not in (b"IDAT", b"IEND"):
+        if content[at + 4 : at + 8] == b"tRNS":
+            return {"clear": True}
+        at += 12 + int.from_bytes(content[at : at + 4], "big")
+    return {}
+
+
+def _webp_records(content: bytes) -> dict:
+    """Size of the first image record, VP8 or VP8L, which may follow others."""
+    at = 12
+    while at + 8 <= len(content):
+        kind, part = content[at : at + 4], content[at + 8 : at + 18]
+        if kind == b"VP8L":
+            packed = int.from_bytes(part[1:5], "little")
+            return {"width": (packed & 0x3FFF) + 1, "height": (packed >> 14 & 0x3FFF) + 1} if len(part) >= 5 else {}
+        if kind == b"VP8 ":
+            fields = (("width", 6, 8), ("height", 8, 10))
+            return {name: int.from_bytes(part[i:j], "little") & 0x3FFF for name, i, j in fields if len(part) >= j}
+        size = int.from_bytes(content[at + 4 : at + 8], "little")
+        at += 8 + size + (size & 1)
+    return {}
+
+
+def _pic_records(content: bytes) -> dict:
+    """Whether one of the chained packets has alpha."""
+    at, clear = 104, False
+    while at + 4 <= len(content):
+        clear |= bool(content[at + 3] & 0x10)
+        if not content[at]:
+            break
+        at += 4
+    return {"clear": clear}
+
+
+_RECORDS = {"jpeg": _jpeg_records, "png": _png_records, "webp": _webp_records, "pic": _pic_records}
+_RECORD = pa.struct([("bits", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("components", pa.int32()), ("clear", pa.bool_())])
+
+
+def _records(sniffed: DataFrame) -> Column:
+    """What a walk over the records of JPEG, PNG, WebP and PIC files finds; only their content goes to Python."""
+    ship(sniffed.sparkSession)
+
+    @F.arrow_udf("struct<bits: int, height: int, width: int, components: int, clear: boolean>")
+    def read(formats: pa.Array, contents: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else _RECORDS[f](c) for f, c in zip(formats.to_pylist(), contents.to_pylist(), strict=True)], _RECORD)
+
+    return read.asNondeterministic()(F.col("format"), F.when(F.col("format").isin(*_RECORDS), F.col("content")))
+
+
 def probe_header(sniffed: DataFrame) -> DataFrame:
-    """width, height, channels and bits by format."""
+    """width, height, channels and bits by format, and ``records``, what a walk over the records of a file finds (null for other formats)."""
+    sniffed = sniffed.withColumn("records", _records(sniffed))
     be = lambda at, n: be_int("content", at, n)
     le = lambda at, n: le_int("content", at, n)
     b = lambda at: byte_at("content", at)
     text = _text_header()
     pnm = lambda k: _pnm_number("content", k)
-    hdr = lambda k: F.regexp_extract(text, r"\n\n-Y (\d+) \+X (\d+)\n", k).try_cast("long")
+    hdr = lambda k: F.regexp_extract(text, r"\A(?:[^\n]++\n)++\n-Y (\d+) \+X (\d+)\n", k).try_cast("long")
     signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
-    lossless = _starts("5650384C", 12)
-    bits14 = lambda v: v.bitwiseAND(F.lit(0x3FFF))
-    packed = le(21, 4)
-    png_channels = F.when(b(25) == 3, 3).otherwise(F.when(b(25).bitwiseAND(F.lit(2)) != 0, 3).otherwise(1) + F.when(b(25).bitwiseAND(F.lit(4)) != 0, 1).otherwise(0))
+    old = le(14, 4) == 12  # the first kind of bitmap header: sizes of 16 bits
+    clear = F.coalesce(F.col("records.clear"), F.lit(False))
+    png_channels = F.when(b(25) == 3, F.when(clear, 4).otherwise(3)).otherwise(F.when(clear, 1).otherwise(0) + F.when(b(25).bitwiseAND(F.lit(2)) != 0, 3).otherwise(1) + F.when(b(25).bitwiseAND(F.lit(4)) != 0, 1).otherwise(0))
     tga_bits = F.when(b(1) == 1, b(7)).otherwise(b(16))
     tga_channels = F.when(tga_bits == 8, 1).when((tga_bits == 16) & (b(2).isin(3, 11)), 2).when(tga_bits.isin(15, 16, 24), 3).otherwise(4)
     # format: width, height, channels, bits
     rules = {
         "png": (be(16, 4), be(20, 4), png_channels, b(24)),
-        "bmp": (le(18, 4), F.abs(signed(le(22, 4))), F.when(le(28, 2) == 32, 4).otherwise(3), F.lit(8)),
+        "bmp": (F.when(old, le(18, 2)).otherwise(le(18, 4)), F.when(old, le(20, 2)).otherwise(F.abs(signed(le(22, 4)))), F.when(~old & (le(28, 2) == 32), 4).otherwise(3), F.lit(8)),
         "gif": (le(6, 2), le(8, 2), F.lit(4), F.lit(8)),
         "psd": (be(18, 4), be(14, 4), F.lit(4), be(22, 2)),
-        "pic": (be(92, 2), be(94, 2), F.when(b(107).bitwiseAND(F.lit(16)) != 0, 4).otherwise(3), F.lit(8)),
-        "jpeg": (be(9, 2), be(7, 2), F.when(b(11) >= 3, 3).otherwise(1), b(6)),
+        "pic": (be(92, 2), be(94, 2), F.when(clear, 4).otherwise(3), F.lit(8)),
+        "jpeg": (F.col("records.width"), F.col("records.height"), F.when(F.col("records.components") >= 3, 3).otherwise(1), F.col("records.bits")),
         "pnm": (pnm(1), pnm(2), F.when(b(1) == 0x35, 1).otherwise(3), F.when(pnm(3) > 255, 16).otherwise(8)),
         "hdr": (hdr(2), hdr(1), F.lit(3), F.lit(32)),
         "tga": (le(12, 2), le(14, 2), tga_channels, F.lit(8)),
-        "webp": (
-            F.when(lossless, bits14(packed) + 1).otherwise(bits14(le(26, 2))),
-            F.when(lossless, bits14(F.shiftright(packed, 14)) + 1).otherwise(bits14(le(28, 2))),
-            F.lit(4), F.lit(8),
-        ),
+        "webp": (F.col("records.width"), F.col("records.height"), F.lit(4), F.lit(8)),
         "qoi": (be(4, 4), be(8, 4), b(12), F.lit(8)),
         "pcx": (
             F.abs(le(8, 2) - le(4, 2)) + 1, F.abs(le(10, 2) - le(6, 2)) + 1,
@@ -144,6 +216,7 @@ def validate_header(headers: DataFrame) -> DataFrame:
     """``reason``: the first rule that a header breaks, null if none."""
     f, b = F.col("format"), lambda at: byte_at("content", at)
     le, be = (lambda at, n: le_int("content", at, n)), (lambda at, n: be_int("content", at, n))
+    old = le(14, 4) == 12
     zero = F.coalesce((F.col("width") <= 0) | (F.col("height") <= 0), F.lit(False))
     rules = [
         (f == "unknown", "unknown image type"),
@@ -154,18 +227,18 @@ def validate_header(headers: DataFrame) -> DataFrame:
         ((f == "png") & (b(27) != 0), "bad filter method"),
         ((f == "png") & (b(28) > 1), "bad interlace method"),
         ((f == "png") & zero, "0-pixel image"),
-        ((f == "bmp") & (le(26, 2) != 1), "bad BMP"),
-        ((f == "bmp") & le(30, 4).isin(1, 2), "BMP RLE"),
-        ((f == "bmp") & (le(30, 4) >= 4), "BMP JPEG/PNG"),
-        ((f == "bmp") & (le(30, 4) == 3) & ~le(28, 2).isin(16, 32), "bad BMP"),
+        ((f == "bmp") & (F.when(old, le(22, 2)).otherwise(le(26, 2)) != 1), "bad BMP"),
+        ((f == "bmp") & ~old & le(30, 4).isin(1, 2), "BMP RLE"),
+        ((f == "bmp") & ~old & (le(30, 4) >= 4), "BMP JPEG/PNG"),
+        ((f == "bmp") & ~old & (le(30, 4) == 3) & ~le(28, 2).isin(16, 32), "bad BMP"),
         ((f == "psd") & (be(4, 2) != 1), "wrong version"),
         ((f == "psd") & (be(12, 2) > 16), "wrong channel count"),
         ((f == "psd") & ~be(22, 2).isin(8, 16), "unsupported bit depth"),
         ((f == "psd") & (be(24, 2) != 3), "wrong color format"),
-        ((f == "jpeg") & (b(6) != 8), "only 8-bit"),
+        ((f == "jpeg") & (F.col("records.bits") != 8), "only 8-bit"),
         ((f == "jpeg") & (F.col("height") == 0), "no header height"),
         ((f == "jpeg") & (F.col("width") == 0), "0 width"),
-        ((f == "jpeg") & ~b(11).isin(1, 3, 4), "bad component count"),
+        ((f == "jpeg") & ~F.col("records.components").isin(1, 3, 4), "bad component count"),
         ((f == "pnm") & ((F.coalesce("width", F.lit(0)) == 0) | (F.coalesce("height", F.lit(0)) == 0)), "invalid width"),
         ((f == "pnm") & (_pnm_number("content", 3) > 65535), "max value > 65535"),
         (F.col("width").isNull() | F.col("height").isNull(), "truncated header"),

@@ -3,7 +3,7 @@
 A pixel's error goes to the right (4 and 1 sixteenths), down-left, down and down-right (2, 4, 2)
 and two rows down (1); two sixteenths are lost. All of these have a larger x + 2 y, so pixels of
 equal x + 2 y are computed at once; each share is floored on its own, so their order is free.
-One image must fit in a worker; images spread over the cluster.
+One image must fit in a worker, at some 60 bytes a pixel; images spread over the cluster.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pixelquarry.session import ship
 WEIGHTS = [(1, 0, 4), (2, 0, 1), (-1, 1, 2), (0, 1, 4), (1, 1, 2), (0, 2, 1)]
 
 
-def diffuse(grid: np.ndarray, choose: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Dither an (h, w, c) grid of integers; ``choose`` maps clipped-free values to output values."""
+def diffuse(grid: np.ndarray, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Dither an (h, w, c) grid of integers; ``choose`` maps values that are not clamped, and their places, to output values."""
     h, w, c = grid.shape
     acc, out = grid.astype(np.int64) * 16, np.zeros((h, w, c), np.int64)
     for t in range(w + 2 * (h - 1)):
         y = np.arange(max(0, -(-(t - w + 1) // 2)), min(h - 1, t // 2) + 1)
         x = t - 2 * y
-        out[y, x] = choose(acc[y, x] >> 4)
+        out[y, x] = choose(acc[y, x] >> 4, y, x)
         err = acc[y, x] - out[y, x] * 16
         for dx, dy, share in WEIGHTS:
             ok = (x + dx >= 0) & (x + dx < w) & (y + dy < h)
@@ -52,7 +52,7 @@ def dither_mono(pixels: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, grid = _image(pdf, ["r", "g", "b"])
         grey = (grid @ np.array([77, 151, 28]) >> 8)[:, :, None]
-        out = diffuse(grey, lambda v: np.where(v > 127, 255, 0))
+        out = diffuse(grey, lambda v, y, x: np.where(v > 127, 255, 0))
         return pdf[["image_id", "frame", "y", "x"]].assign(v=out[pdf["y"], pdf["x"], 0])
 
     return pixels.groupBy("image_id", "frame").applyInPandas(run, "image_id long, frame int, y int, x int, v int")
@@ -69,17 +69,24 @@ def nearest_cube(entries: list[tuple[int, int, int]], skip: int = P.SKIPPED) ->
 
 
 def dither_palette(pixels: DataFrame, palette_id: str) -> DataFrame:
-    """(image_id, frame, y, x, r, g, b): colours of the palette; only the lookup key is clamped."""
+    """(image_id, frame, y, x, idx, r, g, b): entries of the palette; only the lookup key is clamped."""
     ship(pixels.sparkSession)
-    entries = P.PALETTES[palette_id]
+    colors = np.array(P.PALETTES[palette_id])
+    cube = nearest_cube(P.PALETTES[palette_id]).astype(np.uint8)  # 32 KB, made once and sent with the function
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cube, colors = nearest_cube(entries), np.array(entries)
         pdf, grid = _image(pdf, ["r", "g", "b"])
-        out = diffuse(grid, lambda v: colors[cube[tuple((np.clip(v, 0, 255) >> 3).T)]])
-        return pdf[["image_id", "frame", "y", "x"]].assign(**{c: out[pdf["y"], pdf["x"], i] for i, c in enumerate("rgb")})
+        index = np.zeros(grid.shape[:2], np.int64)
 
-    return pixels.groupBy("image_id", "frame").applyInPandas(run, "image_id long, frame int, y int, x int, r int, g int, b int")
+        def choose(v: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+            index[y, x] = cube[tuple((np.clip(v, 0, 255) >> 3).T)]
+            return colors[index[y, x]]
+
+        out = diffuse(grid, choose)
+        at = (pdf["y"], pdf["x"])
+        return pdf[["image_id", "frame", "y", "x"]].assign(idx=index[at], **{c: out[(*at, i)] for i, c in enumerate("rgb")})
+
+    return pixels.groupBy("image_id", "frame").applyInPandas(run, "image_id long, frame int, y int, x int, idx int, r int, g int, b int")
 
 
 def dither_corpus(pixels: DataFrame, mode: int, bpp: int = 24) -> DataFrame:
@@ -91,4 +98,4 @@ def dither_corpus(pixels: DataFrame, mode: int, bpp: int = 24) -> DataFrame:
         return pixels.select(*cols, "r", "g", "b")
     if mode == 2:
         return dither_mono(pixels).select(*cols, *[F.col("v").alias(c) for c in "rgb"])
-    return dither_palette(pixels, "vga16" if mode == 3 else "win256")
+    return dither_palette(pixels, "vga16" if mode == 3 else "win256").select(*cols, "r", "g", "b")

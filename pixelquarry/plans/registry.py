@@ -290,8 +290,10 @@ ORACLES["background_fill"] = fixtures.with_views(
 # dithering: results are checked in the tests against a scalar walk
 
 add("dither_mono", "v_pixels", dither.dither_mono)
-add("dither_vga16", "v_pixels", lambda df: dither.dither_corpus(df, 3))
-add("dither_win256", "v_pixels", lambda df: dither.dither_corpus(df, 4))
+add("dither_vga16", "v_pixels", lambda df: dither.dither_palette(df, "vga16"))
+add("dither_win256", "v_pixels", lambda df: dither.dither_palette(df, "win256"))
+add("dither_by_depth", "v_pixels", lambda df: dither.dither_corpus(df, 1, 1))
+add("dither_none", "v_pixels", lambda df: dither.dither_corpus(df, 0), "SELECT image_id, frame, y, x, r, g, b FROM v_pixels")
 
 # events
 

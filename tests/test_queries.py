@@ -3,10 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from pixelquarry.operators import catalogue
+from pixelquarry.operators import catalogue, dither, palette
 from pixelquarry.plans import registry
 
 NAMES = ["luma8", "quantize_lut", "palette_usage", "rle_runs", "composite_frames", "quarantine_good", "quarantine_bad", "probe_jpeg", "explode_xpm"]
@@ -35,3 +36,66 @@ def test_pnm_header_rules(spark):
     assert [(r.width, r.height, r.bits, r.reason) for r in out] == [
         (12, 7, 8, None), (12, 7, 8, None), (3, 4, 16, None), (0, 4, 8, "invalid width"), (3, 4, 16, "max value > 65535"),
     ]
+
+
+def test_headers_behind_other_records(spark):
+    be, le = (lambda v, n: v.to_bytes(n, "big")), (lambda v, n: v.to_bytes(n, "little"))
+    frame = b"\xff\xc0\x00\x11\x08" + be(480, 2) + be(640, 2) + b"\x03"
+    app = b"\xff\xe0" + be(16, 2) + b"JFIF\0" + bytes(9)
+    png = lambda kind, *more: b"\x89PNG\r\n\x1a\n" + be(13, 4) + b"IHDR" + be(5, 4) + be(6, 4) + bytes([8, kind, 0, 0, 0]) + bytes(4) + b"".join(be(len(d), 4) + t + d + bytes(4) for t, d in more)
+    riff = lambda *parts: b"RIFF" + bytes(4) + b"WEBP" + b"".join(t + le(len(d), 4) + d + b"\0" * (len(d) % 2) for t, d in parts)
+    lossy = bytes(3) + b"\x9d\x01\x2a" + le(640, 2) + le(480, 2)
+    pic = b"\x53\x80\xf6\x34" + bytes(84) + b"PICT" + be(640, 2) + be(480, 2) + bytes(8)
+    files = [
+        ("a.jpg", b"\xff\xd8" + app + b"\xff\xff" + b"\xff\xe1" + be(900, 2) + bytes(898) + frame, (640, 480, 3, 8, None)),
+        ("b.jpg", b"\xff\xd8" + app, (None, None, 1, None, "truncated header")),
+        ("c.png", png(3, (b"PLTE", bytes(6)), (b"tRNS", b"\0"), (b"IDAT", b"")), (5, 6, 4, 8, None)),
+        ("d.png", png(2, (b"IDAT", b""), (b"tRNS", b"\0")), (5, 6, 3, 8, None)),
+        ("e.png", png(0, (b"tRNS", b"\0\0")), (5, 6, 2, 8, None)),
+        ("f.bmp", b"BM" + bytes(12) + le(12, 4) + le(640, 2) + le(480, 2) + le(1, 2) + le(24, 2) + bytes(8), (640, 480, 3, 8, None)),
+        ("g.webp", riff((b"VP8X", bytes(10)), (b"ALPH", b"abc"), (b"VP8 ", lossy)), (640, 480, 4, 8, None)),
+        ("h.webp", riff((b"VP8X", bytes(10)), (b"VP8L", b"\x2f" + le(639 | 479 << 14, 4))), (640, 480, 4, 8, None)),
+        ("i.pic", pic + bytes([1, 8, 0, 0xE0, 0, 8, 0, 0x10]), (640, 480, 4, 8, None)),
+        ("j.hdr", b"#?RADIANCE\n# " + b"x" * 300 + b"\nFORMAT=32-bit_rle_rgbe\n\n-Y 48 +X 64\n", (64, 48, 3, 32, None)),
+        ("k.ppm", b"P6\n#" + b"y" * 2000 + b"\n12 7\n255\n", (12, 7, 3, 8, None)),
+    ]
+    frame_ = spark.createDataFrame([(i, n, bytearray(c)) for i, (n, c, _) in enumerate(files)], "file_id long, path string, content binary")
+    out = catalogue.validate_header(catalogue.probe_header(catalogue.sniff_format(frame_))).orderBy("file_id").collect()
+    assert [(r.width, r.height, r.channels, r.bits, r.reason) for r in out] == [x for _, _, x in files]
+
+
+def _dithered(rows, choose):
+    """Pixel by pixel in raster order: each share of the error is floored before it is added."""
+    h, w = len(rows), len(rows[0])
+    acc, out = [[[v * 16 for v in p] for p in row] for row in rows], [[None] * w for _ in range(h)]
+    for y in range(h):
+        for x in range(w):
+            got = out[y][x] = choose([v >> 4 for v in acc[y][x]])
+            for c, v in enumerate(acc[y][x]):
+                err = v - got[c] * 16
+                for dx, dy, n in ((1, 0, 4), (2, 0, 1), (-1, 1, 2), (0, 1, 4), (1, 1, 2), (0, 2, 1)):
+                    if 0 <= x + dx < w and y + dy < h:
+                        acc[y + dy][x + dx][c] += err * n >> 4
+    return out
+
+
+def test_dithering_matches_a_scalar_walk(spark):
+    rng = np.random.default_rng(2)
+    images = [rng.integers(0, 256, (h, w, 3)).tolist() for h, w in ((1, 9), (7, 1), (6, 11))]
+    rows = [(i, 0, y, x, *p) for i, im in enumerate(images) for y, row in enumerate(im) for x, p in enumerate(row)]
+    pixels = spark.createDataFrame(rows, "image_id long, frame int, y int, x int, r int, g int, b int")
+    for name in ("vga16", "win256"):
+        entries = palette.PALETTES[name]
+
+        def nearest(v, entries=entries):
+            key = [min(255, max(0, c)) >> 3 << 3 for c in v]
+            return entries[min((i for i in range(len(entries)) if i != 246), key=lambda i: (sum(k * (a - b) ** 2 for k, a, b in zip((2, 4, 3), key, entries[i])), i))]
+
+        want = {(i, y, x): tuple(p) for i, im in enumerate(images) for y, row in enumerate(_dithered(im, nearest)) for x, p in enumerate(row)}
+        got = dither.dither_palette(pixels, name).collect()
+        assert {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in got} == want and all(tuple(entries[r.idx]) == (r.r, r.g, r.b) and r.idx != 246 for r in got)
+    grey = [[[[77 * p[0] + 151 * p[1] + 28 * p[2] >> 8] for p in row] for row in im] for im in images]
+    want = {(i, y, x): p[0] for i, im in enumerate(grey) for y, row in enumerate(_dithered(im, lambda v: [255 if v[0] > 127 else 0])) for x, p in enumerate(row)}
+    assert {(r.image_id, r.y, r.x): r.v for r in dither.dither_mono(pixels).collect()} == want
+    assert dither.dither_corpus(pixels, 1, 24).count() == dither.dither_corpus(pixels, 0).count() == len(rows)
+    assert {r.r for r in dither.dither_corpus(pixels, 1, 1).collect()} <= {0, 255}
