@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import bytescan as bs
+from pixelquarry.llm.sampling import id_hash, last_hash
 from pixelquarry.session import ship
 
 BUCKETS = 1 << 15
@@ -108,7 +109,7 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     total = good.count()
     if total <= rows:
         return good
-    return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
+    return good.where(id_hash() <= last_hash(rows, total))
 
 
 def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from pixelquarry.llm import bytescan as bs
-from pixelquarry.llm import chat, dart_minhash, merge_dropout, pfair, ppm_language, quality_llr, queries, secret_ledger, token_fst, topk, toxic_crf
+from pixelquarry.llm import chat, dart_minhash, merge_dropout, pfair, ppm_language, quality_llr, queries, sampling, secret_ledger, token_fst, topk, toxic_crf
 from pixelquarry.session import table
 
 WORDS = "the of and to in is that er an on re nd".split()
@@ -600,3 +600,13 @@ def test_toxicity_awkward(spark, awkward, empty):
     assert toxic_crf.toxicity(awkward, labels).count() == 11
     assert toxic_crf.toxicity(awkward, labels.where("false")).where("score = 0").count() == 11
     assert toxic_crf.toxicity(empty, labels).count() == 0
+
+
+# samples
+
+
+def test_sample_shares_at_any_size():
+    """The share of hashes in a sample is exact far beyond a billion rows."""
+    for bound, rows in ((1500, 10**12), (1000, 10**15), (20_000, 10**9), (7, 7), (7, 3), (1, 2)):
+        share = (sampling.last_hash(bound, rows) + 1) / 2**63
+        assert math.isclose(share, min(1, bound / rows), rel_tol=1e-3)
