@@ -14,7 +14,8 @@ bucket. First every node of a bucket is compared to the bucket's least node (a s
 pairs); similarities are exact, on the shingles themselves, and pairs of ``SIMILARITY`` or more are
 links. Where a bucket still holds two components, nodes that can reach nobody are left out (a bound
 from the shingles that a node shares with none of the others), and the others are written down as
-their difference from the bucket's most typical node, its hub: the shingles that only one of the two has.
+their difference from a typical node, the hub of the bucket: the shingles that only one of the two has.
+The buckets of like nodes agree on a hub by majority, so a node has about one.
 Nodes linked to the hub are one component, so a link that is still missing has an end that is too far
 from the hub; then the two differences must share a good part of their shingles, and only pairs
 that share one of the rarest of them (a prefix filter) are compared, by their differences. So what many
@@ -285,10 +286,10 @@ def _crossing(spokes: DataFrame, linked: DataFrame, least: float) -> DataFrame:
         spokes.where(size > 0).join(linked, "node", "left")
         .select("hub", "node", F.coalesce("component", "node").alias("component"), "weight", "delta", size.alias("size"), prefix.alias("prefix"))
     )
-    units = placed.select("hub", "node", F.explode("delta").alias("unit"))
-    often = units.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # units of one node only come first and meet nobody: they only take places of the prefix
-    shared = units.join(often, ["hub", "unit"])
+    units = placed.select("hub", "node", "component", F.explode("delta").alias("unit"))
+    often = units.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    # units of one component only come first and lead nowhere: they only take places of the prefix
+    shared = units.drop("component").join(often.where("c0 <> c1").drop("c0", "c1"), ["hub", "unit"])
     rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "unit"))
     alone = placed.join(
         shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("known")), ["hub", "node"]
@@ -397,6 +398,24 @@ def _reachable(rows: DataFrame, least: float) -> DataFrame:
     return _settled(rows.join(smallest, "key").where(shared >= least * (F.greatest("m", shared) + F.col("own"))).drop("m"))
 
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(key, hub): the node that the nodes of a bucket are written down against.
+
+    A bucket's most typical node is the one with the least of its own. Each node prefers the one that is
+    typical in the most of its buckets, counted by their sizes, and a bucket takes the preference of most of its
+    nodes. So the buckets of one group of like texts share a hub, which need not lie in each of them,
+    and a node is written down about once rather than once for each band.
+    """
+    typical = rows.groupBy("key").agg(F.min(F.struct("own", "node")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    known = rows.select("key", "node").join(typical.select("key", F.col("hub.node").alias("hub"), "n"), "key")
+
+    def most(votes: DataFrame, by: str) -> DataFrame:
+        return votes.groupBy(by).agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+
+    preferred = most(known.groupBy("node", "hub").agg(F.sum("n").alias("n")), "node")
+    return most(rows.select("key", "node").join(preferred, "node").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n")), "key")
+
+
 def near_duplicates(
     documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE
 ) -> DataFrame:
@@ -422,9 +441,7 @@ def near_duplicates(
     rest = _open_rows(placed)
     texts = _texts(documents, nodes, rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
     rest = _open_rows(_reachable(rest.join(_own_units(texts, width), "node", "left").fillna(0, ["own"]), least))
-    # the bucket's most typical node is the one with the least of its own
-    hubs = rest.groupBy("key").agg(F.min(F.struct("own", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    pairs = _settled(rest.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    pairs = _settled(rest.join(_hubs(rest), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     if pairs.limit(1).count():
         spokes = _settled(_spokes(pairs, texts, width))
         near = spokes.where(_alike(F.size("delta"), F.col("weight") + F.col("hub_weight"), least))
