@@ -60,11 +60,12 @@ def ship(spark: SparkSession) -> None:
     """Send this package to Python workers once per context, for functions run on executors.
 
     Batches for Python workers are bounded by bytes too, unless the session has a bound of its own:
-    Spark's is 64 MB, held by the JVM and by the worker for each task.
+    Spark's is 64 MB, held by the JVM and by the worker for each task; the JVM's allocator keeps what a batch
+    has taken for each thread, and workers cut batches into smaller slices anyway.
     """
     sc = spark.sparkContext
     if spark.conf.get(_BATCH_BYTES).lower() in ("67108864b", "67108864", "64m", "64mb"):
-        spark.conf.set(_BATCH_BYTES, "8m")
+        spark.conf.set(_BATCH_BYTES, "2m")
     if getattr(sc, "_pixelquarry_shipped", False):
         return
     root = Path(__file__).resolve().parent
