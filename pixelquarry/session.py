@@ -65,7 +65,7 @@ def ship(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     if spark.conf.get(_BATCH_BYTES).lower() in ("67108864b", "67108864", "64m", "64mb"):
-        spark.conf.set(_BATCH_BYTES, "2m")
+        spark.conf.set(_BATCH_BYTES, "1m")
     if getattr(sc, "_pixelquarry_shipped", False):
         return
     root = Path(__file__).resolve().parent
