@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, dart_minhash, merge_dropout, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
+from pixelquarry.llm import chat, dart_minhash, merge_dropout, merkle, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
 from pixelquarry.llm.ppm_language import fold
 from pixelquarry.session import table
 
@@ -72,6 +72,11 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what its tampered or original leaf folds to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
     """DuckDB: the spans of one kind, from the pieces between its matches."""
     return f"""
@@ -153,6 +158,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
     "op10_toxic_crf": op10_toxic_crf,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
