@@ -325,11 +325,14 @@ def components(links: DataFrame) -> DataFrame:
     labels = _settled(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("component", "heard").alias("next"), F.col("component").alias("old"))
-        jump = lower.select(F.col("node").alias("j_node"), F.col("next").alias("j_next"))
-        nxt = _settled(
-            lower.join(jump, lower["next"] == jump["j_node"]).select("node", F.least("next", "j_next").alias("component"), "old")
+        lower = _settled(
+            labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("component", "heard").alias("next"), F.col("component").alias("old"))
         )
+        # labels that have themselves a lower label: each is looked up once, however many nodes have it
+        named = lower.select(F.col("next").alias("node")).distinct().join(lower.select("node", F.col("next").alias("to")), "node")
+        jump = _settled(named.where("to < node").select(F.col("node").alias("next"), "to"))
+        few = jump.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        nxt = _settled(lower.join(F.broadcast(jump) if few else jump, "next", "left").select("node", F.coalesce("to", "next").alias("component"), "old"))
         if nxt.where("component <> old").limit(1).count() == 0:
             return nxt.select("node", "component")
         labels = nxt.select("node", "component")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, dart_minhash, merge_dropout, merkle, pfair, ppm_language, quality_llr, secret_ledger, token_fst, topk, toxic_crf
+from pixelquarry.llm import chat, dart_minhash, merge_dropout, merkle, pfair, ppm_language, quality_llr, secret_ledger, simhash, token_fst, topk, toxic_crf
 from pixelquarry.llm.ppm_language import fold
 from pixelquarry.session import table
 
@@ -72,6 +72,11 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and what its tampered or original leaf folds to."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
@@ -111,6 +116,62 @@ FROM docs LEFT JOIN per_blob USING (blob)
 """
 
 
+CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM range(0, 256) t(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """DuckDB: crc32 of an ASCII text by the table ``crc_table``."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: ord(({text})[k])::BIGINT)"
+    return f"xor(4294967295, list_reduce({codes}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
+def _op13_sql() -> str:
+    def field(name: str) -> str:
+        return f"coalesce(strlen(({name})::VARCHAR) || ':' || ({name})::VARCHAR, '-')"
+
+    def leaf(n_chars: str) -> str:
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+    def levels(name: str, bottom: str) -> str:
+        return f"""{name}(level, grp, pos, h, n) AS (
+  SELECT 0, grp, pos, h, n FROM {bottom}
+  UNION ALL
+  SELECT any_value(level) + 1, grp, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY grp, pos // 2
+)"""
+
+    def carried(name: str, begin: str, tree: str) -> str:
+        return f"""{name}(id, level, grp, pos, n, cur, proof) AS (
+  SELECT id, 0, grp, pos, n, cur, proof FROM {begin}
+  UNION ALL
+  SELECT f.id, f.level + 1, f.grp, f.pos // 2, (f.n + 1) // 2,
+    CASE WHEN f.pos % 2 = 0 THEN sha256(f.cur || coalesce(s.h, '')) ELSE sha256(s.h || f.cur) END, f.proof || coalesce(s.h, '')
+  FROM {name} f LEFT JOIN {tree} s ON s.level = f.level AND s.grp = f.grp AND s.pos = xor(f.pos, 1) WHERE f.n > 1
+)"""
+
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, {leaf('n_chars')} AS leaf,
+    CASE WHEN coalesce({_crc32('doc_id::VARCHAR')} % 7 = 0, false) THEN {leaf('n_chars + 1')} ELSE {leaf('n_chars')} END AS cur
+  FROM documents, crc
+), bottom AS (
+  SELECT *, leaf AS h, '' AS proof, row_number() OVER () AS id, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY grp) AS n
+  FROM given
+), {levels('lower_levels', 'bottom')},
+subroots AS (SELECT grp AS of_grp, h, '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM lower_levels WHERE n = 1),
+{levels('upper_levels', 'subroots')},
+{carried('lower_fold', 'bottom', 'lower_levels')},
+middle AS (SELECT f.id, s.grp, s.pos, s.n, f.cur, f.proof FROM lower_fold f JOIN subroots s ON f.grp = s.of_grp WHERE f.n = 1),
+{carried('upper_fold', 'middle', 'upper_levels')},
+top AS (SELECT h AS root FROM upper_levels WHERE n = 1)
+SELECT b.doc_id, b.leaf, s.h AS subroot, root, sha256(f.proof) AS proof_sha256, f.cur AS folded_root, f.cur = root AS verified
+FROM bottom b JOIN subroots s ON b.grp = s.of_grp JOIN upper_fold f ON f.id = b.id AND f.n = 1, top
+"""
+
+
 OP9_SQL = """
 WITH t AS (
   SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -158,6 +219,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
     "op10_toxic_crf": op10_toxic_crf,
+    "op12_simhash": op12_simhash,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -165,4 +227,5 @@ ORACLES = {
     "op7_secret_ledger": _op7_sql(),
     "op9_chat_format": OP9_SQL,
     "op8_exact_topk": OP8_SQL,
+    "op13_merkle_manifest": _op13_sql(),
 }
