@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import chat, dart_minhash, merge_dropout, merkle, pfair, ppm_language, quality_llr, secret_ledger, simhash, token_fst, topk, toxic_crf
+from pixelquarry.llm import chat, dart_minhash, merge_dropout, merkle, pfair, ppm_language, prefix_trie, quality_llr, secret_ledger, simhash, token_fst, topk, toxic_crf
 from pixelquarry.llm.ppm_language import fold
 from pixelquarry.session import table
 
@@ -72,6 +72,13 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with the first turns of the first one of its hundred."""
+    conv_id = F.col("conv_id")
+    rows = prefix_trie.prefixes(table(spark, sf_dir, "conversations"), base=conv_id - conv_id % 100, heads=fold("conv_id", parts=6), most_heads=5)
+    return prefix_trie.trie(rows)
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -172,6 +179,37 @@ FROM bottom b JOIN subroots s ON b.grp = s.of_grp JOIN upper_fold f ON f.id = b.
 """
 
 
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id::BIGINT AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS i, x, size
+  FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, ''))::BIGINT AS size
+        FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (SELECT c, c - c % 100 AS base, {_crc32("c::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT c FROM turns), crc),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, x, size FROM (
+    SELECT convs.c, 0 AS own, i, x, size FROM convs JOIN turns ON turns.c = base AND i <= h
+    UNION ALL SELECT c, 1, i, x, size FROM turns JOIN convs USING (c) WHERE i > h)
+), chains AS (
+  SELECT c, 0 AS d, '' AS node, NULL AS up, 0 AS size FROM convs
+  UNION ALL SELECT c, d, string_agg(x, '') OVER w, coalesce(string_agg(x, '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), size
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)
+), marked AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS last FROM chains),
+nodes AS (
+  SELECT node, any_value(up) AS up, min(c) AS c, any_value(d) AS d, count(*) AS n, any_value(size) AS size,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends
+  FROM marked GROUP BY node
+), children AS (SELECT up AS node, count(*) AS k FROM nodes WHERE d > 0 GROUP BY up),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN children USING (node)),
+below AS (
+  SELECT m.node, count(*) FILTER (x.k = 0) AS leaves, sum((x.n - 1) * x.size) AS saved
+  FROM full_nodes x JOIN marked m ON m.c = x.c AND m.d <= x.d GROUP BY m.node
+)
+SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n AS n_convs, f.k::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_nodes f JOIN below USING (node) LEFT JOIN nodes p ON f.up = p.node AND f.d > 0
+"""
+
 OP9_SQL = """
 WITH t AS (
   SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -219,6 +257,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
     "op10_toxic_crf": op10_toxic_crf,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_simhash": op12_simhash,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -227,5 +266,6 @@ ORACLES = {
     "op7_secret_ledger": _op7_sql(),
     "op9_chat_format": OP9_SQL,
     "op8_exact_topk": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_merkle_manifest": _op13_sql(),
 }
