@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -56,8 +55,8 @@ def byte_letters() -> dict[str, int]:
 
 
 def _all_points() -> np.ndarray:
-    """All code points that texts can hold."""
-    return np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    """All code points that tables may say something about; the planes beyond are unassigned or private."""
+    return np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x40000), np.arange(0xE0000, 0xE1000)))
 
 
 def char_classes() -> np.ndarray:
@@ -72,20 +71,21 @@ def char_classes() -> np.ndarray:
     return out
 
 
-def lowering() -> tuple[dict[int, str], re.Pattern]:
-    """The library's lower-casing where it changes a code point; the code points on which Python's tables may be of another version."""
+def lowering() -> tuple[dict[int, str], np.ndarray]:
+    """The library's lower-casing where it changes a code point; whether Python's tables may be of another version for a code point."""
     from tokenizers import normalizers
 
     points = _all_points()
     points = points[points != 0x0A]
     lower = normalizers.Lowercase().normalize_str("\n".join(map(chr, points))).split("\n")
     table = {int(cp): x for cp, x in zip(points, lower, strict=True) if x != chr(cp)}
-    odd = np.array([cp for cp, x in zip(points.tolist(), lower, strict=True) if x != chr(cp).lower() or unicodedata.category(chr(cp)) == "Cn"])
-    runs = np.split(odd, np.flatnonzero(np.diff(odd) > 1) + 1)
-    return table, re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]")
+    odd = np.ones(0x110000, bool)
+    odd[_all_points()] = False
+    odd[[cp for cp, x in zip(points.tolist(), lower, strict=True) if x != chr(cp).lower() or unicodedata.category(chr(cp)) == "Cn"]] = True
+    return table, odd
 
 
-Tables = tuple[np.ndarray, dict[int, str], re.Pattern]
+Tables = tuple[np.ndarray, dict[int, str], np.ndarray]
 
 
 @functools.cache
@@ -289,7 +289,7 @@ class Counter:
                 extra += text.count(s)
                 text = text.replace(s, " ")
         if not text.isascii():
-            if self.odd.search(text):
+            if self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
                 return self.nfc(text).translate(self.lower), extra
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma is lowered without regard to its place
         return text.lower(), extra
