@@ -8,11 +8,13 @@ public file formats'. A truncated field is null, and a null size is a failure wi
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.functions.color import be_int, byte_at, le_int
+from pixelquarry.operators import automaton
 from pixelquarry.session import ship
+from pixelquarry.sources import headers, records
 
 # Extensions by route.
 ROUTES = {"webp": ["webp", "wbp", "web"], "pcx": ["pcx"], "qoi": ["qoi"], "xbm": ["xbm"], "xpm": ["xpm"]}
@@ -25,6 +27,15 @@ def _starts(hexed: str, at: int = 0) -> Column:
     return F.hex(F.col("content").substr(at + 1, len(hexed) // 2)) == hexed
 
 
+def _filled(n: int) -> Column:
+    return F.hex(F.col("content").substr(1, n)) == "FF" * n
+
+
+def _after_fill(n: int) -> Column:
+    """Whether the JPEG mark stands behind fill bytes among the first n bytes."""
+    return F.hex(F.col("content").substr(1, n)).rlike("^(?:FF)++D8")
+
+
 def magic(name: str) -> Column:
     """Whether the content has a format's mark."""
     b = lambda at: byte_at("content", at)
@@ -34,7 +45,7 @@ def magic(name: str) -> Column:
         "gif": lambda: _starts("474946383761") | _starts("474946383961"),
         "psd": lambda: _starts("38425053"),
         "pic": lambda: _starts("5380F634") & _starts("50494354", 88),
-        "jpeg": lambda: F.hex(F.col("content").substr(1, 16)).rlike("^FF(FF)*D8"),
+        "jpeg": lambda: F.when(~_filled(16), _after_fill(16)).when(~_filled(4096), _after_fill(4096)).otherwise(_after_fill(INT_MAX)),
         "pnm": lambda: _starts("5035") | _starts("5036"),
         "hdr": lambda: _starts("233F52414449414E43450A") | _starts("233F524742450A"),
         "tga": lambda: (b(1) <= 1)
@@ -59,107 +70,68 @@ def route_by_extension(files: DataFrame) -> DataFrame:
 
 
 def sniff_format(files: DataFrame, order: str = "load") -> DataFrame:
-    """``format``: first matching mark in load or info order, then the marks only a route names; else unknown."""
+    """``format``: first matching mark in load or info order, then the marks only a route names, then the names of text rasters; else unknown."""
     names = [*(LOAD_ORDER[:-1] if order == "load" else INFO_ORDER[:-1]), "webp", "qoi", "pcx", "tga"]
     out = F.lit("unknown")
+    if "path" in files.columns:  # text rasters have no mark but their name
+        ext = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
+        out = F.when(ext.isin("xbm", "xpm") & (F.octet_length("content") > 0), ext).otherwise(out)
     for name in reversed(names):
         out = F.when(magic(name), name).otherwise(out)
-    return files.withColumn("format", out)
+    # a one-row explode: the marks are looked at once, not again in every rule and filter on the format
+    return files.withColumn("format", F.explode(F.array(out)))
 
 
-def _text_header() -> Column:
-    """The content of HDR files as text."""
-    return F.decode(F.when(F.col("format") == "hdr", F.col("content")), "ISO-8859-1")
+#: First bytes in which a text header is looked for before the whole content is.
+_TEXT_BYTES = 4096
+_GAP = r"(?:\s|#[^\n\r]*)*+"
+_PNM = rf"^P[56]{_GAP}(\d++)(?:{_GAP}(\d++))?(?:{_GAP}(\d++))?"
+_HDR = r"\A(?:[^\n]++\n)++\n[^\n]*+\n"
 
 
-def _pnm_number(content: str, k: int) -> Column:
+def _text_header(name: str, ended: str) -> Column:
+    """The text header of files of one format: the first bytes, if they match the pattern of a header that ends, else the whole content."""
+    own = F.when(F.col("format") == name, F.col("content"))
+    head = F.decode(F.substring(own, 1, _TEXT_BYTES), "ISO-8859-1")
+    return F.when(head.rlike(ended), head).otherwise(F.decode(own, "ISO-8859-1"))
+
+
+def _pnm_number(k: int) -> Column:
     """Width (1), height (2) or highest value (3) of a PNM header; null where the text ends before it."""
-    gap = r"(?:\s|#[^\n\r]*)*+"
-    text = F.decode(F.when(F.col("format") == "pnm", F.col(content)), "ISO-8859-1")
-    return F.regexp_extract(text, rf"^P[56]{gap}(\d++)(?:{gap}(\d++))?(?:{gap}(\d++))?", k).try_cast("long")
-
-
-def _jpeg_records(content: bytes) -> dict:
-    """Bits, height, width and components of the first frame record, as far as the file goes."""
-    at = 0
-    while at + 1 < len(content):
-        kind = content[at + 1]
-        if content[at] != 0xFF or kind == 0xFF:  # between records, or fill
-            at += 1
-        elif kind in (0xD8, 0x01, 0x00) or 0xD0 <= kind <= 0xD7:
-            at += 2
-        elif kind in (0xC0, 0xC1, 0xC2):
-            part = content[at + 4 : at + 10]
-            fields = (("bits", 0, 1), ("height", 1, 3), ("width", 3, 5), ("components", 5, 6))
-            return {name: int.from_bytes(part[i:j], "big") for name, i, j in fields if len(part) >= j}
-        elif kind in (0xD9, 0xDA) or at + 4 > len(content):
-            break
-        else:
-            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
-    return {}
-
-
-def _png_records(content: bytes) -> dict:
-    """Whether a tRNS record stands before the first IDAT."""
-    at = 8
-    while at + 8 <= len(content) and content[at + 4 : at + 8] not in (b"IDAT", b"IEND"):
-        if content[at + 4 : at + 8] == b"tRNS":
-            return {"clear": True}
-        at += 12 + int.from_bytes(content[at : at + 4], "big")
-    return {}
-
-
-def _webp_records(content: bytes) -> dict:
-    """Size of the first image record, VP8 or VP8L, which may follow others."""
-    at = 12
-    while at + 8 <= len(content):
-        kind, part = content[at : at + 4], content[at + 8 : at + 18]
-        if kind == b"VP8L":
-            packed = int.from_bytes(part[1:5], "little")
-            return {"width": (packed & 0x3FFF) + 1, "height": (packed >> 14 & 0x3FFF) + 1} if len(part) >= 5 else {}
-        if kind == b"VP8 ":
-            fields = (("width", 6, 8), ("height", 8, 10))
-            return {name: int.from_bytes(part[i:j], "little") & 0x3FFF for name, i, j in fields if len(part) >= j}
-        size = int.from_bytes(content[at + 4 : at + 8], "little")
-        at += 8 + size + (size & 1)
-    return {}
-
-
-def _pic_records(content: bytes) -> dict:
-    """Whether one of the chained packets has alpha."""
-    at, clear = 104, False
-    while at + 4 <= len(content):
-        clear |= bool(content[at + 3] & 0x10)
-        if not content[at]:
-            break
-        at += 4
-    return {"clear": clear}
-
-
-_RECORDS = {"jpeg": _jpeg_records, "png": _png_records, "webp": _webp_records, "pic": _pic_records}
-_RECORD = pa.struct([("bits", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("components", pa.int32()), ("clear", pa.bool_())])
+    text = _text_header("pnm", rf"^P[56](?:{_GAP}\d++){{3}}\s")
+    return F.regexp_extract(text, _PNM, k).try_cast("long")
+
+
+def _hdr_header() -> Column:
+    return _text_header("hdr", _HDR)
 
 
 def _records(sniffed: DataFrame) -> Column:
-    """What a walk over the records of JPEG, PNG, WebP and PIC files finds; only their content goes to Python."""
+    """What a walk over the records of JPEG, PNG, WebP and PIC files finds; only their content goes to Python, and is not copied there."""
     ship(sniffed.sparkSession)
+    kind = pa.struct([(k, pa.bool_() if k == "clear" else pa.string() if k in ("kind", "fault") else pa.int32()) for k in headers.FIELDS])
 
-    @F.arrow_udf("struct<bits: int, height: int, width: int, components: int, clear: boolean>")
+    @F.arrow_udf(headers.FACTS)
     def read(formats: pa.Array, contents: pa.Array) -> pa.Array:
-        return pa.array([None if c is None else _RECORDS[f](c) for f, c in zip(formats.to_pylist(), contents.to_pylist(), strict=True)], _RECORD)
+        names = formats.to_pylist()
+        return pa.array([records.facts(f, records.in_memory(c.as_buffer())) if c.is_valid else None for f, c in zip(names, contents, strict=True)], kind)
 
-    return read.asNondeterministic()(F.col("format"), F.when(F.col("format").isin(*_RECORDS), F.col("content")))
+    return read.asNondeterministic()(F.col("format"), F.when(F.col("format").isin("jpeg", "png", "webp", "pic"), F.col("content")))
 
 
 def probe_header(sniffed: DataFrame) -> DataFrame:
-    """width, height, channels and bits by format, and ``records``, what a walk over the records of a file finds (null for other formats)."""
-    sniffed = sniffed.withColumn("records", _records(sniffed))
+    """width, height, channels and bits by format, and ``records``, what a walk over the records of a file finds (null for other formats).
+
+    Rows of ``header_files`` have their records already.
+    """
+    if "records" not in sniffed.columns:
+        sniffed = sniffed.withColumn("records", _records(sniffed))
     be = lambda at, n: be_int("content", at, n)
     le = lambda at, n: le_int("content", at, n)
     b = lambda at: byte_at("content", at)
-    text = _text_header()
-    pnm = lambda k: _pnm_number("content", k)
-    hdr = lambda k: F.regexp_extract(text, r"\A(?:[^\n]++\n)++\n-Y (\d+) \+X (\d+)\n", k).try_cast("long")
+    hdr = lambda k: F.regexp_extract(_hdr_header(), r"\A(?:[^\n]++\n)++\n-Y (\d+) +\+X (\d+)\n", k).try_cast("long")
+    xbm = lambda k: F.regexp_extract(_text_header("xbm", r"(?s)_width\s+\d+\s.*_height\s+\d+\s"), rf"#define\s+\S*_{k}\s+(\d+)", 1).try_cast("long")
+    xpm = lambda k: F.regexp_extract(_text_header("xpm", r'(?s)^[^"]*"[^"]*"'), r'^[^"]*"\s*(\d+)\s+(\d+)\s+\d+\s+\d+', k).try_cast("long")
     signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
     old = le(14, 4) == 12  # the first kind of bitmap header: sizes of 16 bits
     clear = F.coalesce(F.col("records.clear"), F.lit(False))
@@ -174,11 +146,13 @@ def probe_header(sniffed: DataFrame) -> DataFrame:
         "psd": (be(18, 4), be(14, 4), F.lit(4), be(22, 2)),
         "pic": (be(92, 2), be(94, 2), F.when(clear, 4).otherwise(3), F.lit(8)),
         "jpeg": (F.col("records.width"), F.col("records.height"), F.when(F.col("records.components") >= 3, 3).otherwise(1), F.col("records.bits")),
-        "pnm": (pnm(1), pnm(2), F.when(b(1) == 0x35, 1).otherwise(3), F.when(pnm(3) > 255, 16).otherwise(8)),
+        "pnm": (_pnm_number(1), _pnm_number(2), F.when(b(1) == 0x35, 1).otherwise(3), F.when(_pnm_number(3) > 255, 16).otherwise(8)),
         "hdr": (hdr(2), hdr(1), F.lit(3), F.lit(32)),
         "tga": (le(12, 2), le(14, 2), tga_channels, F.lit(8)),
         "webp": (F.col("records.width"), F.col("records.height"), F.lit(4), F.lit(8)),
         "qoi": (be(4, 4), be(8, 4), b(12), F.lit(8)),
+        "xbm": (xbm("width"), xbm("height"), F.lit(3), F.lit(8)),
+        "xpm": (xpm(1), xpm(2), F.lit(3), F.lit(8)),
         "pcx": (
             F.abs(le(8, 2) - le(4, 2)) + 1, F.abs(le(10, 2) - le(6, 2)) + 1,
             F.when((b(3) == 8) & (b(65) == 4), 4).otherwise(3), F.lit(8),
@@ -197,7 +171,8 @@ def is_hdr() -> Column:
 
 
 def is_lossless_webp() -> Column:
-    return magic("webp") & _starts("5650384C", 12)
+    """Of probed rows: the first image record is a lossless one, wherever it stands."""
+    return F.coalesce((F.col("format") == "webp") & (F.col("records.kind") == "VP8L"), F.lit(False))
 
 
 def size_guard(headers: DataFrame) -> DataFrame:
@@ -217,6 +192,13 @@ def validate_header(headers: DataFrame) -> DataFrame:
     f, b = F.col("format"), lambda at: byte_at("content", at)
     le, be = (lambda at, n: le_int("content", at, n)), (lambda at, n: be_int("content", at, n))
     old = le(14, 4) == 12
+    size, offset = le(14, 4), le(10, 4)
+    bpp = F.when(old, le(24, 2)).otherwise(le(28, 2))
+    packed = ~old & (le(30, 4) == 3)  # colours by masks, which follow the shorter headers and lie within the longer ones
+    masks = [F.when(size == 56, le(70 + 4 * k, 4)).otherwise(le(54 + 4 * k, 4)) for k in range(3)]
+    header = 14 + size + F.when(packed & size.isin(40, 56), 12).otherwise(0)
+    # palette entries by what stands before the pixels
+    entries = F.when(bpp >= F.when(old, 24).otherwise(16), 0).when(old, ((offset - 38) / 3).cast("long")).otherwise(F.floor((offset - 14 - size) / 4))
     zero = F.coalesce((F.col("width") <= 0) | (F.col("height") <= 0), F.lit(False))
     rules = [
         (f == "unknown", "unknown image type"),
@@ -231,6 +213,11 @@ def validate_header(headers: DataFrame) -> DataFrame:
         ((f == "bmp") & ~old & le(30, 4).isin(1, 2), "BMP RLE"),
         ((f == "bmp") & ~old & (le(30, 4) >= 4), "BMP JPEG/PNG"),
         ((f == "bmp") & ~old & (le(30, 4) == 3) & ~le(28, 2).isin(16, 32), "bad BMP"),
+        ((f == "bmp") & packed & size.isin(40, 56) & (masks[0] == masks[1]) & (masks[1] == masks[2]), "bad BMP"),
+        ((f == "bmp") & (entries == 0) & ((offset < header) | (offset - header > 1024)), "bad offset"),
+        ((f == "bmp") & (bpp < 16) & ((entries <= 0) | (entries > 256)), "invalid palette"),
+        ((f == "bmp") & ~bpp.isin(1, 4, 8, 16, 24, 32), "bad bpp"),
+        ((f == "bmp") & (bpp != 24) & (bpp >= 16) & (old | (packed & F.exists(F.array(*masks), lambda m: (m == 0) | (F.bit_count(m) > 8)))), "bad masks"),
         ((f == "psd") & (be(4, 2) != 1), "wrong version"),
         ((f == "psd") & (be(12, 2) > 16), "wrong channel count"),
         ((f == "psd") & ~be(22, 2).isin(8, 16), "unsupported bit depth"),
@@ -240,11 +227,18 @@ def validate_header(headers: DataFrame) -> DataFrame:
         ((f == "jpeg") & (F.col("width") == 0), "0 width"),
         ((f == "jpeg") & ~F.col("records.components").isin(1, 3, 4), "bad component count"),
         ((f == "pnm") & ((F.coalesce("width", F.lit(0)) == 0) | (F.coalesce("height", F.lit(0)) == 0)), "invalid width"),
-        ((f == "pnm") & (_pnm_number("content", 3) > 65535), "max value > 65535"),
+        ((f == "pnm") & (_pnm_number(3) > 65535), "max value > 65535"),
+        ((f == "hdr") & ~F.coalesce(_hdr_header().rlike(r"\A(?:[^\n]++\n)*?FORMAT=32-bit_rle_rgbe\n"), F.lit(False)), "unsupported format"),
+        ((f == "hdr") & F.col("width").isNull(), "unsupported data layout"),
+        ((f == "tga") & (b(1) == 1) & (le(5, 2) == 0), "bad palette"),
+        (f.isin("webp", "pic") & F.col("records.fault").isNotNull(), F.col("records.fault")),
+        ((f == "webp") & F.col("records").isNotNull() & F.col("records.kind").isNull(), "no image record"),
+        ((f == "pcx") & ~F.when(b(3) == 1, b(65).isin(1, 2, 3, 4)).when(b(3) == 2, b(65).isin(1, 4)).when(b(3) == 4, b(65) <= 1).otherwise(b(65).isin(1, 3, 4)), "bad planes"),
+        (f.isin("xbm", "xpm") & (F.coalesce("width", F.lit(0)) <= 0), "invalid width"),
         (F.col("width").isNull() | F.col("height").isNull(), "truncated header"),
         (zero, "0-pixel image"),
     ]
-    broken = F.array_compact(F.array(*[F.when(rule, text) for rule, text in rules]))
+    broken = F.array_compact(F.array(*[F.when(rule, text if isinstance(text, Column) else F.lit(text)) for rule, text in rules]))
     # a one-row explode keeps filters on the reason above it; pushed down they would be expanded into every rule
     return headers.withColumn("reason", F.explode(F.array(F.get(broken, F.lit(0)))))
 
@@ -276,47 +270,127 @@ def extension_mismatch(sniffed: DataFrame) -> DataFrame:
     named = ext
     for a, b in same.items():
         named = F.when(ext == a, b).otherwise(named)
-    # a one-row explode keeps the filter above it, as in validate_header
-    return sniffed.withColumn("named", F.explode(F.array(named))).where(F.col("named") != F.col("format"))
+    return sniffed.withColumn("named", named).where(F.col("named") != F.col("format"))
 
 
 def corpus_summary(validated: DataFrame) -> DataFrame:
-    """Files, valid files, pixels, size range and 16-bit count by format."""
+    """Files, valid files, pixels, size range, 16-bit count, bytes and the mix of depths by format."""
     ok = F.col("reason").isNull()
     area = F.when(ok, F.col("width") * F.col("height"))
     return validated.groupBy("format").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(ok).alias("valid"), F.coalesce(F.sum(area), F.lit(0)).alias("pixels"),
         F.max(area).alias("largest"), F.min(area).alias("smallest"), F.count_if(is_16_bit()).alias("deep"),
+        F.sum(F.octet_length("content")).alias("bytes"), *[F.count_if(F.col("bits") == n).alias(f"bits_{n}") for n in (8, 16, 32)],
     )
 
 
-def check_chunk_order(chunks: DataFrame) -> DataFrame:
-    """(image_id, reason): the first sequence rule that a PNG chunk list breaks, null if none."""
-    first = lambda t: F.min(F.when(F.col("type") == t, F.col("chunk_no")))
-    count = lambda t: F.count_if(F.col("type") == t)
-    longest = lambda t: F.max(F.when(F.col("type") == t, F.col("length")))
-    upper = F.col("type").substr(1, 1).rlike("[A-Z]") & ~F.col("type").isin("IHDR", "PLTE", "IDAT", "IEND")
-    facts = chunks.groupBy("image_id").agg(
-        F.min_by("type", "chunk_no").alias("head"), count("IHDR").alias("n_ihdr"), count("IDAT").alias("n_idat"), longest("PLTE").alias("plte"),
-        first("tRNS").alias("trns"), first("IDAT").alias("idat"), first("PLTE").alias("plte_at"), F.count_if(upper).alias("critical"),
+# container grammar: one symbol a record, states before and after it, faults as final states
+
+PNG_FAULTS = (
+    "first not IHDR", "multiple IHDR", "bad IHDR len", "invalid PLTE", "tRNS after IDAT", "tRNS before PLTE", "tRNS with alpha", "bad tRNS len",
+    "no PLTE", "IDAT size limit", "no IDAT", "unknown critical chunk",
+)
+RIFF_FAULTS = ("second image record", "VP8L with ALPH")
+PNG_SYMBOLS = ("CgBI", "IHDR", "IHDR bad", "PLTE", "PLTE empty", "PLTE bad", "tRNS", "tRNS alpha", "tRNS length", "tRNS paletted", "IDAT", "IDAT paletted", "IDAT large", "IDAT large paletted", "IEND", "other", "critical")
+RIFF_SYMBOLS = ("VP8 ", "VP8L", "ALPH", "other")
+IDAT_LIMIT = 1 << 30
+
+
+def _png_table() -> list[list[int]]:
+    """States: (IHDR seen, palette seen, IDAT seen); then the end of the file and the faults."""
+    states = [(False, False, False), *((True, p, d) for p in (False, True) for d in (False, True))]
+    end, fault = len(states), {text: len(states) + 1 + k for k, text in enumerate(PNG_FAULTS)}
+
+    def after(state: tuple, symbol: str) -> int:
+        head, palette, data = state
+        kind, _, detail = symbol.partition(" ")
+        if kind == "CgBI":
+            return states.index(state)
+        if kind == "IHDR":
+            return fault["multiple IHDR"] if head else fault["bad IHDR len"] if detail else states.index((True, False, False))
+        if not head:
+            return fault["first not IHDR"]
+        if kind == "PLTE":
+            return fault["invalid PLTE"] if detail == "bad" else states.index((True, not detail, data))
+        if kind == "tRNS":
+            if data:
+                return fault["tRNS after IDAT"]
+            if detail == "paletted" and not palette:
+                return fault["tRNS before PLTE"]
+            broken = {"alpha": "tRNS with alpha", "length": "bad tRNS len"}.get(detail)
+            return fault[broken] if broken else states.index(state)
+        if kind == "IDAT":
+            if "paletted" in detail and not palette:
+                return fault["no PLTE"]
+            return fault["IDAT size limit"] if "large" in detail else states.index((True, palette, True))
+        if kind == "IEND":
+            return end if data else fault["no IDAT"]
+        return fault["unknown critical chunk"] if kind == "critical" else states.index(state)
+
+    return [[after(state, symbol) for symbol in PNG_SYMBOLS] for state in states]
+
+
+def _riff_table() -> list[list[int]]:
+    """States: nothing, ALPH, VP8 with or without ALPH, VP8L; then the faults."""
+    second, mixed = 5, 6
+    return [[2, 4, 1, 0], [3, mixed, 1, 1], [second, second, 3, 2], [second, second, 3, 3], [second, second, mixed, 4]]
+
+
+def _png_symbol(paletted: Column, channels: Column) -> Column:
+    kind, length = F.col("type"), F.col("length")
+    number = lambda text: F.lit(PNG_SYMBOLS.index(text))
+    large = length > IDAT_LIMIT
+    return (
+        F.when(kind == "CgBI", number("CgBI"))
+        .when(kind == "IHDR", F.when(length == 13, number("IHDR")).otherwise(number("IHDR bad")))
+        .when(kind == "PLTE", F.when((length > 768) | (length % 3 != 0), number("PLTE bad")).when(length == 0, number("PLTE empty")).otherwise(number("PLTE")))
+        .when(kind == "tRNS", F.when(paletted, number("tRNS paletted")).when(channels % 2 == 0, number("tRNS alpha")).when(length != 2 * channels, number("tRNS length")).otherwise(number("tRNS")))
+        .when(kind == "IDAT", F.when(large & paletted, number("IDAT large paletted")).when(large, number("IDAT large")).when(paletted, number("IDAT paletted")).otherwise(number("IDAT")))
+        .when(kind == "IEND", number("IEND"))
+        .when(kind.substr(1, 1).rlike("[A-Z]"), number("critical")).otherwise(number("other"))
     )
-    reason = (
-        F.when(F.col("head") != "IHDR", "first not IHDR").when(F.col("n_ihdr") > 1, "multiple IHDR")
-        .when((F.col("plte") > 768) | (F.col("plte") % 3 != 0), "invalid PLTE").when(F.col("trns") > F.col("idat"), "tRNS after IDAT")
-        .when(F.col("trns") < F.col("plte_at"), "tRNS before PLTE").when(F.col("critical") > 0, "unknown critical chunk").when(F.col("n_idat") == 0, "no IDAT")
-    )
-    return facts.select("image_id", reason.alias("reason"))
 
 
-def probe_jpeg(files: DataFrame, chunks: DataFrame) -> DataFrame:
+def check_chunk_order(chunks: DataFrame, images: DataFrame, block: int = automaton.BLOCK) -> DataFrame:
+    """(image_id, reason): the first rule of sequence that the chunks of a PNG file break, in the order of the file; null if none.
+
+    ``chunks`` is (image_id, chunk_no, type, length), ``images`` (image_id, ctype), the colour type of the header. The
+    chunks run through a finite automaton; an image whose chunks end before IEND has the reason ``no IEND``. Only
+    the length of a tRNS beside that of its palette is no matter of states: it is compared among these two kinds of chunks.
+    """
+    typed = chunks.join(images.select("image_id", "ctype"), "image_id", "left")
+    paletted = F.coalesce(F.col("ctype") == 3, F.lit(False))
+    channels = F.when(F.col("ctype").bitwiseAND(F.lit(2)) != 0, 3).otherwise(1) + F.when(F.col("ctype").bitwiseAND(F.lit(4)) != 0, 1).otherwise(0)
+    symbols = typed.select("image_id", "chunk_no", _png_symbol(paletted, F.coalesce(channels, F.lit(1))).alias("symbol"))
+    table = _png_table()
+    ended = automaton.run(symbols, "image_id", "chunk_no", "symbol", table, block=block)
+    before = Window.partitionBy("image_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    colours = F.last(F.when(F.col("type") == "PLTE", F.floor(F.col("length") / 3)), ignorenulls=True).over(before)
+    short = typed.where(paletted & F.col("type").isin("PLTE", "tRNS")).withColumn("colours", colours).where("type = 'tRNS' and length > colours")
+    wrong = short.groupBy("image_id").agg(F.min("chunk_no").cast("long").alias("wrong_at"))
+    names = F.array(*[F.lit(text) for text in PNG_FAULTS])
+    fault = F.get(names, F.col("state") - len(table) - 1)
+    reason = F.when(F.col("wrong_at") < F.coalesce("at", F.lit(1 << 62)), "bad tRNS len").when(F.col("state") < len(table), "no IEND").otherwise(fault)
+    return ended.join(wrong, "image_id", "left").select("image_id", reason.alias("reason"))
+
+
+def check_riff_order(chunks: DataFrame, block: int = automaton.BLOCK) -> DataFrame:
+    """(image_id, reason): as ``check_chunk_order`` for the records of WebP files; ``no image record`` if there is none."""
+    kind = F.col("type")
+    symbol = F.coalesce(*[F.when(kind == text, k) for k, text in enumerate(RIFF_SYMBOLS)], F.lit(len(RIFF_SYMBOLS) - 1))
+    table = _riff_table()
+    ended = automaton.run(chunks.select("image_id", "chunk_no", symbol.alias("symbol")), "image_id", "chunk_no", "symbol", table, block=block)
+    names = F.array(*[F.lit(text) for text in RIFF_FAULTS])
+    return ended.select("image_id", F.when(F.col("state") <= 1, "no image record").otherwise(F.get(names, F.col("state") - len(table))).alias("reason"))
+
+
+def probe_jpeg(chunks: DataFrame) -> DataFrame:
     """Header of JPEG files from their first frame record, wherever it stands: (file_id, width, height, channels, bits).
 
-    A record that is cut off before its sizes gives no row.
+    The fields are in the record's first bytes, so no content is joined. A record that is cut off before its sizes gives no row.
     """
-    frame = chunks.where("container = 'jpeg' and type in ('C0', 'C1', 'C2')").groupBy("file_id").agg(F.min("offset").alias("at"))
-    found = files.select("file_id", "content").join(frame, "file_id")
-    at = F.col("at")
-    return found.select(
-        "file_id", be_int("content", at + 7, 2).alias("width"), be_int("content", at + 5, 2).alias("height"),
-        F.when(byte_at("content", at + 9) >= 3, 3).otherwise(1).alias("channels"), byte_at("content", at + 4).alias("bits"),
+    frame = chunks.where("container = 'jpeg' and type in ('C0', 'C1', 'C2')").groupBy("file_id").agg(F.min_by("head", "offset").alias("content"))
+    return frame.select(
+        "file_id", be_int("content", 3, 2).alias("width"), be_int("content", 1, 2).alias("height"),
+        F.when(byte_at("content", 5) >= 3, 3).otherwise(1).alias("channels"), byte_at("content", 0).alias("bits"),
     ).where("width is not null")

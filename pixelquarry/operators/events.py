@@ -2,34 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pixelquarry.operators.placing import in_ranges
+
+
+# Clamped additions x -> min(high, max(low, x + shift)) are closed under composition: a run of events is one
+# such map, so runs are folded where they lie and only their maps meet.
+
+MAPS = "part long, run long, key string, shift long, low long, high long"
+
+
+def _ordered(events: DataFrame, key: str, order: list[str], delta: str, lo: int, hi: int, goto: str | None) -> DataFrame:
+    """Events in files of ranges of (key, order): key as text, and the clamped addition of each event."""
+    bounds = F.lit(lo).cast("long"), F.lit(hi).cast("long")
+    fixed = F.lit(None).cast("long") if goto is None else F.least(bounds[1], F.greatest(bounds[0], F.col(goto).cast("long")))
+    step = F.coalesce(F.col(delta).cast("long"), F.lit(0).cast("long"))
+    maps = {"shift": F.when(fixed.isNull(), step).otherwise(F.lit(0)), "low": F.coalesce(fixed, bounds[0]), "high": F.coalesce(fixed, bounds[1])}
+    named = events.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate([key, *order])], *[v.cast("long").alias(k) for k, v in maps.items()])
+    ranged = in_ranges(named, [f"_o{k}" for k in range(len(order) + 1)], "events")
+    # a part is read by one task, in order
+    text = F.coalesce(F.concat(F.lit("="), F.col("_o0").cast("string")), F.lit("")).alias("key")
+    return ranged.select("*", text).repartition("part").sortWithinPartitions("part", "row")
+
+
+def _maps(ordered: DataFrame) -> DataFrame:
+    """(part, run, key, shift, low, high): the composed map of each key's events in each part; ``run`` counts a part's keys."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, run, held = None, 0, (0, 0, 0)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part", "key", "shift", "low", "high")]
+            done = []
+            for part, key, a, low, high in zip(*columns, strict=True):
+                if (part, key) != at:
+                    if at is not None:
+                        done.append((at[0], run, at[1], *held))
+                    run = run + 1 if at is not None and at[0] == part else 0
+                    at, held = (part, key), (a, low, high)
+                else:
+                    b, c, d = held
+                    held = (a + b, min(high, max(low, c + a)), min(high, max(low, d + a)))
+            if done:
+                yield _maps_batch(done)
+        if at is not None:
+            yield _maps_batch([(at[0], run, at[1], *held)])
+
+    return ordered.select("part", "key", "shift", "low", "high").mapInArrow(fold, MAPS)
+
+
+def _maps_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["part", "run", "key", "shift", "low", "high"]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.string() if c == "key" else pa.int64()) for c, x in zip(names, zip(*rows, strict=True), strict=True)], names)
+
+
+def _carried(start: Column, maps: Column) -> Column:
+    """A position taken through maps in order."""
+    return F.aggregate(maps, start, lambda p, m: F.least(m["high"], F.greatest(m["low"], p + m["shift"])))
 
 
-def clamped_fold(events: DataFrame, key: str, order: list[str], delta: str, lo: int, hi: int) -> DataFrame:
-    """``pos`` after every event: min(hi, max(lo, pos + delta)) from lo on, in order.
+def clamped_fold(events: DataFrame, key: str, order: list[str], delta: str, lo: int, hi: int, goto: str | None = None) -> DataFrame:
+    """``pos`` after every event: min(hi, max(lo, pos + delta)) from lo on, in order; where ``goto`` is not null, its clamped value.
 
-    Clamped additions are closed under composition, so the fold is a window over running sums: the
-    position is the running sum corrected by its largest excursions past both bounds. Sums alone do
-    not say which bound was met last, so each session is folded on its ordered array.
+    Events lie in files of ranges, so a session may be spread over many. One pass composes the events of each
+    session in each file to one map; a session that goes on in the next files takes its position from the maps of
+    the files before, and a second pass steps from there. Linear, and no session is in one row or task. What
+    reaches the driver is at most one position a file.
     """
-    packed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(delta).alias("_d")))).alias("_e"))
-    start = F.struct(F.lit(lo).cast("long").alias("p"), F.array().cast("array<long>").alias("all"))
+    ordered = _ordered(events, key, order, delta, lo, hi, goto)
+    maps = _maps(ordered)
+    step = F.struct("part", "shift", "low", "high")
+    spread = maps.groupBy("key").agg(F.array_sort(F.collect_list(step)).alias("maps")).where("size(maps) > 1")  # a map for each file at most
+    going = spread.select(F.explode(F.sequence(F.lit(1), F.size("maps") - 1)).alias("k"), "maps")
+    begin = F.lit(lo).cast("long")
+    entered = going.select(F.get("maps", F.col("k"))["part"].alias("part"), _carried(begin, F.slice("maps", F.lit(1), F.col("k"))).alias("pos"))
+    enters = {r.part: r.pos for r in entered.collect()}  # only the first session of a file can go on from another
 
-    def step(acc, e):
-        p = F.least(F.lit(hi).cast("long"), F.greatest(F.lit(lo).cast("long"), acc["p"] + e["_d"].cast("long")))
-        return F.struct(p.alias("p"), F.concat(acc["all"], F.array(p)).alias("all"))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pos = (None, None), lo
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part", "key", "shift", "low", "high")]
+            out = []
+            for part, name, a, low, high in zip(*columns, strict=True):
+                if (part, name) != at:
+                    pos = enters.get(part, lo) if part != at[0] else lo
+                    at = (part, name)
+                pos = min(high, max(low, pos + a))
+                out.append(pos)
+            yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.startswith("_o")], pa.array(out, pa.int64())], [*[n for n in batch.schema.names if n.startswith("_o")], "pos"])
 
-    at = packed.withColumn("_p", F.aggregate("_e", start, step, lambda acc: acc["all"]))
-    zipped = at.select(key, F.explode(F.arrays_zip("_e", "_p")).alias("_z"))
-    return zipped.select(key, *[F.col(f"_z._e.{c}").alias(c) for c in order], F.col("_z._p").alias("pos"))
+    kept = [f for f in ordered.schema if f.name.startswith("_o")]
+    stepped = ordered.mapInArrow(walk, T.StructType([*kept, T.StructField("pos", T.LongType())]))
+    return stepped.select(*[F.col(f"_o{k}").alias(c) for k, c in enumerate([key, *order])], "pos")
 
 
-def last_position(events: DataFrame, key: str, order: list[str], delta: str, lo: int, hi: int) -> DataFrame:
-    """The position after a session's last event."""
-    packed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(delta).alias("_d")))).alias("_e"))
-    step = lambda p, e: F.least(F.lit(hi).cast("long"), F.greatest(F.lit(lo).cast("long"), p + e["_d"].cast("long")))
-    return packed.select(key, F.aggregate("_e", F.lit(lo).cast("long"), step).alias("pos"))
+def last_position(events: DataFrame, key: str, order: list[str], delta: str, lo: int, hi: int, goto: str | None = None) -> DataFrame:
+    """The position after a session's last event, from the maps of its events in each file."""
+    maps = _maps(_ordered(events, key, order, delta, lo, hi, goto))
+    ended = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "shift", "low", "high"))).alias("maps"))
+    kind = events.schema[key].dataType.simpleString()
+    return ended.select(F.expr(f"case when key = '' then null else cast(substring(key, 2) as {kind}) end").alias(key), _carried(F.lit(lo).cast("long"), F.col("maps")).alias("pos"))
 
 
 def drag_segments(events: DataFrame) -> DataFrame:

@@ -298,7 +298,11 @@ add("dither_none", "v_pixels", lambda df: dither.dither_corpus(df, 0), "SELECT i
 # events
 
 add("clamped_fold", "v_view_events", lambda df: events.last_position(df, "session_id", ["seq"], "delta", 0, 100), "SELECT session_id, list_reduce(list_prepend(0::BIGINT, list(delta::BIGINT ORDER BY seq)), lambda p, d: least(100, greatest(0, p + d)))::BIGINT AS pos FROM v_view_events GROUP BY 1")
-add("clamped_path", "v_view_events", lambda df: events.clamped_fold(df, "session_id", ["seq"], "delta", 0, 100))
+add(
+    "clamped_path", "v_view_events", lambda df: events.clamped_fold(df, "session_id", ["seq"], "delta", 0, 100),
+    ", l AS (SELECT session_id, list(delta::BIGINT ORDER BY seq) AS d, list(seq ORDER BY seq) AS s FROM v_view_events GROUP BY 1), u AS (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM l) "
+    "SELECT session_id, s[i] AS seq, list_reduce(list_prepend(0::BIGINT, d[:i]), lambda p, x: least(100, greatest(0, p + x)))::BIGINT AS pos FROM u",
+)
 add(
     "drag_segments", "v_view_events", events.drag_segments,
     ", c AS (SELECT *, count(*) FILTER (kind = 'down') OVER w AS drag, max(CASE WHEN kind = 'down' THEN seq END) OVER w AS last_down, max(CASE WHEN kind = 'up' THEN seq END) OVER w AS last_up FROM v_view_events WINDOW w AS (PARTITION BY session_id ORDER BY seq)), "
@@ -331,13 +335,15 @@ MAGIC_SQL = {
 
 def _sniff_sql(order: list[str]) -> str:
     names = [*order[:-1], "webp", "qoi", "pcx", "tga"]
-    return "CASE " + " ".join(f"WHEN {MAGIC_SQL[n]} THEN '{n}'" for n in names) + " ELSE 'unknown' END"
+    return "CASE " + " ".join(f"WHEN {MAGIC_SQL[n]} THEN '{n}'" for n in names) + f" WHEN {_ext} IN ('xbm', 'xpm') THEN {_ext} ELSE 'unknown' END"
 
 
+_ext = "lower(regexp_extract(path, '\\.([^.]*)$', 1))"
 _digits = lambda rx, k: f"regexp_replace(nullif(regexp_extract(hx, '{rx}', {k}), ''), '3(.)', '\\1', 'g')::BIGINT"
 _PNM, _HDR = "^503[56]0A((3[0-9])+)20((3[0-9])+)(0A((3[0-9])+))?", "0A0A2D5920((3[0-9])+)202B5820((3[0-9])+)0A"
 _ll = _has("5650384C", 12)
 HEAD_SQL = {
+    "xbm": ("NULL", "NULL", "3", "8"), "xpm": ("NULL", "NULL", "3", "8"),
     "png": (_B(16, 4), _B(20, 4), f"CASE {_B(25)} WHEN 3 THEN 3 ELSE CASE WHEN {_B(25)} & 2 <> 0 THEN 3 ELSE 1 END + CASE WHEN {_B(25)} & 4 <> 0 THEN 1 ELSE 0 END END", _B(24)),
     "bmp": (_L(18, 4), _L(22, 4), f"CASE WHEN {_L(28, 2)} = 32 THEN 4 ELSE 3 END", "8"), "gif": (_L(6, 2), _L(8, 2), "4", "8"),
     "psd": (_B(18, 4), _B(14, 4), "4", _B(22, 2)), "pic": (_B(92, 2), _B(94, 2), f"CASE WHEN {_B(107)} & 16 <> 0 THEN 4 ELSE 3 END", "8"),
@@ -356,7 +362,8 @@ HEADERS_SQL = (
     f"WHEN format = 'png' AND ({_B(25)} > 6 OR {_B(25)} IN (1, 5) OR ({_B(25)} = 3 AND {_B(24)} = 16)) THEN 'bad ctype' WHEN format = 'png' AND (width <= 0 OR height <= 0) THEN '0-pixel image' "
     f"WHEN format = 'bmp' AND {_L(26, 2)} <> 1 THEN 'bad BMP' WHEN format = 'psd' AND {_B(24, 2)} <> 3 THEN 'wrong color format' "
     "WHEN format = 'jpeg' AND height = 0 THEN 'no header height' WHEN format = 'jpeg' AND width = 0 THEN '0 width' WHEN format = 'pnm' AND (coalesce(width, 0) = 0 OR coalesce(height, 0) = 0) THEN 'invalid width' "
-    "WHEN width IS NULL OR height IS NULL THEN 'truncated header' WHEN width <= 0 OR height <= 0 THEN '0-pixel image' END AS reason FROM hd)"
+    "WHEN format IN ('xbm', 'xpm') AND coalesce(width, 0) <= 0 THEN 'invalid width' WHEN format = 'hdr' AND width IS NULL THEN CASE WHEN contains(hx, '464F524D41543D33322D6269745F726C655F726762650A') THEN 'unsupported data layout' ELSE 'unsupported format' END "
+    "WHEN format = 'webp' AND (hx NOT LIKE '%5650382064000000%' AND hx NOT LIKE '%5650384C64000000%') THEN 'no image record' WHEN width IS NULL OR height IS NULL THEN 'truncated header' WHEN width <= 0 OR height <= 0 THEN '0-pixel image' END AS reason FROM hd)"
 )
 
 
@@ -367,7 +374,6 @@ def _files(df: DataFrame) -> DataFrame:
 sniffed = lambda df: catalogue.sniff_format(_files(df))
 headers = lambda df: catalogue.probe_header(sniffed(df))
 valid = lambda df: catalogue.validate_header(headers(df))
-_ext = "lower(regexp_extract(path, '\\.([^.]*)$', 1))"
 add("route_by_extension", "v_files", lambda df: catalogue.route_by_extension(_files(df)).select("file_id", "route"), f"SELECT file_id, CASE WHEN {_ext} IN ('webp', 'wbp', 'web') AND {_has('52494646')} THEN 'webp' WHEN {_ext} IN ('pcx', 'qoi', 'xbm', 'xpm') THEN {_ext} ELSE 'sniff' END AS route FROM v_files")
 add("sniff_format", "v_files", lambda df: sniffed(df).select("file_id", "format"), f"SELECT file_id, {_sniff_sql(catalogue.LOAD_ORDER)} AS format FROM v_files")
 add("sniff_format_info", "v_files", lambda df: catalogue.sniff_format(_files(df), "info").select("file_id", "format"), f"SELECT file_id, {_sniff_sql(catalogue.INFO_ORDER)} AS format FROM v_files")
@@ -384,15 +390,45 @@ add("quarantine_bad", "v_files", lambda df: catalogue.quarantine_split(valid(df)
 add("failure_report", "v_files", lambda df: catalogue.failure_report(valid(df)).withColumn("share", F.round("share", 6)), HEADERS_SQL + " SELECT format, reason, count(*) AS files, round(count(*) / (SELECT count(*) FROM va), 6) AS share FROM va WHERE reason IS NOT NULL GROUP BY 1, 2")
 add("decoded_size", "v_files", lambda df: catalogue.decoded_size(headers(df)).select("file_id", "decoded_bytes", "bitmap_bytes"), HEADERS_SQL + " SELECT file_id, width * height * channels * bits // 8 AS decoded_bytes, (width * 24 + 31) // 32 * 4 * height AS bitmap_bytes FROM hd")
 add("extension_mismatch", "v_files", lambda df: catalogue.extension_mismatch(sniffed(df)).select("file_id", "named", "format"), HEADERS_SQL + f" SELECT * FROM (SELECT file_id, CASE {_ext} WHEN 'jpg' THEN 'jpeg' WHEN 'wbp' THEN 'webp' WHEN 'web' THEN 'webp' WHEN 'ppm' THEN 'pnm' WHEN 'pgm' THEN 'pnm' ELSE {_ext} END AS named, format FROM sn) WHERE named <> format")
-add("corpus_summary", "v_files", lambda df: catalogue.corpus_summary(valid(df)), HEADERS_SQL + " SELECT format, count(*) AS files, count(*) FILTER (reason IS NULL) AS valid, coalesce(sum(width * height) FILTER (reason IS NULL), 0)::BIGINT AS pixels, max(width * height) FILTER (reason IS NULL) AS largest, min(width * height) FILTER (reason IS NULL) AS smallest, count(*) FILTER (format IN ('png', 'psd', 'pnm') AND bits = 16) AS deep FROM va GROUP BY 1")
+add("corpus_summary", "v_files", lambda df: catalogue.corpus_summary(valid(df)), HEADERS_SQL + " SELECT format, count(*) AS files, count(*) FILTER (reason IS NULL) AS valid, coalesce(sum(width * height) FILTER (reason IS NULL), 0)::BIGINT AS pixels, max(width * height) FILTER (reason IS NULL) AS largest, min(width * height) FILTER (reason IS NULL) AS smallest, count(*) FILTER (format IN ('png', 'psd', 'pnm') AND bits = 16) AS deep, sum(length(hx) // 2)::BIGINT AS bytes, count(*) FILTER (bits = 8) AS bits_8, count(*) FILTER (bits = 16) AS bits_16, count(*) FILTER (bits = 32) AS bits_32 FROM va GROUP BY 1")
 add("byte_integers", "v_files", lambda df: _files(df).select("file_id", C.be_int("content", 4, 2).alias("be16"), C.be_int("content", 8, 4).alias("be32"), C.le_int("content", 4, 2).alias("le16"), C.le_int("content", 5, 3).alias("le24"), C.le_int("content", 8, 4).alias("le32")), f"SELECT file_id, {_B(4, 2)} AS be16, {_B(8, 4)} AS be32, {_L(4, 2)} AS le16, {_L(5, 3)} AS le24, {_L(8, 4)} AS le32 FROM v_files")
+# headers by meaning: the fixture says what each file is, the query reads it from the bytes
+_given = lambda k: "CASE kind " + " ".join(f"WHEN {i} THEN {x[k]}" if not isinstance(x[k], str) else f"WHEN {i} THEN '{x[k]}'" for i, x in enumerate(fixtures.HEADERS) if x[k] is not None) + " END"
+_side = lambda k: "CASE kind " + " ".join(f"WHEN {i} THEN {x[k]}" for i, x in enumerate(fixtures.HEADERS) if x[k] is not None) + " END"
+add(
+    "header_rules", "v_headers", lambda df: valid(df.select("file_id", "path", "hx")).select("file_id", "format", "width", "height", "channels", "bits", "reason"),
+    f"SELECT file_id, {_given(2)} AS format, ({_side(3)})::BIGINT AS width, ({_side(4)})::BIGINT AS height, ({_given(5)})::BIGINT AS channels, ({_given(6)})::BIGINT AS bits, {_given(7)} AS reason FROM v_headers",
+)
+add("lossless_webp", "v_headers", lambda df: headers(df.select("file_id", "path", "hx")).where(catalogue.is_lossless_webp()).select("file_id"), "SELECT file_id FROM v_headers WHERE kind IN (" + ", ".join(str(i) for i, x in enumerate(fixtures.HEADERS) if "5650384C" in x[1]) + ")")
+_seen = lambda kind, of="type": f"coalesce(bool_or({of} IN ({kind})) OVER w, false)"
+CHUNK_SQL = (
+    f", s AS (SELECT c.*, ctype = 3 AS paletted, CASE WHEN ctype & 2 <> 0 THEN 3 ELSE 1 END + CASE WHEN ctype & 4 <> 0 THEN 1 ELSE 0 END AS n, {_seen("'IHDR'")} AS head, {_seen("'IDAT'")} AS data, "
+    "coalesce(last_value(CASE WHEN type = 'PLTE' THEN length // 3 END IGNORE NULLS) OVER w, 0) AS colours FROM v_chunks c JOIN v_chunk_images USING (image_id) "
+    "WINDOW w AS (PARTITION BY image_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "e AS (SELECT image_id, chunk_no, CASE WHEN type = 'CgBI' THEN NULL WHEN type = 'IHDR' THEN CASE WHEN head THEN 'multiple IHDR' WHEN length <> 13 THEN 'bad IHDR len' END WHEN NOT head THEN 'first not IHDR' "
+    "WHEN type = 'PLTE' THEN CASE WHEN length > 768 OR length % 3 <> 0 THEN 'invalid PLTE' END "
+    "WHEN type = 'tRNS' THEN CASE WHEN data THEN 'tRNS after IDAT' WHEN paletted AND colours = 0 THEN 'tRNS before PLTE' WHEN paletted THEN CASE WHEN length > colours THEN 'bad tRNS len' END "
+    "WHEN n % 2 = 0 THEN 'tRNS with alpha' WHEN length <> n * 2 THEN 'bad tRNS len' END "
+    "WHEN type = 'IDAT' THEN CASE WHEN paletted AND colours = 0 THEN 'no PLTE' WHEN length > 1073741824 THEN 'IDAT size limit' END "
+    "WHEN type = 'IEND' THEN CASE WHEN data THEN '' ELSE 'no IDAT' END WHEN type = 'QUIX' THEN 'unknown critical chunk' END AS event FROM s) "
+    "SELECT image_id, nullif(coalesce(arg_min(event, chunk_no) FILTER (event IS NOT NULL), 'no IEND'), '') AS reason FROM e GROUP BY image_id"
+)
+
+
+def _chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.check_chunk_order(fixtures.view(spark, sf_dir, "v_chunks"), fixtures.view(spark, sf_dir, "v_chunk_images"))
+
+
+QUERIES["check_chunk_order"] = _chunk_order
+ORACLES["check_chunk_order"] = fixtures.with_views("v_chunks", CHUNK_SQL)
 add(
-    "check_chunk_order", "v_chunks", catalogue.check_chunk_order,
-    ", f AS (SELECT image_id, arg_min(type, chunk_no) AS head, count(*) FILTER (type = 'IHDR') AS n_ihdr, count(*) FILTER (type = 'IDAT') AS n_idat, max(length) FILTER (type = 'PLTE') AS plte, min(chunk_no) FILTER (type = 'tRNS') AS trns, min(chunk_no) FILTER (type = 'IDAT') AS idat, min(chunk_no) FILTER (type = 'PLTE') AS plte_at, count(*) FILTER (type = 'QUIX') AS critical FROM v_chunks GROUP BY 1) "
-    "SELECT image_id, CASE WHEN head <> 'IHDR' THEN 'first not IHDR' WHEN n_ihdr > 1 THEN 'multiple IHDR' WHEN plte > 768 OR plte % 3 <> 0 THEN 'invalid PLTE' WHEN trns > idat THEN 'tRNS after IDAT' WHEN trns < plte_at THEN 'tRNS before PLTE' WHEN critical > 0 THEN 'unknown critical chunk' WHEN n_idat = 0 THEN 'no IDAT' END AS reason FROM f",
+    "check_riff_order", "v_riff", catalogue.check_riff_order,
+    f", s AS (SELECT *, {_seen("'VP8 ', 'VP8L'")} AS image, {_seen("'VP8L'")} AS lossless, {_seen("'ALPH'")} AS alpha FROM v_riff WINDOW w AS (PARTITION BY image_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "e AS (SELECT *, CASE WHEN type IN ('VP8 ', 'VP8L') AND image THEN 'second image record' WHEN type = 'VP8L' AND alpha OR type = 'ALPH' AND lossless THEN 'VP8L with ALPH' END AS event FROM s) "
+    "SELECT image_id, coalesce(arg_min(event, chunk_no) FILTER (event IS NOT NULL), CASE WHEN bool_or(type IN ('VP8 ', 'VP8L')) THEN NULL ELSE 'no image record' END) AS reason FROM e GROUP BY image_id",
 )
-add("list_chunks", "v_files", lambda df: images.list_chunks(_files(df)))
-add("probe_jpeg", "v_files", lambda df: catalogue.probe_jpeg(_files(df), images.list_chunks(_files(df))), HEADERS_SQL + " SELECT file_id, width, height, channels, bits FROM hd WHERE format = 'jpeg' AND width IS NOT NULL")
+add("list_chunks", "v_headers", lambda df: images.list_chunks(_files(df)).withColumn("head", F.hex("head")))
+add("probe_jpeg", "v_files", lambda df: catalogue.probe_jpeg(images.list_chunks(_files(df))), HEADERS_SQL + " SELECT file_id, width, height, channels, bits FROM hd WHERE format = 'jpeg' AND width IS NOT NULL")
 
 # text rasters
 

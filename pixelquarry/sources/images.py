@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from pixelquarry.session import ship
+from pixelquarry.sources import records
 
 # Extensions that are taken as images.
 EXTENSIONS = "jpg png gif bmp tga pnm ppm pgm webp web wbp pcx xbm xpm qoi".split()
@@ -83,65 +85,30 @@ def explode_xpm(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells, colors
 
 
-CHUNKS = "file_id long, chunk_no int, container string, type string, offset long, length long"
-
-
-def _records(content: bytes) -> Iterator[tuple[str, str, int, int]]:
-    """(container, type, offset, length) of the records of one file; a cut-off file ends the list."""
-    n = len(content)
-    if content[:8] == b"\x89PNG\r\n\x1a\n":
-        at = 8
-        while at + 8 <= n:
-            length = int.from_bytes(content[at : at + 4], "big")
-            yield "png", content[at + 4 : at + 8].decode("latin-1"), at, length
-            at += 12 + length
-    elif content[:4] == b"RIFF":
-        at = 12
-        while at + 8 <= n:
-            length = int.from_bytes(content[at + 4 : at + 8], "little")
-            yield "riff", content[at : at + 4].decode("latin-1"), at, length
-            at += 8 + length + length % 2
-    elif content[:2] == b"\xff\xd8":
-        at = 2
-        while at + 2 <= n and content[at] == 0xFF:
-            kind = content[at + 1]
-            if kind == 0xFF:  # filler
-                at += 1
-                continue
-            alone = kind == 0xD9 or 0xD0 <= kind <= 0xD7
-            length = 0 if alone else int.from_bytes(content[at + 2 : at + 4], "big")
-            yield "jpeg", f"{kind:02X}", at, length
-            if alone or kind == 0xDA or length < 2:  # after the start of a scan come coded bytes
-                break
-            at += 2 + length
-    elif content[:3] == b"GIF" and n >= 13:
-        at = 13 + (3 << (content[10] & 7) + 1 if content[10] & 0x80 else 0)
-        while at < n:
-            start, kind = at, content[at]
-            if kind == 0x2C and at + 10 <= n:
-                flags = content[at + 9]
-                at += 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-            elif kind == 0x21:
-                at += 2
-            else:
-                yield "gif", f"{kind:02X}", at, 1
-                break
-            while at < n and content[at]:
-                at += 1 + content[at]
-            at += 1
-            yield "gif", f"{kind:02X}", start, at - start
+CHUNKS = "chunk_no int, container string, type string, offset long, length long, head binary"
 
 
-def list_chunks(files: DataFrame) -> DataFrame:
-    """The container records of PNG, RIFF, JPEG and GIF files; other files have none."""
-    ship(files.sparkSession)
+@udtf(returnType=CHUNKS)
+class ListChunks:
+    """A table function of a file's content: its records, yielded one at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, *r) for i, c in zip(pdf["file_id"], pdf["content"], strict=True) if c is not None for k, r in enumerate(_records(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["file_id", "chunk_no", "container", "type", "offset", "length"])
+    def eval(self, content: bytes):
+        if content is not None:
+            for k, r in enumerate(records.walk(records.in_memory(content))):
+                if r.container != "pic":
+                    yield k, *r
 
-    return files.select("file_id", "content").mapInPandas(run, CHUNKS)
+
+def list_chunks(files: DataFrame) -> DataFrame:
+    """(file_id, chunk_no, container, type, offset, length, head): the records of PNG, RIFF, JPEG and GIF files; other files have none.
+
+    ``head`` holds the first bytes of a record's payload. In SQL the table function is ``list_chunks(content)``,
+    called through LATERAL.
+    """
+    spark = files.sparkSession
+    ship(spark)
+    spark.udtf.register("list_chunks", ListChunks)
+    return files.lateralJoin(ListChunks(F.col("content").outer())).select("file_id", *[c.split()[0] for c in CHUNKS.split(", ")])
 
 
 DECODED = "file_id long, width int, height int, channels int, pixels binary, reason string"
