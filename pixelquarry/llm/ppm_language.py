@@ -20,6 +20,7 @@ Whole texts are scored. Columns other than doc_id, text and, for the fit, lang a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +41,8 @@ UNDETERMINED = "und"
 REJECT_RATE, REJECT_BITS = 10.0, 512.0
 #: Parts of the texts; each is judged by the statistics of the others.
 PARTS = 2
+#: Verdicts (about 60 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: All languages in one: what a language lacks in few documents, as capitals or marks, others may have.
 ANY = "any"
 
@@ -224,8 +227,7 @@ def fit_apart(documents: DataFrame, parts: int = PARTS, order: int = ORDER, docs
         return [None] * parts
     sample = settled(sample, "language-sample")  # bounded by its definition
     first = _built_apart(sample, langs, parts, order)
-    plain = sample.withColumn("seen", _judged(sample, first, parts)).where("seen.bits <= 8.0 * seen.bytes").drop("seen")
-    return _built_apart(plain, langs, parts, order)
+    return _built_apart(_familiar(sample, first, parts, 8.0), langs, parts, order)
 
 
 def _letters(pack: bs.Pack) -> np.ndarray:
@@ -281,33 +283,58 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
 
 
-def _judged(documents: DataFrame, models: list[Model | None], parts: int) -> Column:
-    """Of each text, under the statistics of the other parts: whether it has letters, its shortest code in bits, its bytes, its language."""
+def _costs(texts: pa.Array, of: np.ndarray, models: list[Model | None]) -> Iterator[tuple[np.ndarray, bs.Pack, np.ndarray | None, Model | None]]:
+    """(rows, their texts, code lengths, model) of slices of texts, each under the model of its part; null code lengths without a model."""
+    for part in np.unique(of):
+        rows, m = np.flatnonzero(of == part), models[part]
+        for begin, end, pack in bs.slices(texts.take(pa.array(rows)), gap=ORDER if m is None else len(m.cost) - 1, filler=0):
+            yield rows[begin:end], pack, None if m is None else code_lengths(m, pack), m
+
+
+def _familiar(documents: DataFrame, models: list[Model | None], parts: int, rate: float) -> DataFrame:
+    """The rows of a bounded sample whose text costs at most ``rate`` bits a byte under the statistics of the other parts."""
     spark = documents.sparkSession
     ship(spark)
-    # bounded by the fit's sample, whatever the input
     shared = spark.sparkContext.broadcast(models)
 
-    @F.arrow_udf("struct<letters: boolean, bits: double, bytes: long, lang: string>")
-    def judge(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf("boolean")
+    def plain(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, of in columns:
-            of, n = of.to_numpy(zero_copy_only=False), len(texts)
-            letters, bits, size, lang = np.zeros(n, bool), np.zeros(n), np.zeros(n, np.int64), np.full(n, None, object)
-            for part in np.unique(of):
-                rows = np.flatnonzero(of == part)
-                m = shared.value[part]
-                for begin, end, pack in bs.slices(texts.take(pa.array(rows)), gap=ORDER if m is None else len(m.cost) - 1, filler=0):
-                    at = rows[begin:end]
-                    letters[at], size[at] = _letters(pack), pack.last - pack.first
-                    if m is not None:
-                        every = code_lengths(m, pack)
-                        bits[at] = every.min(axis=1)
-                        if len(m.langs) > 1:
-                            lang[at] = np.array(m.langs[:-1], object)[every[:, :-1].argmin(axis=1)]
-            yield pa.StructArray.from_arrays([pa.array(letters), pa.array(bits), pa.array(size), pa.array(lang, pa.string())], ["letters", "bits", "bytes", "lang"])
-
-    # not to be repeated above and below a filter
-    return judge.asNondeterministic()(F.col("text"), text_part(parts).cast("int"))
+            out = np.ones(len(texts), bool)
+            for at, pack, bits, _ in _costs(texts, of.to_numpy(zero_copy_only=False), shared.value):
+                if bits is not None:
+                    out[at] = bits.min(axis=1) <= rate * (pack.last - pack.first)
+            yield pa.array(out)
+
+    return documents.withColumn("seen", plain.asNondeterministic()(F.col("text"), text_part(parts).cast("int"))).where("seen").drop("seen")
+
+
+def _judged(documents: DataFrame, models: list[Model | None], parts: int) -> DataFrame:
+    """(digest, lang, kept) of the texts that are rejected or that lack a language, under the statistics of the other parts.
+
+    Only texts go to Python, and of most of them nothing comes back.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    # bounded by the fit's sample, whatever the input
+    shared = spark.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, bare = batch.column("text"), batch.column("bare").to_numpy(zero_copy_only=False)
+            for at, pack, bits, m in _costs(texts, batch.column("part").to_numpy(zero_copy_only=False), shared.value):
+                keep, lang = _letters(pack), np.full(pack.n, None, object)
+                if bits is not None:
+                    keep &= bits.min(axis=1) <= REJECT_RATE * (pack.last - pack.first) + REJECT_BITS
+                    if len(m.langs) > 1:
+                        lang = np.array(m.langs[:-1], object)[bits[:, :-1].argmin(axis=1)]
+                told = np.flatnonzero(~keep | (bare[at] & np.not_equal(lang, None)))
+                digests = [hashlib.sha256(texts[int(k)].as_py().encode()).digest() for k in at[told]]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(lang[told], pa.string()), pa.array(keep[told])], ["digest", "lang", "kept"])
+
+    bare = F.col("lang").isNull() if "lang" in documents.columns else F.lit(False)
+    asked = documents.where("text is not null").select("text", text_part(parts).cast("int").alias("part"), bare.alias("bare"))
+    return asked.mapInArrow(run, "digest binary, lang string, kept boolean")
 
 
 def recognised(documents: DataFrame, parts: int = PARTS, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
@@ -317,14 +344,22 @@ def recognised(documents: DataFrame, parts: int = PARTS, docs_per_lang: int = DO
     Rejected are texts that are null or without letters, and those that no language, nor all in one,
     codes in at most ``REJECT_RATE`` bits a byte and ``REJECT_BITS`` bits besides: one rule for all lengths, under
     which the evidence of a few bytes is never enough. Where nothing could be learned only the former
-    are. Only texts go through Python.
+    are. A verdict is one on a text: those that change anything are written down by the text's digest and
+    joined to the rows; the rows themselves stay where they are.
     """
     models = fit_apart(documents, parts=parts, docs_per_lang=docs_per_lang)
-    seen = documents.select(F.struct("*").alias("row"), _judged(documents, models, parts).alias("seen"))
-    kept = seen.where(f"seen.letters and seen.bits <= {REJECT_RATE} * seen.bytes + {REJECT_BITS}")
+    told = settled(_judged(documents, models, parts), "language-verdicts").groupBy("digest").agg(F.max("lang").alias("said"), F.min("kept").alias("kept"))
+    told = settled(told, "language-verdicts")
+    n = told.limit(BROADCAST_ROWS + 1).count()
+    there = documents.where("text is not null")
+    if not n:
+        return there
+    digest = F.unhex(F.sha2(F.col("text"), 256))
+    rows = there.select(F.struct("*").alias("row"), digest.alias("digest"))
+    kept = rows.join(F.broadcast(told) if n <= BROADCAST_ROWS else told, "digest", "left").where("kept is null or kept")
     fields = {c: F.col("row").getField(c).alias(c) for c in documents.columns}
     if "lang" in fields:
-        fields["lang"] = F.coalesce(F.col("row.lang"), F.col("seen.lang")).alias("lang")
+        fields["lang"] = F.coalesce(F.col("row.lang"), F.col("said")).alias("lang")
     return kept.select(*fields.values())
 
 
