@@ -75,6 +75,16 @@ def rgb555(word) -> list[Column]:
     return [F.floor((_asr(_c(word), s).bitwiseAND(F.lit(31)) * 255) / 31).cast("int") for s in (10, 5, 0)]
 
 
+# Channel masks of pixel words (r, g, b, a) that have none of their own.
+DEFAULT_MASKS = {16: (0x7C00, 0x3E0, 0x1F, 0), 32: (0xFF0000, 0xFF00, 0xFF, 0xFF000000)}
+
+
+def masked_rgba(word, bits: int, masks: tuple[int, int, int, int] | None = None) -> list[Column]:
+    """The channels of a 16 or 32-bit pixel word; without masks those of its width. Without an alpha mask a is 255."""
+    r, g, b, a = masks or DEFAULT_MASKS[bits]
+    return [mask_extract(word, r), mask_extract(word, g), mask_extract(word, b), mask_extract(word, a) if a else F.lit(255)]
+
+
 def mask_extract(word, mask: int) -> Column:
     """The bits of a mask as 8 bits; a mask of more than 8 bits is refused."""
     bits = bin(mask).count("1")
@@ -212,11 +222,21 @@ def default_channel(v, kind: str, full: int = 255) -> Column:
     return F.coalesce(_c(v), F.lit(full if kind == "alpha" else 0))
 
 
+def rgbe_grey(r, g, b, e) -> Column:
+    """One or two channels of a shared-exponent pixel: the mean of its three; a zero exponent is black."""
+    return rgbe_to_float(_c(r) + _c(g) + _c(b), e) / 3
+
+
 def linear_pixels(v, bits: int) -> Column:
     """An 8 or 16-bit sample as a linear float."""
     return ldr_to_hdr(to_8bit(v) if bits == 16 else v)
 
 
+def linear_rgb(r, g, b, e, bits) -> list[Column]:
+    """The colours of a pixel as linear floats: of 8 or 16-bit samples, or (bits 32) of a shared exponent ``e``."""
+    return [F.when(_c(bits) == 32, rgbe_to_float(v, e)).when(_c(bits) == 16, linear_pixels(v, 16)).otherwise(linear_pixels(v, 8)) for v in (r, g, b)]
+
+
 def alpha_plane(side_green=None, raw=None) -> Column:
     """Alpha from the green of a side image, else raw bytes, else opaque."""
     return F.coalesce(*[_c(x) for x in (side_green, raw) if x is not None], F.lit(255))
@@ -227,6 +247,11 @@ def raster_order(y, x, width) -> Column:
     return _c(y).cast("long") * _c(width) + _c(x)
 
 
+def raster_place(pos, width: int) -> list[Column]:
+    """Row and column of a linear position."""
+    return [F.floor(_c(pos) / width).cast("int"), (_c(pos) % width).cast("int")]
+
+
 def byte_at(content, at) -> Column:
     """Byte at an offset of a binary column (offset a number or column); null past the end."""
     content, at = _c(content), _c(at) if isinstance(at, (Column, str)) else F.lit(at)

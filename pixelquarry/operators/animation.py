@@ -35,11 +35,13 @@ def composite_frames(draws: DataFrame, frames: DataFrame) -> DataFrame:
     return grid.withColumn("_v", value).select("image_id", "frame", "y", "x", *[F.col(f"_v.{c}").alias(c) for c in "rgba"])
 
 
-def background_fill(canvas: DataFrame, frames: DataFrame, background: tuple[int, int, int]) -> DataFrame:
-    """Under every draw, images with a background index above 0 have the background colour; others stay transparent."""
-    filled = frames.groupBy("image_id").agg((F.min_by("bgindex", "frame") > 0).alias("_fill"))
-    out = canvas.join(filled, "image_id")
-    bare = F.col("a").isNull() & F.col("_fill")
-    for c, v in zip("rgb", background, strict=True):
-        out = out.withColumn(c, F.when(bare, v).otherwise(F.col(c)))
-    return out.withColumn("a", F.when(bare, 255).otherwise(F.col("a"))).drop("_fill")
+def background_fill(canvas: DataFrame, frames: DataFrame, colors: DataFrame) -> DataFrame:
+    """Under every draw, images with a background index above 0 have that colour; others stay transparent.
+
+    ``colors`` is (image_id, bgindex, r, g, b): the colour of each image's background index; an index without one stays transparent.
+    """
+    filled = frames.groupBy("image_id").agg(F.min_by("bgindex", "frame").alias("bgindex")).where("bgindex > 0")
+    known = filled.join(colors, ["image_id", "bgindex"]).select("image_id", *[F.col(c).alias(f"_{c}") for c in "rgb"])
+    bare = F.col("a").isNull() & F.col("_r").isNotNull()
+    out = canvas.join(known, "image_id", "left")
+    return out.withColumns({**{c: F.when(bare, F.col(f"_{c}")).otherwise(F.col(c)) for c in "rgb"}, "a": F.when(bare, 255).otherwise(F.col("a"))}).drop("_r", "_g", "_b")

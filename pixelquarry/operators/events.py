@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelquarry.operators.placing import in_ranges
+from pixelquarry.session import ship
 
 
 # Clamped additions x -> min(high, max(low, x + shift)) are closed under composition: a run of events is one
@@ -20,8 +21,9 @@ MAPS = "part long, run long, key string, shift long, low long, high long"
 
 def _ordered(events: DataFrame, key: str, order: list[str], delta: str, lo: int, hi: int, goto: str | None) -> DataFrame:
     """Events in files of ranges of (key, order): key as text, and the clamped addition of each event."""
+    ship(events.sparkSession)
     bounds = F.lit(lo).cast("long"), F.lit(hi).cast("long")
-    fixed = F.lit(None).cast("long") if goto is None else F.least(bounds[1], F.greatest(bounds[0], F.col(goto).cast("long")))
+    fixed = F.lit(None).cast("long") if goto is None else F.when(F.col(goto).isNotNull(), F.least(bounds[1], F.greatest(bounds[0], F.col(goto).cast("long"))))
     step = F.coalesce(F.col(delta).cast("long"), F.lit(0).cast("long"))
     maps = {"shift": F.when(fixed.isNull(), step).otherwise(F.lit(0)), "low": F.coalesce(fixed, bounds[0]), "high": F.coalesce(fixed, bounds[1])}
     named = events.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate([key, *order])], *[v.cast("long").alias(k) for k, v in maps.items()])
@@ -66,6 +68,21 @@ def _carried(start: Column, maps: Column) -> Column:
     return F.aggregate(maps, start, lambda p, m: F.least(m["high"], F.greatest(m["low"], p + m["shift"])))
 
 
+#: What one line moves, and what a wheel's notch counts.
+LINE, NOTCH = 20, 120
+
+
+def position_steps(events: DataFrame, lo: int, hi: int, page: int) -> DataFrame:
+    """Adds ``step`` and ``goto`` of scroll events by ``kind``: line and page (delta counts them, upwards negative), wheel (delta in
+    notches, away from the user upwards, whole notches only), top, bottom, track (delta is the place); any other kind moves by delta.
+    """
+    kind, delta = F.col("kind"), F.col("delta").cast("long")
+    notches = F.expr(f"cast(delta as bigint) div {NOTCH}")
+    step = F.when(kind == "line", delta * LINE).when(kind == "page", delta * page).when(kind == "wheel", -notches * LINE).when(kind.isin("top", "bottom", "track"), 0).otherwise(delta)
+    goto = F.when(kind == "top", lo).when(kind == "bottom", hi).when(kind == "track", delta)
+    return events.withColumns({"step": step.cast("long"), "goto": goto.cast("long")})
+
+
 def clamped_fold(events: DataFrame, key: str, order: list[str], delta: str, lo: int, hi: int, goto: str | None = None) -> DataFrame:
     """``pos`` after every event: min(hi, max(lo, pos + delta)) from lo on, in order; where ``goto`` is not null, its clamped value.
 

@@ -52,7 +52,12 @@ SKIPPED = 246
 _SCHEMA = "palette_id string, idx int, r int, g int, b int"
 
 
-PALETTES = {"vga16": VGA16, "win256": WIN256}
+# The sixteen colours of the Color Graphics Adapter.
+CGA16 = [
+    (0, 0, 0), (0, 0, 170), (0, 170, 0), (0, 170, 170), (170, 0, 0), (170, 0, 170), (170, 85, 0), (170, 170, 170),
+    (85, 85, 85), (85, 85, 255), (85, 255, 85), (85, 255, 255), (255, 85, 85), (255, 85, 255), (255, 255, 85), (255, 255, 255),
+]
+PALETTES = {"vga16": VGA16, "win256": WIN256, "cga16": CGA16}
 
 
 def palette(spark: SparkSession, palette_id: str) -> DataFrame:
@@ -61,17 +66,20 @@ def palette(spark: SparkSession, palette_id: str) -> DataFrame:
 
 
 def palette_lookup(pixels: DataFrame, colors: DataFrame, on_missing: str = "zero") -> DataFrame:
-    """Replace ``idx`` by its colour. Out of range: entry 0, transparent black, or null (``strict``)."""
+    """Replace ``idx`` by its colour. Out of range: entry 0, transparent black, or null (``strict``).
+
+    Entries are opaque unless the palette has a column ``a``.
+    """
     cols = ["r", "g", "b"]
-    known = F.broadcast(colors.select("idx", *cols))  # one palette: at most 256 rows
-    out = pixels.drop(*cols, "a").join(known, "idx", "left").withColumn("a", F.when(F.col("r").isNotNull(), 255))
+    alpha = F.col("a") if "a" in colors.columns else F.lit(255)
+    known = F.broadcast(colors.select("idx", *cols, alpha.alias("_own")))  # one palette: at most 256 rows
+    out = pixels.drop(*cols, "a").join(known, "idx", "left").withColumn("a", F.col("_own")).drop("_own")
     if on_missing == "transparent":
         return out.fillna(0, [*cols, "a"])
     if on_missing == "zero":
-        first = {c: F.first(F.col(c)).alias(f"_{c}") for c in cols}
-        zero = colors.where("idx = 0").agg(*first.values())
+        zero = colors.where("idx = 0").select(*cols, alpha.alias("a")).agg(*[F.first(c).alias(f"_{c}") for c in (*cols, "a")])
         out = out.join(F.broadcast(zero), F.lit(True), "left")
-        return out.select(*[c for c in out.columns if c not in (*cols, "a") and c[0] != "_"], *[F.coalesce(c, f"_{c}").alias(c) for c in cols], F.lit(255).alias("a"))
+        return out.select(*[c for c in out.columns if c not in (*cols, "a") and c[0] != "_"], *[F.coalesce(c, f"_{c}").alias(c) for c in (*cols, "a")])
     return out
 
 
@@ -140,8 +148,15 @@ def unmatched_keys(cells: DataFrame, colors: DataFrame) -> DataFrame:
     return cells.join(colors.select("image_id", "key").distinct(), ["image_id", "key"], "left_anti")
 
 
-def cga_index(idx, background: int, flags: int):
-    """Index into the sixteen colours of a 2-bit image: 0 is the background, others a step of two."""
-    p, i = flags >> 6 & 1, flags >> 5 & 1
+def cga_index(idx, background, flags):
+    """Index into the sixteen colours of a 2-bit image: 0 is the background, others a step of two. The header's bytes are numbers or columns."""
+    col = lambda v: F.lit(v) if isinstance(v, int) else C._c(v)
+    p, i = (F.shiftright(col(flags), k).bitwiseAND(F.lit(1)) for k in (6, 5))
     c = C._c(idx)
-    return F.when(c == 0, background >> 4).otherwise(c * 2 + p + (i << 3)).cast("int")
+    return F.when(c == 0, F.shiftright(col(background), 4)).otherwise(c * 2 + p + i * 8).cast("int")
+
+
+def cga_lookup(pixels: DataFrame, headers: DataFrame) -> DataFrame:
+    """2-bit pixels (image_id, y, x, idx) in colours, by their image's header bytes (image_id, background, flags)."""
+    named = pixels.join(headers.select("image_id", "background", "flags"), "image_id").withColumn("idx", cga_index("idx", "background", "flags")).drop("background", "flags")
+    return palette_lookup(named, palette(pixels.sparkSession, "cga16"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import color as C
+from pixelquarry.session import ship
 
 # Origin and spacing of the seven interlace passes in x and y.
 ADAM7 = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
@@ -40,11 +45,15 @@ def assemble_scanlines(pixels: DataFrame) -> DataFrame:
     return g.select("image_id", "frame", "y", *[F.col(f"p.{c}").alias(c) for c in "rgba"])
 
 
-def touched_extent(draws: DataFrame) -> DataFrame:
-    """Touched pixels and their bounds by frame."""
-    return draws.groupBy("image_id", "frame").agg(
+def touched_extent(draws: DataFrame, canvas: DataFrame | None = None) -> DataFrame:
+    """Touched pixels and their bounds by frame; with ``canvas`` (image_id, w, h) whether they ``fit`` on it."""
+    bounds = draws.groupBy("image_id", "frame").agg(
         F.count(F.lit(1)).alias("touched"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")
     )
+    if canvas is None:
+        return bounds
+    fit = (F.col("x0") >= 0) & (F.col("y0") >= 0) & (F.col("x1") < F.col("w")) & (F.col("y1") < F.col("h"))
+    return bounds.join(canvas.select("image_id", "w", "h"), "image_id", "left").withColumn("fit", F.coalesce(fit, F.lit(False))).drop("w", "h")
 
 
 def flip_vertical(pixels: DataFrame, height) -> DataFrame:
@@ -97,6 +106,11 @@ def plane_dims(w, h) -> list[Column]:
     return [F.floor((C._c(v) + 1) / 2).cast("int") for v in (w, h)]
 
 
+def component_dims(w, h, factors: tuple[int, int], highest: tuple[int, int]) -> list[Column]:
+    """Plane size of a component with sampling factors (across, down), the highest of its image given: w * h_i / h_max, rounded up."""
+    return [F.floor((C._c(v) * f + most - 1) / most).cast("int") for v, f, most in zip((w, h), factors, highest, strict=True)]
+
+
 def explode_raster(rasters: DataFrame) -> DataFrame:
     """Uncompressed payloads to pixel rows, addressed by columns w, h, bpp, data_off, stride and bottom_up.
 
@@ -111,15 +125,69 @@ def explode_raster(rasters: DataFrame) -> DataFrame:
 
 
 def explode_packed_raster(rasters: DataFrame, bits: int) -> DataFrame:
-    """1, 2, 4 or 8-bit samples, high bits first, rows padded to the stride."""
+    """1, 2, 4 or 8-bit samples, high bits first, rows padded to the stride; the last row first where ``bottom_up``."""
     rows = rasters.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    start = F.col("data_off") + F.col("y") * F.col("stride")
+    line = F.when(F.col("bottom_up"), F.col("h") - 1 - F.col("y")).otherwise(F.col("y"))
+    start = F.col("data_off") + line * F.col("stride")
     cells = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("_at", start + F.floor(F.col("x") * bits / 8))
     byte = F.conv(F.hex(F.col("content").substr((F.col("_at") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     shift = F.lit(8 - bits) - (F.col("x") * bits) % 8
     return cells.select("file_id", "y", "x", F.call_function("shiftright", byte, shift.cast("int")).bitwiseAND(F.lit((1 << bits) - 1)).alias("idx"))
 
 
+SAMPLES = "file_id long, y int, x int, r int, g int, b int, a int"
+#: Rows of pixels that are given to Python together.
+_ROWS = 64
+
+
+def explode_samples(rasters: DataFrame) -> DataFrame:
+    """(file_id, y, x, r, g, b, a) of uncompressed payloads of any layout.
+
+    The layout is in columns: w, h, data_off, stride (bytes of a stored row), bottom_up, ``channels`` (their order, as ``rgb``,
+    ``bgra`` or ``g``), ``planar`` (one plane after the other, else interleaved) and ``wide`` (16-bit samples, high byte first).
+    A grey sample is all three colours; without alpha a is the highest value. Bands of rows are cut out of the payload first, so that one
+    large image spreads over tasks; a band becomes arrays as strided views of its bytes. A payload that is cut short gives
+    the rows that are whole.
+    """
+    ship(rasters.sparkSession)
+    first = F.explode(F.expr(f"sequence(0, h - 1, {_ROWS})"))
+    bands = rasters.where("w > 0 and h > 0").withColumn("y", first)
+    n = F.least(F.lit(_ROWS), F.col("h") - F.col("y"))
+    line = F.when(F.col("bottom_up"), F.col("h") - F.col("y") - n).otherwise(F.col("y"))
+    planes = F.when(F.col("planar"), F.length("channels")).otherwise(1)
+
+    def cut(k: Column) -> Column:
+        start = F.col("data_off") + (k * F.col("h") + line) * F.col("stride")
+        return F.substring(F.col("content"), (start + 1).cast("int"), (n * F.col("stride")).cast("int"))
+
+    dealt = bands.select(
+        F.col("file_id").cast("long").alias("file_id"), F.col("y").cast("int").alias("y"), n.cast("int").alias("n"), F.col("w").cast("int").alias("w"), F.col("stride").cast("int").alias("stride"),
+        "bottom_up", "channels", "planar", "wide", F.transform(F.sequence(F.lit(0), planes - 1), cut).alias("parts"),
+    ).repartition("file_id", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield _band(**r)
+
+    return dealt.mapInArrow(run, SAMPLES)
+
+
+def _band(file_id: int, y: int, n: int, w: int, stride: int, bottom_up: bool, channels: str, planar: bool, wide: bool, parts: list[bytes]) -> pa.RecordBatch:
+    """The pixels of a band of rows."""
+    kind = np.dtype(">u2" if wide else "u1")
+    each = 1 if planar else len(channels)
+    stored = min(len(p) // stride for p in parts)
+    rows = [np.ndarray((stored, w, each), kind, p, strides=(stride, each * kind.itemsize, kind.itemsize)) for p in parts]
+    planes = dict(zip(channels, (p[:, :, 0] for p in rows) if planar else np.moveaxis(rows[0], 2, 0), strict=True))
+    numbers = np.arange(y, y + n)[::-1] if bottom_up else np.arange(y, y + n)
+    numbers = numbers[:stored]
+    opaque = np.full((stored, w), 65535 if wide else 255)
+    colours = [planes.get(c, planes.get("g")) if c in "rgb" else planes.get("a", opaque) for c in "rgba"]
+    columns = [np.full(stored * w, file_id), np.repeat(numbers, w).astype(np.int32), np.tile(np.arange(w, dtype=np.int32), stored), *(c.astype(np.int32).reshape(-1) for c in colours)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["file_id", "y", "x", "r", "g", "b", "a"])
+
+
 def pack_bmp(pixels: DataFrame) -> DataFrame:
     """One 24-bit bitmap file per image and frame: headers, rows bottom-up, blue first, rows padded with zeros."""
     two = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")

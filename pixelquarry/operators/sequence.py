@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import color as C
+from pixelquarry.operators.bands import in_bands
+from pixelquarry.session import ship
 
 
 def rle_runs(seq: DataFrame, key: list[str], order: str, value: str, cap: int | None = None) -> DataFrame:
@@ -44,15 +48,26 @@ def delta_decode(seq: DataFrame, key: list[str], order: str, delta: str = "delta
     return seq.withColumn("value", (F.sum(delta).over(w) % 256).cast("int"))
 
 
+def _raster() -> WindowSpec:
+    return Window.partitionBy("image_id", "_band").orderBy("pos")
+
+
+def _banded(pixels: DataFrame, width: int) -> DataFrame:
+    """The pixels in bands of rows, each with the row above it, and ``pos`` in raster order."""
+    return in_bands(pixels).withColumn("pos", C.raster_order("y", "x", F.lit(width)))
+
+
+def _owned(banded: DataFrame) -> DataFrame:
+    return banded.where("_own").drop("_own", "_band")
+
+
 def neighbours(pixels: DataFrame, value: str, width: int) -> DataFrame:
     """Adds left, up, up-left and up-right of raster order (null outside the image; up-right wraps on)."""
-    w = Window.partitionBy("image_id").orderBy("pos")
-    lag = lambda n: F.lag(value, n).over(w)
-    with_pos = pixels.withColumn("pos", C.raster_order("y", "x", F.lit(width)))
+    lag = lambda n: F.lag(value, n).over(_raster())
     edge = F.col("x") == 0
-    return with_pos.withColumns(
+    return _owned(_banded(pixels, width).withColumns(
         {"_l": F.when(~edge, lag(1)), "_u": lag(width), "_ul": F.when(~edge, lag(width + 1)), "_ur": lag(width - 1) if width > 1 else lag(1)}
-    )
+    ))
 
 
 def filter_residuals(pixels: DataFrame, value: str, width: int) -> DataFrame:
@@ -91,10 +106,8 @@ def predictor_residual(pixels: DataFrame, value: str, width: int, mode: int) ->
 
 def select_residual(pixels: DataFrame, width: int) -> DataFrame:
     """Residuals of the select predictor: left or top, whichever is nearer over all four channels."""
-    w = Window.partitionBy("image_id").orderBy("pos")
-    n = pixels.withColumn("pos", C.raster_order("y", "x", F.lit(width)))
-    at = lambda c, k: F.lag(c, k).over(w)
-    n = n.withColumns({f"_{c}{k}": at(c, d) for c in "rgba" for k, d in (("l", 1), ("u", width), ("d", width + 1))})
+    at = lambda c, k: F.lag(c, k).over(_raster())
+    n = _owned(_banded(pixels, width).withColumns({f"_{c}{k}": at(c, d) for c in "rgba" for k, d in (("l", 1), ("u", width), ("d", width + 1))}))
     total = lambda k: sum((F.abs(F.col(f"_{c}{k}") - F.col(f"_{c}d")) for c in "rgba"), F.lit(0))
     use_left = total("u") < total("l")  # left's distance is |top - top left|
     guess = lambda c: (
@@ -114,6 +127,40 @@ def gradient_residual(plane: DataFrame, value: str, width: int, kind: int) -> Da
     return n.select("image_id", "y", "x", F.pmod(F.col(value) - inner, F.lit(256)).cast("int").alias("residual"))
 
 
+def gradient_restore(residuals: DataFrame, kind: int, residual: str = "residual") -> DataFrame:
+    """(image_id, y, x, v) of alpha-plane residuals: undoes ``gradient_residual``.
+
+    Kinds 1 and 2 are running sums, down the first column (or along the first row) and then along each row (down each
+    column). Kind 3 depends on left, up and their corner at once: each image is undone by wavefronts, one diagonal after the other.
+    """
+    if kind in (1, 2):
+        along, across = ("x", "y") if kind == 1 else ("y", "x")
+        # the first sample of each line is the sum of all firsts up to it
+        edge = residuals.where(F.col(along) == 0).select("image_id", across, F.sum(residual).over(Window.partitionBy("image_id").orderBy(across)).alias("_edge"))
+        line = Window.partitionBy("image_id", across).orderBy(along)
+        inner = F.sum(F.when(F.col(along) > 0, F.col(residual)).otherwise(0)).over(line)
+        return residuals.join(edge, ["image_id", across]).select("image_id", "y", "x", F.pmod(F.col("_edge") + inner, F.lit(256)).cast("int").alias("v"))
+
+    ship(residuals.sparkSession)
+
+    def undo(table: pa.Table) -> pa.Table:
+        y, x = (table.column(c).to_numpy().astype(np.int64) for c in "yx")
+        h, w = int(y.max()) + 1, int(x.max()) + 1
+        v, there = np.zeros((h, w), np.int64), np.zeros((h, w), bool)
+        v[y, x], there[y, x] = table.column("residual").to_numpy(), True
+        v[0], v[:, 0] = np.cumsum(v[0]) % 256, np.cumsum(v[:, 0]) % 256
+        for k in range(2, h + w - 1):
+            row = np.arange(max(1, k - w + 1), min(h, k))
+            col = k - row
+            guess = np.clip(v[row, col - 1] + v[row - 1, col] - v[row - 1, col - 1], 0, 255)
+            v[row, col] = (v[row, col] + guess) % 256
+        return pa.table({"image_id": table.column("image_id"), "y": table.column("y"), "x": table.column("x"), "v": pa.array(v[y, x].astype(np.int32))})
+
+    shaped = residuals.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(residual).cast("int").alias("residual"))
+    kind_of = shaped.schema["image_id"].dataType.simpleString()
+    return shaped.groupBy("image_id").applyInArrow(undo, f"image_id {kind_of}, y int, x int, v int")
+
+
 def slot_asof(pixels: DataFrame, width: int) -> DataFrame:
     """``prev_in_slot``: the latest earlier pixel of the image in the same hash slot, (0, 0, 0, 0) at first."""
     n = pixels.withColumn("pos", C.raster_order("y", "x", F.lit(width))).withColumn("slot", C.slot_hash("r", "g", "b", "a"))
@@ -124,9 +171,8 @@ def slot_asof(pixels: DataFrame, width: int) -> DataFrame:
 
 def op_profile(pixels: DataFrame, width: int) -> DataFrame:
     """The cheapest operation of every pixel: run, index, diff, luma, rgb or rgba."""
-    n = slot_asof(pixels, width)
-    w = Window.partitionBy("image_id").orderBy("pos")
-    n = n.withColumns({f"_{c}": F.lag(c, 1, 255 if c == "a" else 0).over(w) for c in "rgba"})
+    n = _banded(slot_asof(pixels, width), width)
+    n = _owned(n.withColumns({f"_{c}": F.lag(c, 1, 255 if c == "a" else 0).over(_raster()) for c in "rgba"}))
     signed = lambda c: F.pmod(F.col(c) - F.col(f"_{c}") + 128, F.lit(256)) - 128
     n = n.withColumns({"dr": signed("r"), "dg": signed("g"), "db": signed("b")})
     same = (F.col("dr") == 0) & (F.col("dg") == 0) & (F.col("db") == 0) & (F.col("a") == F.col("_a"))

@@ -86,7 +86,12 @@ scalar(
 )
 _prod = lambda x, k: f"((({x}) * {k} + 128) + ((({x}) * {k} + 128) >> 8)) >> 8"
 scalar("cmyk_to_rgb", "v_pixels", lambda: dict(zip(("cr", "cg", "cb"), C.cmyk_to_rgb("r", "g", "b", "a"), strict=True)), ", ".join(f"{_prod(c, 'a')} AS c{c}" for c in "rgb"))
-scalar("ycck_to_rgb", "v_pixels", lambda: {"kr": C.ycck_to_rgb("r", "g", "b", "a")[0]}, _prod(f"255 - least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (b - 128)::BIGINT * {_K[0]}) >> 20))", "a") + " AS kr")
+_ycc = [
+    f"least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (b - 128)::BIGINT * {_K[0]}) >> 20))",
+    f"least(255, greatest(0, ((r::BIGINT << 20) + 524288 - (b - 128)::BIGINT * {_K[1]} + (((g - 128)::BIGINT * -{_K[2]}) & -65536)) >> 20))",
+    f"least(255, greatest(0, ((r::BIGINT << 20) + 524288 + (g - 128)::BIGINT * {_K[3]}) >> 20))",
+]
+scalar("ycck_to_rgb", "v_pixels", lambda: dict(zip(("kr", "kg", "kb"), C.ycck_to_rgb("r", "g", "b", "a"), strict=True)), ", ".join(_prod(f"255 - {v}", "a") + f" AS k{c}" for c, v in zip("rgb", _ycc, strict=True)))
 scalar(
     "jpeg_color_model", "v_pixels",
     lambda: {"model": C.jpeg_color_model(F.when(F.col("x") == 0, "RGB").otherwise("123"), F.col("y") % 5, F.col("x") % 4 - 1, F.col("x") > 8)},
@@ -100,9 +105,25 @@ scalar("bucket_distance", "v_pixels", lambda: {"k": C.bucket5("r"), "d": C.color
 scalar("slot_hash", "v_pixels", lambda: {"s": C.slot_hash("r", "g", "b", "a")}, "(3 * r + 5 * g + 7 * b + 11 * a) & 63 AS s")
 scalar("cache_hash", "v_pixels", lambda: {"h": C.cache_hash(((F.col("a").cast("long") * 256 + F.col("r")) * 256 + F.col("g")) * 256 + F.col("b"), 8)}, "((506832829::HUGEINT * (((a::BIGINT * 256 + r) * 256 + g) * 256 + b)) % 4294967296)::BIGINT >> 24 AS h")
 scalar("green_decorrelate", "v_pixels", lambda: dict(zip(("dr", "dg", "db"), C.green_decorrelate("r", "g", "b"), strict=True)), "(r - g + 256) % 256 AS dr, g AS dg, (b - g + 256) % 256 AS db")
+scalar("green_correlate", "v_pixels", lambda: dict(zip(("dr", "dg", "db"), C.green_correlate("r", "g", "b"), strict=True)), "(r + g) % 256 AS dr, g AS dg, (b + g) % 256 AS db")
 scalar("paeth", "v_pixels", lambda: {"p": C.paeth("r", "g", "b")}, "CASE WHEN abs(g - b) <= abs(r - b) AND abs(g - b) <= abs(r + g - 2 * b) THEN r WHEN abs(r - b) <= abs(r + g - 2 * b) THEN g ELSE b END AS p")
 scalar("default_channel", "v_pixels", lambda: {"c": C.default_channel(F.when(F.col("x") > 3, F.col("r")), "color"), "al": C.default_channel(F.when(F.col("x") > 3, F.col("a")), "alpha")}, "CASE WHEN x > 3 THEN r ELSE 0 END AS c, CASE WHEN x > 3 THEN a ELSE 255 END AS al")
 scalar("linear_pixels", "v_plane", lambda: {"f": F.round(C.linear_pixels(F.col("v") * 257, 16), 6)}, "round(power(v / 255.0::DOUBLE, 2.2::DOUBLE), 6) AS f")
+# a corpus of 8-bit, 16-bit and shared-exponent images
+_depth = lambda: F.when(F.col("image_id") % 3 == 0, 32).when(F.col("image_id") % 3 == 1, 16).otherwise(8)
+_exponent = lambda: F.when(F.col("x") == 0, 0).otherwise(F.col("a") % 32 + 120)
+scalar(
+    "linear_corpus", "v_pixels",
+    lambda: dict(zip(("lr", "lg", "lb"), [F.round(v, 6) for v in C.linear_rgb(*[F.when(_depth() == 16, F.col(c) * 257).otherwise(F.col(c)) for c in "rgb"], _exponent(), _depth())], strict=True)),
+    ", ".join(f"round(CASE WHEN image_id % 3 = 0 THEN CASE WHEN x = 0 THEN 0.0 ELSE {c} * power(2.0::DOUBLE, a % 32 + 120 - 136) END ELSE power({c} / 255.0::DOUBLE, 2.2::DOUBLE) END, 6) AS l{c}" for c in "rgb"),
+)
+scalar("rgbe_grey", "v_pixels", lambda: {"f": F.round(C.rgbe_grey("r", "g", "b", _exponent()), 6)}, "round(CASE WHEN x = 0 THEN 0.0 ELSE (r + g + b) * power(2.0::DOUBLE, a % 32 + 120 - 136) END / 3, 6) AS f")
+scalar(
+    "masked_rgba", "v_pixels", lambda: dict(zip([f"{c}{n}" for n in (16, 32) for c in "rgba"], [*C.masked_rgba(F.col("r") * 256 + F.col("g"), 16), *C.masked_rgba(((F.col("a").cast("long") * 256 + F.col("r")) * 256 + F.col("g")) * 256 + F.col("b"), 32)], strict=True)),
+    ", ".join(f"((((r * 256 + g) >> {k}) & 31) * 33) >> 2 AS {c}16" for c, k in (("r", 10), ("g", 5), ("b", 0))) + ", 255 AS a16, r AS r32, g AS g32, b AS b32, a AS a32",
+)
+scalar("raster_place", "v_pixels", lambda: dict(zip(("py", "px"), C.raster_place(C.raster_order("y", "x", F.lit(16)), 16), strict=True)), "y AS py, x AS px")
+scalar("component_dims", "v_pixels", lambda: dict(zip(("cw", "ch"), pixels.component_dims("r", "g", (1, 2), (4, 3)), strict=True)), "(r + 3) // 4 AS cw, (g * 2 + 2) // 3 AS ch")
 scalar("alpha_plane", "v_pixels", lambda: {"al": C.alpha_plane(F.when(F.col("x") == 1, F.col("g")), F.when(F.col("x") == 2, F.col("a")))}, "CASE WHEN x = 1 THEN g WHEN x = 2 THEN a ELSE 255 END AS al")
 scalar("clamp_offset", "v_pixels", lambda: {"o": pixels.clamp_offset(F.col("r") - 50, F.col("g"), F.lit(100))}, "least(greatest(0, r - 50), greatest(0, g - 100)) AS o")
 scalar("raster_order", "v_pixels", lambda: {"pos": C.raster_order("y", "x", F.lit(16))}, "y * 16 + x AS pos")
@@ -122,8 +143,10 @@ add(
     "quantization_error", "v_pixels", lambda df: palette.quantization_error(quantized(df)).select("image_id", *[f"sum_{c}" for c in "rgb"], F.round("avg_r", 6).alias("avg_r")),
     QUANT_SQL + "SELECT image_id, sum((r - qr) * 16)::BIGINT AS sum_r, sum((g - qg) * 16)::BIGINT AS sum_g, sum((b - qb) * 16)::BIGINT AS sum_b, round(avg((r - qr) * 16), 6) AS avg_r FROM quant GROUP BY image_id",
 )
-QUERIES["build_color_lut"] = lambda spark, sf_dir: fixtures.view(spark, sf_dir, "v_pixels").select(*[C.bucket5(c).alias(f"k{c}") for c in "rgb"]).distinct().join(F.broadcast(palette.build_color_lut(spark, "win256")), ["kr", "kg", "kb"])
-ORACLES["build_color_lut"] = fixtures.with_views("v_pixels", f", {LUT_SQL} SELECT DISTINCT lut.* FROM lut JOIN v_pixels ON r >> 3 = kr AND g >> 3 = kg AND b >> 3 = kb")
+QUERIES["build_color_lut"] = lambda spark, sf_dir: palette.build_color_lut(spark, "win256").join(  # all cells, with the pixels that fall into each
+    fixtures.view(spark, sf_dir, "v_pixels").groupBy(*[C.bucket5(c).alias(f"k{c}") for c in "rgb"]).agg(F.count(F.lit(1)).alias("pixels")), ["kr", "kg", "kb"], "left"
+).fillna(0, ["pixels"])
+ORACLES["build_color_lut"] = fixtures.with_views("v_pixels", f", {LUT_SQL}, n AS (SELECT r >> 3 AS kr, g >> 3 AS kg, b >> 3 AS kb, count(*) AS pixels FROM v_pixels GROUP BY 1, 2, 3) SELECT lut.*, coalesce(pixels, 0) AS pixels FROM lut LEFT JOIN n USING (kr, kg, kb)")
 for _name in ("vga16", "win256"):
     add(
         f"nearest_{_name}", "v_pixels", lambda df, n=_name: palette.nearest_palette_color(df.select("r", "g", "b").distinct(), palette.PALETTES[n]),
@@ -141,7 +164,17 @@ _colors = lambda df: df.where("y < 4").select("image_id", F.concat_ws("", F.char
 XPM_SQL = ", cells AS (SELECT image_id, y, x, chr(65 + r % 20) || chr(97 + g % 3) AS key FROM v_pixels), colors AS (SELECT image_id, chr(65 + r % 20) || chr(97 + g % 3) AS key, y * 16 + x AS pos, b AS color FROM v_pixels WHERE y < 4)"
 add("xpm_key_join", "v_pixels", lambda df: palette.xpm_key_join(_cells(df), _colors(df)), XPM_SQL + " SELECT c.*, k.color FROM cells c LEFT JOIN (SELECT image_id, key, arg_min(color, pos) AS color FROM colors GROUP BY 1, 2) k USING (image_id, key)")
 add("unmatched_keys", "v_pixels", lambda df: palette.unmatched_keys(_cells(df), _colors(df)), XPM_SQL + " SELECT * FROM cells WHERE (image_id, key) NOT IN (SELECT (image_id, key) FROM colors)")
-scalar("cga_lookup", "v_idx", lambda: {"i": palette.cga_index(F.col("idx") % 4, 0x50, 0x60)}, "CASE WHEN idx % 4 = 0 THEN 5 ELSE (idx % 4) * 2 + 1 + 8 END AS i")
+scalar("cga_index", "v_idx", lambda: {"i": palette.cga_index(F.col("idx") % 4, 0x50, 0x60)}, "CASE WHEN idx % 4 = 0 THEN 5 ELSE (idx % 4) * 2 + 1 + 8 END AS i")
+add(
+    "cga_lookup", "v_idx",
+    lambda df: palette.cga_lookup(df.withColumn("idx", F.col("idx") % 4), df.select("image_id", (F.col("image_id") % 256).alias("background"), (F.col("image_id") * 37 % 256).alias("flags")).distinct()).select(*AT, "idx", *"rgba"),
+    f", c AS (SELECT image_id, y, x, CASE WHEN idx % 4 = 0 THEN (image_id % 256) >> 4 ELSE (idx % 4) * 2 + ((image_id * 37 % 256 >> 6) & 1) + ((image_id * 37 % 256 >> 5) & 1) * 8 END::INT AS i FROM v_idx) "
+    f"SELECT {AT_SQL}, i AS idx, pr AS r, pg AS g, pb AS b, 255 AS a FROM c JOIN {pal_sql('cga16')} ON p.idx = i",
+)
+add(
+    "palette_alpha", "v_idx", lambda df: palette.palette_lookup(df, palette.palette(df.sparkSession, "win256").withColumn("a", F.col("idx") * 7 % 256)).select(*AT, "idx", *"rgba"),
+    f"SELECT {AT_SQL}, v.idx, coalesce(pr, 0) AS r, coalesce(pg, 0) AS g, coalesce(pb, 0) AS b, CASE WHEN pr IS NULL THEN 0 ELSE v.idx * 7 % 256 END AS a FROM v_idx v LEFT JOIN {pal_sql()} ON p.idx = v.idx",
+)
 
 # pixels
 
@@ -154,6 +187,10 @@ add(
 )
 add("assemble_scanlines", "v_pixels", lambda df: pixels.assemble_scanlines(df).select("image_id", "frame", "y", *[F.array_join(c, ",").alias(c) for c in "rgba"]), "SELECT image_id, frame, y, " + ", ".join(f"string_agg({c}, ',' ORDER BY x) AS {c}" for c in "rgba") + " FROM v_pixels GROUP BY 1, 2, 3")
 add("touched_extent", "v_frame_draws", pixels.touched_extent, "SELECT image_id, frame, count(*) AS touched, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v_frame_draws GROUP BY 1, 2")
+add(
+    "canvas_check", "v_frame_draws", lambda df: pixels.touched_extent(df, df.select("image_id").distinct().select("image_id", F.lit(4).alias("w"), (F.col("image_id") % 5).alias("h"))),
+    "SELECT image_id, frame, count(*) AS touched, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, max(y) < image_id % 5 AS fit FROM v_frame_draws GROUP BY 1, 2",
+)
 add("flip_vertical", "v_pixels", lambda df: pixels.flip_vertical(df, 16).select(*AT, "r"), "SELECT image_id, 15 - y AS y, x, r FROM v_pixels")
 add("crop_viewport", "v_pixels", lambda df: pixels.crop_viewport(df, 3, 5, 8, 40).select(*AT, "r"), "SELECT image_id, y - 5 AS y, x - 3 AS x, r FROM v_pixels WHERE x BETWEEN 3 AND 10 AND y BETWEEN 5 AND 44")
 add("deinterlace_adam7", "v_pass", lambda df: pixels.deinterlace_adam7(df).select("image_id", "pass", "x", "y", "v"), "SELECT image_id, pass, i * CASE WHEN pass < 2 THEN 8 WHEN pass < 4 THEN 4 WHEN pass < 6 THEN 2 ELSE 1 END + CASE pass WHEN 1 THEN 4 WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS x, j * CASE WHEN pass < 3 THEN 8 WHEN pass < 5 THEN 4 ELSE 2 END + CASE pass WHEN 2 THEN 4 WHEN 4 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS y, v FROM v_pass")
@@ -167,8 +204,8 @@ add(
 FULL = "(SELECT image_id FROM v_pixels GROUP BY image_id HAVING count(*) = 256)"
 _le = fixtures._le
 add(
-    "pack_bmp", "v_pixels", lambda df: pixels.pack_bmp(df.where("x < 13")).select("image_id", F.hex("bmp").alias("bmp")),
-    ", lines AS (SELECT image_id, y, count(*) AS w, string_agg(lpad(hex(b), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(r), 2, '0'), '' ORDER BY x) AS s FROM v_pixels WHERE x < 13 GROUP BY 1, 2), "
+    "pack_bmp", "v_pixels", lambda df: pixels.pack_bmp(df).select("image_id", F.hex("bmp").alias("bmp")),
+    ", lines AS (SELECT image_id, y, count(*) AS w, string_agg(lpad(hex(b), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(r), 2, '0'), '' ORDER BY x) AS s FROM v_pixels GROUP BY 1, 2), "
     "im AS (SELECT image_id, max(w) AS w, count(*) AS h, (max(w) * 24 + 31) // 32 * 4 AS stride FROM lines GROUP BY 1) "
     f"SELECT image_id, '424D' || {_le('stride * h + 54', 4)} || '000000003600000028000000' || {_le('im.w', 4)} || {_le('h', 4)} || '0100180000000000' || {_le('stride * h', 4)} || repeat('0', 32) || string_agg(rpad(s, (stride * 2)::INT, '0'), '' ORDER BY y DESC) AS bmp "
     "FROM im JOIN lines USING (image_id) GROUP BY image_id, im.w, h, stride",
@@ -189,12 +226,35 @@ for _bits in (1, 2, 4, 8):
     _per = 8 // _bits
     add(
         f"explode_packed_{_bits}", "v_pixels",
-        lambda df, n=_bits: pixels.explode_packed_raster(_rasters(df).withColumns({"data_off": F.lit(54), "w": F.lit(16)}), n),
-        f", full_ AS (SELECT * FROM v_pixels WHERE image_id IN {FULL}), cell AS (SELECT f.image_id AS file_id, ry.range::INT AS y, rx.range::INT AS x, 15 - ry.range AS sy, rx.range // {_per} AS byte "
-        f"FROM (SELECT DISTINCT image_id FROM full_) f, range(16) ry, range(16) rx) SELECT file_id, cell.y, cell.x, ((CASE byte % 3 WHEN 0 THEN b WHEN 1 THEN g ELSE r END) >> (8 - {_bits} - (cell.x * {_bits}) % 8)) & {(1 << _bits) - 1} AS idx "
+        lambda df, n=_bits: pixels.explode_packed_raster(_rasters(df).withColumn("w", F.lit(48 * 8 // n)), n),
+        f", full_ AS (SELECT * FROM v_pixels WHERE image_id IN {FULL}), cell AS (SELECT f.image_id AS file_id, ry.range::INT AS y, rx.range::INT AS x, ry.range AS sy, rx.range // {_per} AS byte "
+        f"FROM (SELECT DISTINCT image_id FROM full_) f, range(16) ry, range({48 * _per}) rx) SELECT file_id, cell.y, cell.x, ((CASE byte % 3 WHEN 0 THEN b WHEN 1 THEN g ELSE r END) >> (8 - {_bits} - (cell.x * {_bits}) % 8)) & {(1 << _bits) - 1} AS idx "
         "FROM cell JOIN full_ ON full_.image_id = file_id AND full_.y = sy AND full_.x = byte // 3",
     )
 
+
+
+def _sampled(df: DataFrame) -> DataFrame:
+    """Payloads of whole images in eight layouts: planar, wide, or with alpha in blue-first order; every third bottom-up."""
+    planar, wide, alpha, up = ((F.col("image_id").bitwiseAND(F.lit(1)) != 0), (F.col("image_id").bitwiseAND(F.lit(2)) != 0), (F.col("image_id").bitwiseAND(F.lit(4)) != 0), F.col("image_id") % 3 == 0)
+    order = F.when(alpha, "bgra").otherwise("rgb")
+    named = df.select("image_id", "y", "x", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in "rgba"])).alias("s")).where(F.instr(order, F.col("s.c")) > 0)
+    two = F.lpad(F.hex("s.v"), 2, "0")
+    place, row = F.instr(order, F.col("s.c")), F.when(up, 15 - F.col("y")).otherwise(F.col("y"))
+    at = F.struct(F.when(planar, place).otherwise(0).alias("p"), row.alias("y"), "x", place.alias("c"), F.when(wide, F.concat(two, two)).otherwise(two).alias("hx"))
+    whole = named.groupBy("image_id").agg(F.array_sort(F.collect_list(at)).alias("s"), F.countDistinct("y", "x").alias("n")).where("n = 256")
+    return whole.select(
+        F.col("image_id").alias("file_id"), F.lit(16).alias("w"), F.lit(16).alias("h"), F.lit(3).alias("data_off"), (F.when(planar, 1).otherwise(F.length(order)) * F.when(wide, 2).otherwise(1) * 16).alias("stride"),
+        up.alias("bottom_up"), order.alias("channels"), planar.alias("planar"), wide.alias("wide"), F.unhex(F.concat(F.lit("AABBCC"), F.array_join(F.transform("s", lambda e: e["hx"]), ""))).alias("content"),
+    )
+
+
+add(
+    "explode_samples", "v_pixels", lambda df: pixels.explode_samples(_sampled(df)),
+    "SELECT image_id AS file_id, y, x, " + ", ".join(f"{c} * CASE WHEN image_id & 2 <> 0 THEN 257 ELSE 1 END AS {c}" for c in "rgb")
+    + f", CASE WHEN image_id & 4 <> 0 THEN a ELSE 255 END * CASE WHEN image_id & 2 <> 0 THEN 257 ELSE 1 END AS a FROM v_pixels WHERE image_id IN {FULL}",
+)
+
 # sequences
 
 RUNS_SQL = "f AS (SELECT *, CASE WHEN lag(r) OVER w IS NOT DISTINCT FROM r AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM v_smooth WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM f)"
@@ -204,6 +264,9 @@ add("rle_expand", "v_smooth", lambda df: sequence.rle_expand(sequence.rle_runs(d
 add("delta_left", "v_smooth", lambda df: sequence.delta_encode(df, ["image_id", "y"], "x", "g").select(*AT, "delta"), f"SELECT {AT_SQL}, (g - lag(g, 1, 0) OVER (PARTITION BY image_id, y ORDER BY x) + 256) % 256 AS delta FROM v_smooth")
 add("delta_decode", "v_smooth", lambda df: sequence.delta_decode(sequence.delta_encode(df, ["image_id", "y"], "x", "g"), ["image_id", "y"], "x").select(*AT, "value"), f"SELECT {AT_SQL}, g AS value FROM v_smooth")
 add("delta_up", "v_smooth", lambda df: sequence.delta_encode(df, ["image_id", "x"], "y", "g").select(*AT, "delta"), f"SELECT {AT_SQL}, (g - lag(g, 1, 0) OVER (PARTITION BY image_id, x ORDER BY y) + 256) % 256 AS delta FROM v_smooth")
+add("delta_up_decode", "v_smooth", lambda df: sequence.delta_decode(sequence.delta_encode(df, ["image_id", "x"], "y", "g"), ["image_id", "x"], "y").select(*AT, "value"), f"SELECT {AT_SQL}, g AS value FROM v_smooth")
+for _kind in (1, 2, 3):
+    add(f"gradient_restore_{_kind}", "v_pixels", lambda df, k=_kind: sequence.gradient_restore(sequence.gradient_residual(df, "g", 16, k), k), f"SELECT {AT_SQL}, g AS v FROM v_pixels")
 NEAR_SQL = ", n AS (SELECT v.*, l.g AS l, u.g AS u, d.g AS d, CASE WHEN v.x = 15 THEN t2.g ELSE t.g END AS t FROM {v} v LEFT JOIN {v} l ON l.image_id = v.image_id AND l.y = v.y AND l.x = v.x - 1 LEFT JOIN {v} u ON u.image_id = v.image_id AND u.y = v.y - 1 AND u.x = v.x LEFT JOIN {v} d ON d.image_id = v.image_id AND d.y = v.y - 1 AND d.x = v.x - 1 LEFT JOIN {v} t ON t.image_id = v.image_id AND t.y = v.y - 1 AND t.x = v.x + 1 LEFT JOIN {v} t2 ON t2.image_id = v.image_id AND t2.y = v.y AND t2.x = 0)"
 _paeth = "CASE WHEN abs(zu - zd) <= abs(zl - zd) AND abs(zu - zd) <= abs(zl + zu - 2 * zd) THEN zl WHEN abs(zl - zd) <= abs(zl + zu - 2 * zd) THEN zu ELSE zd END"
 add(
@@ -276,15 +339,20 @@ CANVAS_SQL = (
 def _canvas(spark: SparkSession, sf_dir: str, fill: bool) -> DataFrame:
     draws, frames = fixtures.view(spark, sf_dir, "v_frame_draws"), fixtures.view(spark, sf_dir, "v_frames")
     canvas = animation.composite_frames(draws, frames)
-    return animation.background_fill(canvas, frames, (9, 8, 7)) if fill else canvas
+    if not fill:
+        return canvas
+    # a colour table of its own for each image
+    at = F.col("image_id") * 7 + F.col("bgindex")
+    colors = frames.select("image_id", "bgindex").distinct().select("image_id", "bgindex", *[((at * k) % 256).cast("int").alias(c) for c, k in (("r", 3), ("g", 5), ("b", 11))])
+    return animation.background_fill(canvas, frames, colors)
 
 
 QUERIES["composite_frames"] = lambda spark, sf_dir: _canvas(spark, sf_dir, False)
 ORACLES["composite_frames"] = fixtures.with_views("v_frame_draws", CANVAS_SQL + " SELECT image_id, frame, y, x, v.r AS r, v.g AS g, v.b AS b, v.a AS a FROM canvas")
 QUERIES["background_fill"] = lambda spark, sf_dir: _canvas(spark, sf_dir, True)
 ORACLES["background_fill"] = fixtures.with_views(
-    "v_frame_draws", CANVAS_SQL + ", f AS (SELECT image_id, arg_min(bgindex, frame) > 0 AS fill FROM v_frames GROUP BY 1) SELECT image_id, frame, y, x, "
-    + ", ".join(f"CASE WHEN v IS NULL AND fill THEN {k} ELSE v.{c} END AS {c}" for c, k in zip("rgba", (9, 8, 7, 255), strict=True)) + " FROM canvas JOIN f USING (image_id)"
+    "v_frame_draws", CANVAS_SQL + ", f AS (SELECT image_id, arg_min(bgindex, frame) AS bg FROM v_frames GROUP BY 1) SELECT image_id, frame, y, x, "
+    + ", ".join(f"CASE WHEN v IS NULL AND bg > 0 THEN {k} ELSE v.{c} END AS {c}" for c, k in (("r", "(image_id * 7 + bg) * 3 % 256"), ("g", "(image_id * 7 + bg) * 5 % 256"), ("b", "(image_id * 7 + bg) * 11 % 256"), ("a", "255"))) + " FROM canvas JOIN f USING (image_id)"
 )
 
 # dithering: results are checked in the tests against a scalar walk
@@ -303,6 +371,17 @@ add(
     ", l AS (SELECT session_id, list(delta::BIGINT ORDER BY seq) AS d, list(seq ORDER BY seq) AS s FROM v_view_events GROUP BY 1), u AS (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM l) "
     "SELECT session_id, s[i] AS seq, list_reduce(list_prepend(0::BIGINT, d[:i]), lambda p, x: least(100, greatest(0, p + x)))::BIGINT AS pos FROM u",
 )
+_scrolled = lambda df: df.withColumns({
+    "kind": F.element_at(F.array(*[F.lit(k) for k in ("line", "page", "wheel", "top", "bottom", "track", "drag")]), (F.col("seq") % 7 + 1).cast("int")),
+    "delta": F.when(F.col("seq") % 7 == 2, F.col("delta") * 10).when(F.col("seq") % 7 == 5, F.col("px")).otherwise(F.col("delta") % 4),
+})
+add(
+    "scroll_path", "v_view_events", lambda df: events.clamped_fold(events.position_steps(_scrolled(df), 0, 300, 50), "session_id", ["seq"], "step", 0, 300, goto="goto"),
+    ", k AS (SELECT session_id, seq, CASE seq % 7 WHEN 0 THEN delta % 4 * 20 WHEN 1 THEN delta % 4 * 50 WHEN 2 THEN -(trunc(delta * 10 / 120)) * 20 WHEN 6 THEN delta % 4 ELSE 0 END::BIGINT AS d, "
+    "CASE seq % 7 WHEN 3 THEN 0 WHEN 4 THEN 300 WHEN 5 THEN px END::BIGINT AS g FROM v_view_events), "
+    "l AS (SELECT session_id, list({'d': d, 'g': g} ORDER BY seq) AS e, list(seq ORDER BY seq) AS s FROM k GROUP BY 1), u AS (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM l) "
+    "SELECT session_id, s[i] AS seq, list_reduce(list_prepend({'d': 0::BIGINT, 'g': 0::BIGINT}, e[:i]), lambda p, x: {'d': 0::BIGINT, 'g': least(300, greatest(0, coalesce(x.g, p.g + x.d)))}).g AS pos FROM u",
+)
 add(
     "drag_segments", "v_view_events", events.drag_segments,
     ", c AS (SELECT *, count(*) FILTER (kind = 'down') OVER w AS drag, max(CASE WHEN kind = 'down' THEN seq END) OVER w AS last_down, max(CASE WHEN kind = 'up' THEN seq END) OVER w AS last_up FROM v_view_events WINDOW w AS (PARTITION BY session_id ORDER BY seq)), "

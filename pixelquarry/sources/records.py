@@ -103,7 +103,7 @@ def _gif(read: Read) -> Iterator[Record]:
         while (size := read(at, 1)) and size[0]:
             at += 1 + size[0]
         at += 1
-        yield Record("gif", f"{kind:02X}", start, at - start, read(start, HEAD))
+        yield Record("gif", f"{kind:02X}", start, at - start, read(start, min(HEAD, at - start)))
 
 
 def _pic(read: Read) -> Iterator[Record]:
@@ -154,9 +154,9 @@ def _jpeg_facts(read: Read) -> dict:
 
 
 def _png_facts(read: Read) -> dict:
-    """Whether a tRNS record stands before the first IDAT."""
+    """Whether a tRNS record stands before the first IDAT; an unknown critical record ends the search."""
     for r in _png(read):
-        if r.type in ("IDAT", "IEND"):
+        if r.type in ("IDAT", "IEND") or (r.type[0] < "a" and r.type not in ("IHDR", "PLTE", "CgBI", "tRNS")):
             return {"clear": False}
         if r.type == "tRNS":
             return {"clear": True}
