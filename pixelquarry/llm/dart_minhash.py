@@ -289,7 +289,7 @@ def _crossing(spokes: DataFrame, linked: DataFrame, least: float) -> DataFrame:
     units = placed.select("hub", "node", "component", F.explode("delta").alias("unit"))
     often = units.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     # units of one component only come first and lead nowhere: they only take places of the prefix
-    shared = units.drop("component").join(often.where("c0 <> c1").drop("c0", "c1"), ["hub", "unit"])
+    shared = _settled(units.drop("component").join(often.where("c0 <> c1").drop("c0", "c1"), ["hub", "unit"]))
     rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "unit"))
     alone = placed.join(
         shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("known")), ["hub", "node"]
