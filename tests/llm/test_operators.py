@@ -308,8 +308,9 @@ def test_quality_ratio_matches_direct_counts(spark):
 
     raw = np.bincount(np.concatenate([buckets(t) for t in ("a b a", "c d", "a c")]), minlength=64)
     good = np.bincount(buckets("a b a"), minlength=64)
-    share, prior = (raw + 1) / (raw.sum() + 64), quality_llr.PRIOR
-    assert np.allclose(ratio, np.log((good + (good.sum() + prior) * share) / (2 * good.sum() + prior)) - np.log(share))
+    seen, k = raw > 0, quality_llr.SMOOTHING
+    target = (good / good.sum() + k * raw / raw.sum()) / (1 + k)
+    assert np.allclose(ratio[seen], np.log(target[seen] / (raw / raw.sum())[seen])) and not ratio[~seen].any()
     got = {r.doc_id: r.llr for r in quality_llr.judge(docs, ratio).collect()}
     assert np.isclose(got[1], ratio[buckets("a b a")].mean()) and got[4] == 0
 
@@ -320,6 +321,19 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.7
 
 
+def test_quality_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    """Every document twice or four times, with labels: the same scores and verdicts."""
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    once = {r.doc_id: (round(r.llr, 9), r.kept) for r in quality_llr.quality_llr(docs, labels).collect()}
+    for n in (2, 4):
+        copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        more = [t.withColumn("k", copies).withColumn("doc_id", F.col("doc_id") + F.col("k") * 1_000_000).drop("k") for t in (docs, labels)]
+        got = quality_llr.quality_llr(*more).collect()
+        assert len(got) == n * len(once) and all((round(r.llr, 9), r.kept) == once[r.doc_id % 1_000_000] for r in got)
+    bare = quality_llr.quality_llr(docs, labels.where("quality = 0")).collect()  # nothing is trusted: only the base rules decide
+    assert all(r.llr == 0 and r.kept != r.base_failed for r in bare)
+
+
 # sentencepiece
 
 
