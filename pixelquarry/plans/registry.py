@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pixelquarry.functions import color as C
 from pixelquarry.operators import animation, catalogue, dither, events, palette, pixels, resample, sequence
 from pixelquarry.plans import fixtures
-from pixelquarry.sources import images
+from pixelquarry.session import table
+from pixelquarry.sources import images, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,8 +56,14 @@ scalar(
     ),
 )
 scalar(
-    "convert_channels16", "v_pixels", lambda: {f"v{k}": c for k, c in enumerate(C.convert_channels([F.col(c) * 257 for c in "rgb"], 3, 2, 65535))},
-    "(77 * 257 * r + 150 * 257 * g + 29 * 257 * b) >> 8 AS v0, 65535 AS v1",
+    "convert_channels16", "v_pixels",
+    lambda: {f"c{n}{m}_{k}": c for n, ch in ((1, "r"), (2, "ra"), (3, "rgb"), (4, "rgba")) for m in (1, 2, 3, 4) for k, c in enumerate(C.convert_channels([F.col(x) * 257 for x in ch], n, m, 65535))},
+    ", ".join(
+        f"{v} AS c{n}{m}_{k}"
+        for n in (1, 2, 3, 4) for m in (1, 2, 3, 4)
+        for grey in ["r * 257" if n <= 2 else "(77 * 257 * r + 150 * 257 * g + 29 * 257 * b) >> 8"] for alpha in ["a * 257" if n in (2, 4) else "65535"]
+        for k, v in enumerate(([grey, alpha] if m <= 2 else (["r * 257"] * 3 if n <= 2 else ["r * 257", "g * 257", "b * 257"]) + [alpha])[:m])
+    ),
 )
 scalar("depth_8_16", "v_pixels", lambda: {"up": C.to_16bit("r"), "down": C.to_8bit(F.col("g") * 256 + F.col("b"))}, "(r << 8) + r AS up, (g * 256 + b) >> 8 AS down")
 scalar("scale_bits", "v_pixels", lambda: {f"d{d}": C.scale_bits(F.col("r") % (1 << d), d) for d in (1, 2, 4, 8)}, "r % 2 * 255 AS d1, r % 4 * 85 AS d2, r % 16 * 17 AS d4, r % 256 AS d8")
@@ -260,6 +267,12 @@ add(
 RUNS_SQL = "f AS (SELECT *, CASE WHEN lag(r) OVER w IS NOT DISTINCT FROM r AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM v_smooth WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM f)"
 add("rle_runs", "v_smooth", lambda df: sequence.rle_runs(df, ["image_id", "y"], "x", "r"), f", {RUNS_SQL} SELECT image_id, y, min(x) AS start, first(r) AS r, count(*) AS length FROM g GROUP BY image_id, y, run")
 add("rle_runs_capped", "v_smooth", lambda df: sequence.rle_runs(df, ["image_id", "y"], "x", "r", 3), f", {RUNS_SQL}, h AS (SELECT *, (row_number() OVER (PARTITION BY image_id, y, run ORDER BY x) - 1) // 3 AS part FROM g) SELECT image_id, y, min(x) AS start, first(r) AS r, count(*) AS length FROM h GROUP BY image_id, y, run, part")
+QUERIES["rle_bytes"] = lambda spark, sf_dir: sequence.rle_runs(texts.text_bytes(table(spark, sf_dir, "documents").where("doc_id is not null"), "doc_id"), ["doc_id"], "pos", "v").where("length > 1")
+ORACLES["rle_bytes"] = (
+    "WITH b AS (SELECT doc_id, pos, ('0x' || h)::INT AS v FROM (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS h, unnest(range(strlen(text))) AS pos FROM documents WHERE doc_id IS NOT NULL)), "
+    "f AS (SELECT *, CASE WHEN lag(v) OVER w IS NOT DISTINCT FROM v AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), "
+    "g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f) SELECT doc_id, min(pos) AS start, any_value(v) AS v, count(*) AS length FROM g GROUP BY doc_id, run HAVING count(*) > 1"
+)
 add("rle_expand", "v_smooth", lambda df: sequence.rle_expand(sequence.rle_runs(df, ["image_id", "y"], "x", "r"), ["image_id", "y"], "r"), "SELECT image_id, y, x::BIGINT AS pos, r FROM v_smooth")
 add("delta_left", "v_smooth", lambda df: sequence.delta_encode(df, ["image_id", "y"], "x", "g").select(*AT, "delta"), f"SELECT {AT_SQL}, (g - lag(g, 1, 0) OVER (PARTITION BY image_id, y ORDER BY x) + 256) % 256 AS delta FROM v_smooth")
 add("delta_decode", "v_smooth", lambda df: sequence.delta_decode(sequence.delta_encode(df, ["image_id", "y"], "x", "g"), ["image_id", "y"], "x").select(*AT, "value"), f"SELECT {AT_SQL}, g AS value FROM v_smooth")

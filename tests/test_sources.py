@@ -309,3 +309,15 @@ def test_readers_and_sinks(spark, tmp_path):
     images.write_bmp_corpus(files.select("path", "content"), out)
     with pytest.raises(Exception, match="already exists"):
         images.write_bmp_corpus(files.select("path", "content"), out)
+
+
+def test_runs_expand_with_overruns(spark):
+    """Runs past the width are clipped or flagged."""
+    runs = spark.createDataFrame([(1, 0, 5, 3), (1, 3, 6, 4), (1, 7, 7, 2), (2, 0, 9, 5)], "k long, start int, v int, length int")
+    clipped = sequence.rle_expand(runs, ["k"], "v", width=5, on_overrun="clip")
+    assert sorted(map(tuple, clipped.collect())) == [*((1, p, 5) for p in range(3)), (1, 3, 6), (1, 4, 6), *((2, p, 9) for p in range(5))]
+    flagged = sequence.rle_expand(runs, ["k"], "v", width=5)
+    assert {(r.k, r.pos): (r.v, r.overrun) for r in flagged.where("k = 1").collect()} == {
+        **{(1, p): (5, False) for p in range(3)}, **{(1, p): (6, True) for p in range(3, 7)}, **{(1, p): (7, True) for p in (7, 8)},
+    }
+    assert {r.overrun for r in flagged.where("k = 2").collect()} == {False}
