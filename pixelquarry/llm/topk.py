@@ -20,16 +20,19 @@ candidate rows each count. Fewer than k candidates: all are returned. An empty t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquarry.session import cut_lineage, ship
+from pixelquarry.session import shared_dir, ship
 
+FOUND = "query_id long, vec_id long, score long"
 BINS = 4096
 SLICE_BYTES = 4_000_000
 BLOCK = 1024
@@ -108,7 +111,8 @@ def _selected(shared, low: np.ndarray, q_ids: np.ndarray, k: int):
     return run
 
 
-def _slice_topk(candidates: DataFrame, queries: list, k: int, top_norm: float) -> DataFrame:
+def _slice_topk(candidates: DataFrame, queries: list, k: int, top_norm: float) -> tuple[DataFrame, Broadcast]:
+    """The best candidates of one slice of queries, a few more than k for some, and what they were broadcast as."""
     q_ids = np.array([r.vec_id for r in queries], np.int64)
     by_dim: dict[int, tuple] = {}
     lengths = np.array([len(r.v) for r in queries])
@@ -144,7 +148,7 @@ def _slice_topk(candidates: DataFrame, queries: list, k: int, top_norm: float) -
             else:
                 high[q] = low[q]  # known closely enough: no further bins
         if not open_:
-            return candidates.mapInArrow(_selected(shared, low, q_ids, k), "query_id long, vec_id long, score long")
+            return candidates.mapInArrow(_selected(shared, low, q_ids, k), FOUND), shared
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -158,16 +162,18 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1
     ).first()
     total = queries.count()
     slices = max(1, -(-total * 8 * max(1, stats.dim or 1) // slice_bytes))
-    best = None
+    # one slice after the other, each written down: the plan is of one size, whatever the number of queries
+    place, best = f"{shared_dir(spark)}/topk-{uuid.uuid4()}", spark.createDataFrame([], FOUND)
     for i in range(slices):
         some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == i).orderBy("vec_id").collect()
         if not some:
             continue
-        part = _slice_topk(candidates, some, k, float(stats.norm))
-        if slices > 1:
-            part = cut_lineage(part)
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        part, shared = _slice_topk(candidates, some, k, float(stats.norm))
+        if slices == 1:
+            best = part
+        else:
+            part.write.mode("append").parquet(place)
+            shared.destroy()
+            best = spark.read.schema(FOUND).parquet(place)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
