@@ -298,21 +298,19 @@ def _crossing(spokes: DataFrame, linked: DataFrame, least: float) -> DataFrame:
         shared.withColumn("rank", rank).join(alone, ["hub", "node"]).withColumn("place", F.col("alone") + F.col("rank") - 1)
         .where("place < prefix").drop("n", "rank", "alone", "prefix")
     )
-    # components of a unit are numbered; two of them differ first in some bit of their numbers, so pairs that
-    # agree above that bit and differ in it meet there once, and nodes of one component never do
-    own = entries.groupBy("hub", "unit", "component").agg(F.lit(1).alias("one"))
-    unit = Window.partitionBy("hub", "unit")
-    numbered = own.select("hub", "unit", "component", (F.row_number().over(unit.orderBy("component")) - 1).alias("number"), F.count(F.lit(1)).over(unit).alias("many"))
-    bits = F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("many") - 1)) - 1)).alias("bit")
-    dealt = entries.join(numbered.where("many > 1").select("*", bits), ["hub", "unit", "component"]).select(
-        "hub", "unit", "bit", F.expr("shiftright(number, bit + 1)").alias("above"), F.expr("shiftright(number, bit) & 1").alias("side"), "node", "weight", "size", "place")
+    # nodes of a unit's largest component meet only those of others. What is left of meetings inside one component
+    # is at most as much as that, since no other is as large
+    sizes = entries.groupBy("hub", "unit", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("hub", "unit").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    dealt = entries.join(largest.drop("many"), ["hub", "unit"]).withColumn("big", F.col("component") == F.col("largest"))
     left, right = (
-        dealt.where(F.col("side") == k).select("hub", "unit", "bit", "above", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "weight", "size", "place")]) for k, side in enumerate("ab")
+        rows.select("hub", "unit", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "big", "weight", "size", "place")]) for rows, side in ((dealt.where("not big"), "a"), (dealt, "b"))
     )
     weights = F.col("weight_a") + F.col("weight_b")
     needed = (F.col("size_a") + F.col("size_b") - e * weights) / 2 - 1e-6
     pairs = (
-        left.join(right, ["hub", "unit", "bit", "above"])
+        left.join(right, ["hub", "unit"])
+        .where("big_b or (component_a <> component_b and node_a > node_b)")
         .where(F.least("weight_a", "weight_b") >= least * F.greatest("weight_a", "weight_b") - 1e-6)
         .where(F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= needed)
         .select("hub", F.greatest("node_a", "node_b").alias("node_a"), F.least("node_a", "node_b").alias("node_b")).distinct()
