@@ -297,16 +297,16 @@ def _familiar(documents: DataFrame, models: list[Model | None], parts: int, rate
     ship(spark)
     shared = spark.sparkContext.broadcast(models)
 
-    @F.arrow_udf("boolean")
-    def plain(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, of in columns:
-            out = np.ones(len(texts), bool)
-            for at, pack, bits, _ in _costs(texts, of.to_numpy(zero_copy_only=False), shared.value):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.ones(len(batch), bool)
+            for at, pack, bits, _ in _costs(batch.column("text"), batch.column("_part").to_numpy(zero_copy_only=False), shared.value):
                 if bits is not None:
                     out[at] = bits.min(axis=1) <= rate * (pack.last - pack.first)
-            yield pa.array(out)
+            yield batch.drop_columns(["_part"]).filter(pa.array(out))
 
-    return documents.withColumn("seen", plain.asNondeterministic()(F.col("text"), text_part(parts).cast("int"))).where("seen").drop("seen")
+    # the same kind of function as all others here: each kind has Python workers of its own, which stay with their models
+    return documents.withColumn("_part", text_part(parts).cast("int")).mapInArrow(run, documents.schema)
 
 
 def _judged(documents: DataFrame, models: list[Model | None], parts: int) -> DataFrame:
