@@ -1,15 +1,12 @@
-"""Exact places of rows in the order of their group, without a window over the group."""
+"""Rows in files of ranges: exact places in an order, without a window over a group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.session import settled
 
-#: Runs (a group's rows in one file) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
-
 
 def in_ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """The rows sorted into files of ranges of ``order`` and read back with ``part`` and ``row``, the number of the file and the place in it.
@@ -19,15 +16,3 @@ def in_ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     written = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order), name)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
     return written.select("*", part.alias("part"), F.col("_metadata.row_index").alias("row"))
-
-
-def placed(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """The rows with ``pos``, their place in their ``group`` (not null) by ``order``, and ``n``, the group's size."""
-    ranged = in_ranges(rows, [group, *order], name)
-    runs = settled(ranged.groupBy("part", group).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("size")), name)
-    whole = Window.partitionBy(group)
-    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select("part", group, "first", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.sum("size").over(whole).alias("n"))
-    few = runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = ranged.join(F.broadcast(starts) if few else starts, ["part", group])
-    return joined.withColumn("pos", F.col("before") + F.col("row") - F.col("first")).drop("part", "row", "first", "before")
