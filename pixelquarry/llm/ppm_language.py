@@ -227,7 +227,9 @@ def fit_apart(documents: DataFrame, parts: int = PARTS, order: int = ORDER, docs
         return [None] * parts
     sample = settled(sample, "language-sample")  # bounded by its definition
     first = _built_apart(sample, langs, parts, order)
-    return _built_apart(_familiar(sample, first, parts, 8.0), langs, parts, order)
+    # written down in between: two Python functions in one stage take two workers a core, and all of them stay
+    plain = settled(_familiar(sample, first, parts, 8.0), "language-sample")
+    return _built_apart(plain, langs, parts, order)
 
 
 def _letters(pack: bs.Pack) -> np.ndarray:
