@@ -269,6 +269,8 @@ def _alike(apart: Column, weights: Column, least: float) -> Column:
 def _crossing(spokes: DataFrame, linked: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between nodes of one hub that lie in two components.
 
+    ``common`` is the part of a delta that may lie in another one too; the rest only takes places of the prefix.
+
     With d(x) the size of x's difference from the hub, a link of x and y shares at least
     (d(x) + d(y) - e (w(x) + w(y))) / 2 of the two differences, e = (1 - least) / (1 + least). A node
     linked to the hub meets only nodes that are not, of d over e (w + w(hub)); for the others the least
@@ -284,12 +286,12 @@ def _crossing(spokes: DataFrame, linked: DataFrame, least: float) -> DataFrame:
     prefix = size - F.greatest(F.lit(1), F.ceil(demand - 1e-6)) + 1
     placed = _settled(
         spokes.where(size > 0).join(linked, "node", "left")
-        .select("hub", "node", F.coalesce("component", "node").alias("component"), "weight", "delta", size.alias("size"), prefix.alias("prefix"))
+        .select("hub", "node", F.coalesce("component", "node").alias("component"), "weight", "delta", "common", size.alias("size"), prefix.alias("prefix"))
     )
-    units = placed.select("hub", "node", "component", F.explode("delta").alias("unit"))
+    units = _settled(placed.select("hub", "node", "component", F.explode("common").alias("unit")))
     often = units.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     # units of one component only come first and lead nowhere: they only take places of the prefix
-    shared = _settled(units.drop("component").join(often.where("c0 <> c1").drop("c0", "c1"), ["hub", "unit"]))
+    shared = _settled(units.select("hub", "node", "unit").join(often.where("c0 <> c1").drop("c0", "c1"), ["hub", "unit"]))
     rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "unit"))
     alone = placed.join(
         shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("known")), ["hub", "node"]
@@ -381,7 +383,7 @@ def _open_rows(placed: DataFrame) -> DataFrame:
 
 
 def _own_units(texts: DataFrame, width: int) -> DataFrame:
-    """(node, own): how much of a node's weight no other of these nodes has, as it shares no unit of it."""
+    """(node, own): the units of a node that no other of these nodes has; no row for a node without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,7 +394,13 @@ def _own_units(texts: DataFrame, width: int) -> DataFrame:
 
     units = texts.select("node", "text").mapInArrow(run, "node long, unit long")
     alone = units.groupBy("unit").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return alone.groupBy("node").agg(F.collect_list("unit").alias("own"))
+
+
+def _common(spokes: DataFrame, own: DataFrame) -> DataFrame:
+    """The spokes with ``common``: their delta without the node's own units, which lie in no other delta against the hub."""
+    known = spokes.join(own, "node", "left")
+    return known.withColumn("common", F.when(F.col("own").isNull(), F.col("delta")).otherwise(F.array_except("delta", "own"))).drop("own")
 
 
 def _reachable(rows: DataFrame, least: float) -> DataFrame:
@@ -448,10 +456,11 @@ def near_duplicates(
     )
     rest = _open_rows(placed)
     texts = _texts(documents, nodes, rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    rest = _open_rows(_reachable(rest.join(_own_units(texts, width), "node", "left").fillna(0, ["own"]), least))
+    own = _settled(_own_units(texts, width))
+    rest = _open_rows(_reachable(rest.join(own.select("node", F.size("own").cast("long").alias("own")), "node", "left").fillna(0, ["own"]), least))
     pairs = _settled(rest.join(_hubs(rest), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     if pairs.limit(1).count():
-        spokes = _settled(_spokes(pairs, texts, width))
+        spokes = _settled(_common(_spokes(pairs, texts, width), own))
         near = spokes.where(_alike(F.size("delta"), F.col("weight") + F.col("hub_weight"), least))
         linked = _joined(linked, near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
         linked = _joined(linked, _settled(_crossing(spokes, linked, least)))

@@ -224,6 +224,19 @@ def test_near_duplicates_at_the_threshold(spark):
     assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(frame).collect()} == want
 
 
+def test_differences_leave_out_what_no_other_node_has(spark):
+    """Units that can meet nothing are not spread into rows, but no unit of two differences is lost."""
+    base = prose(47, 60)
+    rows = [(k, " ".join([base, prose(50 + k, 20), prose(90 + k // 2, 12)])) for k in range(6)]
+    nodes = spark.createDataFrame(rows, "node long, text string")
+    own = dart_minhash._own_units(nodes, 5)
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 6)], "a long, b long")
+    got = {r.node: r for r in dart_minhash._common(dart_minhash._spokes(pairs, nodes, 5), own).collect()}
+    often = collections.Counter(u for r in got.values() for u in r.delta)
+    assert all(set(r.common) <= set(r.delta) and {u for u in r.delta if often[u] > 1} <= set(r.common) for r in got.values())
+    assert 0 < sum(len(r.common) for r in got.values()) < 0.8 * often.total()
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     base = prose(3, 300).split()
     for edits in (2, 8, 25):
