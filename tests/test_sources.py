@@ -1,6 +1,7 @@
 """Header scans by ranges, container records, frame tables, bulk samples, bands, folds and streams."""
 
 import collections
+import itertools
 import struct
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.operators import animation, automaton, bands, catalogue, events, pixels, resample, sequence
 from pixelquarry.plans import fixtures, registry
-from pixelquarry.sources import gif, headers, images, records
+from pixelquarry.sources import gif, headers, images, records, texts
 from pixelquarry.streaming import live
 
 
@@ -321,3 +322,21 @@ def test_runs_expand_with_overruns(spark):
         **{(1, p): (5, False) for p in range(3)}, **{(1, p): (6, True) for p in range(3, 7)}, **{(1, p): (7, True) for p in (7, 8)},
     }
     assert {r.overrun for r in flagged.where("k = 2").collect()} == {False}
+
+
+def test_runs_of_the_bytes_of_texts(spark, sf_dir):
+    given = [(1, "aabbb"), (2, ""), (3, None), (4, "b" * 23), (5, "b"), (6, "\u00e9\u00e9 \u4e2d"), (7, ""), (7, "cc"), (7, "cc")]
+    frame = spark.createDataFrame(given, "k long, text string").coalesce(1)
+    want = []
+    for k, text in given:
+        at = 0
+        for v, same in itertools.groupby((text or "").encode()):
+            n = len(list(same))
+            want.append((k, at, v, n))
+            at += n
+    for piece in (1, 2, 5, 7, 1 << 20):  # runs and texts over the cuts of pieces
+        for least in (1, 2, 3):
+            got = [tuple(r) for r in texts.text_runs(frame, "k", least=least, piece=piece).collect()]
+            assert sorted(got) == sorted(r for r in want if r[3] >= least)
+    plan = registry.QUERIES["rle_bytes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
