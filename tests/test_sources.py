@@ -2,6 +2,8 @@
 
 import collections
 import itertools
+import math
+import re
 import struct
 
 import numpy as np
@@ -340,3 +342,30 @@ def test_runs_of_the_bytes_of_texts(spark, sf_dir):
             assert sorted(got) == sorted(r for r in want if r[3] >= least)
     plan = registry.QUERIES["rle_bytes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_canvases_are_one_sort_and_any_number_of_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    frames = [(i, k * (i + 1), int(rng.integers(0, 4)), i) for i in range(4) for k in range(9)]
+    draws = sorted({(i, f + 50 * (rng.random() < 0.05), int(rng.integers(0, 2)), int(rng.integers(0, 3))) for i, f, _, _ in frames for _ in range(4)})
+    draws = [(*d, *(int(v) for v in rng.integers(0, 256, 3)), 255 if rng.random() < 0.8 else 128) for d in draws]
+    at = {d[:4]: d[4:] for d in draws if d[7] > 128}
+    want = []
+    for i, y, x in sorted({(d[0], d[2], d[3]) for d in draws}):
+        below = (None,) * 4
+        for _, f, dispose, _ in [r for r in frames if r[0] == i]:
+            v = at.get((i, f, y, x), below)
+            filled = (7, 8, 9, 255) if v[3] is None and i > 0 else v
+            want.append((i, f, y, x, *filled))
+            below = v if dispose <= 1 and (i, f, y, x) in at else below
+    moments = spark.createDataFrame(frames, "image_id long, frame int, dispose int, bgindex int")
+    painted = spark.createDataFrame(draws, "image_id long, frame int, y int, x int, r int, g int, b int, a int")
+    colours = spark.createDataFrame([(i, i, 7, 8, 9) for i in range(4)], "image_id long, bgindex int, r int, g int, b int")
+    for rows, few in ((1 << 20, 100), (20, 0)):
+        monkeypatch.setattr(animation, "TASK_ROWS", rows)
+        monkeypatch.setattr(animation, "BROADCAST_ROWS", few)
+        canvas = animation.composite_frames(painted, moments)
+        dealt = re.findall(r"hashpartitioning\(image_id#\d+L, y#\d+, x#\d+, (\d+)\), REPARTITION_BY_NUM", canvas._jdf.queryExecution().executedPlan().toString())
+        assert [int(n) for n in dealt] == [math.ceil(len(want) / rows) + 1]
+        got = [tuple(r) for r in animation.background_fill(canvas, moments, colours).select("image_id", "frame", "y", "x", *"rgba").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
