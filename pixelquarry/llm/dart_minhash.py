@@ -16,8 +16,9 @@ links. Where a bucket still holds two components, nodes that can reach nobody ar
 from the shingles that a node shares with none of the others), and the others are written down as
 their difference from a typical node, the hub of the bucket: the shingles that only one of the two has.
 The buckets of like nodes agree on a hub by majority, so a node has about one.
-Nodes linked to the hub are one component, so a link that is still missing has an end that is too far
-from the hub; then the two differences must share a good part of their shingles, and only pairs
+Nodes linked to the hub are one component. The differences are then taken from the hub as most of its nodes
+have it, and nodes that are surely like the one nearest to that are linked to it, so a link that is still missing has
+an end that is too far from it; then the two differences must share a good part of their shingles, and only pairs
 that share one of the rarest of them (a prefix filter) are compared, by their differences. So what many
 nodes have in common is never a join key, and no link between bucket mates is lost.
 Classes are the connected components of the links.
@@ -51,6 +52,8 @@ SHINGLE = 5
 BANDS, ROWS = 26, 5
 #: Ids of at most so many documents (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: A hub's typical differences are told from about so many of its nodes; units that one in HOT of them or more has are frequent.
+TYPICAL, HOT = 64, 16
 #: Rank cells: expected darts of the first cell of a unit of weight; each next one doubles the
 #: range until a cell holds one dart on average, then all cells are alike.
 FINE = 12
@@ -266,39 +269,78 @@ def _alike(apart: Column, weights: Column, least: float) -> Column:
     return (weights - apart) / 2 / F.greatest(weights - (weights - apart) / 2, F.lit(1)) >= least
 
 
-def _crossing(spokes: DataFrame, linked: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between nodes of one hub that lie in two components.
+def _rebased(spokes: DataFrame, least: float) -> DataFrame:
+    """The spokes against a reference that is near to most nodes of a hub, with ``cold`` (the rarer units of ``common``), ``size`` and ``slack``.
+
+    The reference is the hub with the units reversed that most of its deltas hold. Any set of units would do, as
+    |x - y| is |x - r| + |y - r| less twice what these share; so it is found, and rare told from frequent units, by the deltas
+    of about ``TYPICAL`` nodes. Two nodes whose slacks, size - e * weight, are 0 or less together are linked.
+    """
+    sizes = spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    some = _settled(spokes.join(sizes, "hub").where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TYPICAL)) == 0).select("hub", "common"))
+    held = some.select("hub", F.explode("common").alias("unit")).groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"))
+    held = held.where("n > 1").join(some.groupBy("hub").agg(F.count(F.lit(1)).alias("of")), "hub")
+    hubs = _settled(
+        held.groupBy("hub").agg(
+            F.collect_list(F.when(2 * F.col("n") > F.col("of"), F.col("unit"))).alias("most"),
+            F.collect_list(F.when(F.least("n", F.col("of") - F.col("n")) * HOT >= F.col("of"), F.col("unit"))).alias("hot"),
+        )
+    )
+    none = F.array().cast("array<long>")
+    known = spokes.join(hubs, "hub", "left").withColumns({c: F.coalesce(c, none) for c in ("most", "hot")})
+    missing = F.array_except("most", "delta")
+    known = known.withColumns({c: F.concat(F.array_except(c, "most"), missing) for c in ("delta", "common")})
+    e = (1 - least) / (1 + least)
+    return known.select(
+        "hub", "node", "weight", "delta", "common", F.array_except("common", "hot").alias("cold"),
+        F.size("delta").alias("size"), (F.size("delta") - e * F.col("weight")).alias("slack"),
+    )
+
+
+def _inner(based: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of nodes so near to the reference that they must be like the nearest one, b."""
+    nearest = based.groupBy("hub").agg(F.min(F.struct("slack", "node", "size", "weight")).alias("best")).select("hub", "best.node", "best.size", "best.weight")
+    met = based.select("hub", "node", "size", "weight").join(nearest.toDF("hub", "b", "size_b", "weight_b"), "hub").where("node <> b")
+    sure = _alike(F.col("size") + F.col("size_b"), F.col("weight") + F.col("weight_b"), least)
+    return met.where(sure).select(F.col("node").alias("a"), "b")
+
+
+def _crossing(based: DataFrame, linked: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of one hub that lie in two components; ``linked`` holds the links of ``_inner``.
 
     ``common`` is the part of a delta that may lie in another one too; the rest only takes places of the prefix.
 
-    With d(x) the size of x's difference from the hub, a link of x and y shares at least
-    (d(x) + d(y) - e (w(x) + w(y))) / 2 of the two differences, e = (1 - least) / (1 + least). A node
-    linked to the hub meets only nodes that are not, of d over e (w + w(hub)); for the others the least
-    demand over all partners is that of a partner as heavy as the hub, or as near to it as a link allows.
+    A link of x and y shares at least half the sum of their slacks of the two differences from the reference. That is more
+    than 0, or both would be linked to the nearest node. For a node of the nearest one's component the least
+    demand over all partners is that of the least slack in other components, for the others that of the nearest node. Units
+    come in the order of their frequency, cold ones before the others, which only make rows where the prefix reaches them.
     """
     e = (1 - least) / (1 + least)
-    size = F.size("delta")
-    partner = F.least(F.greatest(F.col("hub_weight"), F.col("weight") * least), F.col("weight") / least)
-    near = _alike(size, F.col("weight") + F.col("hub_weight"), least)
-    demand = F.when(near, (size + e * (F.col("hub_weight") - F.col("weight"))) / 2).otherwise(
-        (size + F.abs(F.col("hub_weight") - partner) - e * (F.col("weight") + partner)) / 2
-    )
-    prefix = size - F.greatest(F.lit(1), F.ceil(demand - 1e-6)) + 1
+    known = based.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nearest = known.groupBy("hub").agg(F.min(F.struct("slack", "node", "component")).alias("best")).select("hub", F.col("best.slack").alias("first"), F.col("best.component").alias("main"))
+    known = _settled(known.join(nearest, "hub"))
+    second = known.where("component <> main").groupBy("hub").agg(F.min("slack").alias("second"))  # hubs of one component have no row
+    demand = (F.col("slack") + F.when(F.col("component") == F.col("main"), F.col("second")).otherwise(F.col("first"))) / 2
+    prefix = F.col("size") - F.greatest(F.lit(1), F.ceil(demand - 1e-6)) + 1
+    hot = F.size("common") - F.size("cold")
     placed = _settled(
-        spokes.where(size > 0).join(linked, "node", "left")
-        .select("hub", "node", F.coalesce("component", "node").alias("component"), "weight", "delta", "common", size.alias("size"), prefix.alias("prefix"))
+        known.join(second, "hub").withColumn("prefix", prefix).where(F.col("size") - F.size("common") < F.col("prefix"))
+        .select("hub", "node", "component", "weight", "delta", "common", "cold", "size", "prefix", (F.col("size") - hot).alias("ahead"))
+    )
+    units = _settled(
+        placed.select("hub", "node", "component", "cold", F.explode(F.when(F.col("ahead") >= F.col("prefix"), F.col("cold")).otherwise(F.col("common"))).alias("unit"))
+        .select("hub", "node", "component", "unit", (~F.array_contains("cold", F.col("unit"))).alias("hot"))
     )
-    units = _settled(placed.select("hub", "node", "component", F.explode("common").alias("unit")))
     often = units.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     # units of one component only come first and lead nowhere: they only take places of the prefix
-    shared = _settled(units.select("hub", "node", "unit").join(often.where("c0 <> c1").drop("c0", "c1"), ["hub", "unit"]))
-    rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "unit"))
+    shared = _settled(units.select("hub", "node", "unit", "hot").join(often.where("c0 <> c1").drop("c0", "c1"), ["hub", "unit"]))
+    rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("hot", "n", "unit"))
     alone = placed.join(
-        shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("known")), ["hub", "node"]
-    ).select("hub", "node", "component", "weight", "size", "prefix", (F.col("size") - F.col("known")).alias("alone"))
+        shared.groupBy("hub", "node").agg(F.count_if(~F.col("hot")).alias("known")), ["hub", "node"]
+    ).select("hub", "node", "component", "weight", "size", "prefix", (F.col("ahead") - F.col("known")).alias("alone"))
     entries = _settled(
         shared.withColumn("rank", rank).join(alone, ["hub", "node"]).withColumn("place", F.col("alone") + F.col("rank") - 1)
-        .where("place < prefix").drop("n", "rank", "alone", "prefix")
+        .where("place < prefix").drop("n", "hot", "rank", "alone", "prefix")
     )
     # nodes of a unit's largest component meet only those of others. What is left of meetings inside one component
     # is at most as much as that, since no other is as large
@@ -462,8 +504,9 @@ def near_duplicates(
     if pairs.limit(1).count():
         spokes = _settled(_common(_spokes(pairs, texts, width), own))
         near = spokes.where(_alike(F.size("delta"), F.col("weight") + F.col("hub_weight"), least))
-        linked = _joined(linked, near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        linked = _joined(linked, _settled(_crossing(spokes, linked, least)))
+        based = _settled(_rebased(spokes, least))
+        linked = _joined(linked, _settled(near.select(F.col("node").alias("a"), F.col("hub").alias("b")).union(_inner(based, least))))
+        linked = _joined(linked, _settled(_crossing(based, linked, least)))
     least_id = (
         nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
         .join(linked, "component").select("node", "component", "class_id")

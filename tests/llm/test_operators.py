@@ -237,6 +237,32 @@ def test_differences_leave_out_what_no_other_node_has(spark):
     assert 0 < sum(len(r.common) for r in got.values()) < 0.8 * often.total()
 
 
+def test_differences_are_taken_from_a_typical_node(spark, monkeypatch):
+    """What an odd hub alone has or lacks is not spread into rows for each node, and the classes are those of all pairs."""
+    rng, base, rows = np.random.default_rng(8), prose(61, 300).split(), []
+    for k in range(200):
+        words = list(base)
+        for i in rng.choice(300, int(rng.integers(3, 10)), replace=False):
+            words[i] = f"edit{i}{rng.integers(0, 2)}"
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, spread, real = [], [], dart_minhash._settled
+
+    def settled(df):
+        out = real(df)
+        if "hub_weight" in out.columns:
+            whole.append(out.select(F.sum(F.size("common"))).first()[0])
+        elif out.columns[:4] == ["hub", "node", "component", "unit"]:
+            spread.append(out.count())
+        return out
+
+    monkeypatch.setattr(dart_minhash, "_settled", settled)
+    want = classes(rows)
+    assert 3 < len(set(want.values())) < 150
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(frame).collect()} == want
+    assert len(whole) == len(spread) == 1 and 0 < spread[0] < 0.6 * whole[0]
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     base = prose(3, 300).split()
     for edits in (2, 8, 25):
